@@ -179,8 +179,9 @@ FX: dict[str, tuple[list[str], str]] = {
 }
 
 
-def with_fx(needed: list[str], body: str) -> str:
-    """Prefix ``body`` with the fixture CTEs it needs (dependencies first)."""
+def with_fx(needed: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
+    """Prefix ``body`` with the fixture CTEs it needs (dependencies first),
+    followed by ``extra`` (name, sql) CTEs in the given order."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -192,7 +193,8 @@ def with_fx(needed: list[str], body: str) -> str:
 
     for n in needed:
         visit(n)
-    if not order:
+    parts = [(n, FX[n][1]) for n in order] + list(extra or [])
+    if not parts:
         return body
-    ctes = ",\n".join(f"{n} AS ({FX[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS ({sql})" for n, sql in parts)
     return f"WITH {ctes}\n{body}"
