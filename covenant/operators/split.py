@@ -43,12 +43,12 @@ def smallest_per_group(df: DataFrame, group: str, key: str, tie: str, quotas: Da
         .select(group, F.col("_b").alias("_bb"), (F.col("quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
     # One row per group: bounded by the number of groups.
     j = b.join(F.broadcast(boundary), group, "left")
-    rest = j.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))) \
-        .withColumn(flag, F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    at = j.where(F.col("_b") == F.col("_bb"))
+    # Rank inside each (group, bucket): a window partition holds one bucket of
+    # one group, about 1/65536 of that group's rows.
     rank = F.row_number().over(Window.partitionBy(group, "_b").orderBy(key, tie))
-    at = at.withColumn(flag, rank <= F.col("_need"))
-    return rest.unionByName(at).drop("_b", "_bb", "_need")
+    picked = F.coalesce((F.col("_b") < F.col("_bb")) | ((F.col("_b") == F.col("_bb")) & (rank <= F.col("_need"))),
+                        F.lit(False))
+    return j.withColumn(flag, picked).drop("_b", "_bb", "_need")
 
 
 def split_quotas(risk: DataFrame, test_fraction: float = 0.2) -> DataFrame:

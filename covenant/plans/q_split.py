@@ -9,6 +9,7 @@ from covenant.operators import risk as R
 from covenant.operators import split as SP
 from covenant.plans.catalog import _qa, register
 from covenant.plans.sqlparts import RISK_IN, label_id_sql, str_list, with_fx
+from covenant.session import materialize
 from covenant.sources import fixtures as FX
 
 PER_CLASS = 4
@@ -35,7 +36,9 @@ _CTES_SAMPLE = _CTES + [("picked", _SAMPLE)]
 
 
 def _risk(spark, sf_dir):
-    return R.contract_risk(_qa(spark, sf_dir))
+    # One row per contract, read three times by the split (counts, histogram,
+    # flags): checkpointed once instead of recomputing the QA aggregation.
+    return materialize(R.contract_risk(_qa(spark, sf_dir)))
 
 
 def _split(spark, sf_dir):
@@ -43,8 +46,9 @@ def _split(spark, sf_dir):
 
 
 def _picked(spark, sf_dir):
+    # At most PER_CLASS x labels rows, consumed by several joins.
     test = _split(spark, sf_dir).where(F.col("split") == "test")
-    return SP.class_balanced_sample(test, PER_CLASS)
+    return materialize(SP.class_balanced_sample(test, PER_CLASS))
 
 
 @register("split_quotas", with_fx(["fx_risk"], "SELECT risk_label, n_label, quota FROM quotas", _CTES[:1]))
@@ -93,7 +97,7 @@ def class_balanced_sample(spark, sf_dir):
 @register("sample_union", with_fx(["fx_risk"], "SELECT title, risk_label FROM picked", _CTES_SAMPLE))
 def sample_union(spark, sf_dir):
     """Per-label samples drawn separately, then concatenated."""
-    test = _split(spark, sf_dir).where(F.col("split") == "test")
+    test = materialize(_split(spark, sf_dir).where(F.col("split") == "test"))
     parts = [SP.class_balanced_sample(test.where(F.col("risk_label") == lab), PER_CLASS) for lab in S.LABELS]
     out = parts[0]
     for p in parts[1:]:

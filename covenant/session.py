@@ -62,3 +62,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage of a DataFrame consumed several times: a reliable checkpoint
+    into the shared ``spark.checkpoint.dir`` (survives executor loss)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
