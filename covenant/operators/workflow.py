@@ -477,3 +477,45 @@ def command_log_rows(accepted: DataFrame, steps: list[tuple[str, F.Column, F.Col
                              notes.cast("string").alias("notes"))
                     for i, (a, actor, notes) in enumerate(steps)])
     return accepted.select("cmd_id", "document_id", F.inline(arr))
+
+
+# ---- prepared contracts: J9, F13, F20, M4, C1 --------------------------------
+
+def score_prepared(prepared: DataFrame, predictions: DataFrame) -> DataFrame:
+    """M4 + J9 + F20: rule score from the clause JSON, model label if any, note and action.
+
+    ``prepared``: doc_id, title, clauses_json, model_input. ``predictions``:
+    doc_id, predicted (label id, null when the model gave nothing), confidence.
+    A missing prediction downgrades to rule-only with a reason (left join).
+    Stateless per row, so it runs unchanged on a stream.
+    """
+    m = X.parse_clauses("clauses_json")
+    p = prepared.select("doc_id", "title", "model_input", X.present_clauses(m).alias("present"))
+    j = p.join(predictions.select("doc_id", "predicted", "confidence"), "doc_id", "left")
+    n = F.size("present")
+    j = j.select("doc_id", "title", "model_input", "present", n.alias("n_present"),
+                 X.risk_label(n).alias("rule_label"), X.flagged_text("present").alias("flagged"),
+                 X.id_label("predicted").alias("model_label"),
+                 F.when(F.col("predicted").isNotNull(), F.col("confidence")).alias("confidence"))
+    action = F.when(X.is_blank("model_input") | F.col("model_label").isNull(), F.lit("ClassificationSkipped")) \
+        .otherwise(F.lit("Classified"))
+    note = X.classification_note("n_present", "rule_label", "model_input", "model_label", "confidence")
+    return j.withColumn("action", action).withColumn("note", note)
+
+
+def prepared_log_rows(scored: DataFrame, objects: DataFrame, uploader: F.Column | None = None) -> DataFrame:
+    """C1 log rows: Uploaded; Classified or ClassificationSkipped (system, no actor); ReviewRequested."""
+    o = objects.select(F.col("document_id").alias("doc_id"), "recorded_hash")
+    up = uploader if uploader is not None else F.col("doc_id") % 100
+    j = scored.join(o, "doc_id").select(
+        F.col("doc_id").alias("cmd_id"), F.col("doc_id").alias("document_id"), up.alias("uploader"),
+        "recorded_hash", "action", "note")
+    steps = F.array(
+        F.struct(F.lit(1).alias("step"), F.lit("Uploaded").alias("action"), F.col("uploader").cast("bigint").alias("user_id"),
+                 F.concat(F.lit("Version 1 stored. SHA-256 "), X.short_hash("recorded_hash")).alias("notes")),
+        F.struct(F.lit(2).alias("step"), F.col("action").alias("action"), F.lit(None).cast("bigint").alias("user_id"),
+                 X.clip_note("note").alias("notes")),
+        F.struct(F.lit(3).alias("step"), F.lit("ReviewRequested").alias("action"),
+                 F.col("uploader").cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("notes")),
+    )
+    return j.select("document_id", F.inline(steps))

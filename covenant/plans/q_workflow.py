@@ -641,21 +641,13 @@ _SCORED = _PRESENT + [("sc", f"""
     FROM sn""")]
 
 
+def _predictions(spark, sf_dir):
+    p = FX.fx_predictions(spark, sf_dir)
+    return p.select("doc_id", "predicted", ((F.col("doc_id") % 100) / 100.0).alias("confidence"))
+
+
 def _scored(spark, sf_dir):
-    p = _prepared(spark, sf_dir)
-    pred = FX.fx_predictions(spark, sf_dir).select("doc_id", "predicted")
-    j = p.join(pred, "doc_id", "left")
-    n = F.size("present")
-    rule_label = X.risk_label(n)
-    model_label = X.id_label("predicted")
-    conf = F.when(F.col("predicted").isNotNull(), (F.col("doc_id") % 100) / 100.0)
-    j = j.select("doc_id", "title", "model_input", "present", n.alias("n_present"), rule_label.alias("rule_label"),
-                 X.flagged_text("present").alias("flagged"), model_label.alias("model_label"),
-                 conf.alias("confidence"))
-    action = F.when(X.is_blank("model_input") | F.col("model_label").isNull(), F.lit("ClassificationSkipped")) \
-        .otherwise(F.lit("Classified"))
-    note = X.classification_note("n_present", "rule_label", "model_input", "model_label", "confidence")
-    return j.withColumn("action", action).withColumn("note", note)
+    return W.score_prepared(FX.fx_clause_json(spark, sf_dir), _predictions(spark, sf_dir))
 
 
 @register("score_or_skip", with_fx(["fx_clause_json", "fx_predictions"], """
@@ -684,19 +676,7 @@ def classification_note(spark, sf_dir):
         FROM nt JOIN fx_objects o ON nt.doc_id = o.document_id)""", _SCORED))
 def submit_prepared(spark, sf_dir):
     """Per prepared contract: Uploaded; Classified or ClassificationSkipped (system); ReviewRequested."""
-    s = _scored(spark, sf_dir)
-    o = FX.fx_objects(spark, sf_dir).select(F.col("document_id").alias("doc_id"), "recorded_hash")
-    j = s.join(o, "doc_id").withColumn("cmd_id", F.col("doc_id")).withColumn("document_id", F.col("doc_id")) \
-        .withColumn("uploader", F.col("doc_id") % 100)
-    rows = W.command_log_rows(j, [
-        ("Uploaded", F.col("uploader"), F.concat(F.lit("Version 1 stored. SHA-256 "), X.short_hash("recorded_hash"))),
-        ("__classify__", F.lit(None), X.clip_note("note")),
-        ("ReviewRequested", F.col("uploader"), F.lit(None)),
-    ])
-    act = j.select("cmd_id", F.col("action").alias("_act"))
-    rows = rows.join(act, "cmd_id").withColumn("action", F.when(F.col("action") == "__classify__", F.col("_act"))
-                                                .otherwise(F.col("action")))
-    return rows.select("document_id", "step", "action", "user_id", "notes")
+    return W.prepared_log_rows(_scored(spark, sf_dir), FX.fx_objects(spark, sf_dir))
 
 
 # ---- data rules: P13, J10, A19 ------------------------------------------------
