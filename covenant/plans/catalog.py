@@ -40,3 +40,4 @@ def contract_risk(spark, sf_dir):
 
 # Importing the query modules registers their keys.
 from covenant.plans import q_metrics, q_ml, q_risk, q_split, q_stream, q_workflow  # noqa: E402,F401
+from covenant.plans import q_sources  # noqa: E402,F401

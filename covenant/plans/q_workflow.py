@@ -590,6 +590,18 @@ def clause_lookup(spark, sf_dir):
                     F.array_join(F.transform("present", lambda e: e.getField("text")), " | ").alias("snippets"))
 
 
+@register("clauses_json", with_fx(["fx_clause_json"], """
+    SELECT doc_id,
+           CASE WHEN len(names) = 0 THEN '{}'
+                ELSE CAST(to_json(map_from_entries(list_transform(list_zip(names, texts),
+                                                                  lambda e: {'k': e[1], 'v': e[2]}))) AS VARCHAR)
+           END AS clauses_json
+    FROM pr""", _PRESENT))
+def clauses_json(spark, sf_dir):
+    """present clauses re-serialised as a JSON object in the fixed clause order."""
+    return _prepared(spark, sf_dir).select("doc_id", X.clauses_json("present").alias("clauses_json"))
+
+
 @register("clause_count", with_fx(["fx_clause_json"], """
     SELECT doc_id, CAST(len(names) AS INTEGER) AS clause_count FROM pr""", _PRESENT))
 def clause_count(spark, sf_dir):
