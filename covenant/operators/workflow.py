@@ -519,3 +519,156 @@ def prepared_log_rows(scored: DataFrame, objects: DataFrame, uploader: F.Column
                  F.col("uploader").cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("notes")),
     )
     return j.select("document_id", F.inline(steps))
+
+
+# ---- sequential command replay (C3–C7 in request order) ----------------------
+#
+# State per document: (status, stored bytes match the recorded hash), encoded
+# s = status_index * 2 + hash_ok, ten states. Each command is a function on
+# the ten states (its guards on actor, owner, note and role are fixed per
+# command), so commands are folded in (document, hour) chunks in parallel and
+# the chunk functions composed in request order, exactly as the lifecycle
+# replay. Alongside the state, each chunk function carries the number of
+# accepted resubmissions (version increments) and the hash of the last one.
+
+_UR, _RR, _LK = STATUS_NAMES.index("UnderReview"), STATUS_NAMES.index("RevisionRequested"), \
+    STATUS_NAMES.index("Locked")
+
+
+def _cmd_reason(s, x) -> F.Column:
+    st = F.shiftright(s, 1)
+    h = s.bitwiseAND(F.lit(1))
+    c = x.getField("command")
+    own, note, viewer = x.getField("owner"), x.getField("note_ok"), x.getField("viewer")
+    return (F.when(c == "resubmit", F.when(~own, F.lit("not_owner")).when(st != _RR, F.lit("bad_state")))
+            .when(c == "request_revision", F.when(~note, F.lit("no_note")).when(own, F.lit("self"))
+                  .when(st != _UR, F.lit("illegal_move")))
+            .when(c == "approve", F.when(own, F.lit("self")).when(st != _UR, F.lit("illegal_move"))
+                  .when(h == 0, F.lit("hash")))
+            .when(c == "verify", F.when(~viewer, F.lit("not_viewer")))
+            .when(c == "view", F.when(st != _UR, F.lit("not_reviewable"))))
+
+
+def _cmd_next(s, x) -> F.Column:
+    ok = _cmd_reason(s, x).isNull()
+    c = x.getField("command")
+    h = s.bitwiseAND(F.lit(1))
+    return (F.when(ok & (c == "resubmit"), F.lit(_UR * 2 + 1))
+            .when(ok & (c == "request_revision"), F.lit(_RR * 2) + h)
+            .when(ok & (c == "approve"), F.lit(_LK * 2) + h)
+            .otherwise(s))
+
+
+def _cmd_apply(e, x) -> F.Column:
+    """One command on one (s, r, h) triple."""
+    s = e.getField("s")
+    res = (x.getField("command") == "resubmit") & _cmd_reason(s, x).isNull()
+    return F.struct(_cmd_next(s, x).alias("s"), (e.getField("r") + F.when(res, 1).otherwise(0)).alias("r"),
+                    F.when(res, x.getField("new_hash")).otherwise(e.getField("h")).alias("h"))
+
+
+def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users: DataFrame,
+                   bucket: F.Column | None = None) -> DataFrame:
+    """C3–C7 replayed per document in (ts, cmd_id) order against the evolving state.
+
+    One row per command: accepted, reason code, status before/after, version
+    and current hash before. Documents start from ``docs`` (status, version)
+    and ``objects`` (whether the stored bytes match, current hash).
+    """
+    d = docs.select("document_id", "status", "uploaded_by", "version_number", "file_name")
+    chk = integrity_check(objects).select("document_id", "expected", "actual", "matches")
+    u = users.select(F.col("user_id").alias("actor_id"), "role")
+    c = (cmds.join(d, "document_id", "inner").join(chk, "document_id", "inner").join(u, "actor_id", "left")
+         .select("cmd_id", "document_id", "actor_id", "command", "notes", "ts",
+                 (F.col("actor_id") == F.col("uploaded_by")).alias("owner"),
+                 (~X.is_blank("notes")).alias("note_ok"),
+                 F.coalesce((F.col("role") == "ReviewerCompliance") | (F.col("actor_id") == F.col("uploaded_by")),
+                            F.lit(False)).alias("viewer"),
+                 F.sha2(F.coalesce(F.col("notes"), F.lit("")), 256).alias("new_hash")))
+    bucket = bucket if bucket is not None else F.date_trunc("hour", F.col("ts"))
+    init_fn = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
+                        for i in range(2 * len(STATUS_NAMES))])
+    chunks = (c.withColumn("_bk", bucket).groupBy("document_id", "_bk")
+              .agg(F.array_sort(F.collect_list(F.struct("ts", "cmd_id", "command", "owner", "note_ok", "viewer",
+                                                        "new_hash"))).alias("cs")))
+    chunks = chunks.withColumn("fn", F.aggregate("cs", init_fn, lambda acc, x: F.transform(acc, lambda e: _cmd_apply(e, x))))
+    w = Window.partitionBy("document_id").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    start = d.join(chk, "document_id").select(
+        "document_id", (_sid(F.col("status")) * 2 + F.col("matches").cast("int")).alias("s0"))
+    chunks = chunks.withColumn("_prev", F.collect_list("fn").over(w)).join(start, "document_id")
+    enter0 = F.struct(F.col("s0").alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
+    chunks = chunks.withColumn("enter", F.aggregate(
+        "_prev", enter0,
+        lambda e, fn: F.struct(F.element_at(fn, e.getField("s") + 1).getField("s").alias("s"),
+                               (e.getField("r") + F.element_at(fn, e.getField("s") + 1).getField("r")).alias("r"),
+                               F.coalesce(F.element_at(fn, e.getField("s") + 1).getField("h"), e.getField("h")).alias("h"))))
+    out_t = "array<struct<cmd_id:bigint,s:int,r:int,h:string,reason:string,s_after:int>>"
+    init = F.struct(F.col("enter").alias("e"), F.array().cast(out_t).alias("out"))
+
+    def fold(acc, x):
+        e = acc.getField("e")
+        nxt = _cmd_apply(e, x)
+        rec = F.struct(x.getField("cmd_id").cast("bigint").alias("cmd_id"), e.getField("s").alias("s"),
+                       e.getField("r").alias("r"), e.getField("h").alias("h"),
+                       _cmd_reason(e.getField("s"), x).alias("reason"), nxt.getField("s").alias("s_after"))
+        return F.struct(nxt.alias("e"), F.concat(acc.getField("out"), F.array(rec)).alias("out"))
+
+    res = chunks.select("document_id", F.inline(F.aggregate("cs", init, fold).getField("out")))
+    base = c.select("cmd_id", "document_id", "actor_id", "command", "notes", "new_hash")
+    meta = d.join(chk, "document_id").select("document_id", "version_number", "file_name", "expected", "actual")
+    j = res.join(base, ["cmd_id", "document_id"]).join(meta, "document_id")
+    return j.select(
+        "cmd_id", "document_id", "actor_id", "command", "notes", "new_hash", "reason",
+        F.col("reason").isNull().alias("accepted"),
+        _sname(F.shiftright("s", 1)).alias("status_before"),
+        _sname(F.shiftright("s_after", 1)).alias("status_after"),
+        (F.col("version_number") + F.col("r")).alias("version_before"),
+        F.coalesce("h", "actual").alias("hash_before"),
+        F.coalesce("h", "expected").alias("recorded_before"),
+        "file_name")
+
+
+def command_reason_text(replay: DataFrame) -> F.Column:
+    """Reason code -> the reference's message."""
+    key = F.concat(F.lit("doc-"), F.col("document_id").cast("string"), F.lit("/v"),
+                   F.col("version_before").cast("string"), F.lit("/"), X.sanitize_name("file_name"))
+    target = F.when(F.col("command") == "approve", F.lit("Approved")).otherwise(F.lit("RevisionRequested"))
+    r = F.col("reason")
+    return (F.when(r == "not_owner", F.lit(S.MSG_NOT_OWNER))
+            .when(r == "bad_state", F.lit(S.MSG_RESUBMIT_STATE))
+            .when(r == "no_note", F.lit(S.MSG_REVISION_NOTE))
+            .when(r == "self", F.lit(S.MSG_SELF_REVIEW))
+            .when(r == "illegal_move", move_message(F.col("status_before"), target))
+            .when((r == "hash") & (F.col("hash_before") == MISSING), F.concat(F.lit("Could not read "), key))
+            .when(r == "hash", F.lit(S.MSG_HASH_MISMATCH))
+            .when(r == "not_viewer", F.lit("Not your document")))
+
+
+def command_log(replay: DataFrame) -> DataFrame:
+    """Log rows emitted by the accepted commands of a replay, in order per command."""
+    ok = replay.where("accepted")
+    v1 = F.col("version_before") + 1
+    stripped = F.when(X.is_blank("notes"), F.lit(None).cast("string")).otherwise(X.strip("notes"))
+    matches = F.col("hash_before") == F.col("recorded_before")
+    verify_note = F.when(matches, F.concat(F.lit("Current file matches recorded SHA-256 "), X.short_hash("hash_before"))) \
+        .otherwise(F.concat(F.lit("Expected "), X.short_hash("recorded_before"), F.lit(" but found "),
+                            X.short_hash("hash_before")))
+    lock_note = F.concat(F.lit("Version "), F.col("version_before").cast("string"),
+                         F.lit(" set read-only in local storage, SHA-256 "), X.short_hash("hash_before"),
+                         F.lit(S.LOCK_NOTE_TAIL))
+    none = F.lit(None).cast("string")
+
+    def row(step, action, notes):
+        return F.struct(F.lit(step).alias("step"), action.alias("action"), X.clip_note(notes).alias("notes"))
+
+    c = F.col("command")
+    rows = (F.when(c == "resubmit", F.array(
+                row(1, F.lit("Resubmitted"), F.concat(F.lit("Version "), v1.cast("string"),
+                                                      F.lit(" stored. SHA-256 "), X.short_hash("new_hash"))),
+                row(2, F.lit("ReviewRequested"), none)))
+            .when(c == "request_revision", F.array(row(1, F.lit("RevisionRequested"), X.strip("notes"))))
+            .when(c == "approve", F.array(row(1, F.lit("Approved"), stripped), row(2, F.lit("Locked"), lock_note)))
+            .when(c == "verify", F.array(row(1, F.when(matches, F.lit("IntegrityVerified"))
+                                             .otherwise(F.lit("IntegrityCheckFailed")), verify_note)))
+            .when(c == "view", F.array(row(1, F.lit("Viewed"), none))))
+    return ok.select("cmd_id", "document_id", F.col("actor_id").alias("user_id"), F.inline(rows))

@@ -708,3 +708,119 @@ def fk_orphans(spark, sf_dir):
 def unique_checks(spark, sf_dir):
     return QY.unique_checks(_docs(spark, sf_dir), FX.fx_versions(spark, sf_dir), FX.fx_audit(spark, sf_dir),
                             _users(spark, sf_dir))
+
+
+# ---- sequential command replay ------------------------------------------------
+
+def _reason_sql(st, hok):
+    return f"""CASE
+        WHEN c.command = 'resubmit' THEN CASE WHEN NOT c.owner THEN 'not_owner'
+                                              WHEN {st} <> 'RevisionRequested' THEN 'bad_state' END
+        WHEN c.command = 'request_revision' THEN CASE WHEN NOT c.note_ok THEN 'no_note' WHEN c.owner THEN 'self'
+                                                      WHEN {st} <> 'UnderReview' THEN 'illegal_move' END
+        WHEN c.command = 'approve' THEN CASE WHEN c.owner THEN 'self' WHEN {st} <> 'UnderReview' THEN 'illegal_move'
+                                             WHEN NOT {hok} THEN 'hash' END
+        WHEN c.command = 'verify' THEN CASE WHEN NOT c.viewer THEN 'not_viewer' END
+        WHEN c.command = 'view' THEN CASE WHEN {st} <> 'UnderReview' THEN 'not_reviewable' END
+    END"""
+
+
+_REPLAY = _INTEGRITY + [
+    ("c", f"""
+    SELECT x.cmd_id, x.document_id, x.actor_id, x.command, x.notes, x.ts,
+           x.actor_id = d.uploaded_by AS owner, NOT {blank_sql('x.notes')} AS note_ok,
+           coalesce(u.role = 'ReviewerCompliance' OR x.actor_id = d.uploaded_by, false) AS viewer,
+           sha256(coalesce(x.notes, '')) AS new_hash,
+           row_number() OVER (PARTITION BY x.document_id ORDER BY x.ts, x.cmd_id) AS i
+    FROM fx_commands x JOIN fx_documents d ON x.document_id = d.document_id
+    JOIN ic ON x.document_id = ic.document_id LEFT JOIN fx_users u ON x.actor_id = u.user_id"""),
+    ("rp", f"""
+    SELECT d.document_id, CAST(0 AS BIGINT) AS i, d.status AS st, ic.matches AS hok, 0 AS nres,
+           CAST(NULL AS VARCHAR) AS h, CAST(NULL AS BIGINT) AS cid, CAST(NULL AS VARCHAR) AS reason,
+           CAST(NULL AS VARCHAR) AS st_before, CAST(NULL AS INTEGER) AS nres_before, CAST(NULL AS VARCHAR) AS h_before
+    FROM fx_documents d JOIN ic ON d.document_id = ic.document_id
+    WHERE d.document_id IN (SELECT document_id FROM c)
+    UNION ALL
+    SELECT document_id, i,
+           CASE WHEN reason IS NULL AND command = 'resubmit' THEN 'UnderReview'
+                WHEN reason IS NULL AND command = 'request_revision' THEN 'RevisionRequested'
+                WHEN reason IS NULL AND command = 'approve' THEN 'Locked' ELSE st END,
+           CASE WHEN reason IS NULL AND command = 'resubmit' THEN true ELSE hok END,
+           nres + CASE WHEN reason IS NULL AND command = 'resubmit' THEN 1 ELSE 0 END,
+           CASE WHEN reason IS NULL AND command = 'resubmit' THEN new_hash ELSE h END,
+           cmd_id, reason, st, nres, h
+    FROM (SELECT r.document_id, c.i, r.st, r.hok, r.nres, r.h, c.cmd_id, c.command, c.new_hash,
+                 {_reason_sql('r.st', 'r.hok')} AS reason
+          FROM rp r JOIN c ON c.document_id = r.document_id AND c.i = r.i + 1)"""),
+    ("rx", """
+    SELECT c.cmd_id, c.document_id, c.actor_id, c.command, c.notes, c.new_hash, rp.reason, rp.reason IS NULL AS accepted,
+           rp.st_before AS status_before, rp.st AS status_after,
+           CAST(d.version_number + rp.nres_before AS INTEGER) AS version_before,
+           coalesce(rp.h_before, ic.actual) AS hash_before, coalesce(rp.h_before, ic.expected) AS recorded_before
+    FROM rp JOIN c ON rp.cid = c.cmd_id JOIN fx_documents d ON c.document_id = d.document_id
+    JOIN ic ON c.document_id = ic.document_id""")]
+
+
+def _replay(spark, sf_dir):
+    return W.command_replay(_cmds(spark, sf_dir), _docs(spark, sf_dir), FX.fx_objects(spark, sf_dir),
+                            _users(spark, sf_dir))
+
+
+@register("command_replay", _rec(with_fx(["fx_commands", "fx_documents", "fx_objects", "fx_users"], """
+    SELECT cmd_id, document_id, command, accepted, reason, status_before, status_after, version_before FROM rx""",
+                                         _REPLAY)))
+def command_replay(spark, sf_dir):
+    r = _replay(spark, sf_dir)
+    return r.select("cmd_id", "document_id", "command", "accepted", "reason", "status_before", "status_after",
+                    "version_before")
+
+
+_CLIP = "CASE WHEN length({0}) > 500 THEN substr({0}, 1, 497) || '...' ELSE {0} END"
+
+
+@register("command_log", _rec(with_fx(["fx_commands", "fx_documents", "fx_objects", "fx_users"], f"""
+    SELECT cmd_id, document_id, actor_id AS user_id, step, action, {_CLIP.format('notes')} AS notes FROM (
+        SELECT cmd_id, document_id, actor_id, 1 AS step, 'Resubmitted' AS action,
+               'Version ' || CAST(version_before + 1 AS VARCHAR) || ' stored. SHA-256 ' || {short_hash_sql('new_hash')}
+                   AS notes FROM rx WHERE accepted AND command = 'resubmit'
+        UNION ALL SELECT cmd_id, document_id, actor_id, 2, 'ReviewRequested', NULL
+            FROM rx WHERE accepted AND command = 'resubmit'
+        UNION ALL SELECT cmd_id, document_id, actor_id, 1, 'RevisionRequested', {strip_sql('notes')}
+            FROM rx WHERE accepted AND command = 'request_revision'
+        UNION ALL SELECT cmd_id, document_id, actor_id, 1, 'Approved',
+                         CASE WHEN {blank_sql('notes')} THEN NULL ELSE {strip_sql('notes')} END
+            FROM rx WHERE accepted AND command = 'approve'
+        UNION ALL SELECT cmd_id, document_id, actor_id, 2, 'Locked',
+                         'Version ' || CAST(version_before AS VARCHAR) || ' set read-only in local storage, SHA-256 '
+                         || {short_hash_sql('hash_before')} || {q(S.LOCK_NOTE_TAIL)}
+            FROM rx WHERE accepted AND command = 'approve'
+        UNION ALL SELECT cmd_id, document_id, actor_id, 1,
+                         CASE WHEN hash_before = recorded_before THEN 'IntegrityVerified' ELSE 'IntegrityCheckFailed' END,
+                         CASE WHEN hash_before = recorded_before
+                              THEN 'Current file matches recorded SHA-256 ' || {short_hash_sql('hash_before')}
+                              ELSE 'Expected ' || {short_hash_sql('recorded_before')} || ' but found '
+                                   || {short_hash_sql('hash_before')} END
+            FROM rx WHERE accepted AND command = 'verify'
+        UNION ALL SELECT cmd_id, document_id, actor_id, 1, 'Viewed', NULL
+            FROM rx WHERE accepted AND command = 'view')""", _REPLAY)))
+def command_log(spark, sf_dir):
+    return W.command_log(_replay(spark, sf_dir)).select("cmd_id", "document_id", "user_id", "step", "action", "notes")
+
+
+@register("command_rejects", _rec(with_fx(["fx_commands", "fx_documents", "fx_objects", "fx_users"], f"""
+    SELECT cmd_id, document_id, command, CASE reason
+        WHEN 'not_owner' THEN {q(S.MSG_NOT_OWNER)} WHEN 'bad_state' THEN {q(S.MSG_RESUBMIT_STATE)}
+        WHEN 'no_note' THEN {q(S.MSG_REVISION_NOTE)} WHEN 'self' THEN {q(S.MSG_SELF_REVIEW)}
+        WHEN 'illegal_move' THEN {_move_msg_sql('status_before',
+                                                "CASE WHEN command = 'approve' THEN 'Approved' ELSE 'RevisionRequested' END")}
+        WHEN 'hash' THEN CASE WHEN hash_before = 'file missing'
+                              THEN 'Could not read doc-' || CAST(document_id AS VARCHAR) || '/v'
+                                   || CAST(version_before AS VARCHAR) || '/' || fn
+                              ELSE {q(S.MSG_HASH_MISMATCH)} END
+        WHEN 'not_viewer' THEN 'Not your document' END AS message
+    FROM (SELECT rx.*, d.file_name AS fn FROM rx JOIN fx_documents d ON rx.document_id = d.document_id)
+    WHERE NOT accepted AND reason <> 'not_reviewable'""", _REPLAY)))
+def command_rejects(spark, sf_dir):
+    r = _replay(spark, sf_dir)
+    rej = r.where(~F.col("accepted") & (F.col("reason") != "not_reviewable"))
+    return rej.select("cmd_id", "document_id", "command", W.command_reason_text(rej).alias("message"))
