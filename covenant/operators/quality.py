@@ -94,7 +94,7 @@ def unique_checks(docs: DataFrame, versions: DataFrame, log: DataFrame, users: D
 
 
 def _nn(rule, cond, table):
-    return f"SELECT '{rule}' AS rule, count_if({cond}) AS n_violations FROM {table}"
+    return f"SELECT '{rule}' AS rule, CAST(count_if({cond}) AS BIGINT) AS n_violations FROM {table}"
 
 
 DOMAIN_SQL = "\nUNION ALL\n".join([

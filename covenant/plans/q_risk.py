@@ -77,7 +77,7 @@ def score_join_text(spark, sf_dir):
 
 
 @register("first_context", with_fx(["fx_qa"], """
-    SELECT title, md5(arg_min(context, row_ord)) AS context_md5, length(arg_min(context, row_ord)) AS context_len
+    SELECT title, md5(arg_min(context, row_ord)) AS context_md5, CAST(length(arg_min(context, row_ord)) AS INTEGER) AS context_len
     FROM fx_qa WHERE title IS NOT NULL AND context IS NOT NULL GROUP BY title"""))
 def first_context(spark, sf_dir):
     c = R.first_context(_qa(spark, sf_dir, context=True))
@@ -141,7 +141,7 @@ def describe_tokens(spark, sf_dir):
 
 
 @register("over_budget_count", with_fx(["fx_risk"], f"""
-    SELECT count_if({_TOKENS_SQL} > {S.MAX_TOKENS}) AS n_over_budget, count(*) AS n_contracts FROM fx_risk"""))
+    SELECT CAST(count_if({_TOKENS_SQL} > {S.MAX_TOKENS}) AS BIGINT) AS n_over_budget, count(*) AS n_contracts FROM fx_risk"""))
 def over_budget_count(spark, sf_dir):
     return R.over_budget_count(R.contract_risk(_qa(spark, sf_dir)))
 
@@ -177,7 +177,7 @@ def label_id(spark, sf_dir):
 
 
 @register("text_length", """
-    SELECT doc_id, length(text) AS n_chars, n_chars AS n_chars_recorded FROM documents""")
+    SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, n_chars AS n_chars_recorded FROM documents""")
 def text_length(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", X.text_length("text").alias("n_chars"), F.col("n_chars").alias("n_chars_recorded"))

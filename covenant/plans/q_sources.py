@@ -50,7 +50,7 @@ def profile_dataset(spark, sf_dir):
 
 
 @register("page_text_join", with_fx(["fx_pages"], """
-    SELECT document, count(*) AS n_pages, length(t) AS text_len, left(t, 2000) AS head, md5(t) AS text_md5
+    SELECT document, count(*) AS n_pages, CAST(length(t) AS INTEGER) AS text_len, left(t, 2000) AS head, md5(t) AS text_md5
     FROM (SELECT document, string_agg(coalesce(text, ''), chr(10) ORDER BY page) OVER (PARTITION BY document) AS t
           FROM fx_pages)
     GROUP BY document, t"""))
@@ -110,7 +110,7 @@ def contracts_by_title(spark, sf_dir):
 
 
 @register("read_contract_text", with_fx(["fx_risk", "fx_first_answers", "fx_qa"], """
-    SELECT title AS safe_id, length(context) AS n_chars, md5(context) AS text_md5 FROM ex WHERE k % 3 <> 0""",
+    SELECT title AS safe_id, CAST(length(context) AS INTEGER) AS n_chars, md5(context) AS text_md5 FROM ex WHERE k % 3 <> 0""",
                                         _EXPORTED))
 def read_contract_text(spark, sf_dir):
     t = FS.read_contract_text(spark, f"{_export(spark, sf_dir)}/texts")

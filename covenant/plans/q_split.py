@@ -78,7 +78,7 @@ def split_gate(spark, sf_dir):
 
 
 @register("split_disjoint", with_fx(["fx_risk"], """
-    SELECT count_if(split = 'train') AS n_train, count_if(split = 'test') AS n_test,
+    SELECT CAST(count_if(split = 'train') AS BIGINT) AS n_train, CAST(count_if(split = 'test') AS BIGINT) AS n_test,
            (SELECT count(*) FROM (SELECT title FROM split_all WHERE split = 'train'
                                   INTERSECT SELECT title FROM split_all WHERE split = 'test')) AS n_overlap,
            (SELECT count(*) FROM (SELECT title FROM fx_risk EXCEPT ALL SELECT title FROM split_all)) AS n_missing

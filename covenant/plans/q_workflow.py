@@ -98,8 +98,9 @@ def status_counts(spark, sf_dir):
 
 
 @register("owner_dashboard", with_fx(["fx_documents"], """
-    SELECT uploaded_by, count_if(status = 'RevisionRequested') AS needs_revision,
-           count_if(status = 'UnderReview') AS in_review, count_if(status = 'Locked') AS locked, count(*) AS total
+    SELECT uploaded_by, CAST(count_if(status = 'RevisionRequested') AS BIGINT) AS needs_revision,
+           CAST(count_if(status = 'UnderReview') AS BIGINT) AS in_review,
+           CAST(count_if(status = 'Locked') AS BIGINT) AS locked, count(*) AS total
     FROM fx_documents GROUP BY uploaded_by"""))
 def owner_dashboard(spark, sf_dir):
     return W.owner_dashboard(_docs(spark, sf_dir))
@@ -336,7 +337,7 @@ def sanitize_name(spark, sf_dir):
 
 
 @register("clip_note", f"""
-    SELECT page_id, length(n) AS note_len, md5(n) AS note_md5
+    SELECT page_id, CAST(length(n) AS INTEGER) AS note_len, md5(n) AS note_md5
     FROM (SELECT page_id, CASE WHEN length(html) > {S.NOTE_LIMIT} THEN substr(html, 1, {S.NOTE_LIMIT - 3}) || '...'
                                ELSE html END AS n FROM pages)""")
 def clip_note(spark, sf_dir):
@@ -345,7 +346,7 @@ def clip_note(spark, sf_dir):
 
 
 @register("text_preview", with_fx(["fx_documents"], f"""
-    SELECT document_id, p IS NOT NULL AS has_preview, length(p) AS preview_len, md5(p) AS preview_md5
+    SELECT document_id, p IS NOT NULL AS has_preview, CAST(length(p) AS INTEGER) AS preview_len, md5(p) AS preview_md5
     FROM (SELECT d.document_id,
                  CASE WHEN lower(d.file_name) LIKE '%.txt' THEN
                       CASE WHEN length(t.text) > {S.PREVIEW_LIMIT}
