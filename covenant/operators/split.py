@@ -162,22 +162,34 @@ def safe_ids(df: DataFrame, title: str, order: str) -> DataFrame:
     return b.withColumn("id_conflict", dup > 1).drop("_base", "_rn")
 
 
-def picked_rows(qa_flags: DataFrame, picked: DataFrame) -> DataFrame:
-    """All QA rows of the sampled contracts; one semi join.
+def of_picked(df: DataFrame, picked: DataFrame) -> DataFrame:
+    """Rows whose title is in the (small) sample, as an IN-subquery.
 
-    The sample holds at most per_class x labels rows, so it is broadcast.
+    Catalyst pushes the predicate through projections and the explode down
+    to the scan before turning it into a broadcast semi join, so only the
+    sampled documents are exploded.
     """
-    return qa_flags.join(F.broadcast(picked.select("title")), "title", "left_semi")
+    return df.where(F.col("title").isin(picked.select("title")))
+
+
+def picked_rows(qa_flags: DataFrame, picked: DataFrame) -> DataFrame:
+    """All QA rows of the sampled contracts; one semi join, pushed to the scan."""
+    return of_picked(qa_flags, picked)
 
 
-def export_records(picked: DataFrame, first_risk_answers: DataFrame, contexts: DataFrame) -> DataFrame:
-    """One export record per sampled contract (ids, score, label, clauses in fixed order, text)."""
+def export_records(picked: DataFrame, qa: DataFrame) -> DataFrame:
+    """One export record per sampled contract (score, label, clauses in fixed order, text).
+
+    The QA rows are restricted to the sample first, so first answers and
+    contexts are computed for the sampled contracts only.
+    """
+    from covenant.operators.risk import first_answers, first_context
+
+    sub = of_picked(qa, picked)
     order = F.array_position(F.array(*[F.lit(c) for c in S.RISK_CLAUSES]), F.col("clause"))
-    cl = (first_risk_answers.join(F.broadcast(picked.select("title")), "title", "left_semi")
-          .groupBy("title")
+    cl = (first_answers(sub, risk_only=True).groupBy("title")
           .agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "clause", "snippet"))).alias("cl")))
-    rec = picked.join(cl, "title", "left").join(contexts.join(F.broadcast(picked.select("title")), "title",
-                                                              "left_semi"), "title", "left")
+    rec = picked.join(cl, "title", "left").join(first_context(sub), "title", "left")
     clauses = F.coalesce(F.col("cl"), F.array().cast("array<struct<o:int,clause:string,snippet:string>>"))
     return rec.select(
         "title", "split", "risk_score", "risk_label",

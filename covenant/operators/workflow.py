@@ -182,13 +182,20 @@ def assign_versions(versions: DataFrame, order: list | None = None) -> DataFrame
     return exact_rank(versions, "document_id", order, F.to_date(F.col(order[0])), "version_number")
 
 
-def current_version(versioned: DataFrame) -> DataFrame:
-    """The newest version's key, hash and name per document (partial aggregate)."""
-    v = versioned.withColumn("storage_key", X.storage_key("document_id", "version_number", "file_name"))
-    return v.groupBy("document_id").agg(
-        F.max("version_number").alias("version_number"),
-        F.max_by(F.struct("storage_key", "content_hash", "file_name"), "version_number").alias("cur")) \
-        .select("document_id", "version_number", "cur.storage_key", "cur.content_hash", "cur.file_name")
+def current_version(versions: DataFrame, order: list | None = None) -> DataFrame:
+    """Per document the newest submission's key, hash and name.
+
+    The newest version number is the number of submissions, and the newest
+    row is the max by the ordering columns, so this is one partial/final
+    aggregate (map-side combine) and needs no ranking of all versions.
+    """
+    order = order or VERSION_ORDER
+    g = versions.groupBy("document_id").agg(
+        F.count(F.lit(1)).cast("int").alias("version_number"),
+        F.max_by(F.struct("content_hash", "file_name"), F.struct(*order)).alias("cur"))
+    return g.select("document_id", "version_number",
+                    X.storage_key("document_id", "version_number", "cur.file_name").alias("storage_key"),
+                    "cur.content_hash", "cur.file_name")
 
 
 def version_history(versioned: DataFrame) -> DataFrame:

@@ -61,9 +61,7 @@ def page_text_join(spark, sf_dir):
 # ---- export, snippets, listing, texts -----------------------------------------
 
 def _export(spark, sf_dir) -> str:
-    qa = _qa(spark, sf_dir, context=True)
-    picked = _picked(spark, sf_dir)
-    rec = SP.export_records(picked, R.first_answers(qa, risk_only=True), R.first_context(qa))
+    rec = SP.export_records(_picked(spark, sf_dir), _qa(spark, sf_dir, context=True))
     rec = SP.safe_ids(rec, "title", "title")
     base = run_dir(spark, "export")
     k = F.col("title").cast("long")

@@ -152,8 +152,7 @@ def safe_ids(spark, sf_dir):
     LEFT JOIN (SELECT title, arg_min(context, row_ord) AS context FROM fx_qa GROUP BY title) x ON p.title = x.title
     GROUP BY p.title, p.split, p.risk_score, p.risk_label, p.risk_text""", _CTES_SAMPLE))
 def export_demo(spark, sf_dir):
-    qa = _qa(spark, sf_dir, context=True)
-    rec = SP.export_records(_picked(spark, sf_dir), R.first_answers(qa, risk_only=True), R.first_context(qa))
+    rec = SP.export_records(_picked(spark, sf_dir), _qa(spark, sf_dir, context=True))
     return rec.select("title", "split", "risk_score", "risk_label",
                       F.array_join(F.map_keys("clauses"), ", ").alias("flagged"),
                       F.array_join(F.map_values("clauses"), " | ").alias("snippets"),

@@ -11,6 +11,8 @@ from covenant.operators import workflow as W
 from covenant.plans.catalog import register
 from covenant.plans.sqlparts import (blank_sql, case_sql, label_sql, q, short_hash_sql, str_list, strip_sql,
                                      with_fx)
+from covenant.operators import risk as R
+from covenant.session import materialize
 from covenant.sources import fixtures as FX
 from covenant.sources.tables import table
 
@@ -192,7 +194,7 @@ def assign_versions(spark, sf_dir):
            arg_max(content_hash, version_number) AS content_hash, arg_max(file_name, version_number) AS file_name
     FROM vv GROUP BY document_id""", _VERSIONED))
 def current_version(spark, sf_dir):
-    return W.current_version(_versioned(spark, sf_dir))
+    return W.current_version(FX.fx_versions(spark, sf_dir))
 
 
 @register("version_history", with_fx(["fx_versions"], """
@@ -654,13 +656,16 @@ _SCORED = _PRESENT + [("sc", f"""
     FROM sn""")]
 
 
-def _predictions(spark, sf_dir):
-    p = FX.fx_predictions(spark, sf_dir)
+def _predictions(spark, sf_dir, risk=None):
+    p = FX.fx_predictions(spark, sf_dir, risk)
     return p.select("doc_id", "predicted", ((F.col("doc_id") % 100) / 100.0).alias("confidence"))
 
 
 def _scored(spark, sf_dir):
-    return W.score_prepared(FX.fx_clause_json(spark, sf_dir), _predictions(spark, sf_dir))
+    # The per-contract risk rows feed both the prepared files and the
+    # predictions: computed once (checkpoint) instead of twice.
+    risk = materialize(R.contract_risk(FX.fx_qa(spark, sf_dir, with_context=False)))
+    return W.score_prepared(FX.fx_clause_json(spark, sf_dir, risk), _predictions(spark, sf_dir, risk))
 
 
 @register("score_or_skip", with_fx(["fx_clause_json", "fx_predictions"], """

@@ -175,7 +175,7 @@ def fx_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_clause_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_clause_json(spark: SparkSession, sf_dir: str, risk: DataFrame | None = None) -> DataFrame:
     """Per contract: JSON map clause -> first 20 words of its first answered row.
 
     Broken (cut to 5 chars) when doc_id % 50 = 0, blank when doc_id % 50 = 1.
@@ -187,7 +187,7 @@ def fx_clause_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = first_answers(qa)  # title, clause, snippet (first answered row per clause)
     per = first.groupBy("title").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("clause", "snippet")))).alias("m"))
-    risk = contract_risk(qa).select("title", F.col("risk_text").alias("model_input"))
+    risk = (risk if risk is not None else contract_risk(qa)).select("title", F.col("risk_text").alias("model_input"))
     j = risk.join(per, "title", "left")
     k = F.col("title").cast("long")
     js = F.coalesce(F.to_json(F.col("m")), F.lit("{}"))
@@ -208,11 +208,11 @@ def fx_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_predictions(spark: SparkSession, sf_dir: str, risk: DataFrame | None = None) -> DataFrame:
     """Actual vs predicted label ids per contract; null prediction when doc_id % 29 = 0."""
     from covenant.operators.risk import contract_risk
 
-    r = contract_risk(fx_qa(spark, sf_dir, with_context=False))
+    r = risk if risk is not None else contract_risk(fx_qa(spark, sf_dir, with_context=False))
     k = F.col("title").cast("long")
     actual = X.label_id(F.col("risk_label"))
     pred = (F.when(k % 29 == 0, F.lit(None).cast("int"))
