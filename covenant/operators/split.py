@@ -38,7 +38,11 @@ def smallest_per_group(df: DataFrame, group: str, key: str, tie: str, quotas: Da
     b = df.withColumn("_b", F.substring(F.col(key), 1, BUCKET_HEX))
     hist = b.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_n").over(w)).join(quotas, group)
+    total = Window.partitionBy(group)
+    # A quota above the group size takes the whole group.
+    hist = (hist.withColumn("_cum", F.sum("_n").over(w)).withColumn("_tot", F.sum("_n").over(total))
+            .join(quotas, group)
+            .withColumn("quota", F.least(F.col("quota").cast("long"), F.col("_tot"))))
     boundary = hist.where((F.col("_cum") - F.col("_n") < F.col("quota")) & (F.col("_cum") >= F.col("quota"))) \
         .select(group, F.col("_b").alias("_bb"), (F.col("quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
     # One row per group: bounded by the number of groups.

@@ -59,3 +59,17 @@ def test_top_k_is_take_ordered(spark):
     p = _plan(log.orderBy("action_ts").limit(300))
     assert "TakeOrderedAndProject" in p
     _ = W
+
+
+def test_sample_filter_reaches_below_explode(spark):
+    from pyspark.sql import functions as F
+    from covenant.operators import split as SP
+    from covenant.sources import fixtures as FX
+    qa = FX.fx_qa(spark, SF_SMALL, with_context=True)
+    picked = spark.range(3).select(F.col("id").cast("string").alias("title"))
+    lines = _plan(SP.export_records(picked.withColumn("split", F.lit("test")).withColumn("risk_score", F.lit(0))
+                                    .withColumn("risk_label", F.lit("Low")).withColumn("risk_text", F.lit("")),
+                                    qa)).split("\n")
+    gen = [i for i, l in enumerate(lines) if "Generate posexplode" in l]
+    semi = [i for i, l in enumerate(lines) if "LeftSemi" in l]
+    assert gen and semi and all(any(s > g for s in semi) for g in gen)   # semi join sits under each explode
