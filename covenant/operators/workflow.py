@@ -179,7 +179,8 @@ VERSION_ORDER = ["submitted_at", "l_linenumber", "l_partkey", "l_suppkey", "l_ex
 def assign_versions(versions: DataFrame, order: list | None = None) -> DataFrame:
     """First submission is version 1, each later one +1 (per document, in time order)."""
     order = order or VERSION_ORDER
-    return exact_rank(versions, "document_id", order, F.to_date(F.col(order[0])), "version_number")
+    day = F.date_format(F.col(order[0]).cast("timestamp_ntz"), "yyyy-MM-dd")
+    return exact_rank(versions, "document_id", order, day, "version_number")
 
 
 def current_version(versions: DataFrame, order: list | None = None) -> DataFrame:
@@ -228,6 +229,11 @@ def _step(s, t) -> F.Column:
     return F.when(_legal(s, t), t).otherwise(s)
 
 
+def hour_bucket(col) -> F.Column:
+    """Hour of a wall-clock timestamp as a sortable string; independent of the session time zone."""
+    return F.date_format(F.col(col).cast("timestamp_ntz"), "yyyy-MM-dd HH")
+
+
 def _identity() -> F.Column:
     return F.array(*[F.lit(i) for i in range(len(STATUS_NAMES))])
 
@@ -249,7 +255,7 @@ def lifecycle_steps_per_action(log: DataFrame, bucket: F.Column | None = None) -
     3. inside each chunk a sequential fold from that status labels each move.
     """
     moves = tried_moves(log)
-    bucket = bucket if bucket is not None else F.date_trunc("hour", F.col("action_ts"))
+    bucket = bucket if bucket is not None else hour_bucket("action_ts")
     chunks = (moves.withColumn("_bk", bucket)
               .groupBy("document_id", "_bk")
               .agg(F.array_sort(F.collect_list(F.struct("action_ts", "log_id", "target", "action"))).alias("acts")))
@@ -290,7 +296,7 @@ def lifecycle_fold(log: DataFrame) -> DataFrame:
 
     Every document in the log appears; documents without a legal move stay Draft.
     """
-    moves = tried_moves(log).withColumn("_bk", F.date_trunc("hour", F.col("action_ts")))
+    moves = tried_moves(log).withColumn("_bk", hour_bucket("action_ts"))
     chunks = (moves.groupBy("document_id", "_bk")
               .agg(F.array_sort(F.collect_list(F.struct("action_ts", "log_id", "target"))).alias("acts"),
                    F.count(F.lit(1)).alias("n")))
@@ -592,7 +598,7 @@ def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users:
                  F.coalesce((F.col("role") == "ReviewerCompliance") | (F.col("actor_id") == F.col("uploaded_by")),
                             F.lit(False)).alias("viewer"),
                  F.sha2(F.coalesce(F.col("notes"), F.lit("")), 256).alias("new_hash")))
-    bucket = bucket if bucket is not None else F.date_trunc("hour", F.col("ts"))
+    bucket = bucket if bucket is not None else hour_bucket("ts")
     init_fn = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
                         for i in range(2 * len(STATUS_NAMES))])
     chunks = (c.withColumn("_bk", bucket).groupBy("document_id", "_bk")
