@@ -28,54 +28,71 @@ def seeded_key(seed: int, col: str = "title") -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(col)))
 
 
-def smallest_per_group(df: DataFrame, group: str, key: str, tie: str, quotas: DataFrame,
+def smallest_per_group(df: DataFrame, group: str, key: str, tie: str, quotas,
                        flag: str = "picked") -> DataFrame:
     """Flag, per ``group``, the ``quota`` rows with the smallest (key, tie).
 
-    ``quotas`` has columns (group, quota) with one row per group. Exact; no
-    task ranks more than one histogram bucket of one group.
+    ``quotas`` is a DataFrame (group, quota) with one row per group, or a
+    function from the per-group counts (group, n) to such a DataFrame; the
+    counts then come from the same histogram pass. Exact; no task ranks more
+    than one histogram bucket of one group. ``df`` is scanned more than once:
+    pass a materialised frame.
     """
+    from covenant.session import materialize
+
     b = df.withColumn("_b", F.substring(F.col(key), 1, BUCKET_HEX))
     hist = b.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    if callable(quotas):
+        quotas = quotas(hist.groupBy(group).agg(F.sum("_n").alias("n")))
     w = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = Window.partitionBy(group)
     # A quota above the group size takes the whole group.
     hist = (hist.withColumn("_cum", F.sum("_n").over(w)).withColumn("_tot", F.sum("_n").over(total))
-            .join(quotas, group)
+            .join(quotas.select(group, "quota"), group)
             .withColumn("quota", F.least(F.col("quota").cast("long"), F.col("_tot"))))
     boundary = hist.where((F.col("_cum") - F.col("_n") < F.col("quota")) & (F.col("_cum") >= F.col("quota"))) \
         .select(group, F.col("_b").alias("_bb"), (F.col("quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
-    # One row per group: bounded by the number of groups.
+    # One row per group (bounded by the number of groups): computed once,
+    # then broadcast to both branches below.
+    boundary = materialize(boundary)
     j = b.join(F.broadcast(boundary), group, "left")
-    # Rank inside each (group, bucket): a window partition holds one bucket of
-    # one group, about 1/65536 of that group's rows.
+    # Rows outside the boundary bucket are decided by a narrow broadcast join;
+    # only the boundary bucket (about 1/65536 of a group) is shuffled and ranked.
+    rest = j.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))) \
+        .withColumn(flag, F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
+    at = j.where(F.col("_b") == F.col("_bb"))
     rank = F.row_number().over(Window.partitionBy(group, "_b").orderBy(key, tie))
-    picked = F.coalesce((F.col("_b") < F.col("_bb")) | ((F.col("_b") == F.col("_bb")) & (rank <= F.col("_need"))),
-                        F.lit(False))
-    return j.withColumn(flag, picked).drop("_b", "_bb", "_need")
+    at = at.withColumn(flag, rank <= F.col("_need"))
+    return rest.unionByName(at).drop("_b", "_bb", "_need")
 
 
-def split_quotas(risk: DataFrame, test_fraction: float = 0.2) -> DataFrame:
+def largest_remainder_quotas(counts: DataFrame, test_fraction: float = 0.2, label: str = "risk_label",
+                             n: str = "n") -> DataFrame:
     """Exact test quotas per label: ceil(N*f) test rows shared out by largest remainder.
 
     Integer arithmetic only; remainder ties go to labels in Low, Medium, High
-    order. The input is the per-label count (three rows), so the window is tiny.
+    order. ``counts`` has one row per label, so the windows here are tiny.
     """
     num, den = _fraction(test_fraction)
-    counts = risk.groupBy("risk_label").agg(F.count(F.lit(1)).alias("n_label"))
     total = Window.partitionBy(F.lit(1))
-    c = counts.withColumn("n_all", F.sum("n_label").over(total))
-    n_test = F.expr(f"(n_all * {num} + {den - 1}) div {den}")
-    c = c.withColumn("n_test", n_test)
+    c = counts.select(F.col(label).alias("risk_label"), F.col(n).cast("long").alias("n_label"))
+    c = c.withColumn("n_all", F.sum("n_label").over(total))
+    c = c.withColumn("n_test", F.expr(f"(n_all * {num} + {den - 1}) div {den}"))
     c = c.withColumn("base", F.expr("(n_label * n_test) div n_all"))
     c = c.withColumn("rem", F.col("n_label") * F.col("n_test") - F.col("base") * F.col("n_all"))
     c = c.withColumn("left", F.col("n_test") - F.sum("base").over(total))
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("rem"), X.label_id("risk_label"))
     c = c.withColumn("rk", F.row_number().over(order))
-    return c.select("risk_label", "n_label",
+    return c.select(F.col("risk_label").alias(label), "n_label",
                     (F.col("base") + F.when(F.col("rk") <= F.col("left"), 1).otherwise(0)).alias("quota"))
 
 
+def split_quotas(risk: DataFrame, test_fraction: float = 0.2) -> DataFrame:
+    """W4 quotas from the label counts of ``risk``."""
+    counts = risk.groupBy("risk_label").agg(F.count(F.lit(1)).alias("n"))
+    return largest_remainder_quotas(counts, test_fraction)
+
+
 def _fraction(f: float) -> tuple[int, int]:
     from fractions import Fraction
     fr = Fraction(str(f))
@@ -83,19 +100,23 @@ def _fraction(f: float) -> tuple[int, int]:
 
 
 def stratified_split(risk: DataFrame, test_fraction: float = 0.2, seed: int = S.SPLIT_SEED) -> DataFrame:
-    """Every contract with ``split`` = 'train' or 'test', exact per-label quotas."""
-    quotas = split_quotas(risk, test_fraction).select("risk_label", "quota")
+    """Every contract with ``split`` = 'train' or 'test', exact per-label quotas.
+
+    Label counts, quotas and the boundary all come from one histogram pass.
+    """
     keyed = risk.withColumn("_key", seeded_key(seed))
-    flagged = smallest_per_group(keyed, "risk_label", "_key", "title", quotas, flag="_test")
+    flagged = smallest_per_group(keyed, "risk_label", "_key", "title",
+                                 lambda counts: largest_remainder_quotas(counts, test_fraction), flag="_test")
     return flagged.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test", "_key")
 
 
 def class_balanced_sample(df: DataFrame, per_class: int, seed: int = S.SAMPLE_SEED,
                           label: str = "risk_label") -> DataFrame:
     """W3 + U1: min(per_class, size) rows per label, seeded; one pass for all labels."""
-    quotas = df.groupBy(label).agg(F.least(F.count(F.lit(1)), F.lit(per_class)).alias("quota"))
     keyed = df.withColumn("_key", seeded_key(seed))
-    flagged = smallest_per_group(keyed, label, "_key", "title", quotas, flag="_pick")
+    flagged = smallest_per_group(keyed, label, "_key", "title",
+                                 lambda counts: counts.select(label, F.least("n", F.lit(per_class)).alias("quota")),
+                                 flag="_pick")
     return flagged.where("_pick").drop("_pick", "_key")
 
 
