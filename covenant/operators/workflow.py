@@ -114,7 +114,8 @@ def audit_feed(log: DataFrame, docs: DataFrame, users: DataFrame,
                     "action_ts", X.format_ts("action_ts").alias("when"), "notes")
 
 
-def recent_audit(log: DataFrame, docs: DataFrame, users: DataFrame, n: int = 300) -> DataFrame:
+def recent_audit(log: DataFrame, docs: DataFrame, users: DataFrame, n: int = 300,
+                 system_actor: str = S.SYSTEM_ACTOR) -> DataFrame:
     """The latest ``n`` log rows (timestamp desc, id desc) with document and actor.
 
     Top-k first (TakeOrderedAndProject: per-partition top-n, then a merge of
@@ -125,7 +126,7 @@ def recent_audit(log: DataFrame, docs: DataFrame, users: DataFrame, n: int = 300
     u = users.select("user_id", F.col("name").alias("_actor"))
     j = top.join(d, "document_id", "left").join(u, "user_id", "left")
     return j.select("log_id", "action_ts", "document_id", "file_name", "action",
-                    F.coalesce(F.col("_actor"), F.lit(S.SYSTEM_ACTOR)).alias("actor_name"), "notes")
+                    F.coalesce(F.col("_actor"), F.lit(system_actor)).alias("actor_name"), "notes")
 
 
 def document_trail(log: DataFrame, document_id=None) -> DataFrame:

@@ -76,7 +76,8 @@ ROLES = [
     ("TechnicalAdmin", "Technical admin"),
 ]
 
-SYSTEM_ACTOR = "AuditLens system"
+# Display name for log rows without a human actor (a parameter of the audit feeds).
+SYSTEM_ACTOR = "System"
 NOTE_LIMIT = 500          # longer notes are cut to 497 chars + "..."
 PREVIEW_LIMIT = 40_000    # text preview cut, followed by PREVIEW_MARKER
 PREVIEW_MARKER = "\n\n[Preview truncated]"
