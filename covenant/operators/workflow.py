@@ -239,6 +239,37 @@ def _identity() -> F.Column:
     return F.array(*[F.lit(i) for i in range(len(STATUS_NAMES))])
 
 
+def prefix_enter(chunks: DataFrame, key: str, start: F.Column, identity: F.Column, apply) -> DataFrame:
+    """Value entering each chunk: earlier chunks' functions composed in order.
+
+    ``chunks`` has ``key``, ``_bk`` (a 'yyyy-MM-dd HH...' bucket string) and
+    ``fn``; ``apply(value, fn)`` runs one function on a value and
+    ``identity`` is the function that changes nothing. Two levels keep every
+    list bounded: chunk functions are composed into one function per day;
+    a window over days gives the value entering each day; a window over the
+    chunks of one day (at most 24 hourly chunks) finishes the prefix.
+    """
+    def compose(f, g):
+        return F.transform(f, lambda v: apply(v, g))
+
+    c = chunks.withColumn("_day", F.substring("_bk", 1, 10)).withColumn("_start", start)
+    days = (c.groupBy(key, "_day").agg(F.array_sort(F.collect_list(F.struct("_bk", "fn"))).alias("_fs"),
+                                       F.any_value("_start").alias("_start"))   # constant per key
+            .select(key, "_day", "_start",
+                    F.aggregate("_fs", identity, lambda acc, x: compose(acc, x.getField("fn"))).alias("_dfn")))
+    wd = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_dprev", F.collect_list("_dfn").over(wd)) \
+        .select(key, "_day", F.aggregate("_dprev", F.col("_start"), apply).alias("_enter_day"))
+    wc = Window.partitionBy(key, "_day").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_cprev", F.collect_list("fn").over(wc)).join(days, [key, "_day"])
+    return c.withColumn("enter", F.aggregate("_cprev", F.col("_enter_day"), apply)) \
+        .drop("_day", "_cprev", "_enter_day", "_start")
+
+
+def _apply_status(s, fn) -> F.Column:
+    return F.element_at(fn, s + 1)
+
+
 def tried_moves(log: DataFrame) -> DataFrame:
     """Status-moving log rows with their target status index."""
     target = _case(F.col("action"), _MOVE_TARGET)
@@ -263,11 +294,8 @@ def lifecycle_steps_per_action(log: DataFrame, bucket: F.Column | None = None) -
     chunks = chunks.withColumn(
         "fn", F.aggregate("acts", _identity(),
                           lambda acc, x: F.transform(acc, lambda s: _step(s, x.getField("target")))))
-    w = Window.partitionBy("document_id").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_prev", F.collect_list("fn").over(w))
-    # Compose earlier chunk functions in order, applied to Draft (index 0).
-    chunks = chunks.withColumn("enter", F.aggregate("_prev", F.lit(0),
-                                                    lambda s, fn: F.element_at(fn, s + 1)))
+    # Status entering each chunk: earlier chunks composed in order, from Draft (0).
+    chunks = prefix_enter(chunks, "document_id", F.lit(0), _identity(), _apply_status)
     init = F.struct(F.col("enter").alias("s"),
                     F.array().cast("array<struct<log_id:bigint,action:string,from_s:int,to_s:int,legal:boolean>>")
                     .alias("out"))
@@ -581,6 +609,13 @@ def _cmd_apply(e, x) -> F.Column:
                     F.when(res, x.getField("new_hash")).otherwise(e.getField("h")).alias("h"))
 
 
+def _apply_cmd_fn(e, fn) -> F.Column:
+    """Run a chunk function (10 entries of (s, r, h)) on an entering (s, r, h)."""
+    f = F.element_at(fn, e.getField("s") + 1)
+    return F.struct(f.getField("s").alias("s"), (e.getField("r") + f.getField("r")).alias("r"),
+                    F.coalesce(f.getField("h"), e.getField("h")).alias("h"))
+
+
 def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users: DataFrame,
                    bucket: F.Column | None = None) -> DataFrame:
     """C3–C7 replayed per document in (ts, cmd_id) order against the evolving state.
@@ -589,10 +624,16 @@ def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users:
     and current hash before. Documents start from ``docs`` (status, version)
     and ``objects`` (whether the stored bytes match, current hash).
     """
-    d = docs.select("document_id", "status", "uploaded_by", "version_number", "file_name")
+    from covenant.session import materialize
+
+    # One row per document; hashing every stored object is the costly part,
+    # so the state table is computed once and read three times.
     chk = integrity_check(objects).select("document_id", "expected", "actual", "matches")
+    state = materialize(docs.select("document_id", "status", "uploaded_by", "version_number", "file_name")
+                        .join(chk, "document_id", "inner")
+                        .withColumn("s0", _sid(F.col("status")) * 2 + F.col("matches").cast("int")))
     u = users.select(F.col("user_id").alias("actor_id"), "role")
-    c = (cmds.join(d, "document_id", "inner").join(chk, "document_id", "inner").join(u, "actor_id", "left")
+    c = (cmds.join(state.select("document_id", "uploaded_by"), "document_id", "inner").join(u, "actor_id", "left")
          .select("cmd_id", "document_id", "actor_id", "command", "notes", "ts",
                  (F.col("actor_id") == F.col("uploaded_by")).alias("owner"),
                  (~X.is_blank("notes")).alias("note_ok"),
@@ -604,33 +645,29 @@ def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users:
                         for i in range(2 * len(STATUS_NAMES))])
     chunks = (c.withColumn("_bk", bucket).groupBy("document_id", "_bk")
               .agg(F.array_sort(F.collect_list(F.struct("ts", "cmd_id", "command", "owner", "note_ok", "viewer",
-                                                        "new_hash"))).alias("cs")))
-    chunks = chunks.withColumn("fn", F.aggregate("cs", init_fn, lambda acc, x: F.transform(acc, lambda e: _cmd_apply(e, x))))
-    w = Window.partitionBy("document_id").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    start = d.join(chk, "document_id").select(
-        "document_id", (_sid(F.col("status")) * 2 + F.col("matches").cast("int")).alias("s0"))
-    chunks = chunks.withColumn("_prev", F.collect_list("fn").over(w)).join(start, "document_id")
+                                                        "new_hash", "actor_id", "notes"))).alias("cs")))
+    chunks = chunks.withColumn("fn", F.aggregate("cs", init_fn,
+                                                 lambda acc, x: F.transform(acc, lambda e: _cmd_apply(e, x))))
+    chunks = chunks.join(state.select("document_id", "s0"), "document_id")
     enter0 = F.struct(F.col("s0").alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
-    chunks = chunks.withColumn("enter", F.aggregate(
-        "_prev", enter0,
-        lambda e, fn: F.struct(F.element_at(fn, e.getField("s") + 1).getField("s").alias("s"),
-                               (e.getField("r") + F.element_at(fn, e.getField("s") + 1).getField("r")).alias("r"),
-                               F.coalesce(F.element_at(fn, e.getField("s") + 1).getField("h"), e.getField("h")).alias("h"))))
-    out_t = "array<struct<cmd_id:bigint,s:int,r:int,h:string,reason:string,s_after:int>>"
+    chunks = prefix_enter(chunks, "document_id", enter0, init_fn, _apply_cmd_fn)
+    out_t = ("array<struct<cmd_id:bigint,actor_id:bigint,command:string,notes:string,new_hash:string,"
+             "s:int,r:int,h:string,reason:string,s_after:int>>")
     init = F.struct(F.col("enter").alias("e"), F.array().cast(out_t).alias("out"))
 
     def fold(acc, x):
         e = acc.getField("e")
         nxt = _cmd_apply(e, x)
-        rec = F.struct(x.getField("cmd_id").cast("bigint").alias("cmd_id"), e.getField("s").alias("s"),
-                       e.getField("r").alias("r"), e.getField("h").alias("h"),
+        rec = F.struct(x.getField("cmd_id").cast("bigint").alias("cmd_id"),
+                       x.getField("actor_id").cast("bigint").alias("actor_id"),
+                       x.getField("command").alias("command"), x.getField("notes").alias("notes"),
+                       x.getField("new_hash").alias("new_hash"),
+                       e.getField("s").alias("s"), e.getField("r").alias("r"), e.getField("h").alias("h"),
                        _cmd_reason(e.getField("s"), x).alias("reason"), nxt.getField("s").alias("s_after"))
         return F.struct(nxt.alias("e"), F.concat(acc.getField("out"), F.array(rec)).alias("out"))
 
     res = chunks.select("document_id", F.inline(F.aggregate("cs", init, fold).getField("out")))
-    base = c.select("cmd_id", "document_id", "actor_id", "command", "notes", "new_hash")
-    meta = d.join(chk, "document_id").select("document_id", "version_number", "file_name", "expected", "actual")
-    j = res.join(base, ["cmd_id", "document_id"]).join(meta, "document_id")
+    j = res.join(state.select("document_id", "version_number", "file_name", "expected", "actual"), "document_id")
     return j.select(
         "cmd_id", "document_id", "actor_id", "command", "notes", "new_hash", "reason",
         F.col("reason").isNull().alias("accepted"),
