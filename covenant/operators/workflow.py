@@ -239,6 +239,45 @@ def _identity() -> F.Column:
     return F.array(*[F.lit(i) for i in range(len(STATUS_NAMES))])
 
 
+# Chunks up to this many events are folded sequentially; larger ones use the scan.
+SMALL_CHUNK = 64
+
+
+def largest_chunk(events: DataFrame, key: str, bucket: F.Column) -> int:
+    """Most events in one (key, bucket) chunk: one small aggregate, one number to the driver.
+
+    Used to pick the plan: when every chunk is small the sequential fold is
+    cheapest; otherwise large chunks take the scan with just enough passes.
+    """
+    m = (events.groupBy(key, bucket.alias("_bk")).agg(F.count(F.lit(1)).alias("_n"))
+         .agg(F.max("_n").alias("m")).first()["m"])
+    return int(m or 0)
+
+
+def scan_steps(max_len: int) -> int:
+    return max(1, (max(max_len, 1) - 1).bit_length())
+
+
+def inclusive_scan(df: DataFrame, arr: str, out: str, compose, steps: int = 31) -> DataFrame:
+    """Inclusive prefix compositions of an array of functions (Hillis–Steele scan).
+
+    After pass d, element i holds the composition of elements
+    max(0, i - 2^(d+1) + 1) .. i (earlier first). Each pass is one
+    ``transform``; passes beyond the array's length are skipped by the size
+    guard, so a chunk of k functions costs O(k log k), never O(k^2).
+    ``compose(first, then)`` returns the function "first, then then".
+    """
+    def pass_fn(prev, off):
+        return lambda f, i: F.when(i >= off, compose(F.element_at(prev, i - off + 1), f)).otherwise(f)
+
+    df = df.withColumn(out, F.col(arr))
+    for d in range(steps):
+        off = 1 << d
+        prev = F.col(out)
+        df = df.withColumn(out, F.when(F.size(prev) > off, F.transform(prev, pass_fn(prev, off))).otherwise(prev))
+    return df
+
+
 def prefix_enter(chunks: DataFrame, key: str, start: F.Column, identity: F.Column, apply) -> DataFrame:
     """Value entering each chunk: earlier chunks' functions composed in order.
 
@@ -280,36 +319,56 @@ def tried_moves(log: DataFrame) -> DataFrame:
 def lifecycle_steps_per_action(log: DataFrame, bucket: F.Column | None = None) -> DataFrame:
     """W6/W7 core: every tried move with the status before it and whether it was legal.
 
-    1. per (document, bucket): the chunk's actions sorted, and the chunk's
-       transition function (array of 5 next-status indices);
-    2. per document: functions of earlier chunks composed in order give the
-       status entering each chunk (window over chunk rows only);
-    3. inside each chunk a sequential fold from that status labels each move.
+    1. per (document, bucket): the chunk's actions sorted, each action's
+       transition function (5 next-status indices), and their inclusive
+       prefix compositions by a parallel scan (the last one is the chunk's
+       function);
+    2. per document: chunk functions composed in order give the status
+       entering each chunk (two-level, see ``prefix_enter``);
+    3. the status before action i is prefix i-1 applied to that status.
     """
     moves = tried_moves(log)
     bucket = bucket if bucket is not None else hour_bucket("action_ts")
     chunks = (moves.withColumn("_bk", bucket)
               .groupBy("document_id", "_bk")
               .agg(F.array_sort(F.collect_list(F.struct("action_ts", "log_id", "target", "action"))).alias("acts")))
-    chunks = chunks.withColumn(
+    # Small chunks: one sequential fold (bounded by SMALL_CHUNK). Large chunks
+    # (a hot document): inclusive prefixes by the parallel scan.
+    kmax = largest_chunk(moves, "document_id", bucket)
+    small = chunks.where(F.size("acts") <= SMALL_CHUNK) if kmax > SMALL_CHUNK else chunks
+    small = small.withColumn(
         "fn", F.aggregate("acts", _identity(),
-                          lambda acc, x: F.transform(acc, lambda s: _step(s, x.getField("target")))))
+                          lambda acc, x: F.transform(acc, lambda st: _step(st, x.getField("target"))))) \
+        .withColumn("pre", F.lit(None).cast("array<array<int>>"))
+    if kmax > SMALL_CHUNK:
+        large = chunks.where(F.size("acts") > SMALL_CHUNK).withColumn("fns", F.transform(
+            "acts", lambda x: F.transform(_identity(), lambda st: _step(st, x.getField("target")))))
+        large = inclusive_scan(large, "fns", "pre", lambda f, g: F.transform(f, lambda st: _apply_status(st, g)),
+                               steps=scan_steps(kmax))
+        small = small.unionByName(large.withColumn("fn", F.element_at("pre", -1)).drop("fns"))
     # Status entering each chunk: earlier chunks composed in order, from Draft (0).
-    chunks = prefix_enter(chunks, "document_id", F.lit(0), _identity(), _apply_status)
-    init = F.struct(F.col("enter").alias("s"),
-                    F.array().cast("array<struct<log_id:bigint,action:string,from_s:int,to_s:int,legal:boolean>>")
-                    .alias("out"))
+    chunks = prefix_enter(small, "document_id", F.lit(0), _identity(), _apply_status)
 
-    def fold(acc, x):
-        s = acc.getField("s")
+    def record(x, before):
         t = x.getField("target")
-        ok = _legal(s, t)
-        rec = F.struct(x.getField("log_id").cast("bigint").alias("log_id"), x.getField("action").alias("action"),
-                       s.alias("from_s"), t.alias("to_s"), ok.alias("legal"))
-        return F.struct(F.when(ok, t).otherwise(s).alias("s"), F.concat(acc.getField("out"), F.array(rec)).alias("out"))
+        return F.struct(x.getField("log_id").cast("bigint").alias("log_id"), x.getField("action").alias("action"),
+                        before.alias("from_s"), t.alias("to_s"), _legal(before, t).alias("legal"))
+
+    def per_action(x, i):
+        return record(x, F.when(i == 0, F.col("enter")).otherwise(_apply_status(F.col("enter"),
+                                                                              F.element_at("pre", i))))
+
+    rec_t = "array<struct<log_id:bigint,action:string,from_s:int,to_s:int,legal:boolean>>"
+    init = F.struct(F.col("enter").alias("s"), F.array().cast(rec_t).alias("out"))
 
-    res = chunks.select("document_id", F.aggregate("acts", init, fold).getField("out").alias("out"))
-    ex = res.select("document_id", F.explode("out").alias("o")).select("document_id", "o.*")
+    def fold(acc, x):
+        st = acc.getField("s")
+        return F.struct(_step(st, x.getField("target")).alias("s"),
+                        F.concat(acc.getField("out"), F.array(record(x, st))).alias("out"))
+
+    out = F.when(F.col("pre").isNull(), F.aggregate("acts", init, fold).getField("out")) \
+        .otherwise(F.transform("acts", per_action))
+    ex = chunks.select("document_id", F.inline(out))
     return ex.select("document_id", "log_id", "action", _sname(F.col("from_s")).alias("from_status"),
                      _sname(F.col("to_s")).alias("to_status"), "legal")
 
@@ -646,27 +705,48 @@ def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users:
     chunks = (c.withColumn("_bk", bucket).groupBy("document_id", "_bk")
               .agg(F.array_sort(F.collect_list(F.struct("ts", "cmd_id", "command", "owner", "note_ok", "viewer",
                                                         "new_hash", "actor_id", "notes"))).alias("cs")))
-    chunks = chunks.withColumn("fn", F.aggregate("cs", init_fn,
-                                                 lambda acc, x: F.transform(acc, lambda e: _cmd_apply(e, x))))
-    chunks = chunks.join(state.select("document_id", "s0"), "document_id")
+    # Each command is a function on the ten states. Small chunks: one
+    # sequential fold; large chunks (a hot document): parallel prefix scan.
+    fn_t = "array<array<struct<s:int,r:int,h:string>>>"
+    kmax = largest_chunk(c, "document_id", bucket)
+    small = chunks.where(F.size("cs") <= SMALL_CHUNK) if kmax > SMALL_CHUNK else chunks
+    small = small.withColumn(
+        "fn", F.aggregate("cs", init_fn, lambda acc, x: F.transform(acc, lambda e: _cmd_apply(e, x)))) \
+        .withColumn("pre", F.lit(None).cast(fn_t))
+    if kmax > SMALL_CHUNK:
+        large = chunks.where(F.size("cs") > SMALL_CHUNK).withColumn(
+            "fns", F.transform("cs", lambda x: F.transform(init_fn, lambda e: _cmd_apply(e, x))))
+        large = inclusive_scan(large, "fns", "pre", lambda f, g: F.transform(f, lambda e: _apply_cmd_fn(e, g)),
+                               steps=scan_steps(kmax))
+        small = small.unionByName(large.withColumn("fn", F.element_at("pre", -1)).drop("fns"))
+    chunks = small.join(state.select("document_id", "s0"), "document_id")
     enter0 = F.struct(F.col("s0").alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
     chunks = prefix_enter(chunks, "document_id", enter0, init_fn, _apply_cmd_fn)
+
+    def record(x, e):
+        return F.struct(x.getField("cmd_id").cast("bigint").alias("cmd_id"),
+                        x.getField("actor_id").cast("bigint").alias("actor_id"),
+                        x.getField("command").alias("command"), x.getField("notes").alias("notes"),
+                        x.getField("new_hash").alias("new_hash"),
+                        e.getField("s").alias("s"), e.getField("r").alias("r"), e.getField("h").alias("h"),
+                        _cmd_reason(e.getField("s"), x).alias("reason"),
+                        _cmd_next(e.getField("s"), x).alias("s_after"))
+
+    def per_command(x, i):
+        return record(x, F.when(i == 0, F.col("enter")).otherwise(_apply_cmd_fn(F.col("enter"),
+                                                                               F.element_at("pre", i))))
+
     out_t = ("array<struct<cmd_id:bigint,actor_id:bigint,command:string,notes:string,new_hash:string,"
              "s:int,r:int,h:string,reason:string,s_after:int>>")
     init = F.struct(F.col("enter").alias("e"), F.array().cast(out_t).alias("out"))
 
     def fold(acc, x):
         e = acc.getField("e")
-        nxt = _cmd_apply(e, x)
-        rec = F.struct(x.getField("cmd_id").cast("bigint").alias("cmd_id"),
-                       x.getField("actor_id").cast("bigint").alias("actor_id"),
-                       x.getField("command").alias("command"), x.getField("notes").alias("notes"),
-                       x.getField("new_hash").alias("new_hash"),
-                       e.getField("s").alias("s"), e.getField("r").alias("r"), e.getField("h").alias("h"),
-                       _cmd_reason(e.getField("s"), x).alias("reason"), nxt.getField("s").alias("s_after"))
-        return F.struct(nxt.alias("e"), F.concat(acc.getField("out"), F.array(rec)).alias("out"))
-
-    res = chunks.select("document_id", F.inline(F.aggregate("cs", init, fold).getField("out")))
+        return F.struct(_cmd_apply(e, x).alias("e"), F.concat(acc.getField("out"), F.array(record(x, e))).alias("out"))
+
+    out = F.when(F.col("pre").isNull(), F.aggregate("cs", init, fold).getField("out")) \
+        .otherwise(F.transform("cs", per_command))
+    res = chunks.select("document_id", F.inline(out))
     j = res.join(state.select("document_id", "version_number", "file_name", "expected", "actual"), "document_id")
     return j.select(
         "cmd_id", "document_id", "actor_id", "command", "notes", "new_hash", "reason",
