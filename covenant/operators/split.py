@@ -178,13 +178,16 @@ def safe_ids(df: DataFrame, title: str, order: str) -> DataFrame:
     repeats of one base). ``id_conflict`` flags the rare case where a
     generated ``base_k`` equals another row's natural base.
     """
+    from covenant.operators.workflow import exact_rank
+
     b = df.withColumn("_base", safe_base(title))
-    rn = F.row_number().over(Window.partitionBy("_base").orderBy(order))
-    b = b.withColumn("_rn", rn)
+    # Repeats are numbered by an exact rank computed per block of the input
+    # order, so a base shared by many rows is not ranked in one task.
+    b = exact_rank(b, "_base", [order], F.floor(F.col(order).cast("double") / 4096), "_rn")
     b = b.withColumn("safe_id", F.when(F.col("_rn") == 1, F.col("_base"))
                      .otherwise(F.concat(F.col("_base"), F.lit("_"), F.col("_rn").cast("string"))))
-    dup = F.count(F.lit(1)).over(Window.partitionBy("safe_id"))
-    return b.withColumn("id_conflict", dup > 1).drop("_base", "_rn")
+    dups = b.groupBy("safe_id").agg((F.count(F.lit(1)) > 1).alias("id_conflict"))
+    return b.join(dups, "safe_id").drop("_base", "_rn")
 
 
 def of_picked(df: DataFrame, picked: DataFrame) -> DataFrame:
