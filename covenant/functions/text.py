@@ -55,8 +55,13 @@ def words(col) -> Column:
 
 
 def first_words(col, n: int = S.WORDS_PER_CLAUSE) -> Column:
-    """the first ``n`` whitespace words joined by one space."""
-    return F.array_join(F.slice(words(col), 1, n), " ")
+    """the first ``n`` whitespace words joined by one space (Python's ``' '.join(s.split()[:n])``).
+
+    A regex captures the first ``n`` words and stops there, so a long text is
+    never split into all its words; both functions stay in generated code.
+    """
+    head = F.regexp_extract(_c(col), rf"(?U)^\s*(\S+(?:\s+\S+){{0,{n - 1}}})", 1)
+    return F.regexp_replace(head, _WS, " ")
 
 
 def risk_label(score) -> Column:
