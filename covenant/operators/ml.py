@@ -21,6 +21,7 @@ from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covenant import schemas as S
 from covenant.functions import text as X
@@ -85,8 +86,8 @@ def score_with(frame: DataFrame, logits_fn: Callable[[pd.Series], list], text_co
     it runs inside executor tasks via ``mapInPandas``. Softmax, argmax and
     rounding stay in JVM expressions (F16).
     """
-    keep = [c for c in frame.columns]
-    schema = frame.select(*keep).schema.add("logits", "array<double>")
+    keep = list(frame.columns)
+    schema = frame.select(*keep).schema.add("logits", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -152,15 +152,14 @@ def versions_with_submitter(spark, sf_dir):
 
 
 def _email_requests(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0) \
-        .select(F.lower(F.concat("c_name", F.lit("@example.test"))).alias("email"))
+    c = table(spark, sf_dir, "customer").select(F.lower(F.concat("c_name", F.lit("@example.test"))).alias("email"))
     s = table(spark, sf_dir, "supplier").select(F.lower(F.concat("s_name", F.lit("@example.test"))).alias("email"))
     return c.unionByName(s)
 
 
 @register("user_by_email", with_fx(["fx_users"], """
     SELECT r.email, u.user_id, u.user_id IS NOT NULL AS matched
-    FROM (SELECT lower(c_name || '@example.test') AS email FROM customer WHERE c_custkey % 3 = 0
+    FROM (SELECT lower(c_name || '@example.test') AS email FROM customer
           UNION ALL SELECT lower(s_name || '@example.test') FROM supplier) r
     LEFT JOIN fx_users u ON lower(u.email) = lower(r.email)"""))
 def user_by_email(spark, sf_dir):

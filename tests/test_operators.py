@@ -168,3 +168,17 @@ def test_hot_document_single_chunk_matches_replay(spark):
     assert got == want
     steps = W.lifecycle_steps_per_action(log)
     assert steps.count() == tried and steps.where(~F.col("legal")).count() == refused
+
+
+def test_score_with_external_model_hook(spark):
+    """M3 hook: a pandas function over Arrow batches supplies logits; softmax/argmax stay in the JVM."""
+    from covenant.operators import ml as ML
+    risk = R.contract_risk(FX.fx_qa(spark, SF_SMALL, with_context=False))
+
+    def logits(texts):
+        return [[0.0, float(len(t) % 3), 1.0] for t in texts]
+
+    out = ML.score_with(risk, logits).select("title", "prediction.risk_label", "prediction.confidence").collect()
+    assert len(out) == 200
+    assert {r["risk_label"] for r in out} <= {"Medium", "High"}
+    assert all(0.0 < r["confidence"] <= 1.0 for r in out)
