@@ -54,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="covenant-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:   # set once; each call would add a new sub-folder
+        sc.setCheckpointDir(d)
     return d
 
 
