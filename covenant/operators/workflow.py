@@ -249,15 +249,18 @@ def _identity() -> F.Column:
 SMALL_CHUNK = 64
 
 
-def largest_chunk(events: DataFrame, key: str, bucket: F.Column) -> int:
-    """Most events in one (key, bucket) chunk: one small aggregate, one number to the driver.
+def chunk_stats(events: DataFrame, key: str, bucket: F.Column) -> tuple[int, int]:
+    """(most events in one (key, bucket) chunk, most days one key spans).
 
-    Used to pick the plan: when every chunk is small the sequential fold is
-    cheapest; otherwise large chunks take the scan with just enough passes.
+    One small aggregate job; two numbers go to the driver. They pick the plan:
+    small chunks and short histories use the sequential fold and a window;
+    larger ones use the parallel scan with just enough passes.
     """
-    m = (events.groupBy(key, bucket.alias("_bk")).agg(F.count(F.lit(1)).alias("_n"))
-         .agg(F.max("_n").alias("m")).first()["m"])
-    return int(m or 0)
+    per = events.groupBy(key, bucket.alias("_bk")).agg(F.count(F.lit(1)).alias("_n"))
+    per_key = per.groupBy(key).agg(F.max("_n").alias("_m"),
+                                   F.count_distinct(F.substring("_bk", 1, 10)).alias("_d"))
+    r = per_key.agg(F.max("_m").alias("m"), F.max("_d").alias("d")).first()
+    return int(r["m"] or 0), int(r["d"] or 0)
 
 
 def scan_steps(max_len: int) -> int:
@@ -284,7 +287,8 @@ def inclusive_scan(df: DataFrame, arr: str, out: str, compose, steps: int = 31)
     return df
 
 
-def prefix_enter(chunks: DataFrame, key: str, start: F.Column, identity: F.Column, apply) -> DataFrame:
+def prefix_enter(chunks: DataFrame, key: str, start: F.Column, identity: F.Column, apply,
+                 max_days: int = 0) -> DataFrame:
     """Value entering each chunk: earlier chunks' functions composed in order.
 
     ``chunks`` has ``key``, ``_bk`` (a 'yyyy-MM-dd HH...' bucket string) and
@@ -302,9 +306,21 @@ def prefix_enter(chunks: DataFrame, key: str, start: F.Column, identity: F.Colum
                                        F.any_value("_start").alias("_start"))   # constant per key
             .select(key, "_day", "_start",
                     F.aggregate("_fs", identity, lambda acc, x: compose(acc, x.getField("fn"))).alias("_dfn")))
-    wd = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_dprev", F.collect_list("_dfn").over(wd)) \
-        .select(key, "_day", F.aggregate("_dprev", F.col("_start"), apply).alias("_enter_day"))
+    if max_days <= SMALL_CHUNK:
+        wd = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.withColumn("_dprev", F.collect_list("_dfn").over(wd)) \
+            .select(key, "_day", F.aggregate("_dprev", F.col("_start"), apply).alias("_enter_day"))
+    else:
+        # Long histories: the day functions of a key (one per day, not per
+        # event) are scanned in O(D log D) instead of a quadratic window.
+        per = (days.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_day", "_dfn"))).alias("_ds"),
+                                     F.any_value("_start").alias("_start"))
+               .withColumn("_fns", F.transform("_ds", lambda x: x.getField("_dfn"))))
+        per = inclusive_scan(per, "_fns", "_pre", compose, steps=scan_steps(max_days))
+        days = per.select(key, "_start", "_pre", F.posexplode("_ds").alias("_i", "_d")).select(
+            key, F.col("_d").getField("_day").alias("_day"),
+            F.when(F.col("_i") == 0, F.col("_start"))
+            .otherwise(apply(F.col("_start"), F.element_at("_pre", F.col("_i").cast("int")))).alias("_enter_day"))
     wc = Window.partitionBy(key, "_day").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("_cprev", F.collect_list("fn").over(wc)).join(days, [key, "_day"])
     return c.withColumn("enter", F.aggregate("_cprev", F.col("_enter_day"), apply)) \
@@ -340,7 +356,7 @@ def lifecycle_steps_per_action(log: DataFrame, bucket: F.Column | None = None) -
               .agg(F.array_sort(F.collect_list(F.struct("action_ts", "log_id", "target", "action"))).alias("acts")))
     # Small chunks: one sequential fold (bounded by SMALL_CHUNK). Large chunks
     # (a hot document): inclusive prefixes by the parallel scan.
-    kmax = largest_chunk(moves, "document_id", bucket)
+    kmax, dmax = chunk_stats(moves, "document_id", bucket)
     small = chunks.where(F.size("acts") <= SMALL_CHUNK) if kmax > SMALL_CHUNK else chunks
     small = small.withColumn(
         "fn", F.aggregate("acts", _identity(),
@@ -353,7 +369,7 @@ def lifecycle_steps_per_action(log: DataFrame, bucket: F.Column | None = None) -
                                steps=scan_steps(kmax))
         small = small.unionByName(large.withColumn("fn", F.element_at("pre", -1)).drop("fns"))
     # Status entering each chunk: earlier chunks composed in order, from Draft (0).
-    chunks = prefix_enter(small, "document_id", F.lit(0), _identity(), _apply_status)
+    chunks = prefix_enter(small, "document_id", F.lit(0), _identity(), _apply_status, max_days=dmax)
 
     def record(x, before):
         t = x.getField("target")
@@ -714,7 +730,7 @@ def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users:
     # Each command is a function on the ten states. Small chunks: one
     # sequential fold; large chunks (a hot document): parallel prefix scan.
     fn_t = "array<array<struct<s:int,r:int,h:string>>>"
-    kmax = largest_chunk(c, "document_id", bucket)
+    kmax, dmax = chunk_stats(c, "document_id", bucket)
     small = chunks.where(F.size("cs") <= SMALL_CHUNK) if kmax > SMALL_CHUNK else chunks
     small = small.withColumn(
         "fn", F.aggregate("cs", init_fn, lambda acc, x: F.transform(acc, lambda e: _cmd_apply(e, x)))) \
@@ -727,7 +743,7 @@ def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users:
         small = small.unionByName(large.withColumn("fn", F.element_at("pre", -1)).drop("fns"))
     chunks = small.join(state.select("document_id", "s0"), "document_id")
     enter0 = F.struct(F.col("s0").alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
-    chunks = prefix_enter(chunks, "document_id", enter0, init_fn, _apply_cmd_fn)
+    chunks = prefix_enter(chunks, "document_id", enter0, init_fn, _apply_cmd_fn, max_days=dmax)
 
     def record(x, e):
         return F.struct(x.getField("cmd_id").cast("bigint").alias("cmd_id"),

@@ -182,3 +182,21 @@ def test_score_with_external_model_hook(spark):
     assert len(out) == 200
     assert {r["risk_label"] for r in out} <= {"Medium", "High"}
     assert all(0.0 < r["confidence"] <= 1.0 for r in out)
+
+
+def test_long_history_day_scan_matches_replay(spark):
+    """A document spanning 200 days takes the day-level scan; results equal the replay."""
+    import random
+    rnd = random.Random(5)
+    actions = ["ReviewRequested", "RevisionRequested", "Approved", "Locked", "Viewed"]
+    rows = []
+    for i in range(3000):
+        day = i % 200
+        ts = f"2023-{1 + day // 28:02d}-{1 + day % 28:02d} {i % 24:02d}:{(i * 7) % 60:02d}:{i % 60:02d}"
+        rows.append((i, 9 if i % 7 else 10, ts, rnd.choice(actions)))
+    log = spark.createDataFrame(rows, "log_id long, document_id long, ts string, action string") \
+        .select("log_id", "document_id", F.col("ts").cast("timestamp_ntz").alias("action_ts"), "action")
+    want, tried, refused = _python_replay([(r[1], r[2], r[0], r[3]) for r in rows])
+    steps = W.lifecycle_steps_per_action(log)
+    assert steps.count() == tried and steps.where(~F.col("legal")).count() == refused
+    assert {r["document_id"]: r["status"] for r in W.lifecycle_fold(log).collect()} == want
