@@ -41,7 +41,6 @@ def confusion_matrix(pairs: DataFrame, labels=S.LABELS) -> DataFrame:
 def per_class(pairs: DataFrame, labels=S.LABELS) -> DataFrame:
     """Per class: support, predicted count, true positives, precision, recall, F1 (0 on 0/0)."""
     c = pair_counts(pairs)
-    k = len(labels)
     cls = label_grid(pairs.sparkSession, labels).where("actual = predicted").select(F.col("actual").alias("cls"))
     stats = c.select(
         F.explode(F.array(
@@ -57,7 +56,6 @@ def per_class(pairs: DataFrame, labels=S.LABELS) -> DataFrame:
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide((2 * F.col("tp")).cast("double"), (F.col("support") + F.col("n_pred")).cast("double")),
                     F.lit(0.0))
-    _ = k
     return j.select("cls", "support", "n_pred", "tp", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covenant import schemas as S
 from covenant.operators import risk as R
 from covenant.operators import split as SP
 from covenant.operators import workflow as W
@@ -164,5 +163,3 @@ def preview_names(spark, sf_dir):
     """T5: the first five clause-column names (questions sorted, as the pivot orders them)."""
     return _qa(spark, sf_dir).select("question").distinct().orderBy("question").limit(5)
 
-
-_ = S

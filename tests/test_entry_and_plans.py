@@ -53,12 +53,10 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_top_k_is_take_ordered(spark):
-    from covenant.operators import workflow as W
     from covenant.sources import fixtures as FX
     log = FX.fx_audit(spark, SF_SMALL)
     p = _plan(log.orderBy("action_ts").limit(300))
     assert "TakeOrderedAndProject" in p
-    _ = W
 
 
 def test_sample_filter_reaches_below_explode(spark):
