@@ -49,11 +49,6 @@ def clause_name(question) -> Column:
 
 # ---- F1–F3 ----------------------------------------------------------------
 
-def words(col) -> Column:
-    """Whitespace words of a text, as Python's ``s.split()``."""
-    return F.filter(F.split(_c(col), _WS), lambda w: w != F.lit(""))
-
-
 def first_words(col, n: int = S.WORDS_PER_CLAUSE) -> Column:
     """the first ``n`` whitespace words joined by one space (Python's ``' '.join(s.split()[:n])``).
 
