@@ -54,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="covenant-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions have no local context
+        return d
     if sc.getCheckpointDir() is None:   # set once; each call would add a new sub-folder
         sc.setCheckpointDir(d)
     return d
