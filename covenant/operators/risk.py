@@ -81,6 +81,47 @@ def contract_risk(qa: DataFrame, block_rows: int = TEXT_BLOCK_ROWS) -> DataFrame
     )
 
 
+def _first_per_clause(df: DataFrame, col: str) -> DataFrame:
+    """Keep, per clause, the entry with the smallest row_ord (array sorted first)."""
+    df = df.withColumn(col, F.array_sort(col))
+    return df.withColumn(col, F.filter(col, lambda x, i: (i == 0) | (
+        F.element_at(F.col(col), i).getField("clause") != x.getField("clause"))))
+
+
+def contract_risk_with_firsts(qa: DataFrame, block_rows: int = TEXT_BLOCK_ROWS) -> DataFrame:
+    """``contract_risk`` plus ``firsts``: per clause the snippet of its first answered row.
+
+    Same single pass as the flagship: each (title, block) keeps at most one
+    entry per clause (41 here), and each title at most one per clause after
+    merging its blocks. Used where both the risk row and the clause snippets
+    are needed, so the QA rows are exploded and shuffled once.
+    """
+    f = flag_rows(qa)
+    risk_hit = F.when(F.col("has_clause") & F.col("clause").isin(S.RISK_CLAUSES), F.col("clause"))
+    answered = F.when(F.col("has_clause"), F.struct("clause", "row_ord", "snippet"))
+    blocks = (f.groupBy("title", F.floor(F.col("row_ord") / block_rows).alias("blk"))
+              .agg(F.array_sort(F.collect_list(F.when(F.col("has_clause"),
+                                                      F.struct("row_ord", "snippet")))).alias("parts"),
+                   F.collect_set(risk_hit).alias("hits"),
+                   F.collect_list(answered).alias("fa")))
+    blocks = _first_per_clause(blocks, "fa").select(
+        "title", "blk", "hits", "fa",
+        F.when(F.size("parts") > 0,
+               F.array_join(F.transform("parts", lambda p: p.getField("snippet")), " ")).alias("block_text"))
+    per_title = (blocks.groupBy("title")
+                 .agg(F.array_sort(F.collect_list(F.when(F.col("block_text").isNotNull(),
+                                                         F.struct("blk", "block_text")))).alias("blocks"),
+                      F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
+                      F.flatten(F.collect_list("fa")).alias("fa")))
+    per_title = _first_per_clause(per_title, "fa")
+    score = F.size("hits").cast("int")
+    text = F.coalesce(F.array_join(F.transform("blocks", lambda b: b.getField("block_text")), " "), F.lit(""))
+    return per_title.select(
+        "title", score.alias("risk_score"), text.alias("risk_text"), X.risk_label(score).alias("risk_label"),
+        F.transform("fa", lambda x: F.struct(x.getField("clause").alias("clause"),
+                                             x.getField("snippet").alias("snippet"))).alias("firsts"))
+
+
 def score_join_text(qa: DataFrame) -> DataFrame:
     """Title, risk_score, risk_text (one pass; no join needed)."""
     return contract_risk(qa).select("title", "risk_score", "risk_text")

@@ -663,7 +663,7 @@ def _predictions(spark, sf_dir, risk=None):
 def _scored(spark, sf_dir):
     # The per-contract risk rows feed both the prepared files and the
     # predictions: computed once (checkpoint) instead of twice.
-    risk = materialize(R.contract_risk(FX.fx_qa(spark, sf_dir, with_context=False)))
+    risk = materialize(R.contract_risk_with_firsts(FX.fx_qa(spark, sf_dir, with_context=False)))
     return W.score_prepared(FX.fx_clause_json(spark, sf_dir, risk), _predictions(spark, sf_dir, risk))
 
 

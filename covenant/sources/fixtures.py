@@ -183,12 +183,18 @@ def fx_clause_json(spark: SparkSession, sf_dir: str, risk: DataFrame | None = No
     """
     from covenant.operators.risk import contract_risk, first_answers
 
-    qa = fx_qa(spark, sf_dir, with_context=False)
-    first = first_answers(qa)  # title, clause, snippet (first answered row per clause)
-    per = first.groupBy("title").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("clause", "snippet")))).alias("m"))
-    risk = (risk if risk is not None else contract_risk(qa)).select("title", F.col("risk_text").alias("model_input"))
-    j = risk.join(per, "title", "left")
+    if risk is not None and "firsts" in risk.columns:
+        # One pass already produced the first answer per clause (sorted by clause).
+        j = risk.select("title", F.col("risk_text").alias("model_input"),
+                        F.when(F.size("firsts") > 0, F.map_from_entries("firsts")).alias("m"))
+    else:
+        qa = fx_qa(spark, sf_dir, with_context=False)
+        first = first_answers(qa)  # title, clause, snippet (first answered row per clause)
+        per = first.groupBy("title").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("clause", "snippet")))).alias("m"))
+        risk = (risk if risk is not None else contract_risk(qa)).select("title",
+                                                                        F.col("risk_text").alias("model_input"))
+        j = risk.join(per, "title", "left")
     k = F.col("title").cast("long")
     js = F.coalesce(F.to_json(F.col("m")), F.lit("{}"))
     return j.select(

@@ -200,3 +200,13 @@ def test_long_history_day_scan_matches_replay(spark):
     steps = W.lifecycle_steps_per_action(log)
     assert steps.count() == tried and steps.where(~F.col("legal")).count() == refused
     assert {r["document_id"]: r["status"] for r in W.lifecycle_fold(log).collect()} == want
+
+
+def test_single_pass_firsts_match_first_answers(spark):
+    qa = FX.fx_qa(spark, SF_SMALL, with_context=False)
+    one = R.contract_risk_with_firsts(qa, block_rows=3)
+    got = {(r["title"], f["clause"]): f["snippet"] for r in one.collect() for f in r["firsts"]}
+    want = {(r["title"], r["clause"]): r["snippet"] for r in R.first_answers(qa).collect()}
+    assert got == want
+    base = {r["title"]: (r["risk_score"], r["risk_text"]) for r in R.contract_risk(qa).collect()}
+    assert {r["title"]: (r["risk_score"], r["risk_text"]) for r in one.collect()} == base
