@@ -71,3 +71,18 @@ def test_sample_filter_reaches_below_explode(spark):
     gen = [i for i, l in enumerate(lines) if "Generate posexplode" in l]
     semi = [i for i, l in enumerate(lines) if "LeftSemi" in l]
     assert gen and semi and all(any(s > g for s in semi) for g in gen)   # semi join sits under each explode
+
+
+def test_split_shuffles_only_the_boundary_bucket(spark):
+    """Rows outside the boundary bucket are decided by a broadcast join; the one
+    hash exchange (for the ranking window) sits above the boundary-bucket join."""
+    from covenant.operators import risk as R
+    from covenant.operators import split as SP
+    from covenant.session import materialize
+    from covenant.sources import fixtures as FX
+    risk = materialize(R.contract_risk(FX.fx_qa(spark, SF_SMALL, with_context=False)))
+    lines = _plan(SP.stratified_split(risk)).split("\n")
+    ex = [i for i, l in enumerate(lines) if "Exchange hashpartitioning" in l]
+    assert len(ex) == 1
+    inner = [i for i, l in enumerate(lines) if "BroadcastHashJoin" in l and "Inner" in l]
+    assert inner and inner[0] > ex[0]   # the exchange consumes the inner (boundary) join
