@@ -163,3 +163,27 @@ def preview_names(spark, sf_dir):
     """T5: the first five clause-column names (questions sorted, as the pivot orders them)."""
     return _qa(spark, sf_dir).select("question").distinct().orderBy("question").limit(5)
 
+
+
+# ---- partitioned workflow tables --
+
+@register("partitioned_queue", with_fx(["fx_documents"], """
+    SELECT document_id, file_name, uploaded_by, uploaded_at FROM fx_documents WHERE status = 'UnderReview'"""))
+def partitioned_queue(spark, sf_dir):
+    """P5 over the status-partitioned layout: the status filter prunes whole partitions."""
+    docs_path, _ = FS.write_workflow_tables(FX.fx_documents(spark, sf_dir), FX.fx_audit(spark, sf_dir),
+                                            run_dir(spark, "tables"))
+    d = spark.read.parquet(docs_path)
+    return d.where(F.col("status") == "UnderReview").select("document_id", "file_name", "uploaded_by", "uploaded_at")
+
+
+@register("partitioned_audit_day", with_fx(["fx_audit"], """
+    SELECT log_id, document_id, action, action_ts FROM fx_audit
+    WHERE CAST(action_ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'"""))
+def partitioned_audit_day(spark, sf_dir):
+    """Audit rows of a date range over the date-partitioned log: a partition filter."""
+    _, log_path = FS.write_workflow_tables(FX.fx_documents(spark, sf_dir), FX.fx_audit(spark, sf_dir),
+                                           run_dir(spark, "tables"))
+    a = spark.read.parquet(log_path)
+    return a.where(F.col("log_date").between("2024-01-10", "2024-01-12")) \
+        .select("log_id", "document_id", "action", "action_ts")

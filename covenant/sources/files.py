@@ -124,3 +124,15 @@ def append_log(rows: DataFrame, sink: str) -> DataFrame:
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+def write_workflow_tables(docs: DataFrame, log: DataFrame, base: str) -> tuple[str, str]:
+    """Store documents partitioned by status and the audit log by date.
+
+    Queue and dashboard reads filter on status and audit reads on dates, so
+    those filters become partition filters (whole directories skipped).
+    """
+    docs.write.mode("overwrite").partitionBy("status").parquet(f"{base}/documents")
+    log.withColumn("log_date", F.to_date(F.col("action_ts").cast("timestamp_ntz"))) \
+        .write.mode("overwrite").partitionBy("log_date").parquet(f"{base}/audit_log")
+    return f"{base}/documents", f"{base}/audit_log"

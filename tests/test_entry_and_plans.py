@@ -86,3 +86,16 @@ def test_split_shuffles_only_the_boundary_bucket(spark):
     assert len(ex) == 1
     inner = [i for i, l in enumerate(lines) if "BroadcastHashJoin" in l and "Inner" in l]
     assert inner and inner[0] > ex[0]   # the exchange consumes the inner (boundary) join
+
+
+def test_partition_pruning_on_workflow_tables(spark):
+    from pyspark.sql import functions as F
+    from covenant.sources import files as FS
+    from covenant.sources import fixtures as FX
+    from covenant.streaming.jobs import run_dir
+    d, a = FS.write_workflow_tables(FX.fx_documents(spark, SF_SMALL), FX.fx_audit(spark, SF_SMALL),
+                                    run_dir(spark, "tables-test"))
+    p = _plan(spark.read.parquet(d).where(F.col("status") == "UnderReview"))
+    assert "PartitionFilters: [isnotnull(status" in p and "(status#" in p
+    p2 = _plan(spark.read.parquet(a).where(F.col("log_date") == "2024-01-10"))
+    assert "PartitionFilters: [isnotnull(log_date" in p2
