@@ -12,8 +12,8 @@ the best place. So a question asked anew with other names and numbers is
 found, too.
 
 All of it is DataFrame operations. Items are broadcast in blocks of at most
-``BLOCK_WORDS`` words, however many blocks that takes; a hit carries its text
-along within the same stage, so texts are never shuffled.
+``BLOCK_WORDS`` words, however many blocks that takes; a hit carries
+along the words at its place within the same stage, so texts are never shuffled.
 
 Defined cases: null and empty texts hold no item; items of fewer than
 ``LEAST_WORDS`` words match nothing, as a few common words are no evidence;
@@ -28,30 +28,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, LEAST_WORDS, LEAST_SHARE = 8, 5, 0.4
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 #: Words and signs that count as a unit when they follow a number.
 UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?|l|ml|liters?|litres?|gallons?|"
          "s|sec(?:onds?)?|min(?:utes?)?|h|hrs?|hours?|days?|weeks?|months?|years?|%|percent|dollars?|euros?|cents?|usd|eur|€|\\$")
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},]\x20\p{Lu})(?=\p{L}*\p{Ll})[\p{L}\p{M}]+"
-_NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-_WORD = r"[\p{L}\p{M}\p{N}" + NAME + NUMBER + UNIT + "]+"
+_NUMBER = rf"\p{{Nd}}(?<![\p{{L}}\p{{N}}]\p{{Nd}})\p{{Nd}}*(?:[.,]\p{{Nd}}+)*(?=(?:{UNITS})?(?![\p{{L}}\p{{N}}]))"
+_WORD = rf"{NUMBER}[\p{{Nd}}.,]+|{UNIT}\S+|[\p{{L}}\p{{M}}\p{{N}}{NAME}]+"
 
 
-def template_words(text: Column) -> Column:
-    """Words of a text with placeholders in place of slot values."""
-    t = F.regexp_replace(text, _NAME, NAME)
-    t = F.regexp_replace(t, _NUMBER, f" {NUMBER} ")
-    t = F.regexp_replace(t, rf"(?i){NUMBER}  ?(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}  {UNIT} ")
+def words(text: Column) -> Column:
+    """Lower-cased words of a text; slot values carry the mark of their type in front."""
+    t = F.regexp_replace(text, _NAME, NAME + "$0")
+    t = F.regexp_replace(t, rf"(?i){_NUMBER}", f" {NUMBER}$0 ")
+    t = F.regexp_replace(t, rf"(?i)({NUMBER}[\p{{Nd}}.,]+ ) ?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 ")
     return F.regexp_extract_all(F.lower(t), F.lit(_WORD), 0)
 
 
-def valued_words(text: Column) -> Column:
-    """The same words with the value behind each placeholder."""
-    t = F.regexp_replace(text, _NAME, NAME + "$0")
-    t = F.regexp_replace(t, _NUMBER, f" {NUMBER}$0 ")
-    t = F.regexp_replace(t, rf"(?i)({NUMBER}[\p{{Nd}}.,]+ ) ?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 ")
-    return F.regexp_extract_all(F.lower(t), F.lit(rf"{NUMBER}[\p{{Nd}}.,]+|{UNIT}\S+|{_WORD}"), 0)
+def _kind(word: str) -> str:
+    """SQL for the template word: the mark of a slot, or the word itself."""
+    return f"if(substr({word}, 1, 1) in ('{NAME}', '{NUMBER}', '{UNIT}'), substr({word}, 1, 1), {word})"
+
+
+def templates(words_: str) -> Column:
+    """Words with placeholders in place of slot values."""
+    return F.expr(f"transform({words_}, w -> {_kind('w')})")
 
 
 def _windows(words: str, size: int) -> Column:
@@ -61,51 +63,46 @@ def _windows(words: str, size: int) -> Column:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """item_id, valued words, their number, window size; items too short to tell are left out."""
-    return (benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-            .select("item_id", valued_words(F.col("text")).alias("item"), template_words(F.col("text")).alias("words"))
-            .where((F.size("words") >= LEAST_WORDS) & (F.size("words") == F.size("item")))
-            .withColumn("n", F.size("words")).withColumn("width", F.least("n", F.lit(WINDOW))))
+    """item_id, words, template words, their number, window size; items too short to tell are left out."""
+    return (benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("item"))
+            .select("item_id", "item", templates("item").alias("t"), F.size("item").alias("n"))
+            .where(F.col("n") >= LEAST_WORDS).withColumn("width", F.least("n", F.lit(WINDOW))).distinct())
 
 
 def _anchors(items: DataFrame, width: int) -> DataFrame:
-    """(h, item_id, at) of windows one after the other, and of the last one."""
-    at = (items.where(F.col("width") == width).withColumn("h", _windows("words", width))
-          .select("item_id", "n", F.posexplode("h").alias("at", "h")))
-    return at.where(f"at % {width} = 0 or at = n - {width}").select("h", "item_id", "at")
-
-
-def _share() -> tuple[str, str, str]:
-    """SQL for the pairs of words that match when the item is laid along the text from ``start`` on, for
-    the slots among them, and for the share of the item that they make up, broken slots taken off."""
-    kind = "if(substr({0}, 1, 1) in ('%s', '%s', '%s'), substr({0}, 1, 1), {0})" % (NAME, NUMBER, UNIT)
-    laid = "zip_with(item, transform(sequence(0, n - 1), i -> get(words, start + i)), (x, y) -> struct(x, y))"
-    same = f"filter({laid}, p -> {kind.format('p.x')} = {kind.format('p.y')})"
-    slots = f"filter(same, p -> {kind.format('p.x')} != p.x)"
+    """(h, item_id, item, n, at) of windows one after the other, and of the last one."""
+    at = (items.where(F.col("width") == width).withColumn("h", _windows("t", width))
+          .select("item_id", "item", "n", F.posexplode("h").alias("at", "h")))
+    return at.where(f"at % {width} = 0 or at = n - {width}").select("h", "item_id", "item", "n", "at")
+
+
+def _share() -> Column:
+    """Share of the item's words that match those of ``laid``, the text's words at its place, less broken slots."""
+    same = f"filter(zip_with(item, laid, (x, y) -> struct(x, y)), p -> {_kind('p.x')} = {_kind('p.y')})"
+    slots = f"filter(same, p -> {_kind('p.x')} != p.x)"
+    # how often one value stands at several others, in either direction
     broken = ("2 * size(array_distinct(slots)) - size(array_distinct(transform(slots, p -> p.x)))"
               " - size(array_distinct(transform(slots, p -> p.y)))")
-    return same, slots, f"greatest(size(same) - ({broken}), 0) / n"
+    return F.expr(f"transform(array({same}), same -> transform(array({slots}), slots -> "
+                  f"greatest(size(same) - ({broken}), 0))[0])[0] / n")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, share) of every text and item with a common window."""
     items = item_table(benchmark)
-    sizes = {r.width: (r.items, r.words) for r in items.groupBy("width")
-             .agg(F.count("*").alias("items"), F.sum("n").alias("words")).collect()}
-    words_of = docs.select("doc_id", "text", template_words(F.col("text")).alias("t"))
-    same, slots, share = _share()
+    sizes = {r.width: r.words for r in items.groupBy("width").agg(F.sum("n").alias("words")).collect()}
+    text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    text = text.withColumn("t", templates("w"))
     out = None
-    for width, (_, words) in sorted(sizes.items()):
-        blocks = -(-words // BLOCK_WORDS)
+    for width, total in sorted(sizes.items()):
+        blocks = -(-total // BLOCK_WORDS)
         for block in range(blocks):
             part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-            places = words_of.select("doc_id", "text", F.posexplode(_windows("t", width)).alias("pos", "h"))
+            places = text.select("doc_id", "text_hash", "w", F.posexplode(_windows("t", width)).alias("pos", "h"))
             found = (places.join(F.broadcast(_anchors(part, width)), "h")
-                     .join(F.broadcast(part.select("item_id", "item", "n")), "item_id")
-                     .select("doc_id", "text", "item_id", "item", "n", (F.col("pos") - F.col("at")).alias("start"))
-                     .withColumn("words", valued_words(F.col("text")))
-                     .select("doc_id", F.xxhash64("text").alias("text_hash"), "item_id", "n", F.expr(same).alias("same"))
-                     .withColumn("slots", F.expr(slots)).withColumn("share", F.expr(share))
+                     .select("doc_id", "text_hash", "item_id", "item", "n",
+                             F.expr("transform(sequence(0, n - 1), i -> get(w, pos - at + i))").alias("laid"))
+                     .select("doc_id", "text_hash", "item_id", _share().alias("share"))
                      .groupBy("doc_id", "text_hash", "item_id").agg(F.max("share").alias("share")))
             out = found if out is None else out.unionByName(found)
     if out is None:
