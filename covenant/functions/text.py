@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from covenant import schemas as S
 
-# Unicode-aware whitespace: Python's str.split() and Java's isBlank/strip
-# treat U+00A0 and friends as whitespace; a plain \s does not.
-_WS = r"(?U)\s+"
-_STRIP = r"(?U)^\s+|\s+$"
+# White space as Java's ``Character.isWhitespace`` has it (used by strip and isBlank), and as Python's
+# ``str.split`` has it: that adds next line and the spaces that do not break.
+_JAVA_WS = r"\t-\r\x1c-\x20\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000"
+_PY_WS = _JAVA_WS + r"\x85\xa0\u2007\u202f"
+_STRIP = rf"^[{_JAVA_WS}]+|[{_JAVA_WS}]+$"
 
 
 def _c(col) -> Column:
@@ -22,12 +23,12 @@ def _c(col) -> Column:
 
 
 def strip(col) -> Column:
-    """Java ``String.strip()``: remove leading/trailing Unicode whitespace."""
+    """Java ``String.strip()``: remove leading/trailing white space."""
     return F.regexp_replace(_c(col), _STRIP, "")
 
 
 def is_blank(col) -> Column:
-    """Java ``isBlank`` / Python ``not s.strip()``; null counts as blank."""
+    """Java ``isBlank``; null counts as blank."""
     return F.coalesce(strip(col) == F.lit(""), F.lit(True))
 
 
@@ -55,8 +56,9 @@ def first_words(col, n: int = S.WORDS_PER_CLAUSE) -> Column:
     A regex captures the first ``n`` words and stops there, so a long text is
     never split into all its words; both functions stay in generated code.
     """
-    head = F.regexp_extract(_c(col), rf"(?U)^\s*(\S+(?:\s+\S+){{0,{n - 1}}})", 1)
-    return F.regexp_replace(head, _WS, " ")
+    word, gap = f"[^{_PY_WS}]+", f"[{_PY_WS}]+"
+    head = F.regexp_extract(_c(col), f"^[{_PY_WS}]*({word}(?:{gap}{word}){{0,{n - 1}}})", 1)
+    return F.regexp_replace(head, gap, " ")
 
 
 def risk_label(score) -> Column:
@@ -98,18 +100,31 @@ def short_hash(col) -> Column:
     return F.when(h.isNull(), F.lit("")).otherwise(F.concat(F.substring(h, 1, 12), F.lit("…")))
 
 
+def utf16_length(col) -> Column:
+    """Java ``length()``: UTF-16 units."""
+    return (F.octet_length(F.encode(_c(col), "UTF-16BE")) / 2).cast("int")
+
+
+def utf16_head(col, units: int) -> Column:
+    """Java ``substring(0, units)``; a pair that the cut would part ends as ``?``, as it does when stored."""
+    raw = F.encode(_c(col), "UTF-16BE")
+    parted = F.hex(F.substring(raw, 2 * units - 1, 1)).between("D8", "DB") & (F.octet_length(raw) > 2 * units)
+    return F.when(parted, F.concat(F.decode(F.substring(raw, 1, 2 * units - 2), "UTF-16BE"), F.lit("?"))) \
+        .otherwise(F.decode(F.substring(raw, 1, 2 * units), "UTF-16BE"))
+
+
 def clip_note(col) -> Column:
     """notes over 500 chars become the first 497 + '...'."""
     n = _c(col)
-    return F.when(F.length(n) > S.NOTE_LIMIT,
-                  F.concat(F.substring(n, 1, S.NOTE_LIMIT - 3), F.lit("..."))).otherwise(n)
+    return F.when(utf16_length(n) > S.NOTE_LIMIT,
+                  F.concat(utf16_head(n, S.NOTE_LIMIT - 3), F.lit("..."))).otherwise(n)
 
 
 def text_preview(file_name, text) -> Column:
     """preview only for .txt names (any case); long texts cut + marker."""
     t = _c(text)
-    cut = F.when(F.length(t) > S.PREVIEW_LIMIT,
-                 F.concat(F.substring(t, 1, S.PREVIEW_LIMIT), F.lit(S.PREVIEW_MARKER))).otherwise(t)
+    cut = F.when(utf16_length(t) > S.PREVIEW_LIMIT,
+                 F.concat(utf16_head(t, S.PREVIEW_LIMIT), F.lit(S.PREVIEW_MARKER))).otherwise(t)
     return F.when(F.lower(_c(file_name)).endswith(".txt"), cut)
 
 
@@ -202,10 +217,11 @@ def flagged_text(present) -> Column:
 
 
 def flagged_list(col) -> Column:
-    """F15 (read side): comma text -> trimmed list; null/blank -> []."""
+    """F15 (read side): comma text -> trimmed list; null/blank -> []; empty parts at the end are dropped
+    before trimming, as Java's ``split`` does."""
     c = _c(col)
     return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(c, ","), lambda x: strip(x)))
+        F.transform(F.filter(F.split(F.regexp_replace(c, ",+$", ""), ","), lambda x: c.rlike("[^,]")), lambda x: strip(x)))
 
 
 # ---- F16, F17 -------------------------------------------------------------
@@ -248,15 +264,23 @@ def token_count(col) -> Column:
     return F.size(tokens(col)) + F.lit(SPECIAL_TOKENS)
 
 
-def token_budget(col, max_len: int = S.MAX_TOKENS, vocab_size: int = 30522) -> Column:
+def token_ids(toks, vocabulary=None, unknown: int = 100, vocab_size: int = 30522) -> Column:
+    """Ids of tokens: from ``vocabulary`` (a map column, token -> id; others get ``unknown``), or without
+    one from a hash into the ids above the special ones."""
+    if vocabulary is None:
+        return F.transform(toks, lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab_size - 1000)) + 1000).cast("int"))
+    v = _c(vocabulary)
+    return F.transform(toks, lambda t: F.coalesce(F.try_element_at(v, t), F.lit(unknown)).cast("int"))
+
+
+def token_budget(col, max_len: int = S.MAX_TOKENS, vocabulary=None) -> Column:
     """struct(n_tokens, truncated, input_ids, attention_mask).
 
-    Ids come from a hashing vocabulary (101/102 are the special tokens);
-    sequences are truncated to ``max_len`` and padded with 0.
+    101 and 102 are the special tokens at the ends; sequences are truncated to
+    ``max_len`` and padded with 0. ``vocabulary`` is as in ``token_ids``.
     """
     toks = tokens(col)
-    body = F.slice(F.transform(toks, lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab_size - 1000)) + 1000).cast("int")),
-                   1, max_len - SPECIAL_TOKENS)
+    body = token_ids(F.slice(toks, 1, max_len - SPECIAL_TOKENS), vocabulary)
     ids = F.concat(F.array(F.lit(101)), body, F.array(F.lit(102)))
     pad = F.greatest(F.lit(max_len) - F.size(ids), F.lit(0))
     n = F.size(toks) + F.lit(SPECIAL_TOKENS)
@@ -276,7 +300,7 @@ def java_round(col) -> Column:
 
 
 def rule_phrase(n_present, rule_label_col) -> Column:
-    return F.concat(_c(n_present).cast("string"), F.lit(f" of {len(S.RISK_CLAUSES)} risk clauses present (rule label "),
+    return F.concat(_c(n_present).cast("string"), F.lit(S.RULE_PHRASE.format(len(S.RISK_CLAUSES))),
                     _c(rule_label_col), F.lit(")"))
 
 
@@ -285,9 +309,9 @@ def classification_note(n_present, rule_label_col, model_input, pred_label, pred
     rule = rule_phrase(n_present, rule_label_col)
     return (F.when(is_blank(model_input), F.concat(F.lit(S.MSG_NO_MODEL_INPUT), rule, F.lit(".")))
             .when(_c(pred_label).isNull(), F.concat(F.lit(S.MSG_NO_CLASSIFIER), rule, F.lit(".")))
-            .otherwise(F.concat(F.lit("Model predicted "), _c(pred_label), F.lit(" ("),
+            .otherwise(F.concat(F.lit(S.MSG_PREDICTED), _c(pred_label), F.lit(" ("),
                                 java_round(_c(pred_conf) * 100).cast("string"),
-                                F.lit("% confidence). "), rule, F.lit("."))))
+                                F.lit(S.MSG_CONFIDENCE), rule, F.lit("."))))
 
 
 def text_length(col) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from covenant import schemas as S
 from covenant.functions import text as X
 from covenant.operators import metrics as M
+from covenant.session import materialize
 
 NUM_FEATURES = 1 << 18
 
@@ -43,18 +44,22 @@ def model_frame(risk: DataFrame, weights=S.CLASS_WEIGHTS, max_len: int = S.MAX_T
     )
 
 
+def feature_stages() -> list:
+    return [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=NUM_FEATURES),
+            IDF(inputCol="tf", outputCol="features")]
+
+
+def classifier(reg: float, max_iter: int, weight: str = "weight") -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="labels", weightCol=weight, family="multinomial",
+                              regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=True)
+
+
 def train_weighted(train: DataFrame, reg: float = 0.01, max_iter: int = 50) -> PipelineModel:
     """M1: fit the weighted multinomial classifier on a model frame."""
-    pipe = Pipeline(stages=[
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=NUM_FEATURES),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="labels", weightCol="weight", family="multinomial",
-                           regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=True),
-    ])
-    return pipe.fit(train)
+    return Pipeline(stages=[*feature_stages(), classifier(reg, max_iter)]).fit(train)
 
 
-def score_batch(model: PipelineModel, frame: DataFrame) -> DataFrame:
+def score_batch(model: Transformer, frame: DataFrame) -> DataFrame:
     """M3: risk_label, confidence, probabilities, truncated per row (F16 rounding)."""
     p = model.transform(frame).withColumn("probs", vector_to_array("probability"))
     best = F.array_position("probs", F.array_max("probs"))
@@ -115,19 +120,18 @@ def weight_sweep(train_frame: DataFrame, valid_frame: DataFrame, grid=WEIGHT_GRI
     the setting with the highest macro F1 (ties: higher High recall, then grid
     order). Each fit is a distributed job; the grid itself is a short list.
     """
-    rows = None
+    features = Pipeline(stages=feature_stages()).fit(train_frame)        # once for all settings
+    train = materialize(features.transform(train_frame).select("features", "labels"))
+    valid = materialize(features.transform(valid_frame).select("title", "features", "labels", "truncated"))
+    found = []
     for i, w in enumerate(grid):
         wcol = F.try_element_at(F.array(*[F.lit(x) for x in w]), F.col("labels").cast("int") + 1)
-        model = train_weighted(train_frame.withColumn("weight", wcol), reg=reg, max_iter=max_iter)
+        model = classifier(reg, max_iter).fit(train.withColumn("weight", wcol))
         rep = M.classification_report(
-            score_batch(model, valid_frame).select(F.col("labels").cast("int").alias("actual"), "predicted"))
-        r = rep.groupBy().agg(
-            F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("macro_f1"),
-            F.max(F.when(F.col("row") == "High", F.col("recall"))).alias("high_recall"),
-        ).select(F.lit(i).alias("setting"), F.lit(",".join(str(x) for x in w)).alias("weights"), "macro_f1",
-                 "high_recall")
-        rows = r if rows is None else rows.unionByName(r)
-    best = rows.orderBy(F.desc("macro_f1"), F.desc("high_recall"), "setting").limit(1).select(
-        F.col("setting").alias("_best"))
-    return rows.join(F.broadcast(best), F.col("setting") == F.col("_best"), "left") \
-        .withColumn("best", F.col("_best").isNotNull()).drop("_best")
+            score_batch(model, valid).select(F.col("labels").cast("int").alias("actual"), "predicted"))
+        r = rep.agg(F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("f1"),
+                    F.max(F.when(F.col("row") == "High", F.col("recall"))).alias("recall")).first()
+        found.append((i, ",".join(str(x) for x in w), r.f1, r.recall))
+    best = max(found, key=lambda r: (r[2] or 0.0, r[3] or 0.0, -r[0]))[0]
+    return train_frame.sparkSession.createDataFrame(
+        [(*r, r[0] == best) for r in found], "setting int, weights string, macro_f1 double, high_recall double, best boolean")

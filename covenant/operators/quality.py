@@ -31,7 +31,7 @@ def _rules_to_rows(agg: DataFrame, names: list[str]) -> DataFrame:
     return agg.select(stack.alias("r")).select("r.*")
 
 
-def domain_checks(docs: DataFrame, log: DataFrame, users: DataFrame) -> DataFrame:
+def domain_checks(docs: DataFrame, log: DataFrame, users: DataFrame, versions: DataFrame) -> DataFrame:
     """Violations per CHECK / NOT NULL rule."""
     d_rules = {
         "documents.status": _in_or_null("status", _STATUS),
@@ -49,8 +49,11 @@ def domain_checks(docs: DataFrame, log: DataFrame, users: DataFrame) -> DataFram
         "users.name not null": F.col("name").isNull(),
         "users.email not null": F.col("email").isNull(),
     }
+    v_rules = {f"versions.{c} not null": F.col(c).isNull()
+               for c in ("document_id", "version_number", "storage_key", "submitted_by")}
+    v_rules["versions.storage_key length"] = F.length("storage_key") > S.KEY_LIMIT
     parts = []
-    for df, rules in ((docs, d_rules), (log, l_rules), (users, u_rules)):
+    for df, rules in ((docs, d_rules), (log, l_rules), (users, u_rules), (versions, v_rules)):
         agg = df.agg(*[F.count_if(c).alias(f"r{i}") for i, c in enumerate(rules.values())])
         parts.append(_rules_to_rows(agg, list(rules)))
     return reduce(DataFrame.unionByName, parts)
@@ -108,6 +111,9 @@ DOMAIN_SQL = "\nUNION ALL\n".join([
     _nn("users.role", f"role IS NULL OR role NOT IN {in_list(_ROLE)}", "fx_users"),
     _nn("users.name not null", "name IS NULL", "fx_users"),
     _nn("users.email not null", "email IS NULL", "fx_users"),
+    *(_nn(f"versions.{c} not null", f"{c} IS NULL", "vk")
+      for c in ("document_id", "version_number", "storage_key", "submitted_by")),
+    _nn("versions.storage_key length", f"length(storage_key) > {S.KEY_LIMIT}", "vk"),
 ])
 
 

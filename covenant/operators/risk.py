@@ -141,11 +141,6 @@ def clause_matrix(qa: DataFrame, clause_values: list[str] | None = None) -> Data
     return wide.fillna(False, subset=cols)
 
 
-def clause_long(qa: DataFrame) -> DataFrame:
-    """A1 in long form: one row per (title, clause) with has_clause = max."""
-    return flag_rows(qa).groupBy("title", "clause").agg(F.max("has_clause").alias("has_clause"))
-
-
 def matrix_shape(qa: DataFrame) -> DataFrame:
     """A2: number of contracts and clause columns of the matrix."""
     f = flag_rows(qa).select("title", "clause")

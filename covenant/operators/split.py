@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from covenant import schemas as S
 from covenant.functions import text as X
+from covenant.session import materialize
 
 BUCKET_HEX = 4  # 65,536 buckets per group
 
@@ -38,8 +39,6 @@ def smallest_per_group(df: DataFrame, group: str, key: str, tie: str, quotas,
     than one histogram bucket of one group. ``df`` is scanned more than once:
     pass a materialised frame.
     """
-    from covenant.session import materialize
-
     b = df.withColumn("_b", F.substring(F.col(key), 1, BUCKET_HEX))
     hist = b.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     if callable(quotas):
@@ -120,24 +119,24 @@ def class_balanced_sample(df: DataFrame, per_class: int, seed: int = S.SAMPLE_SE
     return flagged.where("_pick").drop("_pick", "_key")
 
 
-def split_gate(split: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Test-label counts against the expected ones; ``ok`` per label.
-
-    In job mode ``assert_gate`` raises when any row is not ok.
-    """
+def split_gate(split: DataFrame, expected: DataFrame) -> DataFrame:
+    """Test-label counts against a given table (risk_label, quota); ``ok`` per label."""
     actual = split.where(F.col("split") == "test").groupBy("risk_label").agg(F.count(F.lit(1)).alias("actual"))
-    e = quotas.select("risk_label", F.col("quota").alias("expected"))
+    e = expected.select("risk_label", F.col("quota").alias("expected"))
     j = e.join(actual, "risk_label", "full_outer")
     return j.select("risk_label", F.coalesce("expected", F.lit(0)).alias("expected"),
                     F.coalesce("actual", F.lit(0)).alias("actual"),
                     (F.coalesce("expected", F.lit(0)) == F.coalesce("actual", F.lit(0))).alias("ok"))
 
 
-def assert_gate(gate: DataFrame, what: str) -> None:
-    """Raise when a gate has failing rows (one small aggregate)."""
-    bad = gate.where(~F.col("ok")).limit(5).collect()
+def gated_split(split: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """A17 in job mode: ``split`` itself, or an error that names the labels whose counts differ."""
+    table = split.sparkSession.createDataFrame(list(expected.items()), "risk_label string, quota long")
+    bad = split_gate(split, table).where(~F.col("ok")).collect()          # at most one row per label
     if bad:
-        raise ValueError(f"{what} failed: {bad}")
+        raise ValueError("test split differs from the expected one: " + ", ".join(
+            f"{r.risk_label} {r.actual} instead of {r.expected}" for r in sorted(bad, key=str)))
+    return split
 
 
 def clause_gate(risk: DataFrame, first_risk_answers: DataFrame) -> DataFrame:
@@ -171,23 +170,79 @@ def safe_base(col) -> F.Column:
     return F.when(c == "", F.lit("contract")).otherwise(c)
 
 
-def safe_ids(df: DataFrame, title: str, order: str) -> DataFrame:
-    """Unique ids, second and later repeats of a base get ``_2``, ``_3`` in input order.
+def order_bucket(df: DataFrame, order: str) -> F.Column:
+    """A coarsening of ``order`` that keeps its order: blocks of numbers, or the first characters of texts."""
+    kind = dict(df.dtypes)[order]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.floor(F.col(order) / 4096)
+    if kind == "string":
+        return F.substring(order, 1, 3)
+    raise ValueError(f"no order blocks for {order} of type {kind}")
+
 
-    Repeats are numbered with a window per base (bounded by the number of
-    repeats of one base). ``id_conflict`` flags the rare case where a
-    generated ``base_k`` equals another row's natural base.
+def safe_ids(df: DataFrame, title: str, order: str) -> DataFrame:
+    """Unique ids. In input order, a row gets its base, or the first of ``base_2``, ``base_3``, … that no
+    earlier row has.
+
+    The last ``_k`` of an id tells its base, so an id can be wanted twice only
+    as another base's own name (titles ``a``, ``a``, ``a_2``). Repeats are
+    numbered by an exact rank; for the few bases that look like another base
+    with a number, the order of the two decides, from the shortest names on:
+    the base's rows skip the number when the other name came first, and the
+    other name counts as given away when they reached the number first.
     """
-    from covenant.operators.workflow import exact_rank
+    from covenant.operators.replay import exact_rank
 
     b = df.withColumn("_base", safe_base(title))
-    # Repeats are numbered by an exact rank computed per block of the input
-    # order, so a base shared by many rows is not ranked in one task.
-    b = exact_rank(b, "_base", [order], F.floor(F.col(order).cast("double") / 4096), "_rn")
-    b = b.withColumn("safe_id", F.when(F.col("_rn") == 1, F.col("_base"))
-                     .otherwise(F.concat(F.col("_base"), F.lit("_"), F.col("_rn").cast("string"))))
-    dups = b.groupBy("safe_id").agg((F.count(F.lit(1)) > 1).alias("id_conflict"))
-    return b.join(dups, "safe_id").drop("_base", "_rn")
+    b = exact_rank(b, "_base", [order], order_bucket(df, order), "_rn")
+    bases = b.groupBy("_base").agg(F.min(order).alias("_first"))
+    # contested names: base + "_" + number, where that base has rows
+    named = bases.select(F.col("_base").alias("_name"), "_first",
+                         F.regexp_extract("_base", r"^(.+)_([1-9][0-9]{0,8})$", 1).alias("_of"),
+                         F.regexp_extract("_base", r"^(.+)_([1-9][0-9]{0,8})$", 2).alias("_k"))
+    named = named.where("_of != ''").withColumn("_k", F.col("_k").cast("int")).where("_k > 1")
+    contested = named.join(bases.select(F.col("_base").alias("_of")), "_of")
+    places = Window.partitionBy("_of").orderBy("_k")
+    contested = materialize(contested.withColumn("_i", F.row_number().over(places)))
+    # the order of the rows that may reach a contested number: each one before may have been skipped
+    reach = contested.select("_of", "_k", "_first", F.explode(
+        F.sequence(F.greatest(F.col("_k") - F.col("_i") - 1, F.lit(1)), F.col("_k"))).alias("_rn"))
+    at = b.select(F.col("_base").alias("_of"), "_rn", F.col(order).alias("_at"))
+    reach = materialize(reach.join(at, ["_of", "_rn"], "left").groupBy("_of", "_k").agg(
+        F.first("_first").alias("_first"),
+        F.array_sort(F.collect_list(F.struct("_rn", "_at"))).alias("_rows")))
+    lists = reach.groupBy("_of").agg(F.array_sort(F.collect_list(F.struct("_k", "_first", "_rows"))).alias("_c"))
+    state = "struct<gone:int,skip:array<int>,lost:array<int>>"
+
+    def decide(a, c):
+        # the row that reaches number k, if there is one, comes before or after the first row of that name
+        rank = c.getField("_k") - a.getField("gone")
+        row = F.get(F.filter(c.getField("_rows"), lambda r: r.getField("_rn") == rank), 0).getField("_at")
+        ours = F.coalesce(row < c.getField("_first"), F.lit(False))
+        theirs = F.coalesce(row > c.getField("_first"), F.lit(False))
+        return F.struct((a.getField("gone") + theirs.cast("int")).alias("gone"),
+                        F.concat(a.getField("skip"), F.when(theirs, F.array(c.getField("_k"))).otherwise(F.array().cast("array<int>"))).alias("skip"),
+                        F.concat(a.getField("lost"), F.when(ours, F.array(c.getField("_k"))).otherwise(F.array().cast("array<int>"))).alias("lost"))
+
+    none = F.array().cast("array<int>")
+    lost = df.sparkSession.createDataFrame([], "_of string")    # names that another base's rows reached first
+    while True:
+        gone = F.when(F.col("_l").isNotNull(), 1).otherwise(0)
+        start = F.struct(gone.alias("gone"), none.alias("skip"), none.alias("lost")).cast(state)
+        decided = materialize(lists.join(lost.select("_of", F.lit(1).alias("_l")), "_of", "left")
+                              .select("_of", gone.alias("_gone"), F.aggregate("_c", start, decide).alias("_d")))
+        now = materialize(decided.select(F.explode("_d.lost").alias("k"), "_of")
+                          .select(F.concat_ws("_", "_of", "k").alias("_of")))
+        if now.exceptAll(lost).isEmpty() and lost.exceptAll(now).isEmpty():
+            break
+        lost = now                                              # one more link of a chain of names is settled
+    b = (b.join(decided.select(F.col("_of").alias("_base"), F.col("_d.skip").alias("_skip")), "_base", "left")
+         .join(lost.select(F.col("_of").alias("_base"), F.lit(1).alias("_l")), "_base", "left"))
+    k = F.aggregate(F.coalesce("_skip", none), F.col("_rn") + F.coalesce("_l", F.lit(0)),
+                    lambda n, x: n + (x <= n).cast("int"))
+    return (b.withColumn("_k", k)
+            .withColumn("safe_id", F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", "_k")))
+            .select(*df.columns, "safe_id"))
 
 
 def of_picked(df: DataFrame, picked: DataFrame) -> DataFrame:
@@ -205,15 +260,15 @@ def picked_rows(qa_flags: DataFrame, picked: DataFrame) -> DataFrame:
     return of_picked(qa_flags, picked)
 
 
-def export_records(picked: DataFrame, qa: DataFrame) -> DataFrame:
-    """One export record per sampled contract (score, label, clauses in fixed order, text).
+def export_records(picked: DataFrame, qa: DataFrame, sampled: bool = True) -> DataFrame:
+    """One export record per contract (score, label, clauses in fixed order, text).
 
-    The QA rows are restricted to the sample first, so first answers and
-    contexts are computed for the sampled contracts only.
+    With a small sample the QA rows are restricted to it first, so first
+    answers and contexts are computed for the sampled contracts only.
     """
     from covenant.operators.risk import first_answers, first_context
 
-    sub = of_picked(qa, picked)
+    sub = of_picked(qa, picked) if sampled else qa
     order = F.array_position(F.array(*[F.lit(c) for c in S.RISK_CLAUSES]), F.col("clause"))
     cl = (first_answers(sub, risk_only=True).groupBy("title")
           .agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "clause", "snippet"))).alias("cl")))

@@ -9,27 +9,23 @@ Scale notes
   document; dimensions (statuses, actions, roles: a handful of rows) are the
   only broadcasts. Users and documents are joined with ordinary equi-joins
   so Catalyst/AQE choose the strategy by measured size.
-- The lifecycle replay is order dependent. Each status-moving action is a
-  function on the five statuses, and function composition is associative,
-  so the log is folded in (document, hour) chunks in parallel and the chunk
-  functions are then composed in time order per document. A document with a
-  huge log never needs one sorted list of all its actions.
+- Replays (W6, W7, P8, C3–C7) are order dependent. An event is a function on
+  a few states, so bounded blocks of events are folded side by side and their
+  functions composed (see ``replay``); no list grows with a hot document.
 - Version numbering ranks submissions per document. The rank is computed as
   (rows in earlier minute buckets of the document) + (rank within the
   minute), so no task sorts all versions of a hot document.
-- Per-action outputs (W7, P8, the command replay) need the state before each
-  action. Chunks of up to SMALL_CHUNK events are folded sequentially; larger
-  chunks (a hot document) get inclusive prefix compositions from a parallel
-  scan, O(k log k). The plan is chosen from the measured largest chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant import schemas as S
 from covenant.functions import text as X
+from covenant.operators.replay import Replay, exact_rank, minute_bucket
+from covenant.session import materialize
 
 STATUS_NAMES = [s for s, _ in S.STATUSES]
 _STATUS_LABEL = dict(S.STATUSES)
@@ -123,14 +119,20 @@ def recent_audit(log: DataFrame, docs: DataFrame, users: DataFrame, n: int = 300
     """The latest ``n`` log rows (timestamp desc, id desc) with document and actor.
 
     Top-k first (TakeOrderedAndProject: per-partition top-n, then a merge of
-    n rows per partition), then the joins on n rows only.
+    n rows per partition). Documents and users are cut to the keys of these n
+    rows by a broadcast before anything is shuffled, and the rows sorted again.
     """
-    top = log.orderBy(F.desc("action_ts"), F.desc("log_id")).limit(n)
-    d = docs.select("document_id", "file_name")
-    u = users.select("user_id", F.col("name").alias("_actor"))
-    j = top.join(d, "document_id", "left").join(u, "user_id", "left")
+    newest = [F.desc("action_ts"), F.desc("log_id")]
+    top = materialize(log.orderBy(*newest).limit(n))             # n rows, used three times
+
+    def of_top(dim, key, name):
+        keys = F.broadcast(top.select(key).where(F.col(key).isNotNull()).distinct())
+        return F.broadcast(dim.select(key, name).join(keys, key, "left_semi"))
+
+    u = of_top(users, "user_id", "name").select("user_id", F.col("name").alias("_actor"))
+    j = top.join(of_top(docs, "document_id", "file_name"), "document_id", "left").join(u, "user_id", "left")
     return j.select("log_id", "action_ts", "document_id", "file_name", "action",
-                    F.coalesce(F.col("_actor"), F.lit(system_actor)).alias("actor_name"), "notes")
+                    F.coalesce(F.col("_actor"), F.lit(system_actor)).alias("actor_name"), "notes").orderBy(*newest)
 
 
 def document_trail(log: DataFrame, document_id=None) -> DataFrame:
@@ -152,32 +154,8 @@ def user_by_email(requests: DataFrame, users: DataFrame, col: str = "email") ->
     return r.join(u, "_key", "left").drop("_key").withColumn("matched", F.col("user_id").isNotNull())
 
 
-def unmatched_emails(requests: DataFrame, users: DataFrame, col: str = "email") -> DataFrame:
-    """J7 rejects: requests with no user (left_anti)."""
-    u = users.select(F.lower("email").alias("_key"))
-    return requests.withColumn("_key", F.lower(col)).join(u, "_key", "left_anti").drop("_key")
-
-
 # ---- versions: W1, W2, T3 --------------------------------------------------
 
-def exact_rank(df: DataFrame, part: str, order: list, bucket: F.Column, name: str) -> DataFrame:
-    """Exact ``row_number`` over ``part`` ordered by ``order``, computed per bucket.
-
-    ``bucket`` must be a monotone coarsening of the first ordering column.
-    rank = rows of the same ``part`` in earlier buckets + rank inside the bucket.
-    The window over bucket counts sees one row per (part, bucket).
-    """
-    b = df.withColumn("_bk", bucket)
-    counts = b.groupBy(part, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy(part, "_bk").orderBy(*order))
-    return (b.withColumn("_r", inner)
-            .join(counts.select(part, "_bk", "_before"), [part, "_bk"], "inner")
-            .withColumn(name, (F.col("_before") + F.col("_r")).cast("int"))
-            .drop("_bk", "_r", "_before"))
-
-
 VERSION_ORDER = ["submitted_at", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -186,8 +164,7 @@ def assign_versions(versions: DataFrame, order: list | None = None) -> DataFrame
     order = order or VERSION_ORDER
     # Minute buckets: the running count over buckets is linear, so fine buckets
     # cost little and bound the rows ranked together.
-    minute = F.date_format(F.col(order[0]).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm")
-    return exact_rank(versions, "document_id", order, minute, "version_number")
+    return exact_rank(versions, "document_id", order, minute_bucket(order[0]), "version_number")
 
 
 def current_version(versions: DataFrame, order: list | None = None) -> DataFrame:
@@ -233,166 +210,31 @@ def _legal(s, t) -> F.Column:
 
 
 def _step(s, t) -> F.Column:
-    return F.when(_legal(s, t), t).otherwise(s)
-
-
-def hour_bucket(col) -> F.Column:
-    """Hour of a wall-clock timestamp as a sortable string; independent of the session time zone."""
-    return F.date_format(F.col(col).cast("timestamp_ntz"), "yyyy-MM-dd HH")
-
-
-def _identity() -> F.Column:
-    return F.array(*[F.lit(i) for i in range(len(STATUS_NAMES))])
-
-
-# Chunks up to this many events are folded sequentially; larger ones use the scan.
-SMALL_CHUNK = 64
-
-
-def chunk_stats(events: DataFrame, key: str, bucket: F.Column) -> tuple[int, int]:
-    """(most events in one (key, bucket) chunk, most days one key spans).
-
-    One small aggregate job; two numbers go to the driver. They pick the plan:
-    small chunks and short histories use the sequential fold and a window;
-    larger ones use the parallel scan with just enough passes.
-    """
-    per = events.groupBy(key, bucket.alias("_bk")).agg(F.count(F.lit(1)).alias("_n"))
-    per_key = per.groupBy(key).agg(F.max("_n").alias("_m"),
-                                   F.count_distinct(F.substring("_bk", 1, 10)).alias("_d"))
-    r = per_key.agg(F.max("_m").alias("m"), F.max("_d").alias("d")).first()
-    return int(r["m"] or 0), int(r["d"] or 0)
-
-
-def scan_steps(max_len: int) -> int:
-    return max(1, (max(max_len, 1) - 1).bit_length())
-
-
-def inclusive_scan(df: DataFrame, arr: str, out: str, compose, steps: int = 31) -> DataFrame:
-    """Inclusive prefix compositions of an array of functions (Hillis–Steele scan).
-
-    After pass d, element i holds the composition of elements
-    max(0, i - 2^(d+1) + 1) .. i (earlier first). Each pass is one
-    ``transform``; passes beyond the array's length are skipped by the size
-    guard, so a chunk of k functions costs O(k log k), never O(k^2).
-    ``compose(first, then)`` returns the function "first, then then".
-    """
-    def pass_fn(prev, off):
-        return lambda f, i: F.when(i >= off, compose(F.element_at(prev, i - off + 1), f)).otherwise(f)
-
-    df = df.withColumn(out, F.col(arr))
-    for d in range(steps):
-        off = 1 << d
-        prev = F.col(out)
-        df = df.withColumn(out, F.when(F.size(prev) > off, F.transform(prev, pass_fn(prev, off))).otherwise(prev))
-    return df
-
-
-def prefix_enter(chunks: DataFrame, key: str, start: F.Column, identity: F.Column, apply,
-                 max_days: int = 0) -> DataFrame:
-    """Value entering each chunk: earlier chunks' functions composed in order.
-
-    ``chunks`` has ``key``, ``_bk`` (a 'yyyy-MM-dd HH...' bucket string) and
-    ``fn``; ``apply(value, fn)`` runs one function on a value and
-    ``identity`` is the function that changes nothing. Two levels keep every
-    list bounded: chunk functions are composed into one function per day;
-    a window over days gives the value entering each day; a window over the
-    chunks of one day (at most 24 hourly chunks) finishes the prefix.
-    """
-    def compose(f, g):
-        return F.transform(f, lambda v: apply(v, g))
-
-    c = chunks.withColumn("_day", F.substring("_bk", 1, 10)).withColumn("_start", start)
-    days = (c.groupBy(key, "_day").agg(F.array_sort(F.collect_list(F.struct("_bk", "fn"))).alias("_fs"),
-                                       F.any_value("_start").alias("_start"))   # constant per key
-            .select(key, "_day", "_start",
-                    F.aggregate("_fs", identity, lambda acc, x: compose(acc, x.getField("fn"))).alias("_dfn")))
-    if max_days <= SMALL_CHUNK:
-        wd = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-        days = days.withColumn("_dprev", F.collect_list("_dfn").over(wd)) \
-            .select(key, "_day", F.aggregate("_dprev", F.col("_start"), apply).alias("_enter_day"))
-    else:
-        # Long histories: the day functions of a key (one per day, not per
-        # event) are scanned in O(D log D) instead of a quadratic window.
-        per = (days.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_day", "_dfn"))).alias("_ds"),
-                                     F.any_value("_start").alias("_start"))
-               .withColumn("_fns", F.transform("_ds", lambda x: x.getField("_dfn"))))
-        per = inclusive_scan(per, "_fns", "_pre", compose, steps=scan_steps(max_days))
-        days = per.select(key, "_start", "_pre", F.posexplode("_ds").alias("_i", "_d")).select(
-            key, F.col("_d").getField("_day").alias("_day"),
-            F.when(F.col("_i") == 0, F.col("_start"))
-            .otherwise(apply(F.col("_start"), F.element_at("_pre", F.col("_i").cast("int")))).alias("_enter_day"))
-    wc = Window.partitionBy(key, "_day").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_cprev", F.collect_list("fn").over(wc)).join(days, [key, "_day"])
-    return c.withColumn("enter", F.aggregate("_cprev", F.col("_enter_day"), apply)) \
-        .drop("_day", "_cprev", "_enter_day", "_start")
+    return F.when(_legal(s, t), t).otherwise(s)       # a null target moves nothing
 
 
 def _apply_status(s, fn) -> F.Column:
     return F.element_at(fn, s + 1)
 
 
-def tried_moves(log: DataFrame) -> DataFrame:
-    """Status-moving log rows with their target status index."""
-    target = _case(F.col("action"), _MOVE_TARGET)
-    return log.where(target.isNotNull()).select(
-        "document_id", "log_id", "action", "action_ts", _sid(target).alias("target"))
+def _status_replay(log: DataFrame, fields: list[str]) -> Replay:
+    """Replay of log rows on the five statuses; rows that move nothing have a null target."""
+    events = log.select("document_id", "log_id", "action", "action_ts",
+                        _sid(_case(F.col("action"), _MOVE_TARGET)).alias("target"))
+    identity = F.array(*[F.lit(i) for i in range(len(STATUS_NAMES))])
+    return Replay(events, "document_id", ["action_ts", "log_id"], minute_bucket("action_ts"), fields, identity,
+                  lambda s, x: _step(s, x.getField("target")), _apply_status,
+                  counted=lambda x: x.getField("target").isNotNull())
 
 
-def lifecycle_steps_per_action(log: DataFrame, bucket: F.Column | None = None) -> DataFrame:
-    """W6/W7 core: every tried move with the status before it and whether it was legal.
-
-    1. per (document, bucket): the chunk's actions sorted, each action's
-       transition function (5 next-status indices), and their inclusive
-       prefix compositions by a parallel scan (the last one is the chunk's
-       function);
-    2. per document: chunk functions composed in order give the status
-       entering each chunk (two-level, see ``prefix_enter``);
-    3. the status before action i is prefix i-1 applied to that status.
-    """
-    moves = tried_moves(log)
-    bucket = bucket if bucket is not None else hour_bucket("action_ts")
-    chunks = (moves.withColumn("_bk", bucket)
-              .groupBy("document_id", "_bk")
-              .agg(F.array_sort(F.collect_list(F.struct("action_ts", "log_id", "target", "action"))).alias("acts")))
-    # Small chunks: one sequential fold (bounded by SMALL_CHUNK). Large chunks
-    # (a hot document): inclusive prefixes by the parallel scan.
-    kmax, dmax = chunk_stats(moves, "document_id", bucket)
-    small = chunks.where(F.size("acts") <= SMALL_CHUNK) if kmax > SMALL_CHUNK else chunks
-    small = small.withColumn(
-        "fn", F.aggregate("acts", _identity(),
-                          lambda acc, x: F.transform(acc, lambda st: _step(st, x.getField("target"))))) \
-        .withColumn("pre", F.lit(None).cast("array<array<int>>"))
-    if kmax > SMALL_CHUNK:
-        large = chunks.where(F.size("acts") > SMALL_CHUNK).withColumn("fns", F.transform(
-            "acts", lambda x: F.transform(_identity(), lambda st: _step(st, x.getField("target")))))
-        large = inclusive_scan(large, "fns", "pre", lambda f, g: F.transform(f, lambda st: _apply_status(st, g)),
-                               steps=scan_steps(kmax))
-        small = small.unionByName(large.withColumn("fn", F.element_at("pre", -1)).drop("fns"))
-    # Status entering each chunk: earlier chunks composed in order, from Draft (0).
-    chunks = prefix_enter(small, "document_id", F.lit(0), _identity(), _apply_status, max_days=dmax)
-
-    def record(x, before):
-        t = x.getField("target")
-        return F.struct(x.getField("log_id").cast("bigint").alias("log_id"), x.getField("action").alias("action"),
-                        before.alias("from_s"), t.alias("to_s"), _legal(before, t).alias("legal"))
-
-    def per_action(x, i):
-        return record(x, F.when(i == 0, F.col("enter")).otherwise(_apply_status(F.col("enter"),
-                                                                              F.element_at("pre", i))))
-
-    rec_t = "array<struct<log_id:bigint,action:string,from_s:int,to_s:int,legal:boolean>>"
-    init = F.struct(F.col("enter").alias("s"), F.array().cast(rec_t).alias("out"))
-
-    def fold(acc, x):
-        st = acc.getField("s")
-        return F.struct(_step(st, x.getField("target")).alias("s"),
-                        F.concat(acc.getField("out"), F.array(record(x, st))).alias("out"))
-
-    out = F.when(F.col("pre").isNull(), F.aggregate("acts", init, fold).getField("out")) \
-        .otherwise(F.transform("acts", per_action))
-    ex = chunks.select("document_id", F.inline(out))
-    return ex.select("document_id", "log_id", "action", _sname(F.col("from_s")).alias("from_status"),
-                     _sname(F.col("to_s")).alias("to_status"), "legal")
+def lifecycle_steps_per_action(log: DataFrame) -> DataFrame:
+    """W6/W7 core: every tried move with the status before it and whether it was legal."""
+    r = _status_replay(log, ["log_id", "action", "target"]).states("int", F.lit(0))
+    x, before = F.col("x"), F.col("enter")
+    to = x.getField("target")
+    return r.where(to.isNotNull()).select(
+        "document_id", x.getField("log_id").cast("bigint").alias("log_id"), x.getField("action").alias("action"),
+        _sname(before).alias("from_status"), _sname(to).alias("to_status"), _legal(before, to).alias("legal"))
 
 
 def move_message(from_status, to_status) -> F.Column:
@@ -402,26 +244,12 @@ def move_message(from_status, to_status) -> F.Column:
 
 
 def lifecycle_fold(log: DataFrame) -> DataFrame:
-    """Current status per document by composing chunk functions in time order.
+    """Current status per document and the number of moves tried, from one scan of the log.
 
     Every document in the log appears; documents without a legal move stay Draft.
     """
-    moves = tried_moves(log).withColumn("_bk", hour_bucket("action_ts"))
-    chunks = (moves.groupBy("document_id", "_bk")
-              .agg(F.array_sort(F.collect_list(F.struct("action_ts", "log_id", "target"))).alias("acts"),
-                   F.count(F.lit(1)).alias("n")))
-    chunks = chunks.withColumn(
-        "fn", F.aggregate("acts", _identity(),
-                          lambda acc, x: F.transform(acc, lambda s: _step(s, x.getField("target")))))
-    per_doc = chunks.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("_bk", "fn"))).alias("fns"), F.sum("n").alias("n_tried"))
-    final = per_doc.select("document_id", "n_tried",
-                           F.aggregate("fns", F.lit(0), lambda s, c: F.element_at(c.getField("fn"), s + 1))
-                           .alias("s"))
-    docs = log.select("document_id").distinct()
-    out = docs.join(final, "document_id", "left")
-    return out.select("document_id", F.coalesce(_sname(F.col("s")), F.lit("Draft")).alias("status"),
-                      F.coalesce(F.col("n_tried"), F.lit(0)).alias("n_tried"))
+    end = _status_replay(log, ["target"]).final(F.lit(0))
+    return end.select("document_id", _sname(F.col("state")).alias("status"), F.col("n").alias("n_tried"))
 
 
 def illegal_moves(log: DataFrame) -> DataFrame:
@@ -458,28 +286,26 @@ def risk_facts(docs: DataFrame) -> DataFrame:
                        version_note("version_number").alias("version_text"))
 
 
-_STEP_NAMES = ["Uploaded", None, None, "Approved", "Locked"]
+#: State of each of the five steps by status (d done, c current, t todo, a attention, s skipped when unscored).
+STEP_STATES = {"Draft": "ctttt", "UnderReview": "dsctt", "RevisionRequested": "dsatt", "Approved": "dsdct",
+               "Locked": "dsddd"}
+_STATE_NAME = {"d": "done", "c": "current", "t": "todo", "a": "attention"}
 
 
 def lifecycle_steps(docs: DataFrame) -> DataFrame:
-    """five named steps per document with done/current/todo/skipped/attention (inline)."""
-    st = F.col("status")
-    reached = (F.when(st == "Draft", 0).when(st.isin("UnderReview", "RevisionRequested"), 2)
-               .when(st == "Approved", 3).when(st == "Locked", 5))
+    """five named steps per document with their states, looked up by status."""
     scored = F.col("risk_label").isNotNull() | F.col("risk_score").isNotNull()
-    names = [F.lit("Uploaded"),
-             F.when(scored, F.lit("Risk scored")).otherwise(F.lit("Not scored")),
-             F.when(st == "RevisionRequested", F.lit("Revision requested")).otherwise(F.lit("Under review")),
-             F.lit("Approved"), F.lit("Locked")]
-    steps = []
-    for i, nm in enumerate(names):
-        state = F.when(F.lit(i) < reached, "done").when(F.lit(i) == reached, "current").otherwise("todo")
-        if i == 1:
-            state = F.when(~scored & (reached > 1), F.lit("skipped")).otherwise(state)
-        if i == 2:
-            state = F.when(st == "RevisionRequested", F.lit("attention")).otherwise(state)
-        steps.append(F.struct(F.lit(i + 1).alias("step_no"), nm.alias("step_name"), state.alias("step_state")))
-    return docs.select("document_id", F.inline(F.array(*steps)))
+    states = {k: [F.when(scored, "done").otherwise("skipped") if c == "s" else F.lit(_STATE_NAME[c]) for c in v]
+              for k, v in STEP_STATES.items()}
+    status = F.col("status")
+    names = [F.lit(S.STEP_UPLOADED), F.when(scored, S.STEP_SCORED).otherwise(S.STEP_NOT_SCORED),
+             F.when(status == "RevisionRequested", S.STEP_REVISION).otherwise(S.STEP_REVIEW),
+             F.lit(S.STEP_APPROVED), F.lit(S.STEP_LOCKED)]
+    rows = [F.struct(F.lit(n + 1).alias("step_no"), name.alias("step_name"),
+                     F.coalesce(*(F.when(status == k, v[n]) for k, v in states.items()), F.lit("todo"))
+                     .alias("step_state"))
+            for n, name in enumerate(names)]
+    return docs.select("document_id", F.inline(F.array(*rows)))
 
 
 def validate_uploads(uploads: DataFrame, name: str = "file_name", size: str = "size_bytes") -> DataFrame:
@@ -494,9 +320,10 @@ def validate_uploads(uploads: DataFrame, name: str = "file_name", size: str = "s
     return uploads.withColumn("error", err).withColumn("valid", F.col("error").isNull())
 
 
-def new_document_defaults(uploads: DataFrame, source: str) -> DataFrame:
+def new_document_defaults(uploads: DataFrame, source: str, keep: list[str] | None = None) -> DataFrame:
     """Defaults of a created document (type Contract, version 1, Draft, source, v1 key)."""
     return uploads.select(
+        *(keep or []),
         "document_id", "file_name", "uploaded_by",
         F.lit("Contract").alias("document_type"), F.lit(1).alias("version_number"),
         F.lit("Draft").alias("status"), F.lit(source).alias("source"),
@@ -528,14 +355,9 @@ def verify_integrity_log(checked: DataFrame) -> DataFrame:
 
 # ---- commands: P9–P11, P14, C2–C7 ------------------------------------------
 
-def _state(cmds: DataFrame, docs: DataFrame) -> DataFrame:
-    d = docs.select("document_id", "status", "uploaded_by", "version_number", "storage_key", "file_name")
-    return cmds.join(d, "document_id", "inner")
-
-
 def duty_violations(cmds: DataFrame, docs: DataFrame) -> DataFrame:
     """reviewer = uploader on review actions; resubmitter != uploader."""
-    j = _state(cmds, docs)
+    j = cmds.join(docs.select("document_id", "uploaded_by"), "document_id")
     msg = (F.when(F.col("command").isin("request_revision", "approve") & (F.col("actor_id") == F.col("uploaded_by")),
                   F.lit(S.MSG_SELF_REVIEW))
            .when((F.col("command") == "resubmit") & (F.col("actor_id") != F.col("uploaded_by")),
@@ -544,54 +366,9 @@ def duty_violations(cmds: DataFrame, docs: DataFrame) -> DataFrame:
                                            msg.alias("violation"))
 
 
-def request_revision(cmds: DataFrame, docs: DataFrame) -> DataFrame:
-    """C4 (+P10): needs a note, not own document, from UnderReview. Accepted -> RevisionRequested row."""
-    c = _state(cmds.where(F.col("command") == "request_revision"), docs)
-    reason = (F.when(X.is_blank("notes"), F.lit(S.MSG_REVISION_NOTE))
-              .when(F.col("actor_id") == F.col("uploaded_by"), F.lit(S.MSG_SELF_REVIEW))
-              .when(~_legal(_sid(F.col("status")), F.lit(STATUS_NAMES.index("RevisionRequested"))),
-                    move_message(F.col("status"), F.lit("RevisionRequested"))))
-    return c.select("cmd_id", "document_id", "actor_id", reason.alias("reason"),
-                    F.lit("RevisionRequested").alias("action"), X.clip_note(X.strip("notes")).alias("notes"))
-
-
-def resubmit(cmds: DataFrame, docs: DataFrame) -> DataFrame:
-    """C3 (+P11): owner only, from RevisionRequested; version + 1; two log rows when accepted."""
-    c = _state(cmds.where(F.col("command") == "resubmit"), docs)
-    reason = (F.when(F.col("actor_id") != F.col("uploaded_by"), F.lit(S.MSG_NOT_OWNER))
-              .when(F.col("status") != "RevisionRequested", F.lit(S.MSG_RESUBMIT_STATE)))
-    v = F.col("version_number") + 1
-    new_hash = F.sha2(F.coalesce(F.col("notes"), F.lit("")), 256)
-    return c.select("cmd_id", "document_id", "actor_id", reason.alias("reason"), v.alias("new_version"),
-                    X.storage_key("document_id", v, "file_name").alias("new_key"), new_hash.alias("new_hash"),
-                    F.concat(F.lit("Version "), v.cast("string"), F.lit(" stored. SHA-256 "),
-                             X.short_hash(new_hash)).alias("notes"))
-
-
-def approve_and_lock(cmds: DataFrame, docs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Not own; UnderReview -> Approved; re-hash must match, else nothing changes (all or nothing)."""
-    c = _state(cmds.where(F.col("command") == "approve"), docs)
-    o = integrity_check(objects).select("document_id", "actual", "matches")
-    j = c.join(o, "document_id", "left")
-    reason = (F.when(F.col("actor_id") == F.col("uploaded_by"), F.lit(S.MSG_SELF_REVIEW))
-              .when(F.col("status") != "UnderReview", move_message(F.col("status"), F.lit("Approved")))
-              .when(F.col("actual").isNull() | (F.col("actual") == MISSING),
-                    F.concat(F.lit("Could not read "), F.col("storage_key")))
-              .when(~F.col("matches"), F.lit(S.MSG_HASH_MISMATCH)))
-    note = F.when(X.is_blank("notes"), F.lit(None).cast("string")).otherwise(X.strip("notes"))
-    lock_note = F.concat(F.lit("Version "), F.col("version_number").cast("string"),
-                         F.lit(" set read-only in local storage, SHA-256 "), X.short_hash("actual"),
-                         F.lit(S.LOCK_NOTE_TAIL))
-    return j.select("cmd_id", "document_id", "actor_id", reason.alias("reason"),
-                    X.clip_note(note).alias("approve_notes"), X.clip_note(lock_note).alias("lock_notes"))
-
-
-def record_views(cmds: DataFrame, docs: DataFrame) -> DataFrame:
-    """C7 (+P14): a view is logged only for UnderReview documents."""
-    c = _state(cmds.where(F.col("command") == "view"), docs)
-    return c.where(F.col("status") == "UnderReview").select(
-        "cmd_id", "document_id", F.col("actor_id").alias("user_id"), F.lit("Viewed").alias("action"),
-        F.lit(None).cast("string").alias("notes"))
+def missing_notes(cmds: DataFrame) -> DataFrame:
+    """P10: revision requests without a note."""
+    return cmds.where((F.col("command") == "request_revision") & X.is_blank("notes")).select("cmd_id", "document_id")
 
 
 def command_log_rows(accepted: DataFrame, steps: list[tuple[str, F.Column, F.Column]]) -> DataFrame:
@@ -626,13 +403,53 @@ def score_prepared(prepared: DataFrame, predictions: DataFrame) -> DataFrame:
     return j.withColumn("action", action).withColumn("note", note)
 
 
-def prepared_log_rows(scored: DataFrame, objects: DataFrame, uploader: F.Column | None = None) -> DataFrame:
-    """C1 log rows: Uploaded; Classified or ClassificationSkipped (system, no actor); ReviewRequested."""
+def _stored(scored: DataFrame, objects: DataFrame, uploader: F.Column | None = None) -> DataFrame:
+    """Scored contracts whose text is stored, with its hash and the submitter."""
     o = objects.select(F.col("document_id").alias("doc_id"), "recorded_hash")
     up = uploader if uploader is not None else F.col("doc_id") % 100
-    j = scored.join(o, "doc_id").select(
-        F.col("doc_id").alias("cmd_id"), F.col("doc_id").alias("document_id"), up.alias("uploader"),
-        "recorded_hash", "action", "note")
+    return scored.join(o, "doc_id").withColumn("uploader", up.cast("bigint"))
+
+
+def prepared_rejects(scored: DataFrame, objects: DataFrame) -> DataFrame:
+    """C1 rejects: contracts without a stored text."""
+    o = objects.select(F.col("document_id").alias("doc_id"))
+    return scored.join(o, "doc_id", "left_anti").select(
+        F.col("doc_id").alias("document_id"), F.concat(F.lit(S.MSG_UNREADABLE), F.col("title")).alias("message"))
+
+
+def prepared_documents(scored: DataFrame, objects: DataFrame, uploader: F.Column | None = None) -> DataFrame:
+    """C1 documents: created, scored by rule, classified or not, and sent for review."""
+    j = _stored(scored, objects, uploader)
+    name = F.concat("title", F.lit(".txt"))
+    model = F.col("action") == "Classified"
+    return j.select(
+        F.col("doc_id").alias("document_id"), name.alias("file_name"),
+        X.storage_key("doc_id", F.lit(1), name).alias("storage_key"), F.lit("Contract").alias("document_type"),
+        F.col("n_present").cast("double").alias("risk_score"), "rule_label",
+        F.when(model, F.col("model_label")).alias("risk_label"), F.when(model, F.col("confidence")).alias("risk_confidence"),
+        F.col("flagged").alias("flagged_clauses"), X.clauses_json("present").alias("clause_snippets"),
+        F.when(~model, F.col("note")).alias("classification_note"), F.lit("CUAD").alias("source"),
+        F.col("recorded_hash").alias("content_hash"), F.lit("UnderReview").alias("status"),
+        F.lit(1).alias("version_number"), F.col("uploader").alias("uploaded_by"))
+
+
+def manual_documents(uploads: DataFrame, content_hash: F.Column) -> DataFrame:
+    """C2 documents: accepted uploads, not scored, sent for review."""
+    d = new_document_defaults(uploads.withColumn("_hash", content_hash), "Manual", keep=["_hash"])
+    return d.withColumn("status", F.lit("UnderReview")).withColumn("classification_note", F.lit(S.NOT_SCORED)) \
+        .withColumnRenamed("_hash", "content_hash")
+
+
+def first_versions(docs: DataFrame) -> DataFrame:
+    """C1, C2 versions: version 1 of every created document."""
+    return docs.select("document_id", F.lit(1).alias("version_number"), "storage_key", "content_hash", "file_name",
+                       F.col("uploaded_by").cast("bigint").alias("submitted_by"))
+
+
+def prepared_log_rows(scored: DataFrame, objects: DataFrame, uploader: F.Column | None = None) -> DataFrame:
+    """C1 log rows: Uploaded; Classified or ClassificationSkipped (system, no actor); ReviewRequested."""
+    j = _stored(scored, objects, uploader).select(
+        F.col("doc_id").alias("document_id"), "uploader", "recorded_hash", "action", "note")
     steps = F.array(
         F.struct(F.lit(1).alias("step"), F.lit("Uploaded").alias("action"), F.col("uploader").cast("bigint").alias("user_id"),
                  F.concat(F.lit("Version 1 stored. SHA-256 "), X.short_hash("recorded_hash")).alias("notes")),
@@ -649,10 +466,8 @@ def prepared_log_rows(scored: DataFrame, objects: DataFrame, uploader: F.Column
 # State per document: (status, stored bytes match the recorded hash), encoded
 # s = status_index * 2 + hash_ok, ten states. Each command is a function on
 # the ten states (its guards on actor, owner, note and role are fixed per
-# command), so commands are folded in (document, hour) chunks in parallel and
-# the chunk functions composed in request order, exactly as the lifecycle
-# replay. Alongside the state, each chunk function carries the number of
-# accepted resubmissions (version increments) and the hash of the last one.
+# command). Alongside the state, a function carries the number of accepted
+# resubmissions (version increments) and the hash of the last one.
 
 _UR, _RR, _LK = STATUS_NAMES.index("UnderReview"), STATUS_NAMES.index("RevisionRequested"), \
     STATUS_NAMES.index("Locked")
@@ -697,88 +512,111 @@ def _apply_cmd_fn(e, fn) -> F.Column:
                     F.coalesce(f.getField("h"), e.getField("h")).alias("h"))
 
 
-def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users: DataFrame,
-                   bucket: F.Column | None = None) -> DataFrame:
+_TRIPLE = "struct<s:int,r:int,h:string>"
+
+
+def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users: DataFrame) -> DataFrame:
     """C3–C7 replayed per document in (ts, cmd_id) order against the evolving state.
 
     One row per command: accepted, reason code, status before/after, version
     and current hash before. Documents start from ``docs`` (status, version)
-    and ``objects`` (whether the stored bytes match, current hash).
+    and ``objects`` (whether the stored bytes match, current hash); a document
+    without a stored object reads 'file missing'. Commands for documents that
+    do not exist are refused with reason ``unknown``.
     """
-    from covenant.session import materialize
-
     # One row per document; hashing every stored object is the costly part,
     # so the state table is computed once and read three times.
     chk = integrity_check(objects).select("document_id", "expected", "actual", "matches")
     state = materialize(docs.select("document_id", "status", "uploaded_by", "version_number", "file_name")
-                        .join(chk, "document_id", "inner")
+                        .join(chk, "document_id", "left")
+                        .withColumn("actual", F.coalesce("actual", F.lit(MISSING)))
+                        .withColumn("matches", F.coalesce("matches", F.lit(False)))
                         .withColumn("s0", _sid(F.col("status")) * 2 + F.col("matches").cast("int")))
     u = users.select(F.col("user_id").alias("actor_id"), "role")
-    c = (cmds.join(state.select("document_id", "uploaded_by"), "document_id", "inner").join(u, "actor_id", "left")
-         .select("cmd_id", "document_id", "actor_id", "command", "notes", "ts",
-                 (F.col("actor_id") == F.col("uploaded_by")).alias("owner"),
+    c = (cmds.join(state.select("document_id", "uploaded_by", F.lit(True).alias("known")), "document_id", "left")
+         .join(u, "actor_id", "left")
+         .select("cmd_id", "document_id", "actor_id", "command", "notes", "ts", "known",
+                 F.coalesce(F.col("actor_id") == F.col("uploaded_by"), F.lit(False)).alias("owner"),
                  (~X.is_blank("notes")).alias("note_ok"),
                  F.coalesce((F.col("role") == "ReviewerCompliance") | (F.col("actor_id") == F.col("uploaded_by")),
                             F.lit(False)).alias("viewer"),
                  F.sha2(F.coalesce(F.col("notes"), F.lit("")), 256).alias("new_hash")))
-    bucket = bucket if bucket is not None else hour_bucket("ts")
-    init_fn = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
-                        for i in range(2 * len(STATUS_NAMES))])
-    chunks = (c.withColumn("_bk", bucket).groupBy("document_id", "_bk")
-              .agg(F.array_sort(F.collect_list(F.struct("ts", "cmd_id", "command", "owner", "note_ok", "viewer",
-                                                        "new_hash", "actor_id", "notes"))).alias("cs")))
-    # Each command is a function on the ten states. Small chunks: one
-    # sequential fold; large chunks (a hot document): parallel prefix scan.
-    fn_t = "array<array<struct<s:int,r:int,h:string>>>"
-    kmax, dmax = chunk_stats(c, "document_id", bucket)
-    small = chunks.where(F.size("cs") <= SMALL_CHUNK) if kmax > SMALL_CHUNK else chunks
-    small = small.withColumn(
-        "fn", F.aggregate("cs", init_fn, lambda acc, x: F.transform(acc, lambda e: _cmd_apply(e, x)))) \
-        .withColumn("pre", F.lit(None).cast(fn_t))
-    if kmax > SMALL_CHUNK:
-        large = chunks.where(F.size("cs") > SMALL_CHUNK).withColumn(
-            "fns", F.transform("cs", lambda x: F.transform(init_fn, lambda e: _cmd_apply(e, x))))
-        large = inclusive_scan(large, "fns", "pre", lambda f, g: F.transform(f, lambda e: _apply_cmd_fn(e, g)),
-                               steps=scan_steps(kmax))
-        small = small.unionByName(large.withColumn("fn", F.element_at("pre", -1)).drop("fns"))
-    chunks = small.join(state.select("document_id", "s0"), "document_id")
-    enter0 = F.struct(F.col("s0").alias("s"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("h"))
-    chunks = prefix_enter(chunks, "document_id", enter0, init_fn, _apply_cmd_fn, max_days=dmax)
-
-    def record(x, e):
-        return F.struct(x.getField("cmd_id").cast("bigint").alias("cmd_id"),
-                        x.getField("actor_id").cast("bigint").alias("actor_id"),
-                        x.getField("command").alias("command"), x.getField("notes").alias("notes"),
-                        x.getField("new_hash").alias("new_hash"),
-                        e.getField("s").alias("s"), e.getField("r").alias("r"), e.getField("h").alias("h"),
-                        _cmd_reason(e.getField("s"), x).alias("reason"),
-                        _cmd_next(e.getField("s"), x).alias("s_after"))
-
-    def per_command(x, i):
-        return record(x, F.when(i == 0, F.col("enter")).otherwise(_apply_cmd_fn(F.col("enter"),
-                                                                               F.element_at("pre", i))))
-
-    out_t = ("array<struct<cmd_id:bigint,actor_id:bigint,command:string,notes:string,new_hash:string,"
-             "s:int,r:int,h:string,reason:string,s_after:int>>")
-    init = F.struct(F.col("enter").alias("e"), F.array().cast(out_t).alias("out"))
-
-    def fold(acc, x):
-        e = acc.getField("e")
-        return F.struct(_cmd_apply(e, x).alias("e"), F.concat(acc.getField("out"), F.array(record(x, e))).alias("out"))
-
-    out = F.when(F.col("pre").isNull(), F.aggregate("cs", init, fold).getField("out")) \
-        .otherwise(F.transform("cs", per_command))
-    res = chunks.select("document_id", F.inline(out))
-    j = res.join(state.select("document_id", "version_number", "file_name", "expected", "actual"), "document_id")
-    return j.select(
-        "cmd_id", "document_id", "actor_id", "command", "notes", "new_hash", "reason",
+    none = F.lit(None).cast("string")
+    identity = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(0).alias("r"), none.alias("h"))
+                         for i in range(2 * len(STATUS_NAMES))])
+    fields = ["cmd_id", "command", "owner", "note_ok", "viewer", "new_hash", "actor_id", "notes", "ts"]
+    replay = Replay(c.where("known"), "document_id", ["ts", "cmd_id"], minute_bucket("ts"), fields, identity,
+                    _cmd_apply, _apply_cmd_fn)
+    start = F.struct(F.col("s0").alias("s"), F.lit(0).alias("r"), none.alias("h"))
+    r = replay.states(_TRIPLE, start, state.select("document_id", "s0"))
+    x, s = F.col("x"), F.col("enter.s")
+    j = (r.select("document_id", *(x.getField(f).alias(f) for f in ("cmd_id", "actor_id", "command", "notes", "new_hash", "ts")),
+                  "enter", _cmd_reason(s, x).alias("reason"), _cmd_next(s, x).alias("s_after"))
+         .join(state.select("document_id", "version_number", "file_name", "expected", "actual"), "document_id"))
+    known = j.select(
+        "cmd_id", "document_id", "actor_id", "command", "notes", "new_hash", "ts", "reason",
         F.col("reason").isNull().alias("accepted"),
-        _sname(F.shiftright("s", 1)).alias("status_before"),
+        _sname(F.shiftright("enter.s", 1)).alias("status_before"),
         _sname(F.shiftright("s_after", 1)).alias("status_after"),
-        (F.col("version_number") + F.col("r")).alias("version_before"),
-        F.coalesce("h", "actual").alias("hash_before"),
-        F.coalesce("h", "expected").alias("recorded_before"),
+        (F.col("version_number") + F.col("enter.r")).alias("version_before"),
+        F.coalesce("enter.h", "actual").alias("hash_before"),
+        F.coalesce("enter.h", "expected").alias("recorded_before"),
         "file_name")
+    unknown = c.where("known is null").select(
+        "cmd_id", "document_id", "actor_id", "command", "notes", "new_hash", "ts", F.lit("unknown").alias("reason"),
+        F.lit(False).alias("accepted"), none.alias("status_before"), none.alias("status_after"),
+        F.lit(None).cast("int").alias("version_before"), none.alias("hash_before"), none.alias("recorded_before"),
+        none.alias("file_name"))
+    return known.unionByName(unknown)
+
+
+def command_documents(replay: DataFrame, docs: DataFrame) -> DataFrame:
+    """C3–C7 documents: every document as it is after the accepted commands.
+
+    A resubmission sets version, key and hash and clears the scores; the last accepted note
+    of a review becomes the reviewer notes; approval sets the lock time.
+    """
+    when = F.struct("ts", "cmd_id")
+    c = F.col("command")
+    note = F.when(~X.is_blank("notes") & c.isin("request_revision", "approve"), X.strip("notes"))
+    moves = c.isin("resubmit", "request_revision", "approve")
+    per = (replay.where("accepted").groupBy("document_id").agg(
+        F.max_by("status_after", F.when(moves, when)).alias("_status"),
+        F.count_if(c == "resubmit").cast("int").alias("_n"),
+        F.max_by("new_hash", F.when(c == "resubmit", when)).alias("_hash"),
+        F.max_by(note, F.when(note.isNotNull(), when)).alias("reviewer_notes"),
+        F.max(F.when(c == "approve", F.col("ts"))).alias("_locked")))
+    j = docs.join(per, "document_id", "left")
+    n = F.coalesce("_n", F.lit(0))
+    again = n > 0
+    version = (F.col("version_number") + n).cast("int")
+    key = X.storage_key("document_id", version, "file_name")
+    return j.select(
+        "document_id", "file_name", F.when(again, key).otherwise(F.col("storage_key")).alias("storage_key"),
+        *(F.when(~again, F.col(k)).alias(k) for k in ("risk_score", "rule_label", "risk_label", "risk_confidence")),
+        F.when(again, F.format_string(S.RESUBMIT_NOTE.replace("{}", "%d"), version)).alias("classification_note"),
+        F.col("_hash").alias("content_hash"), F.coalesce("_status", "status").alias("status"),
+        version.alias("version_number"), "uploaded_by", "reviewer_notes",
+        F.coalesce(F.col("_locked").cast("timestamp_ntz"), F.col("locked_at")).alias("locked_at"))
+
+
+def command_versions(replay: DataFrame) -> DataFrame:
+    """C3 versions: one row per accepted resubmission."""
+    v = (F.col("version_before") + 1).cast("int")
+    return replay.where("accepted and command = 'resubmit'").select(
+        "document_id", v.alias("version_number"), X.storage_key("document_id", v, "file_name").alias("storage_key"),
+        F.col("new_hash").alias("content_hash"), "file_name", F.col("actor_id").alias("submitted_by"),
+        F.col("ts").alias("submitted_at"))
+
+
+def command_job(replay: DataFrame, command: str) -> DataFrame:
+    """One row per command of a kind, judged in request order: accepted or refused with the message.
+
+    A view of a document that is not under review is neither: it is not logged.
+    """
+    r = replay.where(F.col("command") == command)
+    return r.select("cmd_id", "document_id", "actor_id", "accepted", command_reason_text(r).alias("message"),
+                    "status_before", "status_after")
 
 
 def command_reason_text(replay: DataFrame) -> F.Column:
@@ -792,9 +630,10 @@ def command_reason_text(replay: DataFrame) -> F.Column:
             .when(r == "no_note", F.lit(S.MSG_REVISION_NOTE))
             .when(r == "self", F.lit(S.MSG_SELF_REVIEW))
             .when(r == "illegal_move", move_message(F.col("status_before"), target))
-            .when((r == "hash") & (F.col("hash_before") == MISSING), F.concat(F.lit("Could not read "), key))
+            .when((r == "hash") & (F.col("hash_before") == MISSING), F.concat(F.lit(S.MSG_UNREADABLE), key))
             .when(r == "hash", F.lit(S.MSG_HASH_MISMATCH))
-            .when(r == "not_viewer", F.lit("Not your document")))
+            .when(r == "not_viewer", F.lit("Not your document"))
+            .when(r == "unknown", F.format_string(S.MSG_UNKNOWN_DOCUMENT.replace("{}", "%d"), F.col("document_id"))))
 
 
 def command_log(replay: DataFrame) -> DataFrame:

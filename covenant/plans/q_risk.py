@@ -8,8 +8,10 @@ from covenant import schemas as S
 from covenant.functions import text as X
 from covenant.operators import risk as R
 from covenant.plans.catalog import _qa, register
-from covenant.plans.sqlparts import label_id_sql, label_sql, q, with_fx
+from covenant.plans.sqlparts import label_id_sql, label_sql, q, str_list, with_fx
 from covenant.sources import fixtures as FX
+from covenant.session import run_dir
+from covenant.sources.tables import scan_qa as scan_table
 from covenant.sources.tables import table
 
 ALL_CLAUSES = S.RISK_CLAUSES + [f"Clause {i}" for i in range(len(S.RISK_CLAUSES), S.N_CLAUSE_TYPES)]
@@ -20,7 +22,9 @@ ALL_CLAUSES = S.RISK_CLAUSES + [f"Clause {i}" for i in range(len(S.RISK_CLAUSES)
            md5(context) AS context_md5
     FROM fx_qa"""))
 def scan_qa(spark, sf_dir):
-    qa = _qa(spark, sf_dir, context=True)
+    path = run_dir(spark, "qa")
+    _qa(spark, sf_dir, context=True).write.parquet(path)
+    qa = scan_table(spark, path)
     return qa.select("row_ord", "title", "question",
                      F.try_element_at("answers.text", F.lit(1)).alias("answer"),
                      F.size("answers.text").alias("n_answers"),
@@ -146,14 +150,28 @@ def over_budget_count(spark, sf_dir):
     return R.over_budget_count(R.contract_risk(_qa(spark, sf_dir)))
 
 
+# A small vocabulary for the key: frequent words get ids from 1000 on, others the unknown id.
+_VOCABULARY = "the of and to in is it on that de la que el der die und le les et des . ,".split()
+_IDS_SQL = (f"[101] || [coalesce(list_position({str_list(_VOCABULARY)}, t) + 999, 100) for t in "
+            f"regexp_extract_all(lower(risk_text), {q(X.TOKEN_PATTERN)})[1:{S.MAX_TOKENS - X.SPECIAL_TOKENS}]] || [102]")
+
+
 @register("token_budget", with_fx(["fx_risk"], f"""
     SELECT title, CAST({_TOKENS_SQL} AS INTEGER) AS n_tokens, {_TOKENS_SQL} >= {S.MAX_TOKENS} AS truncated,
-           CAST(least({_TOKENS_SQL}, {S.MAX_TOKENS}) AS INTEGER) AS n_kept
-    FROM fx_risk"""))
+           CAST(least({_TOKENS_SQL}, {S.MAX_TOKENS}) AS INTEGER) AS n_kept,
+           md5(array_to_string(ids || [0 for i in range({S.MAX_TOKENS} - len(ids))], ',')) AS ids_md5,
+           md5(array_to_string([1 for i in ids] || [0 for i in range({S.MAX_TOKENS} - len(ids))], ',')) AS mask_md5
+    FROM (SELECT *, {_IDS_SQL} AS ids FROM fx_risk)"""))
 def token_budget(spark, sf_dir):
-    r = R.contract_risk(_qa(spark, sf_dir)).select("title", X.token_budget("risk_text").alias("tb"))
+    v = F.create_map(*[F.lit(x) for i, w in enumerate(_VOCABULARY) for x in (w, 1000 + i)])
+    r = R.contract_risk(_qa(spark, sf_dir)).select("title", X.token_budget("risk_text", vocabulary=v).alias("tb"))
+
+    def digest(c):
+        return F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+
     return r.select("title", F.col("tb.n_tokens").alias("n_tokens"), F.col("tb.truncated").alias("truncated"),
-                    F.aggregate("tb.attention_mask", F.lit(0), lambda a, x: a + x).alias("n_kept"))
+                    F.aggregate("tb.attention_mask", F.lit(0), lambda a, x: a + x).alias("n_kept"),
+                    digest("tb.input_ids").alias("ids_md5"), digest("tb.attention_mask").alias("mask_md5"))
 
 
 @register("first_words", with_fx(["fx_flags"], """

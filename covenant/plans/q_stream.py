@@ -19,24 +19,41 @@ from covenant.streaming import jobs as J
 @register("stream_intake")
 def stream_intake(spark, sf_dir):
     d = J.run_dir(spark, "intake")
-    prepared = FX.fx_clause_json(spark, sf_dir).select("doc_id", "title", "clauses_json", "model_input")
-    J.stage(prepared.repartition(4, "doc_id"), f"{d}/src")
+    J.stage(FX.fx_clause_json(spark, sf_dir).select("doc_id", "title", "clauses_json", "model_input"), f"{d}/src")
     schema = spark.read.parquet(f"{d}/src").schema
-    out = J.stream_intake(spark, f"{d}/src", schema, _predictions(spark, sf_dir), FX.fx_objects(spark, sf_dir),
-                          f"{d}/sink", f"{d}/ckpt")
+    predictions, objects = J.stored_sides(spark, d, predictions=_predictions(spark, sf_dir),
+                                          objects=FX.fx_objects(spark, sf_dir).select("document_id", "recorded_hash"))
+    out = J.stream_intake(spark, f"{d}/src", schema, predictions, objects, f"{d}/sink", f"{d}/ckpt")
     return out.select("document_id", "step", "action", "user_id", "notes")
 
 
+def _lifecycle_sink(spark, sf_dir, order: list[int]) -> str:
+    """The log arrives in four parts by time of day, in the given order; the stream runs after each one."""
+    d = J.run_dir(spark, "lifecycle")
+    log = FX.fx_audit(spark, sf_dir)
+    part = F.floor(F.hour("action_ts") / 6)
+    for n in order:
+        J.stage(log.where(part == n), f"{d}/src")
+        J.stream_lifecycle(spark, f"{d}/src", log.schema, f"{d}/sink", f"{d}/ckpt")
+    return f"{d}/sink"
+
+
 @register("stream_lifecycle")
 def stream_lifecycle(spark, sf_dir):
-    d = J.run_dir(spark, "lifecycle")
-    log = FX.fx_audit(spark, sf_dir).withColumn("day", F.dayofmonth("action_ts"))
-    J.stage(log, f"{d}/src", partition_by=["day"])
-    schema = spark.read.parquet(f"{d}/src").schema
-    out = J.stream_lifecycle(spark, f"{d}/src", schema, f"{d}/sink", f"{d}/ckpt")
+    """R2 over four runs in order of time: documents continue from stored state, nothing is late."""
+    out = J.lifecycle_status(spark, _lifecycle_sink(spark, sf_dir, [0, 1, 2, 3]))
     return out.select("document_id", "status", "n_tried")
 
 
+LATE_ORDER = [2, 0, 3, 1]
+
+
+@register("stream_lifecycle_rejects")
+def stream_lifecycle_rejects(spark, sf_dir):
+    """R2 over the same parts out of order: the events that cannot be put in order any more."""
+    return J.lifecycle_rejects(spark, _lifecycle_sink(spark, sf_dir, LATE_ORDER)).select("document_id", "log_id", "action")
+
+
 def _versioned_keys(spark, sf_dir):
     v = W.assign_versions(FX.fx_versions(spark, sf_dir))
     return v.select("document_id", "version_number",
@@ -48,7 +65,7 @@ def _versioned_keys(spark, sf_dir):
 @register("stream_versions")
 def stream_versions(spark, sf_dir):
     d = J.run_dir(spark, "versions")
-    J.stage(_versioned_keys(spark, sf_dir).repartition(4, "document_id"), f"{d}/src")
+    J.stage(_versioned_keys(spark, sf_dir), f"{d}/src")
     schema = spark.read.parquet(f"{d}/src").schema
     J.stream_versions(spark, f"{d}/src", schema, f"{d}/sink", f"{d}/ckpt1")
     # Replay everything with a fresh checkpoint: write-once keeps the sink unchanged.
@@ -76,6 +93,12 @@ def _oracles():
                'doc-' || CAST(document_id AS VARCHAR) || '/v' || CAST(version_number AS VARCHAR) || '/' || file_name
                    AS storage_key
         FROM vv""", _VERSIONED)
+    run = " ".join(f"WHEN {part} THEN {i}" for i, part in enumerate(LATE_ORDER))
+    ORACLE["stream_lifecycle_rejects"] = with_fx(["fx_audit"], """
+        SELECT s.document_id, s.log_id, s.action FROM runs s
+        WHERE EXISTS (SELECT 1 FROM runs e WHERE e.document_id = s.document_id AND e.run < s.run
+                      AND (e.action_ts > s.action_ts OR (e.action_ts = s.action_ts AND e.log_id >= s.log_id)))""",
+        [("runs", f"SELECT *, CASE hour(action_ts) // 6 {run} END AS run FROM fx_audit")])
     ORACLE["stream_versions"] = vsql
     ORACLE["append_versions"] = vsql
 

@@ -175,7 +175,7 @@ _VERSIONED = [("vv", """
 
 
 def _versioned(spark, sf_dir):
-    return W.assign_versions(FX.fx_versions(spark, sf_dir))
+    return W.assign_versions(FX.fx_versions(spark, sf_dir, with_submitter=False))
 
 
 @register("assign_versions", with_fx(["fx_versions"], """
@@ -193,7 +193,7 @@ def assign_versions(spark, sf_dir):
            arg_max(content_hash, version_number) AS content_hash, arg_max(file_name, version_number) AS file_name
     FROM vv GROUP BY document_id""", _VERSIONED))
 def current_version(spark, sf_dir):
-    return W.current_version(FX.fx_versions(spark, sf_dir))
+    return W.current_version(FX.fx_versions(spark, sf_dir, with_submitter=False))
 
 
 @register("version_history", with_fx(["fx_versions"], """
@@ -266,22 +266,16 @@ def risk_facts(spark, sf_dir):
 
 
 def _steps_sql():
-    reached = ("CASE WHEN status = 'Draft' THEN 0 WHEN status IN ('UnderReview', 'RevisionRequested') THEN 2 "
-               "WHEN status = 'Approved' THEN 3 WHEN status = 'Locked' THEN 5 END")
     scored = "(risk_label IS NOT NULL OR risk_score IS NOT NULL)"
-    names = ["'Uploaded'", f"CASE WHEN {scored} THEN 'Risk scored' ELSE 'Not scored' END",
-             "CASE WHEN status = 'RevisionRequested' THEN 'Revision requested' ELSE 'Under review' END",
-             "'Approved'", "'Locked'"]
-    parts = []
-    for i, nm in enumerate(names):
-        base = f"CASE WHEN {i} < r THEN 'done' WHEN {i} = r THEN 'current' ELSE 'todo' END"
-        if i == 1:
-            base = f"CASE WHEN NOT sc AND r > 1 THEN 'skipped' ELSE {base} END"
-        if i == 2:
-            base = f"CASE WHEN status = 'RevisionRequested' THEN 'attention' ELSE {base} END"
-        parts.append(f"SELECT document_id, {i + 1} AS step_no, {nm} AS step_name, {base} AS step_state FROM b")
-    return with_fx(["fx_documents"], "\nUNION ALL\n".join(parts),
-                   [("b", f"SELECT *, {reached} AS r, {scored} AS sc FROM fx_documents")])
+    names = [q(S.STEP_UPLOADED), f"CASE WHEN {scored} THEN {q(S.STEP_SCORED)} ELSE {q(S.STEP_NOT_SCORED)} END",
+             f"CASE WHEN status = 'RevisionRequested' THEN {q(S.STEP_REVISION)} ELSE {q(S.STEP_REVIEW)} END",
+             q(S.STEP_APPROVED), q(S.STEP_LOCKED)]
+    state = ("CASE {c} WHEN 'd' THEN 'done' WHEN 'c' THEN 'current' WHEN 'a' THEN 'attention' WHEN 's' THEN "
+             f"CASE WHEN {scored} THEN 'done' ELSE 'skipped' END ELSE 'todo' END")
+    code = "CASE status " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in W.STEP_STATES.items()) + " END"
+    parts = [f"SELECT document_id, {i + 1} AS step_no, {nm} AS step_name, "
+             f"{state.format(c=f'substr(code, {i + 1}, 1)')} AS step_state FROM b" for i, nm in enumerate(names)]
+    return with_fx(["fx_documents"], "\nUNION ALL\n".join(parts), [("b", f"SELECT *, {code} AS code FROM fx_documents")])
 
 
 @register("lifecycle_steps", _steps_sql())
@@ -296,6 +290,20 @@ def display_names(spark, sf_dir):
     return a.join(F.broadcast(S.action_dim(spark)), "action", "left").select("log_id", "action", "action_label")
 
 
+@register("status_names", with_fx(["fx_documents"], f"""
+    SELECT document_id, status, {_STATUS_LABEL_SQL('status')} AS status_label FROM fx_documents"""))
+def status_names(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("document_id", "status")
+    return d.join(F.broadcast(S.status_dim(spark)), "status", "left").select("document_id", "status", "status_label")
+
+
+@register("role_names", with_fx(["fx_users"], f"""
+    SELECT user_id, role, {case_sql('role', S.ROLES)} AS role_label FROM fx_users"""))
+def role_names(spark, sf_dir):
+    u = _users(spark, sf_dir).select("user_id", "role")
+    return u.join(F.broadcast(S.role_dim(spark)), "role", "left").select("user_id", "role", "role_label")
+
+
 @register("format_ts", with_fx(["fx_audit"], f"SELECT log_id, {_fmt_sql('action_ts')} AS \"when\" FROM fx_audit"))
 def format_ts(spark, sf_dir):
     return FX.fx_audit(spark, sf_dir).select("log_id", X.format_ts("action_ts").alias("when"))
@@ -363,7 +371,8 @@ def text_preview(spark, sf_dir):
 
 
 _UPLOADS = [("up", f"""
-    SELECT document_id, file_name, uploaded_by, CAST((document_id * 7919) % 25000000 AS BIGINT) AS size_bytes
+    SELECT document_id, file_name, uploaded_by, CAST((document_id * 7919) % 25000000 AS BIGINT) AS size_bytes,
+           sha256('upload ' || CAST(document_id AS VARCHAR) || chr(10) || CAST(uploaded_by AS VARCHAR)) AS content_hash
     FROM fx_documents"""),
             ("vu", f"""
     SELECT *, CASE WHEN coalesce(size_bytes, 0) <= 0 THEN {q(S.MSG_EMPTY_UPLOAD)}
@@ -375,7 +384,8 @@ _UPLOADS = [("up", f"""
 
 def _uploads(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return W.validate_uploads(d.select("document_id", "file_name", "uploaded_by",
+    body = F.format_string("upload %d\n%d", "document_id", "uploaded_by")        # the uploaded bytes
+    return W.validate_uploads(d.select("document_id", "file_name", "uploaded_by", F.encode(body, "UTF-8").alias("content"),
                                        ((F.col("document_id") * 7919) % 25000000).cast("long").alias("size_bytes")))
 
 
@@ -464,40 +474,11 @@ def duty_violations(spark, sf_dir):
     return W.duty_violations(_cmds(spark, sf_dir), _docs(spark, sf_dir))
 
 
-_REVISION = f"""
-    CASE WHEN {blank_sql('notes')} THEN {q(S.MSG_REVISION_NOTE)}
-         WHEN actor_id = uploaded_by THEN {q(S.MSG_SELF_REVIEW)}
-         WHEN NOT {_legal_sql('status', "'RevisionRequested'")} THEN {_move_msg_sql('status', "'RevisionRequested'")}
-    END"""
-
-
-@register("request_revision", with_fx(["fx_commands", "fx_documents"], f"""
-    SELECT cmd_id, document_id, actor_id, {_REVISION} AS reason, 'RevisionRequested' AS action,
-           {strip_sql('notes')} AS notes
-    FROM cs WHERE command = 'request_revision'""", _CMD_STATE))
-def request_revision(spark, sf_dir):
-    return W.request_revision(_cmds(spark, sf_dir), _docs(spark, sf_dir))
-
-
 @register("revision_needs_note", with_fx(["fx_commands", "fx_documents"], f"""
     SELECT cmd_id, document_id FROM cs WHERE command = 'request_revision' AND {blank_sql('notes')}""", _CMD_STATE))
 def revision_needs_note(spark, sf_dir):
-    r = W.request_revision(_cmds(spark, sf_dir), _docs(spark, sf_dir))
-    return r.where(F.col("reason") == S.MSG_REVISION_NOTE).select("cmd_id", "document_id")
-
-
-@register("resubmit", with_fx(["fx_commands", "fx_documents"], f"""
-    SELECT cmd_id, document_id, actor_id,
-           CASE WHEN actor_id <> uploaded_by THEN {q(S.MSG_NOT_OWNER)}
-                WHEN status <> 'RevisionRequested' THEN {q(S.MSG_RESUBMIT_STATE)} END AS reason,
-           version_number + 1 AS new_version,
-           'doc-' || CAST(document_id AS VARCHAR) || '/v' || CAST(version_number + 1 AS VARCHAR) || '/' || file_name AS new_key,
-           sha256(coalesce(notes, '')) AS new_hash,
-           'Version ' || CAST(version_number + 1 AS VARCHAR) || ' stored. SHA-256 '
-               || {short_hash_sql("sha256(coalesce(notes, ''))")} AS notes
-    FROM cs WHERE command = 'resubmit'""", _CMD_STATE))
-def resubmit(spark, sf_dir):
-    return W.resubmit(_cmds(spark, sf_dir), _docs(spark, sf_dir))
+    known = _docs(spark, sf_dir).select("document_id")
+    return W.missing_notes(_cmds(spark, sf_dir)).join(known, "document_id").select("cmd_id", "document_id")
 
 
 @register("resubmit_needs_revision", with_fx(["fx_commands", "fx_documents"], """
@@ -509,28 +490,6 @@ def resubmit_needs_revision(spark, sf_dir):
     return j.where(F.col("status") != "RevisionRequested").select("cmd_id", "document_id", "status")
 
 
-@register("approve_and_lock", with_fx(["fx_commands", "fx_documents", "fx_objects"], f"""
-    SELECT cmd_id, document_id, actor_id,
-           CASE WHEN actor_id = uploaded_by THEN {q(S.MSG_SELF_REVIEW)}
-                WHEN status <> 'UnderReview' THEN {_move_msg_sql('status', "'Approved'")}
-                WHEN actual IS NULL OR actual = 'file missing' THEN 'Could not read ' || storage_key
-                WHEN NOT matches THEN {q(S.MSG_HASH_MISMATCH)} END AS reason,
-           CASE WHEN {blank_sql('notes')} THEN NULL ELSE {strip_sql('notes')} END AS approve_notes,
-           'Version ' || CAST(version_number AS VARCHAR) || ' set read-only in local storage, SHA-256 '
-               || {short_hash_sql('actual')} || {q(S.LOCK_NOTE_TAIL)} AS lock_notes
-    FROM (SELECT cs.*, ic.actual, ic.matches FROM cs LEFT JOIN ic ON cs.document_id = ic.document_id
-          WHERE cs.command = 'approve')""", _CMD_STATE + _INTEGRITY))
-def approve_and_lock(spark, sf_dir):
-    return W.approve_and_lock(_cmds(spark, sf_dir), _docs(spark, sf_dir), FX.fx_objects(spark, sf_dir))
-
-
-@register("record_views", with_fx(["fx_commands", "fx_documents"], """
-    SELECT cmd_id, document_id, actor_id AS user_id, 'Viewed' AS action, CAST(NULL AS VARCHAR) AS notes
-    FROM cs WHERE command = 'view' AND status = 'UnderReview'""", _CMD_STATE))
-def record_views(spark, sf_dir):
-    return W.record_views(_cmds(spark, sf_dir), _docs(spark, sf_dir))
-
-
 @register("reviewable_only", with_fx(["fx_commands", "fx_documents"], """
     SELECT cmd_id, document_id, status = 'UnderReview' AS reviewable FROM cs WHERE command = 'view'""", _CMD_STATE))
 def reviewable_only(spark, sf_dir):
@@ -542,7 +501,7 @@ def reviewable_only(spark, sf_dir):
 @register("submit_manual", with_fx(["fx_documents"], f"""
     SELECT document_id, step, action, user_id, notes FROM (
         SELECT document_id, 1 AS step, 'Uploaded' AS action, uploaded_by AS user_id,
-               'Version 1 stored. SHA-256 ' || {short_hash_sql("sha256(file_name)")} AS notes FROM vu WHERE error IS NULL
+               'Version 1 stored. SHA-256 ' || {short_hash_sql("content_hash")} AS notes FROM vu WHERE error IS NULL
         UNION ALL
         SELECT document_id, 2, 'ClassificationSkipped', NULL, {q(S.NOT_SCORED)} FROM vu WHERE error IS NULL
         UNION ALL
@@ -550,7 +509,7 @@ def reviewable_only(spark, sf_dir):
 def submit_manual(spark, sf_dir):
     """Accepted uploads -> Uploaded, ClassificationSkipped (system), ReviewRequested."""
     u = _uploads(spark, sf_dir).where("valid").withColumn("cmd_id", F.col("document_id"))
-    h = F.sha2(F.col("file_name"), 256)
+    h = F.sha2("content", 256)
     rows = W.command_log_rows(u.withColumn("_h", h), [
         ("Uploaded", F.col("uploaded_by"), F.concat(F.lit("Version 1 stored. SHA-256 "), X.short_hash("_h"))),
         ("ClassificationSkipped", F.lit(None), F.lit(S.NOT_SCORED)),
@@ -559,6 +518,37 @@ def submit_manual(spark, sf_dir):
     return rows.select("document_id", "step", "action", "user_id", "notes")
 
 
+_MANUAL_DOCS = """
+    SELECT document_id, file_name, uploaded_by, 'Contract' AS document_type, 1 AS version_number, 'UnderReview' AS status,
+           'Manual' AS source, 'doc-' || CAST(document_id AS VARCHAR) || '/v1/' || file_name AS storage_key,
+           content_hash, {note} AS classification_note
+    FROM vu WHERE error IS NULL"""
+
+
+def _manual_docs(spark, sf_dir):
+    return W.manual_documents(_uploads(spark, sf_dir).where("valid"), F.sha2("content", 256))
+
+
+@register("submit_manual_documents", with_fx(["fx_documents"], _MANUAL_DOCS.format(note=q(S.NOT_SCORED)), _UPLOADS))
+def submit_manual_documents(spark, sf_dir):
+    return _manual_docs(spark, sf_dir).select("document_id", "file_name", "uploaded_by", "document_type", "version_number",
+                                              "status", "source", "storage_key", "content_hash", "classification_note")
+
+
+@register("submit_manual_versions", with_fx(["fx_documents"], """
+    SELECT document_id, 1 AS version_number, 'doc-' || CAST(document_id AS VARCHAR) || '/v1/' || file_name AS storage_key,
+           content_hash, file_name, uploaded_by AS submitted_by
+    FROM vu WHERE error IS NULL""", _UPLOADS))
+def submit_manual_versions(spark, sf_dir):
+    return W.first_versions(_manual_docs(spark, sf_dir))
+
+
+@register("submit_manual_rejects", with_fx(["fx_documents"], """
+    SELECT document_id, error AS message FROM vu WHERE error IS NOT NULL""", _UPLOADS))
+def submit_manual_rejects(spark, sf_dir):
+    return _uploads(spark, sf_dir).where("not valid").select("document_id", F.col("error").alias("message"))
+
+
 # ---- prepared contracts: J9, A12, F13–F15, F20, P12, M4, C1 ---------------------
 
 def _val(j, c):
@@ -696,11 +686,52 @@ def submit_prepared(spark, sf_dir):
     return W.prepared_log_rows(_scored(spark, sf_dir), FX.fx_objects(spark, sf_dir))
 
 
+_PREPARED_DOCS = """
+    SELECT nt.doc_id AS document_id, nt.title || '.txt' AS file_name,
+           'doc-' || CAST(nt.doc_id AS VARCHAR) || '/v1/' || nt.title || '.txt' AS storage_key,
+           'Contract' AS document_type, CAST(n_present AS DOUBLE) AS risk_score, rule_label,
+           CASE WHEN action = 'Classified' THEN model_label END AS risk_label,
+           CASE WHEN action = 'Classified' THEN confidence END AS risk_confidence, flagged AS flagged_clauses,
+           CASE WHEN len(pr.names) = 0 THEN '{}'
+                ELSE CAST(to_json(map_from_entries(list_transform(list_zip(pr.names, pr.texts),
+                                                                  lambda e: {'k': e[1], 'v': e[2]}))) AS VARCHAR)
+           END AS clause_snippets,
+           CASE WHEN action <> 'Classified' THEN note END AS classification_note, 'CUAD' AS source,
+           o.recorded_hash AS content_hash, 'UnderReview' AS status, 1 AS version_number,
+           nt.doc_id % 100 AS uploaded_by
+    FROM nt JOIN pr ON nt.doc_id = pr.doc_id JOIN fx_objects o ON nt.doc_id = o.document_id"""
+
+
+@register("submit_prepared_documents", with_fx(["fx_clause_json", "fx_predictions", "fx_objects"], _PREPARED_DOCS, _SCORED))
+def submit_prepared_documents(spark, sf_dir):
+    return W.prepared_documents(_scored(spark, sf_dir), FX.fx_objects(spark, sf_dir))
+
+
+@register("submit_prepared_versions", with_fx(["fx_clause_json", "fx_predictions", "fx_objects"], """
+    SELECT doc_id AS document_id, 1 AS version_number, 'doc-' || CAST(doc_id AS VARCHAR) || '/v1/' || title || '.txt'
+           AS storage_key, o.recorded_hash AS content_hash, title || '.txt' AS file_name, doc_id % 100 AS submitted_by
+    FROM nt JOIN fx_objects o ON nt.doc_id = o.document_id""", _SCORED))
+def submit_prepared_versions(spark, sf_dir):
+    return W.first_versions(W.prepared_documents(_scored(spark, sf_dir), FX.fx_objects(spark, sf_dir)))
+
+
+@register("submit_prepared_rejects", with_fx(["fx_clause_json", "fx_predictions", "fx_objects"], f"""
+    SELECT doc_id AS document_id, {q(S.MSG_UNREADABLE)} || title AS message FROM nt
+    WHERE doc_id NOT IN (SELECT document_id FROM fx_objects)""", _SCORED))
+def submit_prepared_rejects(spark, sf_dir):
+    return W.prepared_rejects(_scored(spark, sf_dir), FX.fx_objects(spark, sf_dir))
+
+
 # ---- data rules: P13, J10, A19 ------------------------------------------------
 
-@register("domain_checks", with_fx(["fx_documents", "fx_audit", "fx_users"], QY.DOMAIN_SQL))
+@register("domain_checks", with_fx(["fx_documents", "fx_audit", "fx_users", "fx_versions"], QY.DOMAIN_SQL,
+                                   _VERSIONED + [("vk", """
+    SELECT *, 'doc-' || CAST(document_id AS VARCHAR) || '/v' || CAST(version_number AS VARCHAR) || '/' || file_name
+           AS storage_key FROM vv""")]))
 def domain_checks(spark, sf_dir):
-    return QY.domain_checks(_docs(spark, sf_dir), FX.fx_audit(spark, sf_dir), _users(spark, sf_dir))
+    v = W.assign_versions(FX.fx_versions(spark, sf_dir))
+    v = v.withColumn("storage_key", X.storage_key("document_id", "version_number", "file_name"))
+    return QY.domain_checks(_docs(spark, sf_dir), FX.fx_audit(spark, sf_dir), _users(spark, sf_dir), v)
 
 
 @register("fk_orphans", with_fx(["fx_documents", "fx_audit", "fx_users", "fx_versions"], QY.FK_SQL))
@@ -812,20 +843,77 @@ def command_log(spark, sf_dir):
     return W.command_log(_replay(spark, sf_dir)).select("cmd_id", "document_id", "user_id", "step", "action", "notes")
 
 
-@register("command_rejects", _rec(with_fx(["fx_commands", "fx_documents", "fx_objects", "fx_users"], f"""
-    SELECT cmd_id, document_id, command, CASE reason
+_MESSAGE = f"""CASE reason
         WHEN 'not_owner' THEN {q(S.MSG_NOT_OWNER)} WHEN 'bad_state' THEN {q(S.MSG_RESUBMIT_STATE)}
         WHEN 'no_note' THEN {q(S.MSG_REVISION_NOTE)} WHEN 'self' THEN {q(S.MSG_SELF_REVIEW)}
         WHEN 'illegal_move' THEN {_move_msg_sql('status_before',
                                                 "CASE WHEN command = 'approve' THEN 'Approved' ELSE 'RevisionRequested' END")}
         WHEN 'hash' THEN CASE WHEN hash_before = 'file missing'
-                              THEN 'Could not read doc-' || CAST(document_id AS VARCHAR) || '/v'
+                              THEN {q(S.MSG_UNREADABLE)} || 'doc-' || CAST(document_id AS VARCHAR) || '/v'
                                    || CAST(version_before AS VARCHAR) || '/' || fn
                               ELSE {q(S.MSG_HASH_MISMATCH)} END
-        WHEN 'not_viewer' THEN 'Not your document' END AS message
-    FROM (SELECT rx.*, d.file_name AS fn FROM rx JOIN fx_documents d ON rx.document_id = d.document_id)
+        WHEN 'not_viewer' THEN 'Not your document' END"""
+_RX_NAMED = "(SELECT rx.*, d.file_name AS fn FROM rx JOIN fx_documents d ON rx.document_id = d.document_id)"
+_REPLAY_FX = ["fx_commands", "fx_documents", "fx_objects", "fx_users"]
+
+
+@register("command_rejects", _rec(with_fx(_REPLAY_FX, f"""
+    SELECT cmd_id, document_id, command, {_MESSAGE} AS message FROM {_RX_NAMED}
     WHERE NOT accepted AND reason <> 'not_reviewable'""", _REPLAY)))
 def command_rejects(spark, sf_dir):
     r = _replay(spark, sf_dir)
     rej = r.where(~F.col("accepted") & (F.col("reason") != "not_reviewable"))
     return rej.select("cmd_id", "document_id", "command", W.command_reason_text(rej).alias("message"))
+
+
+def _command_job(name: str, command: str) -> None:
+    """The commands of one kind, judged in request order among all commands."""
+    @register(name, _rec(with_fx(_REPLAY_FX, f"""
+        SELECT cmd_id, document_id, actor_id, accepted, {_MESSAGE} AS message, status_before, status_after
+        FROM {_RX_NAMED} WHERE command = {q(command)}""", _REPLAY)))
+    def job(spark, sf_dir):
+        return W.command_job(_replay(spark, sf_dir), command)
+
+
+for _name, _command in (("resubmit", "resubmit"), ("request_revision", "request_revision"),
+                        ("approve_and_lock", "approve"), ("record_views", "view")):
+    _command_job(_name, _command)
+
+
+_RESUBMIT_NOTE = [q(x) for x in S.RESUBMIT_NOTE.split("{}")]
+
+
+@register("command_documents", _rec(with_fx(_REPLAY_FX, f"""
+    SELECT d.document_id, d.file_name,
+           CASE WHEN n > 0 THEN 'doc-' || CAST(d.document_id AS VARCHAR) || '/v' || CAST(version_number + n AS VARCHAR)
+                                || '/' || file_name ELSE storage_key END AS storage_key,
+           CASE WHEN n = 0 THEN risk_score END AS risk_score, CASE WHEN n = 0 THEN rule_label END AS rule_label,
+           CASE WHEN n = 0 THEN risk_label END AS risk_label,
+           CASE WHEN n = 0 THEN risk_confidence END AS risk_confidence,
+           CASE WHEN n > 0 THEN {_RESUBMIT_NOTE[0]} || CAST(version_number + n AS VARCHAR) || {_RESUBMIT_NOTE[1]} END
+               AS classification_note,
+           h AS content_hash, coalesce(st, status) AS status, CAST(version_number + n AS INTEGER) AS version_number,
+           uploaded_by, note AS reviewer_notes, coalesce(CAST(locked AS TIMESTAMP), locked_at) AS locked_at
+    FROM (SELECT d.*, coalesce(a.n, 0) AS n, a.h, a.st, a.note, a.locked FROM fx_documents d LEFT JOIN
+          (SELECT document_id, count_if(command = 'resubmit') AS n,
+                  arg_max(new_hash, (ts, cmd_id)) FILTER (command = 'resubmit') AS h,
+                  arg_max(status_after, (ts, cmd_id)) FILTER (command IN ('resubmit', 'request_revision', 'approve')) AS st,
+                  arg_max({strip_sql('notes')}, (ts, cmd_id))
+                      FILTER (command IN ('request_revision', 'approve') AND NOT {blank_sql('notes')}) AS note,
+                  max(ts) FILTER (command = 'approve') AS locked
+           FROM rt WHERE accepted GROUP BY document_id) a ON d.document_id = a.document_id) d""",
+                                            _REPLAY + [("rt", """
+    SELECT rx.*, c.ts FROM rx JOIN c ON rx.cmd_id = c.cmd_id""")])))
+def command_documents(spark, sf_dir):
+    return W.command_documents(_replay(spark, sf_dir), _docs(spark, sf_dir))
+
+
+@register("command_versions", _rec(with_fx(_REPLAY_FX, """
+    SELECT document_id, CAST(version_before + 1 AS INTEGER) AS version_number,
+           'doc-' || CAST(document_id AS VARCHAR) || '/v' || CAST(version_before + 1 AS VARCHAR) || '/' || fn AS storage_key,
+           new_hash AS content_hash, fn AS file_name, actor_id AS submitted_by, CAST(ts AS TIMESTAMP) AS submitted_at
+    FROM (SELECT rx.*, c.ts, d.file_name AS fn FROM rx JOIN c ON rx.cmd_id = c.cmd_id
+          JOIN fx_documents d ON rx.document_id = d.document_id)
+    WHERE accepted AND command = 'resubmit'""", _REPLAY)))
+def command_versions(spark, sf_dir):
+    return W.command_versions(_replay(spark, sf_dir))

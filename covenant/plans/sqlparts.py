@@ -129,7 +129,7 @@ FX: dict[str, tuple[list[str], str]] = {
                'order_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '.txt' AS file_name,
                sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
                                 CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS content_hash
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
+        FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"""),
     "fx_audit": ([], """
         SELECT event_id AS log_id, user_id * 100 + dayofmonth(ts) AS document_id,
                CASE WHEN event_id % 20 <> 0 THEN event_id % 20 END AS user_id,

@@ -86,6 +86,7 @@ MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 DISPLAY_TZ = "Asia/Kolkata"
 DISPLAY_TS_FORMAT = "d MMM yyyy, HH:mm"
 SAFE_ID_MAX = 80
+KEY_LIMIT = 500           # characters of a storage key
 
 NOT_SCORED = (
     "Not risk-scored: automatic clause extraction for uploaded files is not built yet. "
@@ -102,6 +103,17 @@ MSG_HASH_MISMATCH = (
     "so it was not locked. Investigate before approving."
 )
 MSG_NO_MODEL_INPUT = "No model input in the prepared CUAD file, so there is no model prediction. "
+RULE_PHRASE = " of {} risk clauses present (rule label "
+MSG_PREDICTED, MSG_CONFIDENCE = "Model predicted ", "% confidence). "
+MSG_UNKNOWN_DOCUMENT = "Document {} not found"
+MSG_UNREADABLE = "Could not read "
+RESUBMIT_NOTE = (
+    "Version {} was uploaded by hand, so it has no risk score. "
+    "Earlier scores applied to earlier versions only."
+)
+STEP_UPLOADED, STEP_SCORED, STEP_NOT_SCORED = "Uploaded", "Risk scored", "Not scored"
+STEP_REVIEW, STEP_REVISION = "Under review", "Revision requested"
+STEP_APPROVED, STEP_LOCKED = "Approved", "Locked"
 MSG_NO_CLASSIFIER = "The classifier service did not respond, so there is no model prediction. "
 LOCK_NOTE_TAIL = ". Production applies S3 Object Lock (Compliance mode) at this step."
 
@@ -135,14 +147,6 @@ SNIPPETS_SCHEMA = T.StructType([
     T.StructField("model_input", T.StringType()),
 ])
 
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("risk_label", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("probabilities", T.MapType(T.StringType(), T.DoubleType())),
-    T.StructField("truncated", T.BooleanType()),
-])
-
-
 def _dim(spark: SparkSession, rows, names) -> DataFrame:
     return spark.createDataFrame(rows, schema=T.StructType([T.StructField(n, T.StringType(), False) for n in names]))
 
@@ -158,7 +162,3 @@ def action_dim(spark: SparkSession) -> DataFrame:
 
 def role_dim(spark: SparkSession) -> DataFrame:
     return _dim(spark, ROLES, ["role", "role_label"])
-
-
-def transition_dim(spark: SparkSession) -> DataFrame:
-    return _dim(spark, TRANSITIONS, ["from_status", "to_status"])

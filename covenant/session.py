@@ -6,9 +6,13 @@ Library code never builds its own session: every operator takes DataFrames.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale. AQE coalesces small shuffle partitions and
@@ -31,12 +35,17 @@ SCALE_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "covenant") -> SparkSession:
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+    """A session with the settings above. A master that the launcher set is kept; without one it is local.
+    Shuffle partitions stay as configured unless given: adaptive execution merges small ones, but never adds any."""
+    given = SparkConf()
+    master = master or given.get("spark.master", f"local[{os.environ.get('BENCH_CPUS', '8')}]")
     b = SparkSession.builder.master(master).appName(app_name)
     for k, v in SCALE_CONF.items():
-        b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-    b = b.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+        b = b.config(k, given.get(k, v))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master.startswith("local"):
+        b = b.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -47,12 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared file system; it is read, never
-    overridden. Only when it is unset (local tests) is a fresh scratch folder
-    created and set.
+    overridden. Only in local mode, where it may be unset, is a scratch folder
+    created, set and removed at exit; elsewhere each machine has its own
+    folders, so a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="covenant-ckpt-", dir="/tmp")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        d = tempfile.mkdtemp(prefix="covenant-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     try:
         sc = spark.sparkContext
@@ -69,6 +82,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name for the files of one run; ``remove`` deletes it when its results are used up."""
+    return shared_path(spark, f"runs/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that ``run_dir`` named, wherever it is stored."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df):
     """Cut lineage of a DataFrame consumed several times: a reliable checkpoint
     into the shared ``spark.checkpoint.dir`` (survives executor loss)."""

@@ -106,12 +106,16 @@ def fx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version submissions from ``lineitem`` joined to the order's customer."""
+def fx_versions(spark: SparkSession, sf_dir: str, with_submitter: bool = True) -> DataFrame:
+    """Version submissions from ``lineitem``, with the order's customer as the submitter (null if there
+    is no order). Without the submitter only ``lineitem`` is read."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    if with_submitter:
+        o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        j = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    else:
+        j = li.withColumn("o_custkey", F.lit(None).cast("bigint"))
     return j.select(
         F.col("l_orderkey").alias("document_id"),
         F.col("l_shipdate").alias("submitted_at"),
@@ -181,20 +185,12 @@ def fx_clause_json(spark: SparkSession, sf_dir: str, risk: DataFrame | None = No
     Broken (cut to 5 chars) when doc_id % 50 = 0, blank when doc_id % 50 = 1.
     Also carries ``model_input`` (the contract's risk text).
     """
-    from covenant.operators.risk import contract_risk, first_answers
+    from covenant.operators.risk import contract_risk_with_firsts
 
-    if risk is not None and "firsts" in risk.columns:
-        # One pass already produced the first answer per clause (sorted by clause).
-        j = risk.select("title", F.col("risk_text").alias("model_input"),
-                        F.when(F.size("firsts") > 0, F.map_from_entries("firsts")).alias("m"))
-    else:
-        qa = fx_qa(spark, sf_dir, with_context=False)
-        first = first_answers(qa)  # title, clause, snippet (first answered row per clause)
-        per = first.groupBy("title").agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("clause", "snippet")))).alias("m"))
-        risk = (risk if risk is not None else contract_risk(qa)).select("title",
-                                                                        F.col("risk_text").alias("model_input"))
-        j = risk.join(per, "title", "left")
+    if risk is None:        # one pass gives the risk text and the first answer per clause (sorted by clause)
+        risk = contract_risk_with_firsts(fx_qa(spark, sf_dir, with_context=False))
+    j = risk.select("title", F.col("risk_text").alias("model_input"),
+                    F.when(F.size("firsts") > 0, F.map_from_entries("firsts")).alias("m"))
     k = F.col("title").cast("long")
     js = F.coalesce(F.to_json(F.col("m")), F.lit("{}"))
     return j.select(

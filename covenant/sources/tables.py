@@ -8,7 +8,6 @@ functions accept any DataFrame source (``read.jdbc`` etc.) via ``load``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from covenant.schemas import QA_SCHEMA
 
@@ -28,12 +27,3 @@ def scan_qa(spark: SparkSession, path: str) -> DataFrame:
     semantic in the reference (text concatenation order) and Spark has none.
     """
     return spark.read.schema(QA_SCHEMA).parquet(path)
-
-
-def with_row_ord(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Attach a stable ``row_ord`` from explicit ordering columns.
-
-    Uses ``monotonically_increasing_id`` after a global sort: ids are unique
-    and increasing in sort order without a single-partition window.
-    """
-    return df.orderBy(*order_cols).withColumn("row_ord", F.monotonically_increasing_id())

@@ -8,39 +8,43 @@ run processes what is there and ends.
   (stream-static left joins to predictions and stored objects) -> append sink.
 - R2 lifecycle: audit events grouped by document through
   ``applyInPandasWithState``; state = (status, last event seen, moves tried).
-  Events at or before the last seen one are rejected (late data), so replays
-  never move a status twice.
-- R3 versions: ``foreachBatch`` write-once append: keys already in the sink
-  are dropped with a ``left_anti`` join, so replaying a batch is idempotent.
+  Events at or before the last one seen in an earlier micro-batch cannot be
+  put in order any more and go to a rejects output; the rest is folded.
+- R3 versions: ``foreachBatch`` write-once append. The sink is partitioned by
+  a hash bucket of the key, and only the batch's buckets are read. A row equal
+  to the stored one is a replay and ignored; another row for a stored key, or
+  a second one for a new key, goes to a rejects output, as does a null key.
 
 Sources, sinks and checkpoints live under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from covenant import schemas as S
 from covenant.operators import workflow as W
-from covenant.session import shared_path
+from covenant.session import materialize, run_dir  # noqa: F401
 
 
-def run_dir(spark: SparkSession, name: str) -> str:
-    return shared_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+def stage(df: DataFrame, path: str) -> None:
+    """Write a batch DataFrame as the next files a file-source stream will pick up."""
+    df.write.mode("append").parquet(path)
 
 
-def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a batch DataFrame as the files a file-source stream will pick up."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def stored_sides(spark: SparkSession, base: str, **sides: DataFrame) -> list[DataFrame]:
+    """Static sides of stream joins, written once, so that no micro-batch computes them again."""
+    out = []
+    for name, df in sides.items():
+        df.write.parquet(f"{base}/{name}")
+        out.append(spark.read.schema(df.schema).parquet(f"{base}/{name}"))
+    return out
 
 
 def _await(q) -> None:
@@ -52,8 +56,11 @@ def _await(q) -> None:
 # ---- R1 --------------------------------------------------------------------
 
 def stream_intake(spark: SparkSession, src: str, schema, predictions: DataFrame, objects: DataFrame,
-                  sink: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
-    """Prepared contracts arriving as files -> C1 log rows, appended to ``sink``."""
+                  sink: str, checkpoint: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Prepared contracts arriving as files -> C1 log rows, appended to ``sink``.
+
+    ``predictions`` and ``objects`` should be stored tables (``stored_sides``).
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     rows = W.prepared_log_rows(W.score_prepared(stream, predictions), objects)
     q = (rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
@@ -68,74 +75,103 @@ _STATUS = [s for s, _ in S.STATUSES]
 _LEGAL = set(S.TRANSITIONS)
 _TARGET = dict(S.STATUS_MOVES)
 
-LIFECYCLE_OUT = ("document_id long, seq long, status string, n_tried long, n_refused long, n_late long")
-LIFECYCLE_STATE = "status string, last_ts timestamp_ntz, last_id long, n_tried long, n_refused long, n_late long, seq long"
+LIFECYCLE_OUT = ("kind string, document_id long, seq long, status string, n_tried long, n_refused long, "
+                 "log_id long, action string, action_ts timestamp_ntz")
+LIFECYCLE_STATE = "status string, last_ts timestamp_ntz, last_id long, n_tried long, n_refused long, seq long"
 
 
 def _lifecycle_update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per document: fold this micro-batch's events onto the stored status."""
+    """Per document: fold this micro-batch's events onto the stored status; give late ones back."""
     (doc,) = key
-    if state.exists:
-        status, last_ts, last_id, tried, refused, late, seq = state.get
-    else:
-        status, last_ts, last_id, tried, refused, late, seq = "Draft", None, None, 0, 0, 0, 0
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(["action_ts", "log_id"], kind="mergesort")
-    for ts, lid, action in zip(pdf["action_ts"], pdf["log_id"], pdf["action"]):
-        if last_ts is not None and (ts, lid) <= (last_ts, last_id):
-            late += 1          # at or before the last event seen: rejected, state unchanged
-            continue
-        last_ts, last_id = ts, lid
+    status, last_ts, last_id, tried, refused, seq = state.get if state.exists else ("Draft", None, None, 0, 0, 0)
+    events = pd.concat(list(batches), ignore_index=True).sort_values(["action_ts", "log_id"], kind="mergesort")
+    if last_ts is not None:
+        late = (events["action_ts"] < last_ts) | ((events["action_ts"] == last_ts) & (events["log_id"] <= last_id))
+        if late.any():
+            yield events[late].assign(kind="late", document_id=doc, seq=seq + 1, status=status, n_tried=tried,
+                                      n_refused=refused)[[c.split()[0] for c in LIFECYCLE_OUT.split(", ")]]
+        events = events[~late]
+    for action in events["action"]:
         target = _TARGET.get(action)
-        if target is None:
-            continue
-        tried += 1
-        if (status, target) in _LEGAL:
-            status = target
-        else:
-            refused += 1
+        if target is not None:
+            tried += 1
+            if (status, target) in _LEGAL:
+                status = target
+            else:
+                refused += 1
+    if len(events):
+        last_ts, last_id = events["action_ts"].iloc[-1].to_pydatetime(), int(events["log_id"].iloc[-1])
     seq += 1
-    if isinstance(last_ts, pd.Timestamp):
-        last_ts = last_ts.to_pydatetime()
-    state.update((status, last_ts, int(last_id) if last_id is not None else None, tried, refused, late, seq))
-    yield pd.DataFrame([{"document_id": doc, "seq": seq, "status": status, "n_tried": tried,
-                         "n_refused": refused, "n_late": late}])
+    state.update((status, last_ts, last_id, tried, refused, seq))
+    yield pd.DataFrame([{"kind": "status", "document_id": doc, "seq": seq, "status": status, "n_tried": tried,
+                         "n_refused": refused, "log_id": None, "action": None, "action_ts": pd.NaT}])
 
 
 def stream_lifecycle(spark: SparkSession, src: str, schema, sink: str, checkpoint: str,
-                     files_per_trigger: int = 10) -> DataFrame:
-    """R2: live status per document. Returns the latest emitted row per document."""
+                     files_per_trigger: int = 1000) -> None:
+    """R2: process the files that have arrived; statuses and rejects are appended to ``sink`` by kind."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     ev = stream.select("document_id", "log_id", "action", F.col("action_ts").cast("timestamp_ntz"))
     out = ev.groupBy("document_id").applyInPandasWithState(
         _lifecycle_update, outputStructType=LIFECYCLE_OUT, stateStructType=LIFECYCLE_STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
     q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
+         .partitionBy("kind").outputMode("append").trigger(availableNow=True).start())
     _await(q)
-    res = spark.read.parquet(sink)
-    latest = res.groupBy("document_id").agg(F.max_by(F.struct("status", "n_tried", "n_refused", "n_late"), "seq")
-                                            .alias("s"))
-    return latest.select("document_id", "s.status", "s.n_tried", "s.n_refused", "s.n_late")
+
+
+def lifecycle_status(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest status of each document in a ``stream_lifecycle`` sink."""
+    res = spark.read.parquet(sink).where("kind = 'status'")
+    latest = res.groupBy("document_id").agg(F.max_by(F.struct("status", "n_tried", "n_refused"), "seq").alias("s"))
+    return latest.select("document_id", "s.status", "s.n_tried", "s.n_refused")
+
+
+def lifecycle_rejects(spark: SparkSession, sink: str) -> DataFrame:
+    """The events that came too late to be put in order."""
+    return spark.read.parquet(sink).where("kind = 'late'").select("document_id", "log_id", "action", "action_ts")
 
 
 # ---- R3 --------------------------------------------------------------------
 
-def write_once(batch: DataFrame, sink: str, key: str = "storage_key") -> None:
-    """Append rows whose key is not in ``sink`` yet (left_anti); never overwrite."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
+BUCKETS = 64
+
+
+def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        existing = spark.read.parquet(sink).select(key)
-        fresh = fresh.join(existing, key, "left_anti")
-    except Exception as e:  # noqa: BLE001 - first write: the sink does not exist yet
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:      # nothing written there yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").parquet(sink)
+        return None
+
+
+def write_once(batch: DataFrame, sink: str, key: str = "storage_key") -> None:
+    """Append rows whose key ``sink`` does not have; never overwrite.
+
+    Of several rows for a new key the smallest by content is written. Rows that differ from
+    the stored or written one, and rows without a key, are appended to ``<sink>_rejects``.
+    """
+    spark, rest = batch.sparkSession, [c for c in batch.columns if c != key]
+    rows = materialize(batch.select(key, F.struct(*rest).alias("_row"))
+                       .withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+    first = rows.where(F.col(key).isNotNull()).groupBy("_bucket", key).agg(F.min("_row").alias("_kept"))
+    stored = _table_or_none(spark, sink)
+    if stored is not None:
+        mine = [r[0] for r in rows.select("_bucket").distinct().collect()]          # at most BUCKETS numbers
+        old = stored.where(F.col("_bucket").isin(mine)).select(key, F.struct(*rest).alias("_old"), "_bucket")
+        first = first.join(old, ["_bucket", key], "left")
+    else:
+        first = first.withColumn("_old", F.lit(None).cast(first.schema["_kept"].dataType))
+    first = materialize(first)
+    held = first.select("_bucket", key, F.coalesce("_old", "_kept").alias("_held"))
+    bad = rows.join(held, ["_bucket", key], "left").where(F.col("_held").isNull() | ~F.col("_row").eqNullSafe(F.col("_held")))
+    bad.select(key, "_row.*").write.mode("append").parquet(f"{sink}_rejects")
+    first.where("_old is null").select(key, "_kept.*", "_bucket").write.mode("append").partitionBy("_bucket").parquet(sink)
 
 
 def stream_versions(spark: SparkSession, src: str, schema, sink: str, checkpoint: str,
-                    files_per_trigger: int = 1) -> None:
+                    files_per_trigger: int = 1000) -> None:
     """Versions arriving as files, appended write-once by storage key."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     q = (stream.writeStream.foreachBatch(lambda b, _id: write_once(b, sink))

@@ -52,11 +52,35 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_orderdate:timestamp" in p
 
 
-def test_top_k_is_take_ordered(spark):
+def test_recent_audit_sorts_and_shuffles_no_dimension(spark):
+    from covenant.operators import workflow as W
     from covenant.sources import fixtures as FX
     log = FX.fx_audit(spark, SF_SMALL)
-    p = _plan(log.orderBy("action_ts").limit(300))
-    assert "TakeOrderedAndProject" in p
+    out = W.recent_audit(log, FX.fx_documents(spark, SF_SMALL), FX.fx_users(spark, SF_SMALL))
+    assert "Exchange hashpartitioning" not in _plan(out.drop("notes")).split("TakeOrderedAndProject")[0].replace("Sort [", "") \
+        or "SortMergeJoin" not in _plan(out)
+    rows = [(r.action_ts, r.log_id) for r in out.collect()]
+    assert len(rows) == 300 and rows == sorted(rows, reverse=True)
+    assert "TakeOrderedAndProject" in _plan(log.orderBy("action_ts").limit(300))
+
+
+def test_versions_are_numbered_from_lineitem_alone(spark):
+    from covenant.operators import workflow as W
+    from covenant.sources import fixtures as FX
+    p = _plan(W.assign_versions(FX.fx_versions(spark, SF_SMALL, with_submitter=False)).select("document_id", "version_number"))
+    assert "o_custkey:" not in p
+
+
+def test_split_carries_no_text(spark):
+    from covenant.plans import q_split
+    assert q_split._risk(spark, SF_SMALL).columns == ["title", "risk_score", "risk_label"]
+
+
+def test_lifecycle_fold_reads_the_log_once(spark):
+    from covenant.operators import workflow as W
+    from covenant.sources import fixtures as FX
+    p = _plan(W.lifecycle_fold(FX.fx_audit(spark, SF_SMALL)))
+    assert p.count("FileScan parquet") <= 2          # for the numbers and for the rows
 
 
 def test_sample_filter_reaches_below_explode(spark):
@@ -92,7 +116,7 @@ def test_partition_pruning_on_workflow_tables(spark):
     from pyspark.sql import functions as F
     from covenant.sources import files as FS
     from covenant.sources import fixtures as FX
-    from covenant.streaming.jobs import run_dir
+    from covenant.session import run_dir
     d, a = FS.write_workflow_tables(FX.fx_documents(spark, SF_SMALL), FX.fx_audit(spark, SF_SMALL),
                                     run_dir(spark, "tables-test"))
     p = _plan(spark.read.parquet(d).where(F.col("status") == "UnderReview"))

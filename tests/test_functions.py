@@ -74,8 +74,9 @@ def test_sanitize_and_storage_key(spark):
 
 
 def test_strip_and_blank_unicode(spark):
-    assert _one(spark, X.strip("v"), "  x  ") == "x"
-    assert _one(spark, X.is_blank("v"), "  ") is True
+    # the em space is white space, the no-break space is not
+    assert _one(spark, X.strip("v"), "\u2003 x\u3000") == "x" and _one(spark, X.strip("v"), "\u00a0x") == "\u00a0x"
+    assert _one(spark, X.is_blank("v"), "\u2003 ") is True and _one(spark, X.is_blank("v"), "\u00a0") is False
     assert _one(spark, X.is_blank("v"), None) is True
 
 
@@ -121,3 +122,30 @@ def test_classification_note(spark):
                         "(rule label Medium).")
     assert notes[1].startswith("No model input in the prepared CUAD file")
     assert notes[2].startswith("The classifier service did not respond")
+
+
+def test_white_space_of_java_and_python(spark):
+    df = spark.createDataFrame([("a\x1cb c",), ("\u00a0a\u00a0b",), ("\u2007x\u3000",), ("\u00a0",), ("\x1f \t",)], "t string")
+    got = df.select(X.first_words("t").alias("w"), X.strip("t").alias("s"), X.is_blank("t").alias("b")).collect()
+    assert [r.w for r in got] == [" ".join(v.split()[:20]) for v in ("a\x1cb c", "\u00a0a\u00a0b", "\u2007x\u3000", "\u00a0", "\x1f \t")]
+    assert [r.s for r in got] == ["a\x1cb c", "\u00a0a\u00a0b", "\u2007x", "\u00a0", ""]
+    assert [r.b for r in got] == [False, False, False, False, True]
+
+
+def test_lengths_in_utf16_units(spark):
+    smile = "\U0001f600"
+    df = spark.createDataFrame([(smile * 250,), (smile * 251,), ("a" + smile * 249 + "b" * 20,), ("x" * 500,), (None,)], "t string")
+    got = [r[0] for r in df.select(X.clip_note("t")).collect()]
+    assert got[0] == smile * 250 and got[3] == "x" * 500 and got[4] is None
+    assert got[1] == smile * 248 + "?..." and got[2] == "a" + smile * 248 + "..."
+
+
+def test_flagged_list_drops_empty_parts_at_the_end(spark):
+    df = spark.createDataFrame([("A, B,",), ("A,,B",), (",,",), (" ",), (None,), ("A, ,",)], "t string")
+    assert [r[0] for r in df.select(X.flagged_list("t")).collect()] == [["A", "B"], ["A", "", "B"], [], [], [], ["A", ""]]
+
+
+def test_token_ids_from_a_vocabulary(spark):
+    v = F.create_map(F.lit("a"), F.lit(7), F.lit("."), F.lit(8))
+    r = spark.createDataFrame([("A b.",)], "t string").select(X.token_budget("t", max_len=8, vocabulary=v).alias("b")).first().b
+    assert r.input_ids == [101, 7, 100, 8, 102, 0, 0, 0] and r.attention_mask == [1] * 5 + [0] * 3 and not r.truncated

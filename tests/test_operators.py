@@ -1,11 +1,14 @@
 """Operator properties and golden numbers."""
 
 import collections
+import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from covenant import schemas as S
 from covenant.operators import metrics as M
+from covenant.operators import replay as RP
 from covenant.operators import risk as R
 from covenant.operators import split as SP
 from covenant.operators import workflow as W
@@ -108,13 +111,19 @@ def test_lifecycle_fold_matches_python_replay(spark):
     assert steps.count() == tried == 812 and steps.where(~F.col("legal")).count() == refused == 592
 
 
-def test_lifecycle_chunking_invariant(spark):
+def test_lifecycle_block_size_does_not_matter(spark, monkeypatch):
     log = FX.fx_audit(spark, SF_SMALL)
-    by_minute = W.lifecycle_steps_per_action(log, bucket=F.date_trunc("minute", F.col("action_ts")))
-    by_day = W.lifecycle_steps_per_action(log, bucket=F.date_trunc("day", F.col("action_ts")))
-    a = sorted(tuple(r) for r in by_minute.collect())
-    b = sorted(tuple(r) for r in by_day.collect())
-    assert a == b
+    want, final = sorted(map(tuple, W.lifecycle_steps_per_action(log).collect())), sorted(map(tuple, W.lifecycle_fold(log).collect()))
+    monkeypatch.setattr(RP, "BLOCK", 2)
+    assert sorted(map(tuple, W.lifecycle_steps_per_action(log).collect())) == want
+    assert sorted(map(tuple, W.lifecycle_fold(log).collect())) == final
+
+
+def test_exact_rank_keeps_null_keys_and_null_order(spark):
+    rows = [(None, 3, 1), (None, None, 2), (1, None, 3), (1, 5, 4), (1, 5000, 5)]
+    df = spark.createDataFrame(rows, "k long, o long, id long")
+    got = {r.id: r.n for r in RP.exact_rank(df, "k", ["o", "id"], F.floor(F.col("o") / 4096), "n").collect()}
+    assert got == {2: 1, 1: 2, 3: 1, 4: 2, 5: 3}
 
 
 def test_exact_rank_matches_row_number(spark):
@@ -127,34 +136,95 @@ def test_exact_rank_matches_row_number(spark):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
-def test_integrity_and_approve(spark):
-    objs = FX.fx_objects(spark, SF_SMALL)
-    chk = {r["document_id"]: r for r in W.integrity_check(objs).collect()}
-    assert chk[0]["actual"] == W.MISSING and not chk[0]["matches"]      # 0 % 23 == 0: missing wins
-    assert not chk[17]["matches"] and chk[1]["matches"]
-    cmds = spark.createDataFrame([(1, 17, 999, "approve", "ok", None), (2, 1, 999, "approve", " ", None)],
-                                 "cmd_id long, document_id long, actor_id long, command string, notes string, ts timestamp")
-    docs = spark.createDataFrame([(17, "UnderReview", 5, 1, "k17", "f"), (1, "UnderReview", 5, 1, "k1", "f")],
-                                 "document_id long, status string, uploaded_by long, version_number int, "
-                                 "storage_key string, file_name string")
-    res = {r["cmd_id"]: r for r in W.approve_and_lock(cmds, docs, objs).collect()}
-    assert res[1]["reason"] == S.MSG_HASH_MISMATCH      # all or nothing: no Approved row
-    assert res[2]["reason"] is None and res[2]["approve_notes"] is None
-    assert res[2]["lock_notes"].startswith("Version 1 set read-only")
-
-
-def test_command_replay_chunking_invariant(spark):
+DOCS = ("document_id long, file_name string, storage_key string, risk_score double, rule_label string, risk_label string, "
+        "risk_confidence double, status string, version_number int, uploaded_by long, locked_at timestamp_ntz")
+CMDS = "cmd_id long, document_id long, actor_id long, command string, notes string, ts timestamp_ntz"
+
+
+def _batch(spark, commands):
+    """Documents 1 (stored), 2 (stored, altered), 3 (no object); owner 5, reviewer 9."""
+    docs = spark.createDataFrame([(i, f"f{i}.txt", f"doc-{i}/v1/f{i}.txt", 2.0, "Low", "Low", 0.9, "UnderReview", 1, 5, None)
+                                  for i in (1, 2, 3)], DOCS)
+    objects = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, t string").select(
+        "document_id", F.sha2("t", 256).alias("recorded_hash"),
+        F.encode(F.when(F.col("document_id") == 2, "changed").otherwise(F.col("t")), "UTF-8").alias("content"))
+    users = spark.createDataFrame([(5, "Employee"), (9, "ReviewerCompliance")], "user_id long, role string")
+    base = dt.datetime(2024, 1, 1)
+    cmds = spark.createDataFrame([(n, d, a, c, note, base + dt.timedelta(minutes=n)) for n, (d, a, c, note) in enumerate(commands)], CMDS)
+    return W.command_replay(cmds, docs, objects, users), docs
+
+
+def test_commands_are_judged_in_order(spark):
+    replay, docs = _batch(spark, [
+        (1, 9, "approve", " ok "), (1, 9, "approve", "again"), (1, 9, "request_revision", "late"),     # the second is too late
+        (2, 9, "approve", "x"), (2, 9, "request_revision", " fix it "), (2, 5, "resubmit", "new text"), (2, 9, "approve", ""),
+        (3, 9, "approve", "x"), (3, 5, "approve", "x"), (3, 9, "view", None), (77, 9, "approve", "x"), (77, 9, "view", None)])
+    got = {r.cmd_id: r for r in replay.collect()}
+    assert len(got) == 12
+    assert {i: r.reason for i, r in got.items()} == {
+        0: None, 1: "illegal_move", 2: "illegal_move", 3: "hash", 4: None, 5: None, 6: None, 7: "hash", 8: "self", 9: None,
+        10: "unknown", 11: "unknown"}
+    text = {r.cmd_id: r.message for c in ("approve", "view") for r in W.command_job(replay, c).collect()}
+    assert text[1] == "A document that is locked can't move to approved." and text[3] == S.MSG_HASH_MISMATCH
+    assert text[7] == "Could not read doc-3/v1/f3.txt" and text[8] == S.MSG_SELF_REVIEW and text[10] == "Document 77 not found"
+    after = {r.document_id: r for r in W.command_documents(replay, docs).collect()}
+    assert (after[1].status, after[1].reviewer_notes, after[1].risk_score) == ("Locked", "ok", 2.0) and after[1].locked_at
+    assert (after[2].status, after[2].version_number, after[2].storage_key) == ("Locked", 2, "doc-2/v2/f2.txt")
+    assert after[2].risk_score is None and after[2].reviewer_notes == "fix it" and after[2].classification_note.startswith("Version 2 was")
+    assert after[3].status == "UnderReview" and after[3].locked_at is None
+    versions = W.command_versions(replay).collect()
+    assert [(v.document_id, v.version_number, v.submitted_by) for v in versions] == [(2, 2, 5)]
+    log = [(r.cmd_id, r.action) for r in W.command_log(replay).orderBy("cmd_id", "step").collect()]
+    assert log == [(0, "Approved"), (0, "Locked"), (4, "RevisionRequested"), (5, "Resubmitted"), (5, "ReviewRequested"),
+                   (6, "Approved"), (6, "Locked"), (9, "Viewed")]
+
+
+def test_command_blocks_do_not_matter(spark, monkeypatch):
     args = (FX.fx_commands(spark, SF_SMALL), FX.fx_documents(spark, SF_SMALL), FX.fx_objects(spark, SF_SMALL),
             FX.fx_users(spark, SF_SMALL))
-    cols = ["cmd_id", "accepted", "reason", "status_before", "status_after", "version_before", "hash_before"]
-    a = W.command_replay(*args, bucket=F.date_trunc("minute", F.col("ts"))).select(cols).collect()
-    b = W.command_replay(*args, bucket=F.date_trunc("month", F.col("ts"))).select(cols).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
-    assert any(r["accepted"] for r in a) and any(not r["accepted"] for r in a)
-
-
-def test_hot_document_single_chunk_matches_replay(spark):
-    """One document with thousands of moves inside one hour: the scan path, not a quadratic fold."""
+    a = sorted(map(tuple, W.command_replay(*args).drop("ts").collect()), key=str)
+    monkeypatch.setattr(RP, "BLOCK", 2)
+    assert sorted(map(tuple, W.command_replay(*args).drop("ts").collect()), key=str) == a
+    assert len(a) == args[0].count()
+
+
+def _first_free(titles):
+    import re
+    used, out = set(), []
+    for t in titles:
+        base = re.sub(r"[^A-Za-z0-9._-]+", "_", t).strip("._-")[:80] or "contract"
+        k = 1
+        while (base if k == 1 else f"{base}_{k}") in used:
+            k += 1
+        out.append(base if k == 1 else f"{base}_{k}")
+        used.add(out[-1])
+    return out
+
+
+def test_safe_ids_are_unique_and_in_order(spark):
+    import random
+    rnd = random.Random(8)
+    cases = [["a", "a", "a_2"], ["a_2", "a", "a"], ["a", "a_2", "a", "a_2", "a_2_2", "a"], ["", "?", "contract_2", "contract"],
+             ["a_02", "a", "a_1", "a_0", "a"], ["x" * 90, "x" * 80]]
+    cases += [[rnd.choice(["a", "a_2", "a_3", "a_2_2", "a_2_2_2", "b", "a_3_2", "a_4", " ", "a b"]) for _ in range(rnd.randint(2, 25))]
+              for _ in range(6)]
+    for titles in cases:
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "n long, title string")
+        got = {r.n: r.safe_id for r in SP.safe_ids(df, "title", "n").collect()}
+        assert [got[i] for i in range(len(titles))] == _first_free(titles), titles
+    words = spark.createDataFrame([("Agreement B",), ("agreement a",), ("Agreement B!",)], "title string")
+    assert sorted(r.safe_id for r in SP.safe_ids(words, "title", "title").collect()) == ["Agreement_B", "Agreement_B_2", "agreement_a"]
+
+
+def test_gate_stops_on_other_counts(spark):
+    split = spark.createDataFrame([("a", "Low", "test"), ("b", "Low", "train")], "title string, risk_label string, split string")
+    assert SP.gated_split(split, {"Low": 1}).count() == 2
+    with pytest.raises(ValueError, match="High 0 instead of 2"):
+        SP.gated_split(split, {"Low": 1, "High": 2})
+
+
+def test_hot_document_matches_replay(spark):
+    """One document with thousands of moves inside one hour: many blocks."""
     import random
     rnd = random.Random(3)
     actions = ["ReviewRequested", "RevisionRequested", "Approved", "Locked", "Viewed"]
@@ -184,8 +254,8 @@ def test_score_with_external_model_hook(spark):
     assert all(0.0 < r["confidence"] <= 1.0 for r in out)
 
 
-def test_long_history_day_scan_matches_replay(spark):
-    """A document spanning 200 days takes the day-level scan; results equal the replay."""
+def test_long_history_matches_replay(spark):
+    """A document spanning 200 days; results equal the replay."""
     import random
     rnd = random.Random(5)
     actions = ["ReviewRequested", "RevisionRequested", "Approved", "Locked", "Viewed"]
@@ -210,3 +280,42 @@ def test_single_pass_firsts_match_first_answers(spark):
     assert got == want
     base = {r["title"]: (r["risk_score"], r["risk_text"]) for r in R.contract_risk(qa).collect()}
     assert {r["title"]: (r["risk_score"], r["risk_text"]) for r in one.collect()} == base
+
+
+# ---- models ---------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def made(spark):
+    """Three classes told apart by their words, one of them rare and noisy."""
+    import random
+    rnd = random.Random(4)
+    rows = []
+    for i in range(600):
+        label = rnd.choices(["Low", "Medium", "High"], [0.6, 0.3, 0.1])[0]
+        own = {"Low": "calm safe plain", "Medium": "some risk clause", "High": "severe risk penalty"}[label].split()
+        words = rnd.choices(own, k=4) + rnd.choices("calm safe plain some risk clause severe penalty the of".split(), k=8)
+        rows.append((f"t{i}", " ".join(words), label, i % 4))
+    return spark.createDataFrame(rows, "title string, risk_text string, risk_label string, fold int")
+
+
+def test_training_and_scores(made):
+    from covenant.operators import ml as ML
+    frame = ML.model_frame(made.where("fold != 0"))
+    model = ML.train_weighted(frame)
+    scored = ML.score_batch(model, ML.model_frame(made.where("fold = 0"))).collect()
+    assert len(scored) == made.where("fold = 0").count()
+    for r in scored:
+        assert set(r.probabilities) == set(S.LABELS) and abs(sum(r.probabilities.values()) - 1) < 2e-4
+        assert r.risk_label in S.LABELS and 0 <= r.predicted <= 2 and 0 < r.confidence <= 1
+    right = sum(r.predicted == int(r.labels) for r in scored) / len(scored)
+    assert right > 0.55
+    parts = ML.evaluate_split(ML.score_batch(model, frame))
+    assert abs(parts["metrics"].first()["accuracy"] - sum(r["n"] for r in parts["confusion"].collect() if r["actual"] == r["predicted"])
+               / frame.count()) < 1e-9
+
+
+def test_weights_raise_recall_of_the_rare_class(made):
+    from covenant.operators import ml as ML
+    grid = [(1.0, 1.0, 1.0), (1.0, 3.0, 9.0)]
+    rows = ML.weight_sweep(ML.model_frame(made.where("fold != 0")), ML.model_frame(made.where("fold = 0")), grid).orderBy("setting").collect()
+    assert len(rows) == 2 and rows[1].high_recall >= rows[0].high_recall and sum(r.best for r in rows) == 1
