@@ -2,19 +2,19 @@
 
 A text's set holds its distinct k-word shingles (words are runs of
 non-white-space bytes, A-Z lower-cased). Each set gets many universal hash
-minima (multiply-shift), cut into bands; texts that agree on a whole band are
-candidates. Candidates pass a check of the estimated similarity from their
-signatures (with six standard deviations to spare) and then the exact Jaccard
-similarity of the full sets. Linked texts form components by alternating
+minima (multiply-shift), cut into bands; texts that agree on a whole band share
+a bucket and are candidates. Links are confirmed by the exact Jaccard similarity
+of the full sets, where need be after a check of the similarity estimated from
+the signatures (with six standard deviations to spare). Linked texts form components by alternating
 large-star and small-star.
 
 Within a band bucket no all-pairs list is made. Equal sets are folded into one
-representative first. Then every member is compared with one pivot of its
-bucket; what links is one component from then on. Several rounds with other
-pivots follow, and last, members of one bucket that are still in different
-components are compared with each other, so that no link between components is
-lost. Set sizes bound the similarity, which removes hopeless pairs before any
-set is read.
+representative first. Then every member is compared with its bucket's pivot,
+on the full sets. Members linked to the pivot are one component. A link that
+involves another member must show in the differences from the pivot: the two
+share so many of them that a join on a few, the rarest first, finds the pair. So
+no link between components is lost, and the work follows the number of members
+and not its square.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a
 text of fewer than k words is one shingle; rows with a null id are returned
@@ -28,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.llm.common import batch_of, int_lists, stored, text_chunks, utf8
@@ -164,8 +164,59 @@ def _set_maker(k: int):
     return run
 
 
-def _near_sizes(percent: int):
-    return F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+def _star(band: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every member x of a bucket against the bucket's pivot p: sizes, the shingles that only
+    x (``more``) and that only p has (``less``), and whether the two are linked.
+
+    The pivot is the member that shares buckets with most others: of copies edited at random, the
+    one that is nearest to all.
+    """
+    degree = band.groupBy("id").agg(F.sum("members").alias("degree"))
+    central = F.max_by(F.col("id"), F.struct("degree", -F.col("id")))
+    pivot = band.join(degree, "id").groupBy("band").agg(central.alias("p"))
+    pairs = band.join(pivot, "band").where("id != p").select("p", F.col("id").alias("x")).distinct()
+    x = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x"))
+    p = sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("set_p"))
+    return (pairs.join(x, "x").join(p, "p")
+            .select("p", "x", F.size("set_p").cast("long").alias("n_p"), F.size("set_x").cast("long").alias("n_x"),
+                    F.array_sort(F.array_except("set_x", "set_p")).alias("more"),
+                    F.array_sort(F.array_except("set_p", "set_x")).alias("less"))
+            .withColumns({"v": F.size("more"), "m": F.size("less")})
+            .withColumn("linked", 100 * (F.col("n_x") - F.col("v")) >= percent * (F.col("n_p") + F.col("v"))))
+
+
+def _beside_pivot(star: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among members of one bucket that are not both linked to its pivot.
+
+    With m and v the numbers of shingles that only the pivot and only a member has, s and x have
+    n_p - m_s - m_x + (common differences) shingles in common, so a link needs at least
+    T = ceil(percent (n_s + n_x) / (100 + percent)) - n_p + m_s + m_x common differences. If s is
+    not linked to the pivot, T is positive, and it is bounded from below by numbers of s alone and
+    of x alone. Differences that only one member has are left out. Of the others, put in one order,
+    rarest first, two lists that have T in common agree on one of their first (length - bound + 1)
+    entries; a join on these finds the pair. Where they agree, the entries before and after still
+    must allow for T.
+    """
+    p = percent
+    open_ = star.where("not linked").select("p").distinct()
+    numbers = ["p", "x", "n_p", "n_x", "m", "v", "linked"]
+    each = star.join(open_, "p").select(*numbers, F.explode(F.concat("more", "less")).alias("entry"))
+    common = each.groupBy("p", "entry").agg(F.count("*").alias("f")).where("f > 1")
+    own = F.when(F.col("linked"), F.expr(f"floor((100 * m + {p} * v) / (100 + {p})) + 1")) \
+        .otherwise(F.expr(f"greatest(1, ceil(({p} * n_x - 100 * n_p + (100 + {p}) * m) / 100))"))
+    lists = (each.join(common, ["p", "entry"]).groupBy(*numbers)
+             .agg(F.array_sort(F.collect_list(F.struct("f", "entry"))).alias("all"))
+             .withColumn("u", F.size("all"))
+             .withColumn("all", F.slice("all.entry", 1, F.greatest(F.col("u") - own + 1, F.lit(0)).cast("int"))))
+    member = stored(lists, "lists").select(*numbers, "u", F.posexplode("all").alias("at", "entry"))
+    loose = member.where("not linked").select(
+        "p", "entry", F.col("x").alias("s"), F.col("n_x").alias("n_s"), F.col("m").alias("m_s"),
+        F.col("u").alias("u_s"), F.col("at").alias("at_s"))
+    needed = f"ceil({p} * (n_s + n_x) / (100 + {p})) - n_p + m_s + m"
+    near = F.expr(f"s != x and (linked or s < x) and 100 * least(n_s, n_x) >= {p} * greatest(n_s, n_x)"
+                  f" and {needed} <= least(at_s, at) + least(u_s - at_s, u - at)")
+    return (loose.join(member, ["p", "entry"]).where(near)
+            .select(F.col("s").alias("a"), F.col("x").alias("b")).distinct())
 
 
 def _by_signature(pairs: DataFrame, sigs: DataFrame, percent: int, hashes: int) -> DataFrame:
@@ -189,7 +240,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES,
-                    rows: int = ROWS_PER_BAND, pivot_rounds: int = 3) -> DataFrame:
+                    rows: int = ROWS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     With 32 bands of 4 rows a pair at similarity 0.8 shares no band with
@@ -199,46 +250,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     group = ["n_shingles", "set0", "set1"]
     filled = rows_.where("n_shingles > 0 and doc_id is not null")
     classes = stored(filled.groupBy(*group).agg(F.min("doc_id").alias("id")), "classes")
-    reps = stored(filled.join(classes, group).where("doc_id = id")
-                  .select("id", "n_shingles", "bands", "sig").dropDuplicates(["id", "n_shingles"]), "reps")
-    band = reps.select(F.explode("bands").alias("band"), "id", F.col("n_shingles").alias("n"))
-    shared = band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    reps = (filled.join(classes, group).where("doc_id = id")
+            .select("id", "n_shingles", "bands", "sig").dropDuplicates(["id", "n_shingles"]))
+    band = reps.select(F.explode("bands").alias("band"), "id")
+    shared = band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     band = stored(band.join(shared, "band"), "bands")           # only buckets that hold more than one
-    sigs = reps.select("id", "sig")
     in_buckets = band.select(F.col("id").alias("doc_id")).distinct()
-    # a representative's set is the one of any row with its id and set
+    # repeated rows once; an id that stands for several texts has several sets and links by any of them
     sets = stored(docs.select("doc_id", "text").join(in_buckets, "doc_id", "left_semi")
-                  .mapInArrow(_set_maker(k), "doc_id bigint, shingles array<bigint>")
-                  .dropDuplicates(["doc_id", "shingles"]), "sets")
-    labels = None                                               # (node, component) so far
-    links = classes.sparkSession.createDataFrame([], "u bigint, v bigint")
-    for turn in range(pivot_rounds + 1):
-        at = band
-        if labels is not None:                                  # leave out buckets within one component
-            at = (band.join(labels.withColumnRenamed("node", "id"), "id", "left")
-                  .withColumn("c", F.coalesce("component", "id")))
-            mixed = (at.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-                     .where("lo != hi").select("band"))
-            at = at.join(mixed, "band").select("band", "id", "n", "c")
-        else:
-            at = band.withColumn("c", F.col("id"))
-        member = at.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-        if turn < pivot_rounds:
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            pivot = (at.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "n", "c")).alias("p"))
-                     .select("band", F.col("p.id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.c").alias("c_a")))
-            pairs = member.join(pivot, "band").where("c_a != c_b")
-        else:                                                   # whatever is left, each with each
-            other = at.select("band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-            pairs = member.join(other, "band").where("c_a < c_b")
-        pairs = pairs.where(_near_sizes(percent)).select("a", "b").distinct()
-        found = stored(_confirmed(_by_signature(pairs, sigs, percent, hashes), sets, percent), "links")
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        labels = stored(components(links), "labels")
-    if labels is None:
-        labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+                  .dropDuplicates(["doc_id", "text"])
+                  .mapInArrow(_set_maker(k), "doc_id bigint, shingles array<bigint>"), "sets")
+    star = stored(_star(band, sets, percent), "star")
+    sigs = reps.select("id", "sig")
+    beside = _confirmed(_by_signature(_beside_pivot(star, percent), sigs, percent, hashes), sets, percent)
+    links = star.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v")).unionByName(beside)
+    labels = components(links)
     of_class = (classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
                 .select(*group, F.coalesce("component", "id").alias("component")))
     return (rows_.join(of_class, group, "left")
