@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import bpe, decontaminate, fingerprint, langid, minhash, quality, secrets, sharding, tokencount, urlfilter
+from covenant.llm import (bpe, decontaminate, fingerprint, langid, minhash, oracles, quality, secrets, sharding, tokencount,
+                          urlfilter)
 from covenant.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in secrets.BASE]
     return found.select("doc_id", *counts,
                         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+ORACLE["op1_minhash_dedup"] = oracles.near_duplicates()
+ORACLE["op3_url_filter"] = oracles.url_filter(URL_RULES)
+ORACLE["op10_secret_scan"] = oracles.secret_scan()
