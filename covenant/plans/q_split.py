@@ -50,6 +50,12 @@ def _split(spark, sf_dir):
     return SP.stratified_split(_risk(spark, sf_dir))
 
 
+def _with_text(spark, sf_dir, split):
+    """The split with each contract's text joined back, for the model jobs."""
+    texts = R.contract_risk(_qa(spark, sf_dir)).select("title", "risk_text")
+    return split.join(texts, "title")
+
+
 def _picked(spark, sf_dir):
     # At most PER_CLASS x labels rows, consumed by several joins. Only their texts are built.
     test = _split(spark, sf_dir).where(F.col("split") == "test")
