@@ -17,11 +17,12 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant import schemas as S
 from covenant.functions import text as X
+from covenant.session import materialize
 
 # Rows per ordered block in the two-phase text build.
 TEXT_BLOCK_ROWS = 4096
@@ -184,22 +185,44 @@ def label_distribution(risk: DataFrame, by: list[str] | None = None) -> DataFram
     return risk.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """Count, mean, sample std, min, quartiles (linear), max of one column.
+def describe(df: DataFrame, col: str) -> DataFrame:
+    """Count, mean, sample std, min, exact quartiles (linear between ranks), max of one column.
 
-    ``exact`` uses ``percentile`` (value->count map per partial; small for
-    scores and token counts). For high-cardinality columns at scale pass
-    ``exact=False`` to use ``percentile_approx``.
+    Rows are folded to counts by value. Up to 1,001 equal parts of the range are counted, and only
+    the values of the parts that hold a wanted rank are put in order, so no task holds all values.
     """
     x = F.col(col).cast("double")
-    q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
-         else F.percentile_approx(x, [0.25, 0.5, 0.75], 100000))
-    agg = df.agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-    return agg.select(
-        F.lit(col).alias("column"), "count", "mean", "std", "min",
-        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    values = materialize(df.select(x.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n")))
+    t = values.agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
+                   F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    total = t.n or 0
+    at = {q: (total - 1) * q for q in (0.25, 0.5, 0.75)} if total else {}
+    ranks = sorted({r for h in at.values() for r in (int(h), min(int(h) + 1, total - 1))})
+    part = F.floor((F.col("x") - t.lo) * (1000 / (t.hi - t.lo))) if total and t.hi > t.lo else F.lit(0)
+    by_part = values.withColumn("b", part)
+    upto = Window.partitionBy(F.lit(0)).orderBy("b")            # at most 1,001 rows
+    parts = by_part.groupBy("b").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(upto) - F.col("m"))
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | ((F.col("before") <= r) & (F.col("before") + F.col("m") > r))
+    near = by_part.join(F.broadcast(parts.where(wanted)), "b")
+    first = F.col("before") + F.sum("n").over(Window.partitionBy("b").orderBy("x")) - F.col("n")
+    at_rank = near.withColumn("first", first).agg(
+        *[F.max(F.when((F.col("first") <= r) & (F.col("first") + F.col("n") > r), F.col("x"))).alias(f"r{r}") for r in ranks],
+        F.lit(1).alias("one"))
+    squares = values.agg(F.sum(F.col("n") * (F.col("x") - F.lit(t.mean)) ** 2).alias("s")).first().s
+
+    def quartile(q):
+        if not total:
+            return F.lit(None).cast("double")
+        low, high = F.col(f"r{int(at[q])}"), F.col(f"r{min(int(at[q]) + 1, total - 1)}")
+        return low + (high - low) * F.lit(at[q] - int(at[q]))
+
+    std = F.lit((squares / (total - 1)) ** 0.5 if total > 1 else None).cast("double")
+    return at_rank.select(
+        F.lit(col).alias("column"), F.lit(total).cast("long").alias("count"), F.lit(t.mean).cast("double").alias("mean"),
+        std.alias("std"), F.lit(t.lo).cast("double").alias("min"), quartile(0.25).alias("p25"), quartile(0.5).alias("p50"),
+        quartile(0.75).alias("p75"), F.lit(t.hi).cast("double").alias("max"))
 
 
 def token_lengths(risk: DataFrame) -> DataFrame:

@@ -282,6 +282,17 @@ def test_single_pass_firsts_match_first_answers(spark):
     assert {r["title"]: (r["risk_score"], r["risk_text"]) for r in one.collect()} == base
 
 
+def test_describe_against_pandas(spark):
+    import pandas as pd
+    for values in ([], [3], [2, 2, 2], [1, 9], [0, 1, 5, 5, 100000, -7, 3, 3], list(range(5000))):
+        r = R.describe(spark.createDataFrame([(v,) for v in [*values, None]], "x long"), "x").first()
+        want = pd.Series(values, dtype="float64").describe()
+        got = dict(zip(["count", "mean", "std", "min", "25%", "50%", "75%", "max"],
+                       (r["count"], r["mean"], r["std"], r["min"], r["p25"], r["p50"], r["p75"], r["max"])))
+        for k, v in want.items():
+            assert (got[k] is None and pd.isna(v)) or abs(got[k] - v) < 1e-9, (values[:3], k)
+
+
 # ---- models ---------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
