@@ -59,14 +59,14 @@ def features(texts: list[str | None]) -> np.ndarray:
     code = np.zeros(len(data), np.uint32)
     for n in (1, 2, 3):
         # the n-gram that ends at each byte, if it lies within one text; runs of spaces say nothing
-        code = data if n == 1 else np.concatenate((np.zeros(n - 1, np.uint32), code[n - 2:-1])) * np.uint32(257) + data
         use = np.ones(len(data), bool)
-        if n > 1 and len(data) >= n:
+        if n == 1:
+            code = data
+        else:
+            code = np.concatenate((np.zeros(1, np.uint32), code))[:len(data)] * np.uint32(257) + data
             use[:n - 1] = False
-            use[n - 1:] = doc[n - 1:] == doc[:len(doc) - n + 1]
+            use[n - 1:] = doc[n - 1:] == doc[:max(len(doc) - n + 1, 0)]
             use[1:] &= (data[1:] != 32) | (data[:-1] != 32)
-        elif n > 1:
-            use[:] = False
         bucket = _hash(code[use] + np.uint32(n * 0x1000193))
         out += np.bincount(doc[use] * BUCKETS + bucket, minlength=len(out)).astype(np.float32)
     x = np.sqrt(out.reshape(len(raw), BUCKETS))
