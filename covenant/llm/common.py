@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covenant.session import shared_path
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 CHUNK_ROWS = 1024
 _WRITTEN: list[str] = []
 
