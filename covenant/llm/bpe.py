@@ -17,74 +17,20 @@ text round-trips; unknown ids on decoding raise an error.
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from covenant.llm.common import int_lists, text_chunks
+from covenant.llm.pretokens import Splitter
 
-CACHE_ENTRIES, GROUP_BYTES = 600_000, 1 << 17
-#: Letters and numbers that the ``regex`` module knows and the tokenizer library,
-#: with an older Unicode table, does not (first and last code point).
-LATER_LETTERS = [
-    (0x558, 0x558), (0x58b, 0x58c), (0x88f, 0x88f), (0xc5c, 0xc5c), (0xcdc, 0xcdc), (0x208f, 0x208f),
-    (0x209d, 0x209f), (0xa7ce, 0xa7cf), (0xa7d2, 0xa7d2), (0xa7d4, 0xa7d4), (0xa7dd, 0xa7dd), (0xa7e2, 0xa7e2),
-    (0xa7f1, 0xa7f1), (0xab6c, 0xab6d), (0x107bb, 0x107bf), (0x10940, 0x10959), (0x10ec5, 0x10ec7),
-    (0x10ed9, 0x10eee), (0x11b0a, 0x11b0a), (0x11db0, 0x11ddb), (0x11df1, 0x11df1), (0x16ea0, 0x16eb8),
-    (0x16ebb, 0x16ed3), (0x16ff2, 0x16ff3), (0x187f8, 0x187ff), (0x18cd6, 0x18cda), (0x18d09, 0x18d20),
-    (0x18d80, 0x18df2), (0x18e00, 0x19191), (0x191a0, 0x191d2), (0x1b123, 0x1b128), (0x1b168, 0x1b168),
-    (0x1d6a6, 0x1d6a6), (0x1df1f, 0x1df24), (0x1df2b, 0x1df81), (0x1df90, 0x1df96), (0x1dfcd, 0x1dfff),
-    (0x1e6c0, 0x1e6de), (0x1e6e0, 0x1e6e2), (0x1e6e4, 0x1e6e5), (0x1e6e7, 0x1e6ed), (0x1e6f0, 0x1e6f4),
-    (0x1e6fe, 0x1e6ff), (0x2b73a, 0x2b73f), (0x2b81e, 0x2b81e), (0x2cea2, 0x2cead), (0x323b0, 0x33479),
-    (0x3d000, 0x3fc3f),
-]
-LATER_NUMBERS = [(0x11de0, 0x11de9), (0x1246f, 0x1246f), (0x12475, 0x1247f), (0x12550, 0x12686), (0x16ff4, 0x16ff6),]
-LATER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_LETTERS + LATER_NUMBERS) + "]")
-
-
-_ASCII_CLASSES = {"\\p{L}": "A-Za-z", "\\p{N}": "0-9", "\\s": "\\t-\\r "}
-
-
-def ascii_pattern(pattern: str) -> re.Pattern | None:
-    """The pattern for ASCII texts in the faster standard library: Unicode classes replaced by their ASCII
-    members. None if the pattern uses anything else that the two read differently."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        for name, members in _ASCII_CLASSES.items():
-            if pattern.startswith(name, i):
-                out.append(members if inside else f"[{members}]")
-                i += len(name)
-                break
-        else:
-            c = pattern[i]
-            if c == "\\" or (c == "[" and inside):
-                if pattern[i:i + 2] != "\\S":
-                    return None
-                if inside:
-                    return None
-                out.append("[^\\t-\\r ]")
-                i += 2
-                continue
-            inside = c == "[" or (inside and c != "]")
-            out.append(c)
-            i += 1
-    return re.compile("".join(out))
-
-
-def _is_latin1(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+CACHE_ENTRIES, GROUP_BYTES, GROUP_TEXT = 300_000, 1 << 17, 1 << 20
 
 
 class Codec:
@@ -97,8 +43,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: int = CACHE_ENTRIES):
         self.ranks = ranks
         self.pieces = {i: b for b, i in ranks.items()}
-        self.pattern = regex.compile(pattern)
-        self.ascii = ascii_pattern(pattern)
+        self.split = Splitter(pattern)
         size = max(ranks.values(), default=0) + 1
         self.width = isqrt(size) + 1
         self.bit = [1 << i for i in range(self.width)]
@@ -108,19 +53,12 @@ class Codec:
         self.pairs = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
         self.buckets: list[list[int] | None] = [None] * size    # all empty between calls
         self.words = [0] * self.width                           # all zero between pre-tokens
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.known: set[str] = set()                            # of the table, those that came up again
         self.cache_entries = cache_entries
 
-    def pretokens(self, text: str) -> list[str]:
-        if text.isascii() and self.ascii:
-            return self.ascii.findall(text)
-        if _is_latin1(text) or not LATER.search(text):
-            return self.pattern.findall(text)
-        plain = LATER.sub("\ue000", text)          # a character that is neither letter, number nor space
-        return [text[m.start():m.end()] for m in self.pattern.finditer(plain)]
-
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each pre-token. All share one queue: their bytes stand side by side, parted by stops."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as in ``encode_raw``. All share one queue: their bytes stand side by side, parted by stops."""
         get, width, bit, word_of, bit_of = self.ranks.get, self.width, self.bit, self.word_of, self.bit_of
         words, buckets, pairs = self.words, self.buckets, self.pairs
         top = 0                                                 # the upper level: words that are not zero
@@ -198,15 +136,15 @@ class Codec:
                     words[h] |= bit_of[rank]
                     top |= bit[h]
                     break
-        out, i = [], 0
+        found, cuts, i = [], [0], 0
         for _ in pieces:
-            found = []
             while not stop[i]:
                 found.append(ids[i])
                 i = nxt[i]
-            out.append(tuple(found))
+            cuts.append(4 * len(found))
             i += 1
-        return out
+        raw = np.array(found, "<i4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def learn(self, words: list[str]) -> None:
         """Put the ids of new pre-tokens into the table, in groups of bounded size."""
@@ -215,7 +153,7 @@ class Codec:
             piece = w.encode()
             whole = self.ranks.get(piece)
             if whole is not None:
-                self.cache[w] = (whole,)
+                self.cache[w] = whole.to_bytes(4, "little")
                 continue
             group.append((w, piece))
             size += len(piece)
@@ -225,13 +163,27 @@ class Codec:
         if group:
             self.cache.update(zip((g[0] for g in group), self.merge([g[1] for g in group])))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        words = [self.pretokens(t or "") for t in texts]
+    def encode_raw(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        words = [self.split(t or "") for t in texts]
         if len(self.cache) > self.cache_entries:
-            self.cache.clear()
-        self.learn(list(set().union(*words).difference(self.cache)))
+            self.keep_known()
+        every = set().union(*words)
+        known = every.intersection(self.cache)
+        self.known |= known
+        self.learn(list(every - known))
         get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, w))) for w in words]
+        return [b"".join(map(get, w)) for w in words]
+
+    def keep_known(self) -> None:
+        """Forget pre-tokens that came up in one group of texts only; keep a bounded number of the others."""
+        if len(self.known) > self.cache_entries // 3:
+            self.known = set(islice(self.known, self.cache_entries // 3))
+        self.cache = {w: self.cache[w] for w in self.known if w in self.cache}
+        self.known = set()
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_raw(texts)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -278,11 +230,14 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
     def run(batches):
         c = codec(vocabulary, pattern)
-        for b in text_chunks(batches, text):
-            found = c.encode(b.column(text).to_pylist())
-            sizes = np.array([len(x) for x in found], np.int64)
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-            yield _replaced(b, ids, int_lists(flat, sizes, pa.int32()), without)
+        try:
+            for b in text_chunks(batches, text, GROUP_TEXT):      # longer runs of texts share a queue
+                found = c.encode_raw(b.column(text).to_pylist())
+                sizes = np.array([len(x) // 4 for x in found], np.int64)
+                flat = np.frombuffer(b"".join(found), "<i4")
+                yield _replaced(b, ids, int_lists(flat, sizes, pa.int32()), without)
+        finally:
+            c.keep_known()              # a worker process outlives its tasks
 
     return df.mapInArrow(run, _schema(df, ids, ArrayType(IntegerType()), without))
 

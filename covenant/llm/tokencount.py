@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
 from covenant.llm.common import text_chunks
+from covenant.llm.pretokens import Splitter
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES, GROUP_TEXT = 300_000, 1 << 20
 NO_RANK = np.int32(2**31 - 1)
 #: Fixed value: the split pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,7 +117,7 @@ class Counter:
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         self.merges = Merges(path)
-        self.split = regex.compile(PATTERN).findall
+        self.split = Splitter(PATTERN)
         self.cache: dict[str, int] = {}
         self.cache_entries = cache_entries
 
@@ -150,8 +151,12 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", name: str =
 
     def run(batches):
         c = counter(vocabulary)
-        for b in text_chunks(batches, text):
-            n = pa.array(c.counts(b.column(text).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), n], names=[*(f.name for f in fields), name])
+        try:
+            for b in text_chunks(batches, text, GROUP_TEXT):
+                n = pa.array(c.counts(b.column(text).to_pylist()), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), n],
+                                                 names=[*(f.name for f in fields), name])
+        finally:
+            c.cache.clear()             # a worker process outlives its tasks
 
     return df.mapInArrow(run, StructType([*fields, StructField(name, LongType())]))
