@@ -60,3 +60,17 @@ def test_blocks_of_items_cover_all(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_WORDS", 100)
     _, _, got = run(spark, texts, items)
     assert all(list(got[i]["items"]) == [i] for i in range(30)) and not got[30].contaminated
+
+
+def test_names_at_sentence_starts_and_of_other_lengths(spark):
+    items = [(1, "Anna has 12 red apples and 5 pears. Anna eats 3 of them."),
+             (2, "When the ship of Maria left port, it held 40 crates of tea for the shop.")]
+    texts = ["Tom has 7 red apples and 9 pears. Tom eats 2 of them.",
+             "Solve this.\nMary Ann Lee has 7 red apples and 9 pears. Mary Ann Lee eats 2 of them.",
+             "we know that Tom has 7 red apples and 9 pears. Tom eats 2 of them.",
+             "When the ship of Peter van Dyke left port, it held 30 crates of tea for the shop.",
+             "When the ship of Peter Paul Smith left port, it held 30 crates of tea for the shop.",
+             "Tom sees 7 green leaves but no pears. Tom paints all of them."]
+    _, _, got = run(spark, texts, items)
+    assert [list(got[i]["items"]) for i in range(6)] == [[1], [1], [1], [2], [2], []]
+    assert got[0].best_share == 1.0 and got[1].best_share == 1.0 and got[4].best_share == 1.0
