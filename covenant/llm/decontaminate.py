@@ -105,7 +105,7 @@ def item_table(benchmark: DataFrame, least_share: float = LEAST_SHARE) -> DataFr
              raw.withColumn("c", _one_slot("w"))
              .select("item_id", F.lit(True).alias("second"), F.expr(f"transform(c, w -> {_named('w')})").alias("item"))]
     return (forms[0].unionByName(forms[1]).withColumn("n", F.size("item")).where(F.col("n") >= LEAST_WORDS)
-            .withColumn("width", F.least("n", F.lit(WINDOW)))
+            .withColumn("width", F.least("n", F.lit(WINDOW), F.greatest(F.lit(LEAST_WORDS), F.ceil(F.col("n") * least_share).cast("int"))))
             .distinct().withColumn("key", F.xxhash64("item_id", "second", "item")))
 
 
@@ -115,7 +115,6 @@ def _anchors(items: DataFrame, sizes: list[int]) -> DataFrame:
     width = F.get(F.array(*map(F.lit, sizes)), F.floor(F.col("pos") / F.col("n")).cast("int"))
     return (hashed.select("key", "second", "width", "n", "t", F.posexplode_outer("h").alias("pos", "h"))
             .withColumn("at", F.expr("pos % n")).where((F.col("width") == width) & (F.col("at") + F.col("width") <= F.col("n")))
-            .where("at % width = 0 or at = n - width")
             .select("h", "key", "second", "at", F.expr("get(t, at - 1)").alias("before")))
 
 
@@ -150,7 +149,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE
         part = items.where(F.pmod(F.col("key"), F.lit(blocks)) == block)
         # equal words in front: the window before this one has a hit at the same place
         first = places.join(F.broadcast(_anchors(part, sizes)), "h").withColumn("pos", F.expr("pos % size(t)")).where(
-            "second = (pos > size(w))")
+            "second = (pos > size(w)) and not (before is not null and before <=> get(t, pos - 1))")
         laid = (f"if(second, transform(sequence(0, n - 1), i -> {_named('get(c, pos - size(w) - 1 - at + i)')}),"
                 f" transform(sequence(0, n - 1), i -> {_plain('get(w, pos - at + i)')}))")
         found = (first.join(F.broadcast(part.select("key", "item_id", "item", "n")), "key")

@@ -74,3 +74,20 @@ def test_names_at_sentence_starts_and_of_other_lengths(spark):
     _, _, got = run(spark, texts, items)
     assert [list(got[i]["items"]) for i in range(6)] == [[1], [1], [1], [2], [2], []]
     assert got[0].best_share == 1.0 and got[1].best_share == 1.0 and got[4].best_share == 1.0
+
+
+def test_every_run_of_the_least_share_is_found(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêøåñç"
+    items = [(n, " ".join(f"w{letters[n % 37]}{letters[n // 37]}{letters[j]}" for j in range(n))) for n in (5, 8, 9, 12, 17, 19, 20, 23, 30, 37)]
+    texts, want = [], []
+    for n, text in items:
+        words = text.split()
+        least = max(D.LEAST_WORDS, -(-2 * n // 5))
+        for size in (least - 1, least):
+            for i in range(n - size + 1):
+                texts.append("lead in " + " ".join(words[i:i + size]) + " lead out")
+                want.append([n] if size == least else [])
+    _, _, got = run(spark, texts, items)
+    assert [list(got[i]["items"]) for i in range(len(texts))] == want
+    _, _, got = run(spark, [items[-1][1], " ".join(items[-1][1].split()[3:15])], items, least_share=0.2)
+    assert all(list(got[i]["items"]) == [37] for i in range(2)) and got[0].best_share == 1.0
