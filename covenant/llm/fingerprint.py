@@ -3,7 +3,7 @@
 A text is the multiset of its paragraphs (the parts between line breaks). Each
 paragraph is hashed to a wide vector, and the fingerprint is the sum of these
 vectors: 32 lanes modulo 2**32 hashed from the whole paragraph decide equality,
-and 128 lanes modulo 2**16, sums of +1/-1 vectors hashed from the paragraph's
+and 128 lanes modulo 2**32, sums of +1/-1 vectors hashed from the paragraph's
 sentences, give a likeness (the cosine of the two sentence multisets,
 estimated with a standard error of about 0.09). Sums do not depend on order,
 and a paragraph is inserted or deleted by adding or subtracting its vector.
@@ -30,7 +30,7 @@ from covenant.llm.common import batch_of, text_chunks
 
 EQUAL_LANES, SIGN_LANES = 32, 128
 _sentences = regex.compile(r"[^.!?]*[.!?]+|[^.!?]+").findall
-_WIDTH = EQUAL_LANES * 4 + SIGN_LANES * 2
+_WIDTH = EQUAL_LANES * 4 + SIGN_LANES * 4
 
 
 class Fingerprint:
@@ -40,7 +40,7 @@ class Fingerprint:
 
     def __init__(self, equal: np.ndarray | None = None, sign: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL_LANES, np.uint32) if equal is None else equal
-        self.sign = np.zeros(SIGN_LANES, np.uint16) if sign is None else sign
+        self.sign = np.zeros(SIGN_LANES, np.uint32) if sign is None else sign
 
     @classmethod
     def of(cls, text: str | None) -> Fingerprint:
@@ -64,7 +64,7 @@ class Fingerprint:
         parts = [s.strip() for p in paragraphs for s in _sentences(p)]
         bits = b"".join(xxh3_128_digest(s.encode()) for s in parts if s)
         ones = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, SIGN_LANES // 8), axis=1)
-        sign = (2 * ones.sum(axis=0, dtype=np.int64) - len(ones)).astype(np.uint16)
+        sign = (2 * ones.sum(axis=0, dtype=np.int64) - len(ones)).astype(np.uint32)
         self.equal = self.equal + equal if by > 0 else self.equal - equal
         self.sign = self.sign + sign if by > 0 else self.sign - sign
         return self
@@ -81,7 +81,7 @@ class Fingerprint:
         return self.copy().remove(a[head:len(a) - tail]).add(b[head:len(b) - tail])
 
     def __str__(self) -> str:
-        return (self.equal.astype("<u4").tobytes() + self.sign.astype("<u2").tobytes()).hex()
+        return (self.equal.astype("<u4").tobytes() + self.sign.astype("<u4").tobytes()).hex()
 
     @classmethod
     def parse(cls, value: str) -> Fingerprint:
@@ -89,12 +89,12 @@ class Fingerprint:
         if len(raw) != _WIDTH:
             raise ValueError("not a fingerprint")
         return cls(np.frombuffer(raw[:EQUAL_LANES * 4], "<u4").astype(np.uint32),
-                   np.frombuffer(raw[EQUAL_LANES * 4:], "<u2").astype(np.uint16))
+                   np.frombuffer(raw[EQUAL_LANES * 4:], "<u4").astype(np.uint32))
 
     def likeness(self, other: Fingerprint) -> float:
         if (self.equal == other.equal).all() and (self.sign == other.sign).all():
             return 1.0
-        a, b = (x.sign.astype(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.sign.astype(np.int32).astype(np.float64) for x in (self, other))
         norm = float(np.sqrt((a @ a) * (b @ b)))
         if norm == 0.0:
             return float(not (a.any() or b.any()))

@@ -65,3 +65,11 @@ def test_column_of_fingerprints(spark):
     df = spark.createDataFrame([(1, "a\nb", 2), (2, "b\na", 3), (3, None, 4)], "doc_id long, text string, x int")
     out = {r.doc_id: r.fingerprint for r in G.fingerprints(df).collect()}
     assert out[1] == out[2] == str(Fp.of("a\nb")) and out[3] == str(Fp.of(""))
+
+
+def test_likeness_of_lines_repeated_more_than_two_to_the_fifteen_times():
+    text = "spam.\n" * 40_000
+    own = Fp.of(text)
+    half = own.edited(text, text[:len(text) // 2] + "".join(f"Line {i}.\n" for i in range(20_000)))
+    assert own.likeness(half) > 0.9 and own.likeness(Fp.of("spam.\n" * 30_000)) > 0.99
+    assert str(Fp.parse(str(own))) == str(own) and Fp.parse(str(own)).likeness(half) == own.likeness(half)
