@@ -49,13 +49,14 @@ BASE = [
 ]
 #: A key from its first line to its END line, over at most 200 hyphens. Without one, over the lines of base64 that follow,
 #: also with escaped line breaks, and the word of base64 letters on the next line, which may be the end of the key. Lines
-#: parted by a space or indented by spaces are taken one by one, 200 at most: Java's expressions recurse there.
+#: parted by a space or indented by spaces are taken one by one, 200 at most: Java's expressions recurse there. RE2, which
+#: DuckDB uses, takes nested repetitions up to a product of 1,000, hence 16 as 4 times 4.
 _LINE = r"(?:[\x20\t]*[\r\n]+|\x20+|(?:\\[nr])+)[\x20\t]*"
 _BASE64 = "A-Za-z0-9+/="
 _PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
                 r"(?:[^-]*(?:-[^-]+){0,200}-{5,}END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
                 rf"|(?:{_LINE}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n\\]*){{0,6}}"
-                rf"(?:{_LINE}[{_BASE64}]{{16,}}(?:[{_BASE64}\t\r\n\\]*[{_BASE64}])?){{1,200}}"
+                rf"(?:{_LINE}{f'[{_BASE64}]{{4}}' * 3}[{_BASE64}]{{4,}}(?:[{_BASE64}\t\r\n\\]*[{_BASE64}])?){{1,200}}"
                 rf"(?:{_LINE}[{_BASE64}]{{1,15}})?)?")
 #: Formats of further credentials.
 MORE = [
