@@ -89,3 +89,71 @@ def url_filter(rules: list[Rule]) -> str:
           FROM q LEFT JOIN r{STEPS} r ON q.host = r.host)
     SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
     FROM z"""
+
+
+def source_divergence(min_docs: int = 10, top_terms: int = 10, scale: int = 1_000_000_000) -> str:
+    """Every kept term against every two groups of its language."""
+    return f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+        FROM documents),
+    word AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY ALL HAVING count(DISTINCT row) >= {min_docs}),
+    per_lang AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM kept GROUP BY lang),
+    n AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY ALL),
+    per_group AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+    g AS (
+        SELECT x.lang, x.source, CAST(coalesce(pg.total, 0) AS HUGEINT) AS total, CAST(coalesce(l.terms, 0) AS HUGEINT) AS terms
+        FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN per_group pg USING (lang, source) LEFT JOIN per_lang l USING (lang)),
+    p AS MATERIALIZED (
+        SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+               1 + {scale} * CAST(coalesce(n.n, 0) + 2 AS HUGEINT) // (g.total + 2 * g.terms) AS p,
+               1 + {scale} * CAST(k.n + 2 AS HUGEINT) // (CAST(l.total AS HUGEINT) + 2 * l.terms) AS q
+        FROM g JOIN kept k USING (lang) JOIN per_lang l USING (lang)
+        LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+    pair AS (
+        SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+        LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+        GROUP BY ALL),
+    part AS (
+        SELECT lang, source, 'pair' AS part, item, value FROM pair
+        UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM part)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM ranked WHERE part = 'pair' OR rank <= {top_terms}"""
+
+
+def centroid_clusters(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: str = "3") -> str:
+    """One statement per round: all distances, the nearest centroid, the floor of the mean."""
+    steps = [f"""
+    v AS MATERIALIZED (
+        SELECT row, vec_id, d, CAST(floor({scale} * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS x
+        FROM (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+              WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+             (SELECT unnest(range(1, {dims} + 1)) AS d)),
+    c0 AS MATERIALIZED (
+        SELECT s.k, v.d, v.x AS c FROM v JOIN (
+            SELECT row, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS k
+            FROM v WHERE d = 1 QUALIFY k < {k}) s USING (row))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+    a{i} AS MATERIALIZED (
+        SELECT row, k, distance FROM (
+            SELECT v.row, c.k, sum((v.x - c.c) * (v.x - c.c)) AS distance FROM v JOIN c{i} c ON v.d = c.d GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, k) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+    m{i} AS (SELECT a.k, v.d, sum(v.x) AS s, CAST(count(*) AS HUGEINT) AS n FROM v JOIN a{i} a USING (row) GROUP BY ALL),
+    c{i + 1} AS MATERIALIZED (
+        SELECT c.k, c.d, CASE WHEN m.n IS NULL THEN c.c ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS c
+        FROM c{i} c LEFT JOIN m{i} m ON c.k = m.k AND c.d = m.d)""")
+    return f"""WITH {",".join(steps)},
+    h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+    SELECT v.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance,
+           CAST(sum(a.distance) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+           CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+    FROM a{rounds} a JOIN v ON a.row = v.row AND v.d = 1 JOIN h ON a.k = h.k"""

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import (bpe, decontaminate, fingerprint, langid, minhash, oracles, quality, secrets, sharding, tokencount,
-                          urlfilter)
+from covenant.llm import (bpe, centroids, decontaminate, divergence, fingerprint, langid, minhash, oracles, packing, quality,
+                          secrets, sharding, tokencount, urlfilter)
 from covenant.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+@register
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 ORACLE["op1_minhash_dedup"] = oracles.near_duplicates()
 ORACLE["op3_url_filter"] = oracles.url_filter(URL_RULES)
 ORACLE["op10_secret_scan"] = oracles.secret_scan()
+ORACLE["op11_source_divergence"] = oracles.source_divergence()
+ORACLE["op13_centroids"] = oracles.centroid_clusters()
