@@ -28,7 +28,8 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,39 @@ from covenant.llm.tokencount import byte_symbols
 
 CAPACITY, HIDDEN = 4096, 4096
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 21, 1 << 17
-TABLE_BYTES, PART_CHARS = 24 << 20, 1 << 20
+TABLE_BYTES, ENTRY_BYTES, PART_CHARS = 64 << 20, 170, 1 << 20
 OUT_BYTES = 8 << 20
 _SPACE = re.compile(r"[ \t\n\r]+")
-#: Characters that every Unicode normal form and both lower-casings agree on, and their pre-tokens.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PRE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Characters that every Unicode normal form and both lower-casings agree on; their pre-tokens, and the space between words.
+_PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+_PRE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]| |'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9 ]+")
+_GAP = b"\xff" * 4                       # stands for a space among ids
+
+
+class Table:
+    """Ids of strings seen before, bounded in bytes: when half of the bound is full, the strings
+    that have not been asked for since the last time are dropped."""
+
+    def __init__(self, limit: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit, self.size = limit // 2, 0
+
+    def look_up(self, keys: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> bytes:
+        """The ids of all keys, joined."""
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        young = self.young
+        missing = set(keys).difference(young)
+        if missing:
+            self.size += ENTRY_BYTES * len(missing) + 3 * sum(map(len, missing))
+            if self.old:
+                again = [k for k in missing if k in self.old]
+                young.update(zip(again, map(self.old.__getitem__, again)))
+                missing.difference_update(again)
+            new = list(missing)
+            young.update(zip(new, make(new)))
+        return b"".join(map(young.__getitem__, keys))
 
 
 class Encoder:
@@ -65,25 +93,34 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         # words go to the model directly only if the file's steps before it are the ones that _PRE repeats
         probe = "It's \"A1b22\", ÀÉß-ÿ!? they'll_x' 'Re're"
-        self.direct = all(self._direct(w) == self._ids(w) for w in probe.split())
-        self.table: dict[str, bytes] = {}
-        self.table_bytes, self.size = table_bytes, 0
+        self.direct = False
+        self.words, self.pre = Table(table_bytes), Table(table_bytes // 2)
+        plain = probe.split()
+        self.direct = self._direct(plain) == [self._ids(w) for w in plain]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _direct(self, word: str) -> bytes:
-        ids: list[int] = []
-        for p in _PRE.findall(word.lower()):
-            if not p.isascii():
-                p = "".join(map(_SYMBOLS.__getitem__, p.encode()))
-            ids += [t.id for t in self.model.tokenize(p)]
-        return np.array(ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if self.direct and _PLAIN.fullmatch(word) and not self.special.search(word):
-            return self._direct(word)
-        return self._ids(word)
+    def _pre_tokens(self, new: list[str]) -> Iterator[bytes]:
+        cut = self.model.tokenize
+        for p in new:
+            if p == " ":
+                yield _GAP
+            else:
+                yield array("I", [t.id for t in cut(p if p.isascii() else "".join(map(_SYMBOLS.__getitem__, p.encode())))]).tobytes()
+
+    def _direct(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words: they are cut into pre-tokens together, which the model then cuts into ids."""
+        flat = _PRE.findall(" ".join(words).lower())
+        return self.pre.look_up(flat, self._pre_tokens).split(_GAP)
+
+    def _encoded(self, words: list[str]) -> Iterable[bytes]:
+        joined = " ".join(words)
+        if self.direct and _PLAIN.fullmatch(joined) and not self.special.search(joined):
+            return self._direct(words)
+        plain = [self.direct and bool(_PLAIN.fullmatch(w)) and not self.special.search(w) for w in words]
+        known = iter(self._direct([w for w, p in zip(words, plain) if p]))
+        return [next(known) if p else self._ids(w) for w, p in zip(words, plain)]
 
     def parts(self, text: str) -> Iterator[str]:
         """Parts of a text of about PART_CHARS, cut at spaces."""
@@ -96,19 +133,12 @@ class Encoder:
             i = j
 
     def encode(self, text: str | None) -> bytes:
-        out = []
-        for part in self.parts(text or ""):
-            words = [w for w in _SPACE.split(part) if w] if "\t" in part or "\n" in part or "\r" in part else part.split(" ")
-            table = self.table
-            for w in set(words).difference(table):
-                ids = self._word(w)
-                table[w] = ids
-                self.size += 150 + 2 * len(w) + len(ids)
-            out.append(b"".join(map(table.__getitem__, words)))
-            if self.size > self.table_bytes:
-                table.clear()
-                self.size = 0
-        return b"".join(out)
+        return b"".join([self.words.look_up(_words(part), self._encoded) for part in self.parts(text or "")])
+
+
+def _words(text: str) -> list[str]:
+    """Cut at white space; the four controls that only Python counts as such stay inside words."""
+    return [w for w in _SPACE.split(text) if w] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 _SYMBOLS = byte_symbols()
