@@ -185,8 +185,9 @@ def _star(band: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .withColumn("linked", 100 * (F.col("n_x") - F.col("v")) >= percent * (F.col("n_p") + F.col("v"))))
 
 
-def _beside_pivot(star: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) among members of one bucket that are not both linked to its pivot.
+def _beside_pivot(star: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among members of one bucket that are not both linked to its pivot and
+    that the links to pivots do not connect already. ``known`` has those components (node, component).
 
     With m and v the numbers of shingles that only the pivot and only a member has, s and x have
     n_p - m_s - m_x + (common differences) shingles in common, so a link needs at least
@@ -195,13 +196,18 @@ def _beside_pivot(star: DataFrame, percent: int) -> DataFrame:
     of x alone. Differences that only one member has are left out. Of the others, put in one order,
     rarest first, two lists that have T in common agree on one of their first (length - bound + 1)
     entries; a join on these finds the pair. Where they agree, the entries before and after still
-    must allow for T.
+    must allow for T. Entries on which only members of one component agree are left out, too: a
+    second large family in a bucket is connected by the pivots of its other buckets, and its
+    members need not meet one another here.
     """
     p = percent
-    open_ = star.where("not linked").select("p").distinct()
-    numbers = ["p", "x", "n_p", "n_x", "m", "v", "linked"]
+    numbers = ["p", "x", "n_p", "n_x", "m", "v", "linked", "c"]
+    star = (star.join(known.select(F.col("node").alias("x"), "component"), "x", "left")
+            .withColumn("c", F.coalesce("component", "x")))
+    open_ = star.where("not linked").groupBy("p").agg(F.lit(1).alias("open"))
     each = star.join(open_, "p").select(*numbers, F.explode(F.concat("more", "less")).alias("entry"))
-    common = each.groupBy("p", "entry").agg(F.count("*").alias("f")).where("f > 1")
+    common = (each.groupBy("p", "entry").agg(F.count("*").alias("f"), F.min("c").alias("low"), F.max("c").alias("high"))
+              .where("low < high").drop("low", "high"))
     own = F.when(F.col("linked"), F.expr(f"floor((100 * m + {p} * v) / (100 + {p})) + 1")) \
         .otherwise(F.expr(f"greatest(1, ceil(({p} * n_x - 100 * n_p + (100 + {p}) * m) / 100))"))
     lists = (each.join(common, ["p", "entry"]).groupBy(*numbers)
@@ -210,10 +216,10 @@ def _beside_pivot(star: DataFrame, percent: int) -> DataFrame:
              .withColumn("all", F.slice("all.entry", 1, F.greatest(F.col("u") - own + 1, F.lit(0)).cast("int"))))
     member = stored(lists, "lists").select(*numbers, "u", F.posexplode("all").alias("at", "entry"))
     loose = member.where("not linked").select(
-        "p", "entry", F.col("x").alias("s"), F.col("n_x").alias("n_s"), F.col("m").alias("m_s"),
+        "p", "entry", F.col("x").alias("s"), F.col("c").alias("c_s"), F.col("n_x").alias("n_s"), F.col("m").alias("m_s"),
         F.col("u").alias("u_s"), F.col("at").alias("at_s"))
     needed = f"ceil({p} * (n_s + n_x) / (100 + {p})) - n_p + m_s + m"
-    near = F.expr(f"s != x and (linked or s < x) and 100 * least(n_s, n_x) >= {p} * greatest(n_s, n_x)"
+    near = F.expr(f"c_s != c and (linked or s < x) and 100 * least(n_s, n_x) >= {p} * greatest(n_s, n_x)"
                   f" and {needed} <= least(at_s, at) + least(u_s - at_s, u - at)")
     return (loose.join(member, ["p", "entry"]).where(near)
             .select(F.col("s").alias("a"), F.col("x").alias("b")).distinct())
@@ -250,8 +256,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     group = ["n_shingles", "set0", "set1"]
     filled = rows_.where("n_shingles > 0 and doc_id is not null")
     classes = stored(filled.groupBy(*group).agg(F.min("doc_id").alias("id")), "classes")
+    # one row per id and set; an id that stands for several texts keeps each of its sets
     reps = (filled.join(classes, group).where("doc_id = id")
-            .select("id", "n_shingles", "bands", "sig").dropDuplicates(["id", "n_shingles"]))
+            .select("id", *group, "bands", "sig").dropDuplicates(["id", *group]))
     band = reps.select(F.explode("bands").alias("band"), "id")
     shared = band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     band = stored(band.join(shared, "band"), "bands")           # only buckets that hold more than one
@@ -262,10 +269,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
                   .mapInArrow(_set_maker(k), "doc_id bigint, shingles array<bigint>"), "sets")
     star = stored(_star(band, sets, percent), "star")
     sigs = reps.select("id", "sig")
-    beside = _confirmed(_by_signature(_beside_pivot(star, percent), sigs, percent, hashes), sets, percent)
-    links = star.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v")).unionByName(beside)
-    labels = components(links)
-    of_class = (classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = stored(components(star.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))), "by-pivot")
+    beside = stored(_confirmed(_by_signature(_beside_pivot(star, known, percent), sigs, percent, hashes), sets, percent), "beside")
+    # an id with several sets connects their classes
+    by_hash = F.xxhash64(*group)
+    several = filled.groupBy("doc_id").agg(F.min(by_hash).alias("low"), F.max(by_hash).alias("high")).where("low < high").select("doc_id")
+    own = (filled.join(several, "doc_id", "left_semi").join(classes, group).where("doc_id != id")
+           .select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct())
+    beside = beside.unionByName(own)
+    label = known.select(F.col("node").alias("id"), "component")
+    joined = components(_between(beside, label)).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    # every node of a link: its component by pivots, and what that one is joined with
+    nodes = label.select("id").unionByName(beside.select(F.col("u").alias("id"))).unionByName(beside.select(F.col("v").alias("id"))).distinct()
+    labels = (nodes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+              .join(joined, "component", "left").select("id", F.coalesce("last", "component").alias("component")))
+    of_class = (classes.join(labels, "id", "left")
                 .select(*group, F.coalesce("component", "id").alias("component")))
     return (rows_.join(of_class, group, "left")
             .select("doc_id", "n_shingles",
@@ -273,9 +291,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _between(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links (u, v) as links of the components that their ends belong to."""
+    for end in ("u", "v"):
+        mine = label.select(F.col("id").alias(end), "component")
+        links = links.join(mine, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    return links.select("u", "v")
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps: of each group the
-    rows of the smallest id (of repeated rows with that id, one), and rows that belong to no group."""
-    gone = (near_duplicates(docs, **options).where("not kept").select("doc_id").distinct())
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    rows of the smallest id (equal rows of that id once), and rows that belong to no group."""
+    found = stored(near_duplicates(docs, **options), "near-duplicates")
+    gone = found.where("not kept").select("doc_id")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = docs.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # only rows of ids that occur again are compared by their texts
+    again = (docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").select(*docs.columns)
+             .dropDuplicates(["doc_id", "text"]))
+    return once.unionByName(again)

@@ -79,6 +79,41 @@ def test_large_group_of_near_copies_stays_whole(spark):
     assert {i: r.component_id for i, r in run(spark, rows, k=2).items()} == brute(rows, 2)
 
 
+def families(n):
+    """Two families of near copies that share about half of their shingles, so that some buckets hold both."""
+    rng = random.Random(11)
+    shared = [f"w{i}" for i in range(130)]
+    bases = [shared + [f"{f}{i}" for i in range(50)] for f in "ab"]
+    return [(i, edited(rng, bases[i % 2], 3)) for i in range(2 * n)]
+
+
+def test_two_families_in_one_bucket_stay_linear(spark, monkeypatch):
+    met, beside = [], minhash._beside_pivot
+
+    def counted(*args):
+        out = beside(*args).cache()
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_beside_pivot", counted)
+    for n in (40, 120):
+        rows = families(n)
+        assert {i: r.component_id for i, r in run(spark, rows, k=2).items()} == brute(rows, 2)
+    assert met[1] <= 2 * 120 and met[0] <= 2 * 40
+
+
+def test_an_id_with_several_texts_links_by_each(spark):
+    a, b = [" ".join(f"{x}{i}" for i in range(40)) for x in "ab"]
+    rows = [(5, a), (5, b), (6, a + " end"), (7, b + " end"), (4, b), (9, "else where")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df, k=2).collect()}
+    assert got == {(4, 4), (5, 4), (6, 4), (7, 4), (9, 9)}
+    rows = [(5, a), (5, b), (5, b), (6, a + " end"), (7, b + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(df, k=2).collect()} == {5}
+    assert sorted(tuple(r) for r in minhash.deduplicated(df, k=2).collect()) == [(5, a), (5, b)]
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a b c", 1, "x"), (4, "a b c", 2, "x"), (4, "a b c", 2, "x"), (3, "a b  c", 3, "y")],
                                "doc_id long, text string, n_shingles int, kept string")
