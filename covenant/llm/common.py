@@ -47,6 +47,17 @@ def drop_stored(spark: SparkSession) -> int:
     return n
 
 
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches of this session, so that a Python worker and the JVM's buffers for it hold
+    little of a table of whole texts at once. Smaller bounds that are set already stay."""
+    for key, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, "0")
+        now = int(now.removesuffix("b")) if now.removesuffix("b").lstrip("-").isdigit() else 0
+        if not 0 < now <= bound:
+            spark.conf.set(key, str(bound))
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES,
                 rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``rows`` rows and ``limit`` bytes of text (or one row)."""

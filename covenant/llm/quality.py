@@ -246,11 +246,13 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Crf, cut: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more."""
+    """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more. Only texts go
+    to Python and only scores come back."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for b in text_chunks(batches):
-            yield b.filter(pa.array(held.value.score(*utf8(b.column("text"))) >= cut))
+    @F.arrow_udf("double")
+    def scores(text: pa.Array) -> pa.Array:
+        parts = [held.value.score(*utf8(b.column("text"))) for b in text_chunks([batch_of({"text": text})])]
+        return pa.array(np.clip(np.concatenate(parts or [np.zeros(0)]), 0, 1))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scores("text") >= cut)
