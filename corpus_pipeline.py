@@ -2,7 +2,8 @@
 
 Every stage is (spark, docs, sf_dir) -> DataFrame and works on all that its
 predecessor kept; ``run`` writes each result as Parquet below the shared
-folder and reads it back as the next stage's input.
+folder and reads it back as the next stage's input. Stages carry whole rows,
+so they lower the session's bound on Arrow batches (``small_batches``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant.llm import bpe, decontaminate, minhash, quality, secrets
-from covenant.llm.common import read_table, stored
+from covenant.llm.common import read_table, small_batches, stored
 from covenant.llm.queries import QUALITY_CUT
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,12 +23,14 @@ ORACLE_SQL = None
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose line marginals average to the cut or more; rows keep their columns."""
+    small_batches(spark)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     return quality.keep(docs, model, QUALITY_CUT).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, similarity 0.8)."""
+    small_batches(spark)
     return minhash.deduplicated(docs, k=5, percent=80).select(*COLUMNS)
 
 
@@ -43,6 +46,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a check that they decode to its text."""
+    small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")),
                      path, pattern, keep_text=False)
