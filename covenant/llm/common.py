@@ -52,8 +52,8 @@ def small_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) ->
     little of a table of whole texts at once. Smaller bounds that are set already stay."""
     for key, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, "0")
-        now = int(now.removesuffix("b")) if now.removesuffix("b").lstrip("-").isdigit() else 0
+        now = spark.conf.get(key).removesuffix("b")
+        now = int(now) if now.lstrip("-").isdigit() else 0      # a size with another unit is set anew
         if not 0 < now <= bound:
             spark.conf.set(key, str(bound))
 

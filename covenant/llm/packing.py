@@ -30,6 +30,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,12 @@ class Encoder:
         return b"".join([self.words.look_up(_words(part), self._encoded) for part in self.parts(text or "")])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process, which runs one task after another; its tables are bounded."""
+    return Encoder(path)
+
+
 def _words(text: str) -> list[str]:
     """Cut at white space; the four controls that only Python counts as such stay inside words."""
     return [w for w in _SPACE.split(text) if w] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
@@ -193,7 +200,7 @@ _PIECE = "doc_id bigint, start bigint, ids binary, doc_tokens bigint"
 
 def _cutter(vocabulary: str, end_id: int, capacity: int):
     def run(batches):
-        encoder, end, step = Encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encoder, end, step = encoder_of(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * capacity
         part, number = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
 

@@ -73,3 +73,16 @@ def test_stages_on_empty_tables_and_odd_rows(spark):
         for _, stage in C.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
         assert "ids" in docs.columns
+
+
+def test_arrow_batches_are_bounded_and_smaller_bounds_stay(spark):
+    from covenant.llm.common import small_batches
+
+    session = spark.newSession()
+    rows, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    small_batches(session)
+    assert session.conf.get(rows) == "1024" and session.conf.get(size).removesuffix("b") == str(8 << 20)
+    session.conf.set(rows, "10")
+    session.conf.set(size, "1000")
+    small_batches(session)
+    assert session.conf.get(rows) == "10" and session.conf.get(size).removesuffix("b") == "1000"
