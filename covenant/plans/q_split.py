@@ -35,11 +35,6 @@ _CTES = [("quotas", _QUOTAS), ("split_all", _SPLIT)]
 _CTES_SAMPLE = _CTES + [("picked", _SAMPLE)]
 
 
-#: Test rows per label that the seed-42 split of the fixture has, by number of contracts.
-EXPECTED_TEST_COUNTS = {200: {"Low": 36, "Medium": 4, "High": 0}, 1000: {"Low": 178, "Medium": 17, "High": 5},
-                        10000: {"Low": 1797, "Medium": 163, "High": 40}}
-
-
 def _risk(spark, sf_dir):
     # Title, score and label of each contract, read three times by the split
     # (counts, histogram, flags). The text is left out: the split needs none.
@@ -86,11 +81,22 @@ def label_split_distribution(spark, sf_dir):
     FROM quotas q LEFT JOIN (SELECT risk_label, count(*) AS actual FROM split_all WHERE split = 'test'
                              GROUP BY risk_label) a ON q.risk_label = a.risk_label""", _CTES))
 def split_gate(spark, sf_dir):
+    """A17 against the largest-remainder quotas."""
+    risk = _risk(spark, sf_dir)
+    g = SP.split_gate(SP.stratified_split(risk), SP.split_quotas(risk))
+    return g.select("risk_label", F.col("expected").cast("long"), "actual", "ok")
+
+
+@register("split_gate_refuses", with_fx(["fx_risk"], """
+    SELECT q.risk_label, q.quota + CASE WHEN q.risk_label = 'Low' THEN 1 ELSE 0 END AS expected,
+           coalesce(a.actual, 0) AS actual, q.quota + CASE WHEN q.risk_label = 'Low' THEN 1 ELSE 0 END = coalesce(a.actual, 0) AS ok
+    FROM quotas q LEFT JOIN (SELECT risk_label, count(*) AS actual FROM split_all WHERE split = 'test'
+                             GROUP BY risk_label) a ON q.risk_label = a.risk_label""", _CTES))
+def split_gate_refuses(spark, sf_dir):
+    """A17 against an expectation that is handed in and asks for one row too many of a label."""
     risk = _risk(spark, sf_dir)
-    known = EXPECTED_TEST_COUNTS.get(risk.count())
-    expected = SP.split_quotas(risk) if known is None else spark.createDataFrame(
-        list(known.items()), "risk_label string, quota long")
-    g = SP.split_gate(SP.stratified_split(risk), expected)
+    asked = SP.split_quotas(risk).withColumn("quota", F.col("quota") + F.when(F.col("risk_label") == "Low", 1).otherwise(0))
+    g = SP.split_gate(SP.stratified_split(risk), asked)
     return g.select("risk_label", F.col("expected").cast("long"), "actual", "ok")
 
 
