@@ -31,6 +31,9 @@ from covenant import schemas as S
 AHEAD_DAYS = 200 * 365
 OUT = "kind string, document_id long, seq long, status string, n_tried long, n_refused long, log_id long, action string, at long"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+#: Stands for null in the numbers that go to Python: one null would turn the numbers of its whole Arrow
+#: batch into floating point, keys included.
+NONE = -(1 << 63)
 _LEGAL, _TARGET = set(S.TRANSITIONS), dict(S.STATUS_MOVES)
 
 
@@ -62,25 +65,25 @@ class Lifecycle(StatefulProcessor):
             "folded", _fields(status=StringType, n_tried=LongType, n_refused=LongType, seq=LongType))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):                                  # heartbeats
+        if key[0] == NONE:                                   # heartbeats
             for _ in rows:
                 pass
             return
         passed = timerValues.getCurrentWatermarkInMs()
         for events in rows:
-            late = events["at"].isna() | (events["at"].fillna(0).astype("int64") // 1000 <= passed)
+            late = events["at"] // 1000 <= passed            # as are events without a time
             if late.any():
                 yield events[late].assign(kind="late", seq=None, status=None, n_tried=None, n_refused=None)[_COLUMNS]
             on_time = events[~late]
             if len(on_time):
-                self.waiting.appendList([(int(a), None if pd.isna(i) else int(i), None if pd.isna(x) else x)
+                self.waiting.appendList([(int(a), int(i), None if pd.isna(x) else x)
                                          for a, i, x in zip(on_time["at"], on_time["log_id"], on_time["action"])])
                 self.handle.registerTimer(int(on_time["at"].min()) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         events = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((e for e in events if e[0] // 1000 <= passed), key=lambda e: (e[0], e[1] is not None, e[1] or 0))
+        due = sorted((e for e in events if e[0] // 1000 <= passed), key=lambda e: e[:2])
         if not due:
             return
         rest = [e for e in events if e[0] // 1000 > passed]
@@ -113,7 +116,8 @@ def run(spark: SparkSession, src: str, schema, sink: str, checkpoint: str, bound
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
         events = (stream.select("document_id", "log_id", "action", micros("action_ts").alias("at"))
                   .withColumn("ahead", F.timestamp_micros(F.col("at") + AHEAD_DAYS * 86_400_000_000))
-                  .withWatermark("ahead", f"interval {AHEAD_DAYS} days {bound}"))
+                  .withWatermark("ahead", f"interval {AHEAD_DAYS} days {bound}")
+                  .withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("document_id", "log_id", "at")}))
         out = events.groupBy("document_id").transformWithStateInPandas(
             Lifecycle(), outputStructType=OUT, outputMode="append", timeMode="eventTime")
         q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
@@ -145,7 +149,8 @@ def statuses(spark: SparkSession, sink: str) -> DataFrame:
 
 def rejects(spark: SparkSession, sink: str) -> DataFrame:
     """Events behind the watermark when they arrived, and events without a time."""
-    return spark.read.parquet(sink).where("kind = 'late'").select("document_id", "log_id", "action", "at")
+    return spark.read.parquet(sink).where("kind = 'late'").select(
+        "document_id", F.nullif("log_id", F.lit(NONE)).alias("log_id"), "action", F.nullif("at", F.lit(NONE)).alias("at"))
 
 
 def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -54,12 +54,13 @@ def test_events_out_of_order_within_the_bound_give_the_batch_status(spark):
 def test_only_events_behind_the_watermark_are_rejects(spark):
     d, day = session.run_dir(spark, "behind"), lambda n, h=0: dt.datetime(2024, 1, n, h)
     first = [(1, 1, "ReviewRequested", day(10)), (2, 2, "Viewed", day(2))]
-    second = [(1, 3, "RevisionRequested", day(9)), (1, 4, "Viewed", day(8)), (2, 5, "ReviewRequested", day(7)), (3, 6, "Viewed", None)]
+    second = [(1, 3, "RevisionRequested", day(9)), (1, 4, "Viewed", day(8)), (2, 5, "ReviewRequested", day(7)), (3, 6, "Viewed", None),
+              (4, None, "ReviewRequested", day(12)), (None, 7, "Viewed", day(10)), (2**60 + 1, 2**60 + 3, "ReviewRequested", day(9))]
     lifecycle(spark, d, [first, second], "2 days")                     # the watermark stands at the 8th
     assert {(r.document_id, r.log_id) for r in B.rejects(spark, f"{d}/sink").collect()} == {(1, 4), (2, 5), (3, 6)}
     lifecycle(spark, d, [B.heartbeat(spark, day(20))], "2 days")
     got = {r.document_id: (r.status, r.n_tried, r.n_refused) for r in B.statuses(spark, f"{d}/sink").collect()}
-    assert got == {1: ("UnderReview", 2, 1), 2: ("Draft", 0, 0)}
+    assert got == {1: ("UnderReview", 2, 1), 2: ("Draft", 0, 0), 4: ("UnderReview", 1, 0), 2**60 + 1: ("UnderReview", 1, 0)}
 
 
 SCHEMA = "storage_key string, n int, h string"
