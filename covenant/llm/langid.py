@@ -6,14 +6,17 @@ and scaled to length one. A linear support vector machine per language family
 (one against the rest) picks the family; within it, one-versus-one machines
 between its languages vote, ties going to the larger sum of margins.
 
-Machines are fitted on a bounded sample of labelled rows (``per_language``
-texts of each language in expectation, chosen by a hash of the text), because
-some thousands of whole texts settle 2,049 weights. Prediction reads every
+Machines are fitted on a bounded sample of labelled rows (at most
+``per_language`` different texts of each language and ``most`` in all, chosen by
+a hash of the text), because some thousands of whole texts settle 2,049 weights. Prediction reads every
 whole text; language labels, sources and ids are never features.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; if
 no labelled rows exist, every text is ``und``; with one learned language every
-text with a letter gets it; extra columns are ignored.
+text with a letter gets it; a text that is repeated within a language is learned
+once, and each of its rows gets the same prediction; a very long text is read
+whole, in one step of its own; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.llm.common import batch_of, text_chunks
 
 BUCKETS = 2048
-PER_LANGUAGE = 1500
+PER_LANGUAGE, MOST_TEXTS = 1500, 24_000
 #: Families of some languages by ISO 639-1 code; any other code is its own family.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -128,24 +131,32 @@ class Model:
         return labels, scores
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from (text, lang) rows; the driver gets features of the bounded sample only."""
-    rows = labelled.where("lang is not null and text is not null").select("text", "lang")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return Model()
-    spark = labelled.sparkSession
-    share = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, share double")
-    # a hash of the text orders rows, so copies of one text are in or out together
+def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_TEXTS) -> DataFrame:
+    """(lang, text): the different texts with the smallest hashes of each language, at most ``per_language``
+    of each and ``most`` in all (but one of each language at least)."""
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    # copies fold before the shuffle, which moves a language and a hash for each different text
+    sizes = {r.lang: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    each = max(1, min(per_language, most // max(len(sizes), 1)))
+    # a draw with six standard deviations to spare leaves few rows, of which the first ``each`` stay
+    share = labelled.sparkSession.createDataFrame(
+        [(k, min(1.0, (each + 6 * each ** 0.5) / n)) for k, n in sizes.items()], "lang string, share double")
     drawn = (rows.join(F.broadcast(share), "lang")
-             .where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)))
+             .where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+             .groupBy("lang", "h").agg(F.min("text").alias("text")))
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("h"), F.lit(1 << 30)), "h")
+    return drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("lang", "text")
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_TEXTS) -> Model:
+    """A model from (text, lang) rows; the driver gets features of ``sample`` only."""
 
     def vectors(batches):
         for b in text_chunks(batches):
             x = features(b.column("text").to_pylist()).astype(np.float16)
             yield batch_of({"lang": b.column("lang"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    found = drawn.select("text", "lang").mapInArrow(vectors, "lang string, x binary").collect()
+    found = sample(labelled, per_language, most).mapInArrow(vectors, "lang string, x binary").collect()
     if not found:
         return Model()
     found.sort(key=lambda r: (r.lang, bytes(r.x)))

@@ -80,7 +80,8 @@ def url_filter(rules: list[Rule]) -> str:
               FROM (SELECT host, unnest(regexp_extract_all(html, {_q(urlfilter.LINK)}, 1)) AS u FROM q WHERE host <> '')),
     l AS (SELECT * FROM links WHERE dst <> '' AND src <> dst),
     known AS (SELECT host FROM hosts UNION SELECT dst FROM l),
-    up AS (SELECT host AS src, array_to_string(string_split(host, '.')[2:], '.') AS dst FROM known WHERE len(string_split(host, '.')) > 2),
+    label AS (SELECT string_split(host, '.') AS x, unnest(range(1, len(string_split(host, '.')) - 1)) AS i FROM known),
+    up AS (SELECT DISTINCT array_to_string(x[i:], '.') AS src, array_to_string(x[i + 1:], '.') AS dst FROM label),
     e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT * FROM l UNION ALL SELECT * FROM up UNION ALL SELECT dst, src FROM up)
           GROUP BY src, dst),
     ways AS (SELECT *, sum(w) OVER (PARTITION BY src) AS tout, sum(w) OVER (PARTITION BY dst) AS tin FROM e),

@@ -8,13 +8,15 @@ weighted by line length, average to the score of the document.
 
 Labels exist for documents only, so each line of a labelled document is
 trained with the document's label. Training uses a bounded sample:
-``per_class`` documents of each label in expectation, and of each at most
+at most ``per_class`` documents of each label, and of each at most
 ``PIECES`` pieces of ``PIECE`` lines, spread evenly. Scoring reads every line
 of every text.
 
 Defined cases: a null or empty text is one empty line; without any label every
-document scores 0.5, with labels of one class only it scores that class;
-extra columns are ignored.
+document scores 0.5, with labels of one class only it scores that class; a
+very long text is scored whole, in one step of its own; rows that repeat an id
+are scored each; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.llm.common import batch_of, text_chunks, utf8
@@ -207,14 +209,20 @@ def _pieces(n: int) -> list[tuple[int, int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf:
-    """A CRF from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0/1; others ignored)."""
+    """A CRF from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0/1; others ignored), of at most
+    ``per_class`` documents of each label, chosen by a hash of the id. Of rows that repeat an id the
+    smallest text counts, of labels that repeat one the lower."""
     marks = (labels.where("doc_id is not null and quality in (0, 1)")
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
     sizes = {r.quality: r["count"] for r in marks.groupBy("quality").count().collect()}
     if not sizes:
         return fit_crf(np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(0, int))
-    share = F.coalesce(*(F.when(F.col("quality") == k, F.lit(min(1.0, per_class / n))) for k, n in sizes.items()))
-    drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 20)) < share * (1 << 20))
+    spare = per_class + 6 * per_class ** 0.5
+    share = F.coalesce(*(F.when(F.col("quality") == k, F.lit(min(1.0, spare / n))) for k, n in sizes.items()))
+    at = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30))
+    drawn = (marks.where(at < share * (1 << 30))
+             .withColumn("n", F.row_number().over(Window.partitionBy("quality").orderBy(at, "doc_id")))
+             .where(F.col("n") <= per_class).drop("n"))
 
     def vectors(batches):
         for b in text_chunks(batches):
@@ -224,8 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf:
                 rows += [(mark, x[s + i:s + j].astype(np.float32).tobytes()) for i, j in _pieces(int(n))]
             yield batch_of({"quality": pa.array([r[0] for r in rows], pa.int32()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
-    # the drawn labels number about 2 * per_class, whatever the input
-    found = (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("quality", "text")
+    # the drawn labels number at most 2 * per_class, whatever the input, and each has one text
+    found = (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+             .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
              .mapInArrow(vectors, "quality int, x binary").collect())
     found.sort(key=lambda r: (r.quality, bytes(r.x)))
     x = np.frombuffer(b"".join(r.x for r in found), np.float32).reshape(-1, FEATURES).astype(np.float64)

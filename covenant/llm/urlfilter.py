@@ -9,13 +9,15 @@ its trust.
 
 Edges: a page's absolute links, from its host to theirs (weight: number of
 links), and site edges of weight one both ways between a host and the host
-without its first label, while that keeps two labels. Relative links stay on
-their host and say nothing. All of it is DataFrame operations; scores are
+without its first label, on and on while that keeps two labels; so all hosts of
+a site hang together even if those between them have no pages. Relative links
+stay on their host and say nothing. All of it is DataFrame operations; scores are
 written to the shared folder after every step.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 is allowed, as nothing speaks against it; so is a host that neither trust nor
-distrust reaches; a null html has no links; repeated pages count each time.
+distrust reaches; a null html has no links; repeated pages count each time; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +79,9 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
              .where("dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
     known = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
     parents = (known.withColumn("labels", F.split("host", "[.]")).where(F.size("labels") > 2)
-               .select(F.col("host").alias("src"), F.expr("array_join(slice(labels, 2, size(labels)), '.')").alias("dst")))
+               .select("labels", F.expr("explode(sequence(1, size(labels) - 2))").alias("i"))
+               .selectExpr("array_join(slice(labels, i, size(labels)), '.') as src",
+                           "array_join(slice(labels, i + 1, size(labels)), '.') as dst").distinct())
     site = parents.unionByName(parents.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return (links.unionByName(site.withColumn("w", F.lit(1.0)))
             .groupBy("src", "dst").agg(F.sum("w").alias("w")))

@@ -91,3 +91,29 @@ def test_quality_edge_cases(spark):
     kept = quality.keep(df, model, 0.5)
     assert kept.columns == df.columns and kept.count() == 2
     assert quality.score(df.limit(0), model).count() == 0
+
+
+def test_language_sample_is_bounded_with_copies(spark):
+    df = spark.range(5_000).selectExpr("if(id < 3000, 'the same words', concat('text ', id)) text", "if(id % 50 = 0, 'fr', 'en') lang")
+    drawn = langid.sample(df, per_language=100).collect()
+    by = {k: [r.text for r in drawn if r.lang == k] for k in ("en", "fr")}
+    assert len(by["en"]) == 100 and len(by["fr"]) == 41 and all(len(set(v)) == len(v) for v in by.values())
+    assert langid.sample(df, per_language=100, most=60).groupBy("lang").count().where("count > 30").count() == 0
+
+
+def test_quality_fit_takes_one_text_of_a_repeated_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_crf", lambda x, counts, marks: seen.append((len(counts), sorted(marks.tolist()))))
+    docs = spark.range(4_000).selectExpr("if(id < 2000, 7, id) doc_id", "concat('line ', id % 3) text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality").distinct()
+    quality.fit(docs, labels, per_class=50)
+    quality.fit(docs.where("doc_id = 7"), labels, per_class=50_000)
+    assert seen[0] == (100, [0] * 50 + [1] * 50) and seen[1] == (1, [1])
+
+
+def test_very_long_texts_of_both_models(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog \n" * 60_000, "en"), (2, "le chat et le chien \n" * 60_000, "fr")],
+                                 "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()} == {1: "en", 2: "fr"}
+    model = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())

@@ -25,11 +25,13 @@ def plain(pages, rules, steps=U.STEPS, d=U.DAMPING):
             if at[pid][0] and host and host != at[pid][0]:
                 edges[at[pid][0], host] += 1
                 known.add(host)
+    steps_up = set()
     for h in known:
-        if h.count(".") >= 2:
-            up = h.split(".", 1)[1]
-            edges[h, up] += 1
-            edges[up, h] += 1
+        while h.count(".") >= 2:
+            steps_up.add((h, h := h.split(".", 1)[1]))
+    for h, up in steps_up:
+        edges[h, up] += 1
+        edges[up, h] += 1
     seed = [defaultdict(float), defaultdict(float)]
     for n, verdict in enumerate(("allow", "block")):
         own = [h for h, _, _, v in at.values() if v == verdict and h]
@@ -75,6 +77,12 @@ def test_against_a_plain_version(spark):
     assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
 
 
+def test_hosts_of_a_site_hang_together_without_pages_between_them(spark):
+    got = check(spark, [(1, "http://a.x.example.org/es/1", None), (2, "http://b.y.example.org/en/5", None),
+                        (3, "http://c.d.y.example.com/de/1", None), (4, "http://q.example.com/it/", None), (5, "http://other.net/", None)])
+    assert got[2].rule == "org/" and got[4].verdict == "block" and got[4].distrust > 0 and got[5].distrust == 0
+
+
 def test_urls_without_host_and_null_columns(spark):
     got = check(spark, [(1, None, "<a href='//a.org/'>"), (2, "no scheme", None), (3, "http://A.ORG", ""), (4, "x://a.com/fr/?b", None),
                         (5, "http://a.example.org/es/x/http://b.com/", None), (6, "http://a.com/de/", None), (7, "", None)])
