@@ -395,10 +395,22 @@ def score_prepared(prepared: DataFrame, predictions: DataFrame) -> DataFrame:
     p = prepared.select("doc_id", "title", "model_input", X.present_clauses(m).alias("present"))
     j = p.join(predictions.select("doc_id", "predicted", "confidence"), "doc_id", "left")
     n = F.size("present")
-    j = j.select("doc_id", "title", "model_input", "present", n.alias("n_present"),
-                 X.risk_label(n).alias("rule_label"), X.flagged_text("present").alias("flagged"),
-                 X.id_label("predicted").alias("model_label"),
-                 F.when(F.col("predicted").isNotNull(), F.col("confidence")).alias("confidence"))
+    return judged(j.select("doc_id", "title", "model_input", "present", n.alias("n_present"), X.risk_label(n).alias("rule_label"),
+                           X.flagged_text("present").alias("flagged"), "predicted", "confidence"))
+
+
+def rule_scored(prepared: DataFrame) -> DataFrame:
+    """Rule score of prepared contracts that wait for a prediction (doc_id, title, arrived_at), without their
+    texts: of the model's input one character is kept, which tells whether it is blank."""
+    n = F.size(X.present_clauses(X.parse_clauses("clauses_json")))
+    return prepared.select("doc_id", "title", F.when(~X.is_blank("model_input"), F.lit("x")).alias("model_input"),
+                           n.alias("n_present"), X.risk_label(n).alias("rule_label"), "arrived_at")
+
+
+def judged(j: DataFrame) -> DataFrame:
+    """label, action and note of scored contracts with ``predicted`` and ``confidence``, null where none came."""
+    j = j.withColumn("model_label", X.id_label("predicted")) \
+        .withColumn("confidence", F.when(F.col("predicted").isNotNull(), F.col("confidence"))).drop("predicted")
     action = F.when(X.is_blank("model_input") | F.col("model_label").isNull(), F.lit("ClassificationSkipped")) \
         .otherwise(F.lit("Classified"))
     note = X.classification_note("n_present", "rule_label", "model_input", "model_label", "confidence")
@@ -572,10 +584,11 @@ def command_replay(cmds: DataFrame, docs: DataFrame, objects: DataFrame, users:
     return known.unionByName(unknown)
 
 
-def command_documents(replay: DataFrame, docs: DataFrame) -> DataFrame:
+def command_documents(replay: DataFrame, docs: DataFrame, hashes: DataFrame) -> DataFrame:
     """C3–C7 documents: every document as it is after the accepted commands.
 
-    A resubmission sets version, key and hash and clears the scores; the last accepted note
+    A resubmission sets version, key and hash and clears the scores; other documents keep the
+    recorded hash of ``hashes`` (document_id, recorded_hash). The last accepted note
     of a review becomes the reviewer notes; approval sets the lock time.
     """
     when = F.struct("ts", "cmd_id")
@@ -588,7 +601,7 @@ def command_documents(replay: DataFrame, docs: DataFrame) -> DataFrame:
         F.max_by("new_hash", F.when(c == "resubmit", when)).alias("_hash"),
         F.max_by(note, F.when(note.isNotNull(), when)).alias("reviewer_notes"),
         F.max(F.when(c == "approve", F.col("ts"))).alias("_locked")))
-    j = docs.join(per, "document_id", "left")
+    j = docs.join(per, "document_id", "left").join(hashes.select("document_id", "recorded_hash"), "document_id", "left")
     n = F.coalesce("_n", F.lit(0))
     again = n > 0
     version = (F.col("version_number") + n).cast("int")
@@ -597,11 +610,19 @@ def command_documents(replay: DataFrame, docs: DataFrame) -> DataFrame:
         "document_id", "file_name", F.when(again, key).otherwise(F.col("storage_key")).alias("storage_key"),
         *(F.when(~again, F.col(k)).alias(k) for k in ("risk_score", "rule_label", "risk_label", "risk_confidence")),
         F.when(again, F.format_string(S.RESUBMIT_NOTE.replace("{}", "%d"), version)).alias("classification_note"),
-        F.col("_hash").alias("content_hash"), F.coalesce("_status", "status").alias("status"),
+        F.coalesce("_hash", "recorded_hash").alias("content_hash"), F.coalesce("_status", "status").alias("status"),
         version.alias("version_number"), "uploaded_by", "reviewer_notes",
         F.coalesce(F.col("_locked").cast("timestamp_ntz"), F.col("locked_at")).alias("locked_at"))
 
 
+def guarded(replay: DataFrame, command: str, status: str) -> DataFrame:
+    """Commands of a kind against the status that they need, as it is when their turn comes;
+    a command for a document that does not exist has no status."""
+    return (replay.where(F.col("command") == command)
+            .select("cmd_id", "document_id", F.col("status_before").alias("status"),
+                    F.coalesce(F.col("status_before") == status, F.lit(False)).alias("allowed")))
+
+
 def command_versions(replay: DataFrame) -> DataFrame:
     """C3 versions: one row per accepted resubmission."""
     v = (F.col("version_before") + 1).cast("int")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from covenant import schemas as S
 from covenant.functions import text as X
 from covenant.operators import risk as R
+from covenant.operators import subwords
 from covenant.plans.catalog import _qa, register
 from covenant.plans.sqlparts import label_id_sql, label_sql, q, str_list, with_fx
 from covenant.sources import fixtures as FX
-from covenant.session import run_dir
+from covenant.session import materialize, run_dir
 from covenant.sources.tables import scan_qa as scan_table
 from covenant.sources.tables import table
 
@@ -174,6 +177,66 @@ def token_budget(spark, sf_dir):
                     digest("tb.input_ids").alias("ids_md5"), digest("tb.attention_mask").alias("mask_md5"))
 
 
+#: The key's vocabulary comes from the words themselves: beginnings of three letters, two kinds of inner pieces, and
+#: single characters but a few, so that some words stay unknown.
+_SUBWORDS = [
+    ("tk", f"SELECT title, regexp_extract_all(lower(risk_text), {q(X.TOKEN_PATTERN)}) AS toks FROM fx_risk"),
+    ("pos", "SELECT title, unnest(toks) AS word, generate_subscripts(toks, 1) AS place FROM tk"),
+    ("words", "SELECT DISTINCT word FROM pos"),
+    ("chars", "SELECT DISTINCT unnest(string_split(word, '')) AS c FROM words"),
+    ("vocab", """
+    SELECT token, CAST('0x' || substr(md5(token), 1, 7) AS INTEGER) AS id FROM (
+        SELECT substr(word, 1, 3) AS token FROM words WHERE length(word) >= 3
+        UNION SELECT '##' || substr(word, 4, 2) FROM words WHERE length(word) >= 5
+        UNION SELECT '##' || substr(word, 5, 3) FROM words WHERE length(word) >= 7
+        UNION SELECT p || c FROM chars, (VALUES (''), ('##')) v(p) WHERE NOT regexp_matches(c, '[qx0-9]'))"""),
+    ("cut", """
+    SELECT word, CAST(1 AS BIGINT) AS place, CAST([] AS INTEGER[]) AS ids FROM words WHERE length(word) <= 100
+    UNION ALL
+    SELECT word, place + n, list_append(ids, id) FROM (
+        SELECT c.word, c.place, c.ids, l.n, v.id, row_number() OVER (PARTITION BY c.word ORDER BY l.n DESC) AS k
+        FROM cut c CROSS JOIN range(1, 10) l(n)
+        JOIN vocab v ON v.token = (CASE WHEN c.place = 1 THEN '' ELSE '##' END) || substr(c.word, c.place, l.n)
+        WHERE c.place + l.n <= length(c.word) + 1) WHERE k = 1"""),
+    ("done", """
+    SELECT w.word, coalesce(c.ids, [100]) AS ids FROM words w LEFT JOIN cut c ON c.word = w.word AND c.place = length(w.word) + 1"""),
+    ("body", """
+    SELECT tk.title, coalesce(b.ids, []) AS ids FROM tk LEFT JOIN
+        (SELECT title, flatten(list(ids ORDER BY place)) AS ids FROM pos JOIN done USING (word) GROUP BY title) b ON b.title = tk.title"""),
+]
+
+
+def _subword_vocabulary(words):
+    n = F.length("word")
+    char = words.select(F.explode(F.split("word", "")).alias("c")).where("c != '' and not c rlike '[qx0-9]'").distinct()
+    parts = [words.where(n >= least).select(F.expr(piece).alias("token")) for least, piece in (
+        (3, "substr(word, 1, 3)"), (5, "concat('##', substr(word, 4, 2))"), (7, "concat('##', substr(word, 5, 3))"))]
+    parts += [char.select(F.concat(F.lit(p), "c").alias("token")) for p in ("", "##")]
+    tokens = reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    return tokens.select("token", F.conv(F.substring(F.md5("token"), 1, 7), 16, 10).cast("int").alias("id"))
+
+
+@register("subword_budget", with_fx(["fx_risk"], f"""
+    SELECT title, CAST(len(ids) + 2 AS INTEGER) AS n_tokens, len(ids) + 2 >= {S.MAX_TOKENS} AS truncated,
+           CAST(least(len(ids) + 2, {S.MAX_TOKENS}) AS INTEGER) AS n_kept,
+           md5(array_to_string(framed || [0 for i in range({S.MAX_TOKENS} - len(framed))], ',')) AS ids_md5,
+           md5(array_to_string([1 for i in framed] || [0 for i in range({S.MAX_TOKENS} - len(framed))], ',')) AS mask_md5
+    FROM (SELECT *, [101] || ids[1:{S.MAX_TOKENS - X.SPECIAL_TOKENS}] || [102] AS framed FROM body)""",
+                                    _SUBWORDS).replace("WITH ", "WITH RECURSIVE ", 1))
+def subword_budget(spark, sf_dir):
+    """F17 with subwords: greedy longest match over a vocabulary table."""
+    risk = materialize(R.contract_risk(_qa(spark, sf_dir)).select("title", "risk_text"))
+    words = risk.select(F.explode(X.tokens("risk_text")).alias("word")).distinct()
+    vocabulary = materialize(_subword_vocabulary(words))
+    b = subwords.subword_budget(risk, "title", "risk_text", vocabulary)
+
+    def digest(c):
+        return F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+
+    return b.select("title", "n_tokens", "truncated", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_kept"),
+                    digest("input_ids").alias("ids_md5"), digest("attention_mask").alias("mask_md5"))
+
+
 @register("first_words", with_fx(["fx_flags"], """
     SELECT title, row_ord, snippet FROM fx_flags WHERE has_clause"""))
 def first_words(spark, sf_dir):

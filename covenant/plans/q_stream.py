@@ -18,6 +18,7 @@ from covenant.sources import fixtures as FX
 from covenant.operators import increments as I
 from covenant.streaming import buffered as B
 from covenant.streaming import commits as C
+from covenant.streaming import intake as IN
 from covenant.streaming import jobs as J
 
 
@@ -32,6 +33,35 @@ def stream_intake(spark, sf_dir):
     return out.select("document_id", "step", "action", "user_id", "notes")
 
 
+#: Contracts wait this many hours for a prediction; every SLOWth prediction comes with the run after its contract's.
+WAIT_HOURS, SLOW = 3, 7
+
+
+@register("stream_intake_waiting")
+def stream_intake_waiting(spark, sf_dir):
+    """R1 with predictions on a stream of their own: contracts and predictions arrive in runs, some predictions a run
+    later, some made too long after the contract, which is then logged as skipped."""
+    d = J.run_dir(spark, "intake-waiting")
+    hour = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 48 * 3600)
+    contracts = (FX.fx_clause_json(spark, sf_dir).select("doc_id", "title", "clauses_json", "model_input")
+                 .withColumn("arrived_at", hour))
+    predictions = _predictions(spark, sf_dir).withColumn(
+        "predicted_at", F.timestamp_seconds(F.unix_seconds(hour) + F.col("doc_id") % 5 * 3600))
+    contracts, predictions, objects = J.stored_sides(
+        spark, d, contracts=contracts, predictions=predictions,
+        objects=FX.fx_objects(spark, sf_dir).select("document_id", "recorded_hash"))
+    run = F.floor(F.col("doc_id") % 48 / 24)
+    later = run + F.when(F.col("doc_id") % SLOW == 0, 1).otherwise(0)
+    for n in range(3):
+        for name, df, at in (("c", contracts, run), ("p", predictions, later)):
+            J.stage(df.where(at == n), f"{d}/{name}")
+            if n == 2:          # nothing more comes: whoever still waits is due
+                J.stage(IN.heartbeat(spark, df.schema, datetime.datetime(2024, 2, 1)), f"{d}/{name}")
+        table = IN.run(spark, f"{d}/c", f"{d}/p", (contracts.schema, predictions.schema), objects, f"{d}/sink", f"{d}/ckpt",
+                       wait=f"{WAIT_HOURS} hours", late="3 days")
+    return table.rows().select("document_id", "step", "action", "user_id", "notes")
+
+
 def _lifecycle_sink(spark, sf_dir, order: list[int]) -> str:
     """The log arrives in four parts by time of day, in the given order; the stream runs after each one."""
     d = J.run_dir(spark, "lifecycle")
@@ -171,6 +201,8 @@ def _oracles():
     from covenant.plans.q_workflow import _FOLD, _VERSIONED, _rec
     from covenant.plans.sqlparts import with_fx
     ORACLE["stream_intake"] = ORACLE["submit_prepared"]
+    ORACLE["stream_intake_waiting"] = ORACLE["submit_prepared"].replace(
+        "LEFT JOIN fx_predictions p ON pr.doc_id = p.doc_id", f"LEFT JOIN fx_predictions p ON pr.doc_id = p.doc_id AND p.doc_id % 5 <= {WAIT_HOURS}")
     ORACLE["stream_lifecycle"] = ORACLE["lifecycle_fold"]
     vsql = with_fx(["fx_versions"], """
         SELECT document_id, version_number,

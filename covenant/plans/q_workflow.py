@@ -481,23 +481,6 @@ def revision_needs_note(spark, sf_dir):
     return W.missing_notes(_cmds(spark, sf_dir)).join(known, "document_id").select("cmd_id", "document_id")
 
 
-@register("resubmit_needs_revision", with_fx(["fx_commands", "fx_documents"], """
-    SELECT cmd_id, document_id, status FROM cs WHERE command = 'resubmit' AND status <> 'RevisionRequested'""",
-                                             _CMD_STATE))
-def resubmit_needs_revision(spark, sf_dir):
-    c = _cmds(spark, sf_dir).where(F.col("command") == "resubmit")
-    j = c.join(_docs(spark, sf_dir).select("document_id", "status"), "document_id")
-    return j.where(F.col("status") != "RevisionRequested").select("cmd_id", "document_id", "status")
-
-
-@register("reviewable_only", with_fx(["fx_commands", "fx_documents"], """
-    SELECT cmd_id, document_id, status = 'UnderReview' AS reviewable FROM cs WHERE command = 'view'""", _CMD_STATE))
-def reviewable_only(spark, sf_dir):
-    c = _cmds(spark, sf_dir).where(F.col("command") == "view")
-    j = c.join(_docs(spark, sf_dir).select("document_id", "status"), "document_id")
-    return j.select("cmd_id", "document_id", (F.col("status") == "UnderReview").alias("reviewable"))
-
-
 @register("submit_manual", with_fx(["fx_documents"], f"""
     SELECT document_id, step, action, user_id, notes FROM (
         SELECT document_id, 1 AS step, 'Uploaded' AS action, uploaded_by AS user_id,
@@ -883,6 +866,30 @@ for _name, _command in (("resubmit", "resubmit"), ("request_revision", "request_
 _RESUBMIT_NOTE = [q(x) for x in S.RESUBMIT_NOTE.split("{}")]
 
 
+#: Commands of documents that do not exist are not in the replayed ones.
+_GUARDED = _REPLAY + [("gx", """
+    SELECT cmd_id, document_id, command, status_before AS status FROM rx
+    UNION ALL SELECT cmd_id, document_id, command, NULL FROM fx_commands
+    WHERE document_id IS NULL OR document_id NOT IN (SELECT document_id FROM fx_documents)""")]
+
+
+@register("resubmit_needs_revision", _rec(with_fx(_REPLAY_FX, """
+    SELECT cmd_id, document_id, status FROM gx
+    WHERE command = 'resubmit' AND status IS DISTINCT FROM 'RevisionRequested'""", _GUARDED)))
+def resubmit_needs_revision(spark, sf_dir):
+    """P11 in request order: a document may have been sent back, or resubmitted, by the commands before."""
+    r = W.guarded(_replay(spark, sf_dir), "resubmit", "RevisionRequested")
+    return r.where("not allowed").select("cmd_id", "document_id", "status")
+
+
+@register("reviewable_only", _rec(with_fx(_REPLAY_FX, """
+    SELECT cmd_id, document_id, coalesce(status = 'UnderReview', false) AS reviewable FROM gx
+    WHERE command = 'view'""", _GUARDED)))
+def reviewable_only(spark, sf_dir):
+    """P14 in request order."""
+    return W.guarded(_replay(spark, sf_dir), "view", "UnderReview").select("cmd_id", "document_id", F.col("allowed").alias("reviewable"))
+
+
 @register("command_documents", _rec(with_fx(_REPLAY_FX, f"""
     SELECT d.document_id, d.file_name,
            CASE WHEN n > 0 THEN 'doc-' || CAST(d.document_id AS VARCHAR) || '/v' || CAST(version_number + n AS VARCHAR)
@@ -892,9 +899,10 @@ _RESUBMIT_NOTE = [q(x) for x in S.RESUBMIT_NOTE.split("{}")]
            CASE WHEN n = 0 THEN risk_confidence END AS risk_confidence,
            CASE WHEN n > 0 THEN {_RESUBMIT_NOTE[0]} || CAST(version_number + n AS VARCHAR) || {_RESUBMIT_NOTE[1]} END
                AS classification_note,
-           h AS content_hash, coalesce(st, status) AS status, CAST(version_number + n AS INTEGER) AS version_number,
+           coalesce(h, recorded) AS content_hash, coalesce(st, status) AS status, CAST(version_number + n AS INTEGER) AS version_number,
            uploaded_by, note AS reviewer_notes, coalesce(CAST(locked AS TIMESTAMP), locked_at) AS locked_at
-    FROM (SELECT d.*, coalesce(a.n, 0) AS n, a.h, a.st, a.note, a.locked FROM fx_documents d LEFT JOIN
+    FROM (SELECT d.*, coalesce(a.n, 0) AS n, a.h, a.st, a.note, a.locked, o.recorded_hash AS recorded
+          FROM fx_documents d LEFT JOIN fx_objects o ON d.document_id = o.document_id LEFT JOIN
           (SELECT document_id, count_if(command = 'resubmit') AS n,
                   arg_max(new_hash, (ts, cmd_id)) FILTER (command = 'resubmit') AS h,
                   arg_max(status_after, (ts, cmd_id)) FILTER (command IN ('resubmit', 'request_revision', 'approve')) AS st,
@@ -905,7 +913,7 @@ _RESUBMIT_NOTE = [q(x) for x in S.RESUBMIT_NOTE.split("{}")]
                                             _REPLAY + [("rt", """
     SELECT rx.*, c.ts FROM rx JOIN c ON rx.cmd_id = c.cmd_id""")])))
 def command_documents(spark, sf_dir):
-    return W.command_documents(_replay(spark, sf_dir), _docs(spark, sf_dir))
+    return W.command_documents(_replay(spark, sf_dir), _docs(spark, sf_dir), FX.fx_objects(spark, sf_dir))
 
 
 @register("command_versions", _rec(with_fx(_REPLAY_FX, """

@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,11 +152,11 @@ def _batch(spark, commands):
     users = spark.createDataFrame([(5, "Employee"), (9, "ReviewerCompliance")], "user_id long, role string")
     base = dt.datetime(2024, 1, 1)
     cmds = spark.createDataFrame([(n, d, a, c, note, base + dt.timedelta(minutes=n)) for n, (d, a, c, note) in enumerate(commands)], CMDS)
-    return W.command_replay(cmds, docs, objects, users), docs
+    return W.command_replay(cmds, docs, objects, users), docs, objects
 
 
 def test_commands_are_judged_in_order(spark):
-    replay, docs = _batch(spark, [
+    replay, docs, objects = _batch(spark, [
         (1, 9, "approve", " ok "), (1, 9, "approve", "again"), (1, 9, "request_revision", "late"),     # the second is too late
         (2, 9, "approve", "x"), (2, 9, "request_revision", " fix it "), (2, 5, "resubmit", "new text"), (2, 9, "approve", ""),
         (3, 9, "approve", "x"), (3, 5, "approve", "x"), (3, 9, "view", None), (77, 9, "approve", "x"), (77, 9, "view", None)])
@@ -167,11 +168,16 @@ def test_commands_are_judged_in_order(spark):
     text = {r.cmd_id: r.message for c in ("approve", "view") for r in W.command_job(replay, c).collect()}
     assert text[1] == "A document that is locked can't move to approved." and text[3] == S.MSG_HASH_MISMATCH
     assert text[7] == "Could not read doc-3/v1/f3.txt" and text[8] == S.MSG_SELF_REVIEW and text[10] == "Document 77 not found"
-    after = {r.document_id: r for r in W.command_documents(replay, docs).collect()}
+    after = {r.document_id: r for r in W.command_documents(replay, docs, objects).collect()}
     assert (after[1].status, after[1].reviewer_notes, after[1].risk_score) == ("Locked", "ok", 2.0) and after[1].locked_at
     assert (after[2].status, after[2].version_number, after[2].storage_key) == ("Locked", 2, "doc-2/v2/f2.txt")
     assert after[2].risk_score is None and after[2].reviewer_notes == "fix it" and after[2].classification_note.startswith("Version 2 was")
     assert after[3].status == "UnderReview" and after[3].locked_at is None
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()                              # noqa: E731
+    assert [after[i].content_hash for i in (1, 2, 3)] == [sha("a"), sha("new text"), None]
+    views = {r.cmd_id: (r.status, r.allowed) for r in W.guarded(replay, "view", "UnderReview").collect()}
+    assert views == {9: ("UnderReview", True), 11: (None, False)}
+    assert [tuple(r) for r in W.guarded(replay, "resubmit", "RevisionRequested").collect()] == [(5, 2, "RevisionRequested", True)]
     versions = W.command_versions(replay).collect()
     assert [(v.document_id, v.version_number, v.submitted_by) for v in versions] == [(2, 2, 5)]
     log = [(r.cmd_id, r.action) for r in W.command_log(replay).orderBy("cmd_id", "step").collect()]
