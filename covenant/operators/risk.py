@@ -17,7 +17,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant import schemas as S
@@ -185,44 +185,66 @@ def label_distribution(risk: DataFrame, by: list[str] | None = None) -> DataFram
     return risk.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bits of a double that each pass of the selection tells apart, from the top.
+RADIX_SHIFTS = (51, 38, 25, 12, 0)
+
+
+def values_at(values: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """The values at the given ranks (from 0) of (x, n, k): a value, how often it occurs, and its bits as a
+    number of the same order.
+
+    A pass counts the values whose leading bits a wanted rank shares by their next 13 bits, so a pass returns
+    at most 8,192 counts for each open rank, whatever the values are, and five passes end it. A rank is
+    settled as soon as its part holds one value only.
+    """
+    found: dict[int, float] = {}
+    at: dict[int, tuple[int, int | None]] = {r: (0, None) for r in ranks}      # rows before the part, its leading bits
+    width = 0
+    for shift in RADIX_SHIFTS:
+        wanted = sorted({p for _, p in at.values() if p is not None})
+        rows = values.where(F.shiftright("k", shift + width).isin(wanted)) if wanted else values
+        parts = sorted(tuple(r) for r in rows.groupBy(F.shiftright("k", shift).alias("p"))
+                       .agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+        for r, (before, prefix) in list(at.items()):
+            for p, n, lo, hi in parts:
+                if prefix is not None and p >> width != prefix:
+                    continue
+                if r < before + n:
+                    at[r] = (before, p)
+                    if lo == hi or shift == 0 or lo != lo:      # NaN has one pattern of bits
+                        found[r] = lo
+                        del at[r]
+                    break
+                before += n
+        if not at:
+            break
+        width = shift - RADIX_SHIFTS[min(RADIX_SHIFTS.index(shift) + 1, len(RADIX_SHIFTS) - 1)]
+    return found
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles (linear between ranks), max of one column.
 
-    Rows are folded to counts by value. Up to 1,001 equal parts of the range are counted, and only
-    the values of the parts that hold a wanted rank are put in order, so no task holds all values.
+    Rows are folded to counts by value; quartiles come from counts by leading bits (``values_at``), so neither
+    skewed nor widely spread values gather in one task. Nulls are left out, NaN counts as the largest value.
     """
-    x = F.col(col).cast("double")
-    values = materialize(df.select(x.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n")))
+    bits = F.expr("cast(java_method('java.lang.Double', 'doubleToLongBits', x) as bigint)")
+    values = materialize(
+        df.select(F.col(col).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+        .withColumn("bits", bits)
+        .select("x", "n", F.when(F.col("bits") < 0, F.col("bits").bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(F.col("bits")).alias("k")))
     t = values.agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
                    F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     total = t.n or 0
-    at = {q: (total - 1) * q for q in (0.25, 0.5, 0.75)} if total else {}
-    ranks = sorted({r for h in at.values() for r in (int(h), min(int(h) + 1, total - 1))})
-    part = F.floor((F.col("x") - t.lo) * (1000 / (t.hi - t.lo))) if total and t.hi > t.lo else F.lit(0)
-    by_part = values.withColumn("b", part)
-    upto = Window.partitionBy(F.lit(0)).orderBy("b")            # at most 1,001 rows
-    parts = by_part.groupBy("b").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(upto) - F.col("m"))
-    wanted = F.lit(False)
-    for r in ranks:
-        wanted = wanted | ((F.col("before") <= r) & (F.col("before") + F.col("m") > r))
-    near = by_part.join(F.broadcast(parts.where(wanted)), "b")
-    first = F.col("before") + F.sum("n").over(Window.partitionBy("b").orderBy("x")) - F.col("n")
-    at_rank = near.withColumn("first", first).agg(
-        *[F.max(F.when((F.col("first") <= r) & (F.col("first") + F.col("n") > r), F.col("x"))).alias(f"r{r}") for r in ranks],
-        F.lit(1).alias("one"))
+    schema = "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    if not total:
+        return df.sparkSession.createDataFrame([(col, 0, *[None] * 7)], schema)
+    places = [(total - 1) * q for q in (0.25, 0.5, 0.75)]
+    x = values_at(values, sorted({r for h in places for r in (int(h), min(int(h) + 1, total - 1))}))
+    quartiles = [x[int(h)] + (x[min(int(h) + 1, total - 1)] - x[int(h)]) * (h - int(h)) for h in places]
     squares = values.agg(F.sum(F.col("n") * (F.col("x") - F.lit(t.mean)) ** 2).alias("s")).first().s
-
-    def quartile(q):
-        if not total:
-            return F.lit(None).cast("double")
-        low, high = F.col(f"r{int(at[q])}"), F.col(f"r{min(int(at[q]) + 1, total - 1)}")
-        return low + (high - low) * F.lit(at[q] - int(at[q]))
-
-    std = F.lit((squares / (total - 1)) ** 0.5 if total > 1 else None).cast("double")
-    return at_rank.select(
-        F.lit(col).alias("column"), F.lit(total).cast("long").alias("count"), F.lit(t.mean).cast("double").alias("mean"),
-        std.alias("std"), F.lit(t.lo).cast("double").alias("min"), quartile(0.25).alias("p25"), quartile(0.5).alias("p50"),
-        quartile(0.75).alias("p75"), F.lit(t.hi).cast("double").alias("max"))
+    std = (squares / (total - 1)) ** 0.5 if total > 1 else None
+    return df.sparkSession.createDataFrame([(col, total, t.mean, std, t.lo, *quartiles, t.hi)], schema)
 
 
 def token_lengths(risk: DataFrame) -> DataFrame:

@@ -336,3 +336,20 @@ def test_weights_raise_recall_of_the_rare_class(made):
     grid = [(1.0, 1.0, 1.0), (1.0, 3.0, 9.0)]
     rows = ML.weight_sweep(ML.model_frame(made.where("fold != 0")), ML.model_frame(made.where("fold = 0")), grid).orderBy("setting").collect()
     assert len(rows) == 2 and rows[1].high_recall >= rows[0].high_recall and sum(r.best for r in rows) == 1
+
+
+def test_quartiles_of_values_of_very_different_size(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for x in (np.append(rng.normal(size=5_000), 1e300), np.append(-np.exp(rng.normal(0, 80, 3_001)), [0.0, -0.0, 5e-324, 1e-320]),
+              np.append(np.full(4_000, 7.0), rng.integers(-9, 9, 3)), np.array([1.0, 1.0 + 2**-52, 1.0 + 2**-51, np.inf])):
+        got = R.describe(spark.createDataFrame([(float(v),) for v in x], "x double"), "x").first()
+        assert [got.p25, got.p50, got.p75] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75]), rel=1e-12, abs=0)
+        assert (got["count"], got.min, got.max) == (len(x), x.min(), x.max())
+
+
+def test_a_pass_of_the_selection_returns_few_counts(spark):
+    values = spark.range(200_000).selectExpr("double(id) x", "2L n").withColumn(
+        "k", F.expr("cast(java_method('java.lang.Double', 'doubleToLongBits', x) as bigint)"))
+    assert R.values_at(values, [0, 1, 2, 199_999, 399_999]) == {0: 0.0, 1: 0.0, 2: 1.0, 199_999: 99_999.0, 399_999: 199_999.0}
+    assert all(a - b <= 13 for a, b in zip((64, *R.RADIX_SHIFTS), R.RADIX_SHIFTS))
