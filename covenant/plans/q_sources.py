@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from covenant.functions import text as X
 from covenant.operators import risk as R
 from covenant.operators import split as SP
 from covenant.operators import workflow as W
@@ -13,6 +14,7 @@ from covenant.plans.q_workflow import _REPLAY, _REPLAY_FX, _rec, _replay, _score
 from covenant.plans.sqlparts import RISK_IN, with_fx
 from covenant.sources import files as FS
 from covenant.sources import fixtures as FX
+from covenant.sources import objects as OB
 from covenant.streaming.jobs import run_dir
 
 
@@ -139,17 +141,50 @@ def read_contract_text(spark, sf_dir):
     return t.select("safe_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+_OBJECT_NAME = "'part ' || CAST(document_id % 7 AS VARCHAR) || '.txt'"
+
+
+def _stored_objects(spark, sf_dir) -> str:
+    """The objects of the fixture, each as one file; every fifth document has an empty second version."""
+    base = run_dir(spark, "objects")
+    o = FX.fx_objects(spark, sf_dir).where("content is not null") \
+        .select("document_id", F.concat(F.lit("part "), (F.col("document_id") % 7).cast("string"), F.lit(".txt")).alias("name"), "content")
+    first = o.withColumn("version", F.lit(1))
+    second = o.where("document_id % 5 = 0").withColumns({"version": F.lit(2), "content": F.lit(b"")})
+    made = OB.store_objects(first.unionByName(second), base)
+    if not made.where("outcome != 'stored'").isEmpty():
+        raise ValueError("an object was not stored")
+    return base
+
+
+_OBJECTS = ("ob", f"""
+    SELECT document_id, v AS version, replace({_OBJECT_NAME}, ' ', '_') AS name,
+           CASE WHEN v = 1 THEN content ELSE encode('') END AS content
+    FROM fx_objects, (VALUES (1), (2)) t(v) WHERE content IS NOT NULL AND (v = 1 OR document_id % 5 = 0)""")
+
+
 @register("read_objects", with_fx(["fx_objects"], """
-    SELECT count(*) AS n_objects, CAST(sum(octet_length(content)) AS BIGINT) AS n_bytes
-    FROM fx_objects WHERE content IS NOT NULL"""))
+    SELECT document_id, version, name, 'doc-' || document_id || '/v' || version || '/' || name AS key,
+           CAST(octet_length(content) AS BIGINT) AS length, sha256(content) AS content_sha256
+    FROM ob""", [_OBJECTS]))
 def read_objects(spark, sf_dir):
-    """Stored objects written as text files (one line each), read back as bytes; line ends are not counted."""
-    path = run_dir(spark, "objects")
-    stored = FX.fx_objects(spark, sf_dir).where("content is not null")
-    stored.select(F.hex("content").alias("value")).write.text(path)
-    o = FS.read_objects(spark, path).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
-    one = F.unhex("line")
-    return o.where("line != ''").agg(F.count("*").alias("n_objects"), F.sum(F.length(one)).cast("long").alias("n_bytes"))
+    """Every object below the base, listed in tasks and read back byte for byte."""
+    base = _stored_objects(spark, sf_dir)
+    o = OB.read_tree(OB.list_objects(spark, base), base)
+    return o.select("document_id", "version", "name", "key", "length", F.sha2("content", 256).alias("content_sha256"))
+
+
+@register("read_object_keys", with_fx(["fx_objects"], """
+    SELECT f.document_id, ob.content IS NOT NULL AS found, CAST(octet_length(ob.content) AS BIGINT) AS length,
+           sha256(ob.content) AS content_sha256
+    FROM fx_objects f LEFT JOIN ob ON f.document_id = ob.document_id AND ob.version = 1""", [_OBJECTS]))
+def read_object_keys(spark, sf_dir):
+    """S9 by key: the first version of each document; without an object there is nothing to find."""
+    base = _stored_objects(spark, sf_dir)
+    name = F.concat(F.lit("part "), (F.col("document_id") % 7).cast("string"), F.lit(".txt"))
+    keys = FX.fx_objects(spark, sf_dir).select("document_id", X.storage_key("document_id", F.lit(1), name).alias("key"))
+    o = OB.read_keys(keys, base)
+    return o.select("document_id", F.col("content").isNotNull().alias("found"), "length", F.sha2("content", 256).alias("content_sha256"))
 
 
 # ---- append-only audit log (S12) -----------------------------------------------
