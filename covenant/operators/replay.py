@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covenant.session import materialize
+
 BLOCK = 256
 
 
@@ -42,6 +44,31 @@ def exact_rank(df: DataFrame, part: str | list[str], order: list, bucket: Column
             .select(*df.columns, name))
 
 
+def range_rank(df: DataFrame, part: list[str], order: list, name: str) -> DataFrame:
+    """Exact ``row_number`` over ``part`` (may be empty) ordered by ``order``, for values of any kind.
+
+    One sort over ranges that Spark samples from the data: a row's number is the number of rows in earlier
+    ranges plus its place in its own, less the rows before its ``part``. No window sees rows, and rows that
+    share a part, or a prefix of the order, spread over as many ranges as they need; only rows that agree in
+    part and order stay together. The sorted rows are written once, as another sample would cut other ranges.
+    Nulls come first and are values like any other.
+    """
+    placed = materialize(df.orderBy(*part, *order).withColumn("_m", F.monotonically_increasing_id()))
+    at = F.shiftright("_m", 33)
+    # one row per range, at most as many as there are shuffle partitions
+    ranges = placed.groupBy(at.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = ranges.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    numbered = (placed.withColumn("_range", at).join(F.broadcast(before), "_range")
+                .withColumn("_all", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
+    if not part:
+        return numbered.select(*df.columns, F.col("_all").alias(name))
+    first = numbered.groupBy(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(part)]).agg(F.min("_all").alias("_first"))
+    on = F.lit(True)
+    for i, p in enumerate(part):
+        on = on & F.col(p).eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(first, on).select(*df.columns, (F.col("_all") - F.col("_first") + 1).cast("int").alias(name))
+
+
 def minute_bucket(col) -> Column:
     """Minute of a wall-clock timestamp as a sortable value; independent of the session time zone."""
     c = F.col(col) if isinstance(col, str) else col

@@ -170,14 +170,24 @@ def safe_base(col) -> F.Column:
     return F.when(c == "", F.lit("contract")).otherwise(c)
 
 
-def order_bucket(df: DataFrame, order: str) -> F.Column:
-    """A coarsening of ``order`` that keeps its order: blocks of numbers, or the first characters of texts."""
-    kind = dict(df.dtypes)[order]
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.floor(F.col(order) / 4096)
-    if kind == "string":
-        return F.substring(order, 1, 3)
-    raise ValueError(f"no order blocks for {order} of type {kind}")
+def settle(names: DataFrame) -> DataFrame:
+    """(name, value) of (name, up, f0, f1): the value of a name is f0 or f1, as the value of ``up`` is 0 or 1, and
+    f0 where ``up`` is no name itself.
+
+    Pointer doubling: a round puts the function of ``up`` into that of the name and goes on to the ``up`` of
+    that, so a chain of n names is settled in about log2(n) rounds.
+    """
+    known = names.select(F.col("name").alias("up"), F.lit(True).alias("_known"))
+    t = materialize(names.join(known, "up", "left")
+                    .select("name", F.when(F.col("_known"), F.col("up")).alias("up"), "f0", "f1"))
+    while not t.where("up is not null").isEmpty():
+        above = t.select(F.col("name").alias("up"), F.col("up").alias("_up"), F.col("f0").alias("_g0"), F.col("f1").alias("_g1"))
+
+        def after(g: str, f: str):
+            return F.when(F.col(g).isNull(), F.col(f)).when(F.col(g) == 1, F.col("f1")).otherwise(F.col("f0")).alias(f)
+
+        t = materialize(t.join(above, "up", "left").select("name", F.col("_up").alias("up"), after("_g0", "f0"), after("_g1", "f1")))
+    return t.select("name", F.col("f0").alias("value"))
 
 
 def safe_ids(df: DataFrame, title: str, order: str) -> DataFrame:
@@ -187,14 +197,15 @@ def safe_ids(df: DataFrame, title: str, order: str) -> DataFrame:
     The last ``_k`` of an id tells its base, so an id can be wanted twice only
     as another base's own name (titles ``a``, ``a``, ``a_2``). Repeats are
     numbered by an exact rank; for the few bases that look like another base
-    with a number, the order of the two decides, from the shortest names on:
-    the base's rows skip the number when the other name came first, and the
-    other name counts as given away when they reached the number first.
+    with a number, the order of the two decides: the base's rows skip the number
+    when the other name came first, and the other name counts as given away when
+    they reached the number first. That depends on whether the base's own name
+    was given away, so each base is decided for both cases and the chains of
+    names are settled by pointer doubling.
     """
-    from covenant.operators.replay import exact_rank
+    from covenant.operators.replay import range_rank
 
-    b = df.withColumn("_base", safe_base(title))
-    b = exact_rank(b, "_base", [order], order_bucket(df, order), "_rn")
+    b = range_rank(df.withColumn("_base", safe_base(title)), ["_base"], [order], "_rn")
     bases = b.groupBy("_base").agg(F.min(order).alias("_first"))
     # contested names: base + "_" + number, where that base has rows
     named = bases.select(F.col("_base").alias("_name"), "_first",
@@ -225,17 +236,18 @@ def safe_ids(df: DataFrame, title: str, order: str) -> DataFrame:
                         F.concat(a.getField("lost"), F.when(ours, F.array(c.getField("_k"))).otherwise(F.array().cast("array<int>"))).alias("lost"))
 
     none = F.array().cast("array<int>")
-    lost = df.sparkSession.createDataFrame([], "_of string")    # names that another base's rows reached first
-    while True:
-        gone = F.when(F.col("_l").isNotNull(), 1).otherwise(0)
-        start = F.struct(gone.alias("gone"), none.alias("skip"), none.alias("lost")).cast(state)
-        decided = materialize(lists.join(lost.select("_of", F.lit(1).alias("_l")), "_of", "left")
-                              .select("_of", gone.alias("_gone"), F.aggregate("_c", start, decide).alias("_d")))
-        now = materialize(decided.select(F.explode("_d.lost").alias("k"), "_of")
-                          .select(F.concat_ws("_", "_of", "k").alias("_of")))
-        if now.exceptAll(lost).isEmpty() and lost.exceptAll(now).isEmpty():
-            break
-        lost = now                                              # one more link of a chain of names is settled
+    starts = [F.struct(F.lit(gone).alias("gone"), none.alias("skip"), none.alias("lost")).cast(state) for gone in (0, 1)]
+    both = materialize(lists.select("_of", *[F.aggregate("_c", start, decide).alias(f"_d{n}") for n, start in enumerate(starts)]))
+    # whether a name is lost, as a function of whether the base that wants it is lost itself
+    names = contested.select("_of", "_k", F.lit(0).alias("f0"), F.lit(0).alias("f1"))
+    for n in (0, 1):
+        names = names.unionByName(both.select("_of", F.explode(f"_d{n}.lost").alias("_k"),
+                                              F.lit(1 - n).alias("f0"), F.lit(n).alias("f1")))
+    names = names.groupBy("_of", "_k").agg(F.max("f0").alias("f0"), F.max("f1").alias("f1"))
+    lost = materialize(settle(names.select(F.concat_ws("_", "_of", "_k").alias("name"), F.col("_of").alias("up"), "f0", "f1"))
+                       .where("value = 1").select(F.col("name").alias("_of")))
+    decided = (both.join(lost.withColumn("_l", F.lit(1)), "_of", "left")
+               .select("_of", F.when(F.col("_l") == 1, F.col("_d1")).otherwise(F.col("_d0")).alias("_d")))
     b = (b.join(decided.select(F.col("_of").alias("_base"), F.col("_d.skip").alias("_skip")), "_base", "left")
          .join(lost.select(F.col("_of").alias("_base"), F.lit(1).alias("_l")), "_base", "left"))
     k = F.aggregate(F.coalesce("_skip", none), F.col("_rn") + F.coalesce("_l", F.lit(0)),

@@ -126,11 +126,10 @@ def list_contracts(spark, sf_dir):
     SELECT row_number() OVER (ORDER BY lower(title), id) AS place, id, title FROM ({_LISTING})""", _EXPORTED))
 def contracts_by_title(spark, sf_dir):
     """T4: the listing in case-insensitive title order, with each contract's place."""
-    from covenant.operators.replay import exact_rank
+    from covenant.operators.replay import range_rank
 
-    listed = _listing(spark, sf_dir).withColumns({"k": F.lower("title"), "all": F.lit(0)})
-    placed = exact_rank(listed, "all", ["k", "id"], F.substring("k", 1, 3), "place")
-    return placed.select(F.col("place").cast("long"), "id", "title")
+    listed = _listing(spark, sf_dir).withColumn("k", F.lower("title"))
+    return range_rank(listed, [], ["k", "id"], "place").select("place", "id", "title")
 
 
 @register("read_contract_text", with_fx(_EXPORT_FX, """

@@ -222,6 +222,43 @@ def test_safe_ids_are_unique_and_in_order(spark):
     assert sorted(r.safe_id for r in SP.safe_ids(words, "title", "title").collect()) == ["Agreement_B", "Agreement_B_2", "agreement_a"]
 
 
+def test_chains_of_names_end_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = SP.materialize
+    monkeypatch.setattr(SP, "materialize", lambda df: rounds.append(0) or real(df))
+    names = [f"n{i}" for i in range(1000)]
+    rnd = __import__("random").Random(6)
+    rows = [(n, names[i - 1] if i else "root", *rnd.choice([(0, 1), (1, 0), (0, 1), (1, 0), (1, 1)])) for i, n in enumerate(names)]
+    value, want = 0, {}
+    for n, _, f0, f1 in rows:
+        value = f1 if value else f0
+        want[n] = value
+    rnd.shuffle(rows)
+    got = SP.settle(spark.createDataFrame(rows, "name string, up string, f0 int, f1 int")).collect()
+    assert {r.name: r.value for r in got} == want and len(rounds) <= 12
+    rounds.clear()
+    titles = ["a"] + ["a" + "_2" * i for i in range(39)] + ["b_2", "b", "b"]      # names hold 80 characters
+    df = spark.createDataFrame(list(enumerate(titles)), "n long, title string")
+    got = {r.n: r.safe_id for r in SP.safe_ids(df, "title", "n").collect()}
+    assert [got[i] for i in range(len(titles))] == _first_free(titles) and len(rounds) <= 12
+
+
+def test_ranks_over_sampled_ranges(spark):
+    from covenant.operators.replay import range_rank
+    rnd = __import__("random").Random(9)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), rnd.choice(["same prefix " + str(rnd.randrange(10**6)), None]), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "p string, t string, n long").repartition(7)
+    key = lambda r: (r[1] is not None, r[1] or "", r[2])
+    got = {r.n: r.k for r in range_rank(df, ["p"], ["t", "n"], "k").collect()}
+    for p in ("hot", "a", None):
+        assert [got[r[2]] for r in sorted((r for r in rows if r[0] == p), key=key)] == list(range(1, sum(r[0] == p for r in rows) + 1))
+    got = {r.n: r.k for r in range_rank(df.where("t is not null"), [], ["t", "n"], "k").collect()}
+    assert [got[r[2]] for r in sorted((r for r in rows if r[1]), key=key)] == list(range(1, len(got) + 1))
+    assert range_rank(df.limit(0), ["p"], ["t"], "k").collect() == []
+    plan = range_rank(df, [], ["t", "n"], "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" not in plan and plan.count("Window [") <= 1       # over counts of ranges only
+
+
 def test_gate_stops_on_other_counts(spark):
     split = spark.createDataFrame([("a", "Low", "test"), ("b", "Low", "train")], "title string, risk_label string, split string")
     assert SP.gated_split(split, {"Low": 1}).count() == 2
