@@ -26,11 +26,11 @@ name it writes and keeps all others, ``edit_fingerprints`` returns its own only.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -40,10 +40,13 @@ from covenant.llm.common import batch_of, text_chunks
 
 EQUAL_LANES, SIGN_LANES = 32, 512
 RUN_WORDS = 1 << 16
-_ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-_words = regex.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+").findall
+# scripts that write no spaces: Thai, Lao, Myanmar, Khmer, kana, Han
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_alone = re.compile(f"[{_ALONE}]").search
+_cut = re.compile(f"[{_ALONE}]|[^{_ALONE}]+").findall
 _WIDTH = EQUAL_LANES * 4 + SIGN_LANES * 4
 _STEP = 0x9E3779B97F4A7C15
+_LANES = np.arange(1, SIGN_LANES // 64 + 1, dtype=np.uint64) * np.uint64(_STEP)
 
 
 class _Hashes(dict):
@@ -67,6 +70,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _words(paragraph: str) -> list[str]:
+    words = paragraph.split()
+    if not paragraph.isascii() and _alone(paragraph):
+        words = [part for w in words for part in _cut(w)]
+    return words
+
+
 def _runs(paragraphs: Iterable[str]) -> Iterator[tuple[list[str], list[int]]]:
     """Words and where the paragraphs start among them, in runs of about ``RUN_WORDS`` words."""
     words: list[str] = []
@@ -85,9 +95,9 @@ def _runs(paragraphs: Iterable[str]) -> Iterator[tuple[list[str], list[int]]]:
         yield words, starts
 
 
-def _signs(paragraphs: Iterable[str]) -> np.ndarray:
-    """The sum of the +1/-1 vectors of the paragraphs' windows."""
-    total = np.zeros(SIGN_LANES, np.int64)
+def _windows(paragraphs: Iterable[str]) -> np.ndarray:
+    """Hashes of the windows of each paragraph, once each."""
+    found = [np.zeros(0, np.uint64)]
     for words, starts in _runs(paragraphs):
         own = np.fromiter(map(_hash_of, words), np.uint64, len(words))
         before = np.empty_like(own)
@@ -100,17 +110,32 @@ def _signs(paragraphs: Iterable[str]) -> np.ndarray:
         order = np.lexsort((window, number))
         window, number = window[order], number[order]
         again = (window[1:] == window[:-1]) & (number[1:] == number[:-1])
-        window = window[np.concatenate(([True], ~again))]
-        for at in range(0, len(window), 4096):
-            some = window[at:at + 4096]
-            bits = np.stack([_mixed(some + np.uint64((i + 1) * _STEP & (1 << 64) - 1)) for i in range(SIGN_LANES // 64)], axis=1)
-            ones = np.zeros((-(-len(some) // 128) * 128, SIGN_LANES), np.uint8)
-            ones[:len(some)] = np.unpackbits(bits.view(np.uint8), axis=1)
-            ones = ones.reshape(-1, 128, SIGN_LANES).sum(axis=1, dtype=np.uint8)        # at most 128 in each
-            total += 2 * ones.sum(axis=0, dtype=np.int64) - len(some)
+        found.append(window[np.concatenate(([True], ~again))])
+    return np.concatenate(found)
+
+
+def _signs(windows: np.ndarray) -> np.ndarray:
+    """The sum of the +1/-1 vectors of the windows."""
+    total = np.zeros(SIGN_LANES, np.int64)
+    for at in range(0, len(windows), 4096):
+        some = windows[at:at + 4096]
+        bits = np.empty((-(-len(some) // 128) * 128, SIGN_LANES // 64), np.uint64)
+        bits[len(some):] = 0
+        bits[:len(some)] = _mixed(some[:, None] + _LANES)
+        ones = np.unpackbits(bits.view(np.uint8), axis=1).reshape(-1, 128, SIGN_LANES).sum(axis=1, dtype=np.uint8)    # at most 128 in each
+        total += 2 * ones.sum(axis=0, dtype=np.int64) - len(some)
     return total
 
 
+def _wide(paragraphs: list[str]) -> np.ndarray:
+    """The sum of the vectors that decide equality."""
+    if not paragraphs:
+        return np.zeros(EQUAL_LANES, np.uint32)
+    raw = [p.encode() for p in paragraphs]
+    wide = b"".join(hashlib.blake2b(p, digest_size=64, salt=s).digest() for p in raw for s in (b"0", b"1"))
+    return np.frombuffer(wide, "<u4").reshape(-1, EQUAL_LANES).sum(axis=0, dtype=np.uint32)
+
+
 class Fingerprint:
     """A mutable multiset hash."""
 
@@ -128,20 +153,21 @@ class Fingerprint:
         return Fingerprint(self.equal.copy(), self.sign.copy())
 
     def add(self, paragraphs: Iterable[str]) -> Fingerprint:
-        return self._change(list(paragraphs), 1)
+        return self.change([], paragraphs)
 
     def remove(self, paragraphs: Iterable[str]) -> Fingerprint:
-        return self._change(list(paragraphs), -1)
-
-    def _change(self, paragraphs: list[str], by: int) -> Fingerprint:
-        if not paragraphs:
-            return self
-        raw = [p.encode() for p in paragraphs]
-        wide = b"".join(hashlib.blake2b(p, digest_size=64, salt=s).digest() for p in raw for s in (b"0", b"1"))
-        equal = np.frombuffer(wide, "<u4").reshape(-1, EQUAL_LANES).sum(axis=0, dtype=np.uint32)
-        sign = _signs(paragraphs).astype(np.uint32)
-        self.equal = self.equal + equal if by > 0 else self.equal - equal
-        self.sign = self.sign + sign if by > 0 else self.sign - sign
+        return self.change(paragraphs, [])
+
+    def change(self, gone: Iterable[str], new: Iterable[str]) -> Fingerprint:
+        """Delete paragraphs and insert others. A window of both cancels out before its vector is made."""
+        gone, new = list(gone), list(new)
+        self.equal = self.equal + _wide(new) - _wide(gone)
+        less, more = _windows(gone), _windows(new)
+        if len(less) and len(more):
+            each, at = np.unique(np.concatenate((less, more)), return_inverse=True)
+            counts = np.bincount(at[len(less):], minlength=len(each)) - np.bincount(at[:len(less)], minlength=len(each))
+            more, less = (np.repeat(each, np.maximum(by * counts, 0)) for by in (1, -1))
+        self.sign = self.sign + (_signs(more) - _signs(less)).astype(np.uint32)
         return self
 
     def edited(self, old: str, new: str) -> Fingerprint:
@@ -153,7 +179,7 @@ class Fingerprint:
         tail = 0
         while tail < most - head and a[-1 - tail] == b[-1 - tail]:
             tail += 1
-        return self.copy().remove(a[head:len(a) - tail]).add(b[head:len(b) - tail])
+        return self.copy().change(a[head:len(a) - tail], b[head:len(b) - tail])
 
     def __str__(self) -> str:
         return (self.equal.astype("<u4").tobytes() + self.sign.astype("<u4").tobytes()).hex()

@@ -59,12 +59,12 @@ def test_signs_against_one_window_at_a_time():
     rng = random.Random(5)
     for _ in range(30):
         ps = [" ".join(rng.choice(["a", "b", "word", "\u6f22\u5b57", "x" * 40, "\u0e01\u0e02"]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(8))]
-        assert G._signs(ps).tolist() == plain_signs(ps)
+        assert G._signs(G._windows(ps)).tolist() == plain_signs(ps)
     whole = G.RUN_WORDS
     try:
         G.RUN_WORDS = 5         # runs that end inside and between paragraphs
         ps = ["a b c d e f g a b c d", "a b", "", "q w e r t", "a b c d e f"]
-        assert G._signs(ps).tolist() == plain_signs(ps)
+        assert G._signs(G._windows(ps)).tolist() == plain_signs(ps)
     finally:
         G.RUN_WORDS = whole
 
