@@ -67,9 +67,10 @@ def _lifecycle_sink(spark, sf_dir, order: list[int]) -> str:
     d = J.run_dir(spark, "lifecycle")
     log = FX.fx_audit(spark, sf_dir)
     part = F.floor(F.hour("action_ts") / 6)
+    buckets = B.buckets_for(log.count())
     for n in order:
         J.stage(log.where(part == n), f"{d}/src")
-        J.stream_lifecycle(spark, f"{d}/src", log.schema, f"{d}/sink", f"{d}/ckpt")
+        J.stream_lifecycle(spark, f"{d}/src", log.schema, f"{d}/sink", f"{d}/ckpt", buckets=buckets)
     return f"{d}/sink"
 
 
@@ -119,7 +120,8 @@ def _buffered(spark, sf_dir) -> str:
         J.stage(log.where(F.col("run") == i).select(*schema.fieldNames()), f"{d}/src")
         if i == ARRIVALS - 1 and end is not None:           # nothing more comes: the rest is due after this run
             J.stage(B.heartbeat(spark, end + datetime.timedelta(seconds=bound + 1)), f"{d}/src")
-        B.run(spark, f"{d}/src", schema, f"{d}/sink", f"{d}/ckpt", f"{bound} seconds", partitions=partitions)
+        B.run(spark, f"{d}/src", schema, f"{d}/sink", f"{d}/ckpt", f"{bound} seconds", partitions=partitions,
+              buckets=B.buckets_for(n))
     return f"{d}/sink"
 
 

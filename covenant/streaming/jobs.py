@@ -6,8 +6,9 @@ run processes what is there and ends.
 
 - R1 intake: file source of prepared contracts -> the stateless C1 scoring
   (stream-static left joins to predictions and stored objects) -> append sink.
-- R2 lifecycle: audit events grouped by document through
-  ``applyInPandasWithState``; state = (status, last event seen, moves tried).
+- R2 lifecycle: audit events grouped by hash bucket of the document through
+  ``applyInPandasWithState``; state = (status, last event seen, moves tried) of
+  the bucket's documents, so that a call into Python serves many of them.
   Events at or before the last one seen in an earlier micro-batch cannot be
   put in order any more and go to a rejects output; the rest is folded.
 - R3 versions: ``foreachBatch`` write-once append. The sink is partitioned by
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from covenant import schemas as S
 from covenant.operators import workflow as W
 from covenant.session import materialize, run_dir  # noqa: F401
+from covenant.streaming.buffered import NONE, bucket_of
 
 
 def stage(df: DataFrame, path: str) -> None:
@@ -77,42 +80,63 @@ _TARGET = dict(S.STATUS_MOVES)
 
 LIFECYCLE_OUT = ("kind string, document_id long, seq long, status string, n_tried long, n_refused long, "
                  "log_id long, action string, action_ts timestamp_ntz")
-LIFECYCLE_STATE = "status string, last_ts timestamp_ntz, last_id long, n_tried long, n_refused long, seq long"
+#: Of a bucket's documents: status, last event seen, moves tried and refused, number of the last output.
+LIFECYCLE_STATE = ("document_id array<long>, status array<string>, last_us array<long>, last_id array<long>, "
+                   "n_tried array<long>, n_refused array<long>, seq array<long>")
+_LIFECYCLE_COLUMNS = [c.split()[0] for c in LIFECYCLE_OUT.split(", ")]
+
+
+def _numbers(values) -> pd.Series:
+    """Whole numbers, null where ``NONE`` or None stands."""
+    return pd.Series(pd.array([None if v is None or v == NONE else v for v in values], "Int64"))
 
 
 def _lifecycle_update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per document: fold this micro-batch's events onto the stored status; give late ones back."""
-    (doc,) = key
-    status, last_ts, last_id, tried, refused, seq = state.get if state.exists else ("Draft", None, None, 0, 0, 0)
-    events = pd.concat(list(batches), ignore_index=True).sort_values(["action_ts", "log_id"], kind="mergesort")
-    if last_ts is not None:
-        late = (events["action_ts"] < last_ts) | ((events["action_ts"] == last_ts) & (events["log_id"] <= last_id))
-        if late.any():
-            yield events[late].assign(kind="late", document_id=doc, seq=seq + 1, status=status, n_tried=tried,
-                                      n_refused=refused)[[c.split()[0] for c in LIFECYCLE_OUT.split(", ")]]
-        events = events[~late]
-    for action in events["action"]:
-        target = _TARGET.get(action)
+    """Per bucket of documents: fold this micro-batch's events onto the stored statuses; give late ones back."""
+    stored = {d: tuple(s) for d, *s in zip(*state.get)} if state.exists else {}
+    events = pd.concat(list(batches), ignore_index=True)
+    doc, log_id = events["document_id"].to_numpy(np.int64), events["log_id"].to_numpy(np.int64)
+    at = events["action_ts"].to_numpy("datetime64[us]").astype(np.int64)
+    timed = at != NONE
+    order = np.lexsort((log_id, log_id == NONE, at, ~timed, doc))       # what has no time or id comes last
+    actions, now, late = events["action"].tolist(), {}, []
+    for i, d, us, log, known in zip(*(x.tolist() for x in (order, doc[order], at[order], log_id[order], timed[order]))):
+        if d not in now:
+            before = stored.get(d, ("Draft", NONE, NONE, 0, 0, 0))
+            now[d] = s = [*before[:5], before[5] + 1]
+        if known and (us < before[1] or us == before[1] and NONE < log <= before[2]):
+            late.append((i, "late", d, s[5], before[0], before[3], before[4], log))
+            continue
+        target = _TARGET.get(actions[i])
         if target is not None:
-            tried += 1
-            if (status, target) in _LEGAL:
-                status = target
+            s[3] += 1
+            if (s[0], target) in _LEGAL:
+                s[0] = target
             else:
-                refused += 1
-    if len(events):
-        last_ts, last_id = events["action_ts"].iloc[-1].to_pydatetime(), int(events["log_id"].iloc[-1])
-    seq += 1
-    state.update((status, last_ts, last_id, tried, refused, seq))
-    yield pd.DataFrame([{"kind": "status", "document_id": doc, "seq": seq, "status": status, "n_tried": tried,
-                         "n_refused": refused, "log_id": None, "action": None, "action_ts": pd.NaT}])
+                s[4] += 1
+        if known:
+            s[1], s[2] = us, max(log, s[2]) if us == s[1] else log
+    stored.update(now)
+    state.update((list(stored), *map(list, zip(*stored.values()))))
+    if late:
+        at_row, kind, d, seq, status, tried, refused, log = zip(*late)
+        yield pd.DataFrame({"kind": kind, "document_id": _numbers(d), "seq": seq, "status": status, "n_tried": tried,
+                            "n_refused": refused, "log_id": _numbers(log), "action": [actions[i] for i in at_row],
+                            "action_ts": events["action_ts"].take(list(at_row)).array})[_LIFECYCLE_COLUMNS]
+    status, _, _, tried, refused, seq = zip(*now.values())
+    yield pd.DataFrame({"kind": "status", "document_id": _numbers(now), "seq": seq, "status": status, "n_tried": tried,
+                        "n_refused": refused, "log_id": _numbers([None] * len(now)), "action": None,
+                        "action_ts": pd.NaT})[_LIFECYCLE_COLUMNS]
 
 
 def stream_lifecycle(spark: SparkSession, src: str, schema, sink: str, checkpoint: str,
-                     files_per_trigger: int = 1000) -> None:
-    """R2: process the files that have arrived; statuses and rejects are appended to ``sink`` by kind."""
+                     files_per_trigger: int = 1000, buckets: int = 1024) -> None:
+    """R2: process the files that have arrived; statuses and rejects are appended to ``sink`` by kind.
+    ``buckets`` must stay as they are in the first run."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    ev = stream.select("document_id", "log_id", "action", F.col("action_ts").cast("timestamp_ntz"))
-    out = ev.groupBy("document_id").applyInPandasWithState(
+    ev = stream.select(*(F.coalesce(c, F.lit(NONE)).alias(c) for c in ("document_id", "log_id")), "action",
+                       F.col("action_ts").cast("timestamp_ntz"))
+    out = ev.withColumn("bucket", bucket_of("document_id", buckets)).groupBy("bucket").applyInPandasWithState(
         _lifecycle_update, outputStructType=LIFECYCLE_OUT, stateStructType=LIFECYCLE_STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
     q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)

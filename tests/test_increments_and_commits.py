@@ -161,3 +161,43 @@ def test_statuses_of_base_and_deltas_equal_one_run(spark):
     for lo, hi in ((300, 600), (600, 601), (601, 9999), (9999, 9999)):
         state = I.merge_statuses(state, I.status_state(log.where(f"log_id >= {lo} and log_id < {hi}")))
     assert {tuple(r) for r in I.statuses(state).collect()} == {tuple(r) for r in W.lifecycle_fold(log).collect()}
+
+
+def test_a_call_into_python_serves_a_bucket_of_documents(spark):
+    """Equal results for one bucket and many; of documents with large, missing and late ids, too."""
+    def rows(part):
+        base = 2**60 + 1
+        return [(base + d, 1000 * d + part, ACTIONS[(d + part) % len(ACTIONS)], dt.datetime(2024, 1, 1 + part, d % 24)) for d in range(60)] \
+            + [(None, 900_000 + part, "ReviewRequested", dt.datetime(2024, 1, 1 + part)), (base, None, "Viewed", dt.datetime(2024, 1, 1 + part, 1))]
+
+    parts = [rows(0), rows(2), rows(1), rows(3)]                    # the third comes late
+    schema, found = spark.createDataFrame([], LOG).schema, []
+    for buckets in (1, 64):
+        d = session.run_dir(spark, "buckets")
+        for p in parts:
+            J.stage(spark.createDataFrame(p, LOG), f"{d}/src")
+            J.stream_lifecycle(spark, f"{d}/src", schema, f"{d}/sink", f"{d}/ckpt", buckets=buckets)
+        found.append((sorted(map(str, J.lifecycle_status(spark, f"{d}/sink").collect())),
+                      sorted(map(str, J.lifecycle_rejects(spark, f"{d}/sink").collect()))))
+    assert found[0] == found[1] and len(found[0][0]) == 61 and len(found[0][1]) == len(parts[2])
+    kept = [r for p in (parts[0], parts[1], parts[3]) for r in p]
+    assert {(r.document_id, r.status, r.n_tried) for r in J.lifecycle_status(spark, f"{d}/sink").collect()} \
+        == {tuple(r) for r in W.lifecycle_fold(spark.createDataFrame(kept, LOG)).collect()}
+
+
+def test_lifecycle_streams_call_python_once_a_bucket():
+    """The work of a call does not grow with the documents: one update gives the statuses of all of its bucket."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    n, state = 5000, State()
+    events = pd.DataFrame({"document_id": range(n), "log_id": range(n), "action": "ReviewRequested", "action_ts": pd.Timestamp("2024-01-01")})
+    (out,) = J._lifecycle_update((0,), iter([events]), state)
+    assert len(out) == n == len(state.get[0]) and set(out["status"]) == {"UnderReview"} and B.buckets_for(36_000_000) == 18_000
+    late, out = J._lifecycle_update((0,), iter([events.head(3)]), state)
+    assert late["log_id"].tolist() == [0, 1, 2] and set(out["seq"]) == {2} and len(state.get[0]) == n
