@@ -27,11 +27,7 @@ def version_state(numbered: DataFrame) -> DataFrame:
 
 def next_versions(delta: DataFrame, state: DataFrame, order: list | None = None) -> DataFrame:
     """W1 for a delta: its rows numbered on from ``state`` (document_id, max_version)."""
-    before = state.select(F.col("document_id").alias("_id"), "max_version")
-    ranked = W.assign_versions(delta, order)
-    return (ranked.join(before, F.col("document_id").eqNullSafe(F.col("_id")), "left")
-            .withColumn("version_number", F.col("version_number") + F.coalesce("max_version", F.lit(0)))
-            .select(*ranked.columns))
+    return W.assign_versions(delta, order, state.select("document_id", F.col("max_version").alias("start")))
 
 
 def merge_versions(state: DataFrame, numbered: DataFrame) -> DataFrame:

@@ -15,31 +15,59 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covenant.session import materialize
 
 BLOCK = 256
 
 
-def exact_rank(df: DataFrame, part: str | list[str], order: list, bucket: Column, name: str) -> DataFrame:
+def plain_keys(df: DataFrame, columns: list[str], prefix: str, nullable: list[bool] | None = None) -> tuple[DataFrame, list[str]]:
+    """Columns without nulls that agree exactly where the given ones agree null-safely, and their names.
+    ``nullable``: as in the schema of the frame that they are to meet, if it is another one.
+
+    Spark joins on ``eqNullSafe`` by expressions over the columns, so rows that a window has just partitioned by
+    them would be shuffled and sorted again; plain columns serve window and join alike."""
+    names, out = [], {}
+    for i, f in enumerate(df.schema[c] for c in columns):
+        kind, key = f.dataType, F.col(f.name)
+        if not (nullable[i] if nullable else f.nullable):
+            parts = [key]
+        elif isinstance(kind, (T.NumericType, T.StringType)):
+            parts = [F.coalesce(key, F.lit(0).cast(kind)), key.isNull()]
+        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            parts = [F.coalesce(key, F.lit("1970-01-01").cast(kind)), key.isNull()]
+        else:
+            parts = [F.struct(key)]
+        for n, c in enumerate(parts):
+            names.append(f"{prefix}{i}_{n}")
+            out[names[-1]] = c
+    return df.withColumns(out), names
+
+
+def exact_rank(df: DataFrame, part: str | list[str], order: list, bucket: Column, name: str,
+               start: DataFrame | None = None) -> DataFrame:
     """Exact ``row_number`` over ``part`` ordered by ``order``, computed per bucket.
 
     ``bucket`` must be a monotone coarsening of the first ordering column.
     rank = rows of the same ``part`` in earlier buckets + rank inside the bucket.
     The window over bucket counts sees one row per (part, bucket). Null keys and
     null ordering values (which sort first) are values like any other.
+    ``start`` (the columns of ``part`` and ``start``) gives the number that a part's ranks go on from, else 0;
+    it meets the counts, so the rows themselves are shuffled once.
     """
     parts = [part] if isinstance(part, str) else part
-    b = df.withColumn("_bk", bucket)
-    counts = b.groupBy(*parts, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*parts).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(parts)], F.col("_bk").alias("_kb"),
-                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(*parts, "_bk").orderBy(*order))
-    on = F.col("_bk").eqNullSafe(F.col("_kb"))
-    for i, p in enumerate(parts):
-        on = on & F.col(p).eqNullSafe(F.col(f"_k{i}"))
-    return (b.withColumn("_r", inner).join(before, on)
+    b, keys = plain_keys(df.withColumn("_bk", bucket), parts, "_k")
+    b, at = plain_keys(b, ["_bk"], "_b")
+    counts = b.groupBy(*keys, *at, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, *at, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    if start is not None:
+        like = plain_keys(start, parts, "_k", nullable=[df.schema[p].nullable for p in parts])[0].withColumnRenamed("start", "_start")
+        before = before.join(like.select(*keys, "_start"), keys, "left").select(
+            *keys, *at, (F.col("_before") + F.coalesce("_start", F.lit(0))).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*keys, *at).orderBy(*order))
+    return (b.withColumn("_r", inner).join(before, [*keys, *at])
             .withColumn(name, (F.col("_before") + F.col("_r")).cast("int"))
             .select(*df.columns, name))
 

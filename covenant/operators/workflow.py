@@ -161,12 +161,13 @@ def user_by_email(requests: DataFrame, users: DataFrame, col: str = "email") ->
 VERSION_ORDER = ["submitted_at", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def assign_versions(versions: DataFrame, order: list | None = None) -> DataFrame:
-    """First submission is version 1, each later one +1 (per document, in time order)."""
+def assign_versions(versions: DataFrame, order: list | None = None, start: DataFrame | None = None) -> DataFrame:
+    """First submission is version 1, each later one +1 (per document, in time order); with ``start``
+    (document_id, start) numbers go on from there."""
     order = order or VERSION_ORDER
     # Minute buckets: the running count over buckets is linear, so fine buckets
     # cost little and bound the rows ranked together.
-    return exact_rank(versions, "document_id", order, minute_bucket(order[0]), "version_number")
+    return exact_rank(versions, "document_id", order, minute_bucket(order[0]), "version_number", start)
 
 
 def current_version(versions: DataFrame, order: list | None = None) -> DataFrame:

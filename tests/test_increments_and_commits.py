@@ -201,3 +201,21 @@ def test_lifecycle_streams_call_python_once_a_bucket():
     assert len(out) == n == len(state.get[0]) and set(out["status"]) == {"UnderReview"} and B.buckets_for(36_000_000) == 18_000
     late, out = J._lifecycle_update((0,), iter([events.head(3)]), state)
     assert late["log_id"].tolist() == [0, 1, 2] and set(out["seq"]) == {2} and len(state.get[0]) == n
+
+
+def test_ranked_rows_are_shuffled_once(spark, monkeypatch):
+    """Window and join of a rank meet on the same columns; null keys, null times and stored numbers count as ever."""
+    rows = [(k, t, n) for n, (k, t) in enumerate([(None, "2024-01-01 00:00:00"), (0, "1970-01-01 00:00:05"), (0, None), (None, None), (7, "2024-01-01 00:00:30"),
+                                                  (7, "2024-01-01 00:00:10"), (0, "1970-01-01 00:01:05"), (7, "2024-02-01 00:00:00")])]
+    df = spark.createDataFrame(rows, "document_id long, s string, n long").withColumn("at", F.col("s").cast("timestamp_ntz")).drop("s")
+    state = spark.createDataFrame([(None, 10), (7, 4), (9, 1)], "document_id long, max_version int")
+    monkeypatch.setattr(W, "VERSION_ORDER", ["at", "n"])
+    assert {r.n: r.version_number for r in W.assign_versions(df).collect()} == {3: 1, 0: 2, 2: 1, 1: 2, 6: 3, 5: 1, 4: 2, 7: 3}
+    assert {r.n: r.version_number for r in I.next_versions(df, state).collect()} == {3: 11, 0: 12, 2: 1, 1: 2, 6: 3, 5: 5, 4: 6, 7: 7}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = I.next_versions(df, state)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+    window = plan[:plan.index("Window [row_number()")]
+    assert "Exchange" not in window, window                         # nothing shuffles the rows after their window
