@@ -15,7 +15,11 @@ from covenant import schemas as S
 # ``str.split`` has it: that adds next line and the spaces that do not break.
 _JAVA_WS = r"\t-\r\x1c-\x20\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000"
 _PY_WS = _JAVA_WS + r"\x85\xa0\u2007\u202f"
-_STRIP = rf"^[{_JAVA_WS}]+|[{_JAVA_WS}]+$"
+# Most characters of a text, none of them white space. Named first, as Java tries the many ranges of the white
+# space one after the other for each character.
+_VISIBLE = r"!-~\xa1-\u167f\u3001-\x{10ffff}"
+_JAVA_GAP, _PY_GAP = (f"[[^{_VISIBLE}]&&[{ws}]]+" for ws in (_JAVA_WS, _PY_WS))
+_STRIP = f"^{_JAVA_GAP}|{_JAVA_GAP}$"
 
 
 def _c(col) -> Column:
@@ -28,8 +32,8 @@ def strip(col) -> Column:
 
 
 def is_blank(col) -> Column:
-    """Java ``isBlank``; null counts as blank."""
-    return F.coalesce(strip(col) == F.lit(""), F.lit(True))
+    """Java ``isBlank``; null counts as blank. The search ends at the first character that is not white space."""
+    return F.coalesce(~_c(col).rlike(f"[^{_JAVA_WS}]"), F.lit(True))
 
 
 # ---- P1, P2 ---------------------------------------------------------------
@@ -56,8 +60,8 @@ def first_words(col, n: int = S.WORDS_PER_CLAUSE) -> Column:
     A regex captures the first ``n`` words and stops there, so a long text is
     never split into all its words; both functions stay in generated code.
     """
-    word, gap = f"[^{_PY_WS}]+", f"[{_PY_WS}]+"
-    head = F.regexp_extract(_c(col), f"^[{_PY_WS}]*({word}(?:{gap}{word}){{0,{n - 1}}})", 1)
+    word, gap = f"[[{_VISIBLE}][^{_PY_WS}]]+", _PY_GAP
+    head = F.regexp_extract(_c(col), f"^(?:{gap})?({word}(?:{gap}{word}){{0,{n - 1}}})", 1)
     return F.regexp_replace(head, gap, " ")
 
 

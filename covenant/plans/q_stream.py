@@ -11,9 +11,11 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from covenant.operators import risk as R
 from covenant.operators import workflow as W
 from covenant.plans.catalog import ORACLE, register
 from covenant.plans.q_workflow import _predictions
+from covenant.session import materialize
 from covenant.sources import fixtures as FX
 from covenant.operators import increments as I
 from covenant.streaming import buffered as B
@@ -25,9 +27,10 @@ from covenant.streaming import jobs as J
 @register("stream_intake")
 def stream_intake(spark, sf_dir):
     d = J.run_dir(spark, "intake")
-    J.stage(FX.fx_clause_json(spark, sf_dir).select("doc_id", "title", "clauses_json", "model_input"), f"{d}/src")
+    risk = materialize(R.contract_risk_with_firsts(FX.fx_qa(spark, sf_dir, with_context=False)))    # for both sides
+    J.stage(FX.fx_clause_json(spark, sf_dir, risk).select("doc_id", "title", "clauses_json", "model_input"), f"{d}/src")
     schema = spark.read.parquet(f"{d}/src").schema
-    predictions, objects = J.stored_sides(spark, d, predictions=_predictions(spark, sf_dir),
+    predictions, objects = J.stored_sides(spark, d, predictions=_predictions(spark, sf_dir, risk),
                                           objects=FX.fx_objects(spark, sf_dir).select("document_id", "recorded_hash"))
     out = J.stream_intake(spark, f"{d}/src", schema, predictions, objects, f"{d}/sink", f"{d}/ckpt")
     return out.select("document_id", "step", "action", "user_id", "notes")
@@ -43,9 +46,10 @@ def stream_intake_waiting(spark, sf_dir):
     later, some made too long after the contract, which is then logged as skipped."""
     d = J.run_dir(spark, "intake-waiting")
     hour = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 48 * 3600)
-    contracts = (FX.fx_clause_json(spark, sf_dir).select("doc_id", "title", "clauses_json", "model_input")
+    risk = materialize(R.contract_risk_with_firsts(FX.fx_qa(spark, sf_dir, with_context=False)))    # for both sides
+    contracts = (FX.fx_clause_json(spark, sf_dir, risk).select("doc_id", "title", "clauses_json", "model_input")
                  .withColumn("arrived_at", hour))
-    predictions = _predictions(spark, sf_dir).withColumn(
+    predictions = _predictions(spark, sf_dir, risk).withColumn(
         "predicted_at", F.timestamp_seconds(F.unix_seconds(hour) + F.col("doc_id") % 5 * 3600))
     contracts, predictions, objects = J.stored_sides(
         spark, d, contracts=contracts, predictions=predictions,

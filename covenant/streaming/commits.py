@@ -10,8 +10,9 @@ committed stay invisible; ``remove_uncommitted`` deletes them.
 
 Rows are kept by key: a row equal to the stored one is a replay and is dropped;
 a row that differs from the stored or the first new one, and a row without a
-key, is a reject. Data are partitioned by a hash bucket of the key, and a batch
-reads the stored rows of its own buckets only. The driver holds commit names
+key, is a reject. Data are partitioned by a hash bucket of the key; a batch writes
+one file a bucket, or one for about each ``FILE_ROWS`` of the largest bucket's
+rows, and reads the stored rows of its own buckets only. The driver holds commit names
 (one a batch) and bucket numbers, no rows.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from covenant.session import materialize
 
 BUCKETS = 64
+FILE_ROWS = 1_000_000
 
 
 class WriteOnce:
@@ -114,7 +116,8 @@ class WriteOnce:
 
     def _attempt(self, rows: DataFrame, rest: list[str], commits: list[dict], attempt: str) -> dict:
         key = self.key
-        mine = [r[0] for r in rows.select("_bucket").distinct().collect()]              # at most BUCKETS numbers
+        sizes = dict(tuple(r) for r in rows.groupBy("_bucket").count().collect())       # at most BUCKETS numbers
+        mine, parts = list(sizes), -(-max(sizes.values(), default=1) // FILE_ROWS)
         old = self._read("data", commits).where(F.col("_bucket").isin(mine)).select("_bucket", key, F.struct(*rest).alias("_old"))
         first = (rows.where(F.col(key).isNotNull()).groupBy("_bucket", key).agg(F.min("_row").alias("_kept"))
                  .join(old, ["_bucket", key], "left"))
@@ -125,7 +128,9 @@ class WriteOnce:
         for kind, out in (("rejects", bad.select(key, "_row.*", "_bucket")),
                           ("data", first.where("_old is null").select(key, "_kept.*", "_bucket"))):
             target = f"{self.path}/{kind}/attempt={attempt}"
-            out.write.partitionBy("_bucket").parquet(target)
+            # a bucket's rows meet first: else each task writes a file for every bucket it holds, tasks x BUCKETS in all
+            dealt = out.repartition(BUCKETS * parts, "_bucket", F.pmod(F.hash(key), F.lit(parts)))
+            dealt.write.partitionBy("_bucket").parquet(target)
             wrote[kind] = any(x.isDirectory() for x in self.fs.listStatus(self._path(target)))
         return wrote
 
