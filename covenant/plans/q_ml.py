@@ -9,7 +9,7 @@ from covenant.functions import text as X
 from covenant.operators import ml as ML
 from covenant.operators import split as SP
 from covenant.plans.catalog import register
-from covenant.plans.q_split import _CTES, _split, _with_text
+from covenant.plans.q_split import _CTES, _split
 from covenant.plans.sqlparts import label_id_sql, q, with_fx
 from covenant.session import materialize
 
@@ -22,13 +22,12 @@ _NTOK = f"len(regexp_extract_all(lower(risk_text), {q(X.TOKEN_PATTERN)}))"
            {_NTOK} + {X.SPECIAL_TOKENS} >= {S.MAX_TOKENS} AS truncated
     FROM split_all WHERE split = 'train'""", _CTES))
 def select_model_columns(spark, sf_dir):
-    train = _split(spark, sf_dir).where(F.col("split") == "train")
-    f = ML.model_frame(_with_text(spark, sf_dir, train))
+    f = ML.model_frame(_split(spark, sf_dir, text=True).where(F.col("split") == "train"))
     return f.select("title", "labels", F.size("tokens").alias("n_tokens_kept"), "truncated")
 
 
 def _frames(spark, sf_dir):
-    s = _with_text(spark, sf_dir, _split(spark, sf_dir))
+    s = _split(spark, sf_dir, text=True)
     train = materialize(ML.model_frame(s.where(F.col("split") == "train")))
     test = materialize(ML.model_frame(s.where(F.col("split") == "test")))
     return train, test
@@ -62,9 +61,8 @@ def evaluate_split(spark, sf_dir):
 @register("weight_sweep")
 def weight_sweep(spark, sf_dir):
     """M2: class-weight grid tuned on a validation fold carved from train (not on test)."""
-    s = _split(spark, sf_dir).where(F.col("split") == "train").drop("split")
+    s = _split(spark, sf_dir, text=True).where(F.col("split") == "train").drop("split")
     fold = materialize(SP.stratified_split(s, 0.2, seed=S.SPLIT_SEED + 1))
-    fold = _with_text(spark, sf_dir, fold)
     tr = ML.model_frame(fold.where(F.col("split") == "train"))
     va = ML.model_frame(fold.where(F.col("split") == "test"))
     return ML.weight_sweep(tr, va)

@@ -35,20 +35,15 @@ _CTES = [("quotas", _QUOTAS), ("split_all", _SPLIT)]
 _CTES_SAMPLE = _CTES + [("picked", _SAMPLE)]
 
 
-def _risk(spark, sf_dir):
+def _risk(spark, sf_dir, text=False):
     # Title, score and label of each contract, read three times by the split
-    # (counts, histogram, flags). The text is left out: the split needs none.
-    return materialize(R.contract_risk(_qa(spark, sf_dir)).select("title", "risk_score", "risk_label"))
+    # (counts, histogram, flags). The split needs no text; the model jobs carry it along.
+    columns = ["title", "risk_score", *(["risk_text"] if text else []), "risk_label"]
+    return materialize(R.contract_risk(_qa(spark, sf_dir)).select(columns))
 
 
-def _split(spark, sf_dir):
-    return SP.stratified_split(_risk(spark, sf_dir))
-
-
-def _with_text(spark, sf_dir, split):
-    """The split with each contract's text joined back, for the model jobs."""
-    texts = R.contract_risk(_qa(spark, sf_dir)).select("title", "risk_text")
-    return split.join(texts, "title")
+def _split(spark, sf_dir, text=False):
+    return SP.stratified_split(_risk(spark, sf_dir, text))
 
 
 def _picked(spark, sf_dir):

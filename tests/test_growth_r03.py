@@ -3,12 +3,18 @@
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
 from covenant import session
 from covenant.functions import text as X
+from covenant.operators import risk as R
+from covenant.plans import q_ml
+from covenant.sources import fixtures as FX
 from covenant.streaming import commits as C
 
+SF_SMALL = "/root/testdata/sf0.001"
+
 
 def _files(spark, d, batch):
     table = C.WriteOnce(spark, d, batch.schema)
@@ -57,3 +63,24 @@ def test_white_space_is_told_as_before(spark):
 def test_a_blank_text_is_told_without_rewriting_it(spark):
     df = spark.createDataFrame([("x",)], "t string").select(X.is_blank("t"))
     assert "regexp_replace" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_model_frames_read_the_texts_once(spark, monkeypatch):
+    calls, build = [], R.contract_risk
+    monkeypatch.setattr(R, "contract_risk", lambda qa, *a, **k: (calls.append(1), build(qa, *a, **k))[1])
+    train, test = q_ml._frames(spark, SF_SMALL)
+    assert len(calls) == 1
+    risk = {r.title: r for r in q_ml.ML.model_frame(build(FX.fx_qa(spark, SF_SMALL))).collect()}
+    made = train.collect() + test.collect()
+    assert len(made) == len(risk) and all(risk[r.title] == r for r in made)
+
+
+@pytest.mark.parametrize("query", ["train_weighted", "select_model_columns"])
+def test_model_queries_build_the_texts_once(spark, monkeypatch, query):
+    calls, build = [], R.contract_risk
+    monkeypatch.setattr(R, "contract_risk", lambda qa, *a, **k: (calls.append(1), build(qa, *a, **k))[1])
+    monkeypatch.setattr(q_ml.ML, "train_weighted", lambda train, **k: None)
+    monkeypatch.setattr(q_ml.ML, "score_batch", lambda model, frame: frame)
+    monkeypatch.setattr(q_ml.ML, "evaluate_split", lambda scored: {"metrics": scored})
+    getattr(q_ml, query)(spark, SF_SMALL)
+    assert len(calls) == 1
