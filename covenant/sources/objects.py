@@ -143,7 +143,8 @@ class ObjectReader(DataSourceReader):
             yield from part.ids
             return
         for name, length in folder.names():
-            if length is None and _is_key(f"{name}/v0/x") and crc32(name.encode()) % self.parts == part.value:
+            # every part reads all names: the cheapest test first
+            if crc32(name.encode(errors="surrogatepass")) % self.parts == part.value and length is None and _is_key(f"{name}/v0/x"):
                 i = int(name[4:])
                 if self._within(i):
                     yield i
@@ -208,7 +209,15 @@ def read_keys(keys: DataFrame, base: str, key: str = "key") -> DataFrame:
 
 def read_tree(listed: DataFrame, base: str) -> DataFrame:
     """Contents of the objects of a listing; versions of one document are spread over the tasks."""
-    return read_keys(listed.repartition("key"), base)
+    return read_keys(_dealt(listed), base)
+
+
+def _dealt(rows: DataFrame, *then: str) -> DataFrame:
+    """The rows by hash of their key, in as many tasks as a shuffle has. Adaptive execution leaves a given number as
+    it is, where it would join the few bytes of a listing to one task that then reads all contents. Sorted, objects
+    are read in the order in which they were written."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key") \
+        .sortWithinPartitions("key", *then)
 
 
 def store_objects(rows: DataFrame, base: str) -> DataFrame:
@@ -219,7 +228,7 @@ def store_objects(rows: DataFrame, base: str) -> DataFrame:
     """
     keyed = rows.select(X.storage_key("document_id", "version", "name").alias("key"), "content", F.sha2("content", 256).alias("sha"))
     # all rows of a key in one task, one after the other; a null content comes first and writes nothing
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "sha")
+    dealt = _dealt(keyed, "sha")
 
     def run(batches):
         folder = Folder(base)

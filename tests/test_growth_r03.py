@@ -11,6 +11,7 @@ from covenant.functions import text as X
 from covenant.operators import risk as R
 from covenant.plans import q_ml
 from covenant.sources import fixtures as FX
+from covenant.sources import objects as OB
 from covenant.streaming import commits as C
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -84,3 +85,13 @@ def test_model_queries_build_the_texts_once(spark, monkeypatch, query):
     monkeypatch.setattr(q_ml.ML, "evaluate_split", lambda scored: {"metrics": scored})
     getattr(q_ml, query)(spark, SF_SMALL)
     assert len(calls) == 1
+
+
+def test_contents_are_read_by_many_tasks(spark, tmp_path):
+    """A listing is a few bytes a row, which adaptive execution would put into one task."""
+    rows = [(i, 1, "a", bytes([i % 256]) * i) for i in range(300)]
+    made = spark.createDataFrame(rows, "document_id long, version int, name string, content binary")
+    assert OB.store_objects(made, str(tmp_path)).where("outcome = 'stored'").count() == 300
+    got = OB.read_tree(OB.list_objects(spark, str(tmp_path)), str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.document_id, bytes(r.content)) for r in got} == {(i, c) for i, _, _, c in rows} and len(got) == 300
+    assert len({r.task for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
