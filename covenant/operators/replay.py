@@ -72,6 +72,54 @@ def exact_rank(df: DataFrame, part: str | list[str], order: list, bucket: Column
             .select(*df.columns, name))
 
 
+#: Rows of one part that go to one range; the rows of a part with more are dealt by bucket, too.
+HEAVY = 500_000
+#: Pairs of a heavy part and a bucket that are sent to every task.
+SENT = 500_000
+
+
+def heavy_parts(df: DataFrame, part: str, groups: int = 1 << 16) -> DataFrame | None:
+    """The values of ``part`` (null is one) with more than ``HEAVY`` rows, or None. Hash groups are counted first, so
+    values are counted one by one only where a group has so many rows; the driver gets numbers of groups."""
+    values = df.select(part, F.pmod(F.xxhash64(part), F.lit(groups)).cast("int").alias("_g"))
+    full = [r[0] for r in values.groupBy("_g").count().where(F.col("count") > HEAVY).select("_g").collect()]
+    if not full:
+        return None
+    some = values if len(full) == groups else values.where(F.col("_g").isin(full))
+    found = materialize(some.groupBy(part).count().where(F.col("count") > HEAVY).select(F.col(part).alias("_heavy"), F.lit(True).alias("_is")))
+    return None if found.isEmpty() else found
+
+
+def dealt_rank(df: DataFrame, part: str, order: list[str], bucket: Column, name: str, digests: list[str]) -> DataFrame:
+    """``exact_rank`` that leaves the rows in ranges of ``part``, so that a sort by ``part`` shuffles them no more.
+
+    The rows are shuffled once, without counts beside them. The rows of a heavy part are dealt by ``bucket``, too, and
+    ranked in each; the result then has the column ``_slice`` (the bucket; null in other parts), and a sort has to name
+    it, descending, after ``part``. ``digests`` are text columns of hexadecimal digits, which travel as bytes; other
+    text in them travels as it is.
+    """
+    heavy, rest = heavy_parts(df, part), [F.col(c) for c in df.columns]
+    packed = df
+    for i, c in enumerate(digests):
+        packed = packed.withColumn(f"_x{i}", F.unhex(c)).withColumn(f"_x{i}", F.when(F.lower(F.hex(f"_x{i}")) == F.col(c), F.col(f"_x{i}"))) \
+            .withColumn(c, F.when(F.col(f"_x{i}").isNull(), F.col(c)))
+        rest[df.columns.index(c)] = F.coalesce(c, F.lower(F.hex(f"_x{i}"))).alias(c)
+    row = F.row_number()
+    if heavy is None:
+        dealt = packed.repartitionByRange(part).withColumn(name, row.over(Window.partitionBy(part).orderBy(*order)))
+        return dealt.select(*rest, name)
+    is_heavy = F.col(part).eqNullSafe(F.col("_heavy"))
+    counts = df.withColumn("_bk", bucket).join(F.broadcast(heavy), is_heavy, "left_semi").groupBy(part, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    before = materialize(counts.select(F.col(part).alias("_heavy"), "_bk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    if before.count() <= SENT:
+        before = F.broadcast(before)
+    dealt = (packed.join(F.broadcast(heavy), is_heavy, "left").withColumn("_slice", F.when(F.col("_is"), bucket)).drop("_heavy", "_is")
+             .repartitionByRange(part, F.desc("_slice")).withColumn("_r", row.over(Window.partitionBy(part, "_slice").orderBy(*order)))
+             .join(before, is_heavy & F.col("_slice").eqNullSafe(F.col("_bk")), "left"))
+    return dealt.select(*rest, (F.coalesce("_before", F.lit(0)) + F.col("_r")).cast("int").alias(name), "_slice")
+
+
 def range_rank(df: DataFrame, part: list[str], order: list, name: str) -> DataFrame:
     """Exact ``row_number`` over ``part`` (may be empty) ordered by ``order``, for values of any kind.
 

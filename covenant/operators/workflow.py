@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from covenant import schemas as S
 from covenant.functions import text as X
-from covenant.operators.replay import Replay, exact_rank, minute_bucket
+from covenant.operators.replay import Replay, dealt_rank, exact_rank, minute_bucket
 from covenant.session import materialize
 
 STATUS_NAMES = [s for s, _ in S.STATUSES]
@@ -161,10 +161,15 @@ def user_by_email(requests: DataFrame, users: DataFrame, col: str = "email") ->
 VERSION_ORDER = ["submitted_at", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def assign_versions(versions: DataFrame, order: list | None = None, start: DataFrame | None = None) -> DataFrame:
+def assign_versions(versions: DataFrame, order: list | None = None, start: DataFrame | None = None,
+                    dealt: bool = False) -> DataFrame:
     """First submission is version 1, each later one +1 (per document, in time order); with ``start``
-    (document_id, start) numbers go on from there."""
+    (document_id, start) numbers go on from there. ``dealt``, without ``start``: rows are left in ranges of the
+    document, for ``version_history`` or for one who writes them, and may have the column ``_slice``."""
     order = order or VERSION_ORDER
+    if dealt:
+        digests = [c for c in ("content_hash",) if c in versions.columns]
+        return dealt_rank(versions, "document_id", order, minute_bucket(order[0]), "version_number", digests)
     # Minute buckets: the running count over buckets is linear, so fine buckets
     # cost little and bound the rows ranked together.
     return exact_rank(versions, "document_id", order, minute_bucket(order[0]), "version_number", start)
@@ -187,8 +192,10 @@ def current_version(versions: DataFrame, order: list | None = None) -> DataFrame
 
 
 def version_history(versioned: DataFrame) -> DataFrame:
-    """Versions newest first (per document)."""
-    return versioned.orderBy("document_id", F.desc("version_number"))
+    """Versions newest first (per document). Rows that ``assign_versions`` has dealt by ranges are not shuffled."""
+    if "_slice" not in versioned.columns:
+        return versioned.orderBy("document_id", F.desc("version_number"))
+    return versioned.orderBy("document_id", F.desc("_slice"), F.desc("version_number")).drop("_slice")
 
 
 # ---- lifecycle: W6, W7, P8 -------------------------------------------------

@@ -174,8 +174,8 @@ _VERSIONED = [("vv", """
     FROM fx_versions""")]
 
 
-def _versioned(spark, sf_dir):
-    return W.assign_versions(FX.fx_versions(spark, sf_dir, with_submitter=False))
+def _versioned(spark, sf_dir, dealt=False):
+    return W.assign_versions(FX.fx_versions(spark, sf_dir, with_submitter=False), dealt=dealt)
 
 
 @register("assign_versions", with_fx(["fx_versions"], """
@@ -199,8 +199,8 @@ def current_version(spark, sf_dir):
 @register("version_history", with_fx(["fx_versions"], """
     SELECT document_id, version_number, file_name, submitted_at, content_hash FROM vv""", _VERSIONED))
 def version_history(spark, sf_dir):
-    return W.version_history(_versioned(spark, sf_dir)).select("document_id", "version_number", "file_name",
-                                                               "submitted_at", "content_hash")
+    return W.version_history(_versioned(spark, sf_dir, dealt=True)).select("document_id", "version_number", "file_name",
+                                                                           "submitted_at", "content_hash")
 
 
 # ---- lifecycle ---------------------------------------------------------------
