@@ -95,7 +95,7 @@ def stream_lifecycle_rejects(spark, sf_dir):
 
 
 def _versioned_keys(spark, sf_dir):
-    v = W.assign_versions(FX.fx_versions(spark, sf_dir))
+    v = W.assign_versions(FX.fx_submissions(spark, sf_dir), dealt=True)
     return v.select("document_id", "version_number",
                     F.concat(F.lit("doc-"), F.col("document_id").cast("string"), F.lit("/v"),
                              F.col("version_number").cast("string"), F.lit("/"), F.col("file_name"))

@@ -7,6 +7,7 @@ Library code never builds its own session: every operator takes DataFrames.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -98,3 +99,15 @@ def materialize(df):
     into the shared ``spark.checkpoint.dir`` (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside are deleted when each query ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)

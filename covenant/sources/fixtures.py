@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from covenant import schemas as S
 from covenant.functions import text as X
+from covenant.session import short_shuffles
 from covenant.sources.tables import table
 
 
@@ -129,6 +130,15 @@ def fx_versions(spark: SparkSession, sf_dir: str, with_submitter: bool = True) -
     )
 
 
+def fx_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``fx_versions`` without the submitter. Orders only tell how often a row comes, so they are joined
+    only if an order key repeats."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey").where("o_orderkey is not null")
+    with short_shuffles(spark):
+        repeated = not keys.groupBy("o_orderkey").count().where("count > 1").isEmpty()
+    return fx_versions(spark, sf_dir, with_submitter=repeated).drop("submitted_by")
+
+
 _ACTION_BY_EVENT = [
     ("signup", "ReviewRequested"),
     ("error", "RevisionRequested"),

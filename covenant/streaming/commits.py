@@ -1,12 +1,14 @@
 """A write-once table whose batches become visible by a commit file.
 
-A batch writes its rows and its rejects below folders of its own attempt, which
-no reader looks at. Then one small file, ``_commits/<n>``, names batch and
+A batch is staged, judged in one shuffle with the stored rows of its buckets, and
+its rows and rejects are written in one pass and moved below folders of its own
+attempt, which no reader looks at. Then one small file, ``_commits/<n>``, names batch and
 attempt; it is moved into place only if number n is free, so data and rejects
 become visible together or not at all. A batch that was committed before is not
 written again. If another writer takes number n first, the rows are judged again
 with that writer's rows among the stored ones. Attempts that were never
-committed stay invisible; ``remove_uncommitted`` deletes them.
+committed stay invisible; ``remove_uncommitted`` deletes them. Staged rows and
+shuffle files are deleted as soon as they are used up.
 
 Rows are kept by key: a row equal to the stored one is a replay and is dropped;
 a row that differs from the stored or the first new one, and a row without a
@@ -21,11 +23,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from covenant.session import materialize
+from covenant.session import remove, short_shuffles
 
 BUCKETS = 64
 FILE_ROWS = 1_000_000
@@ -99,39 +101,56 @@ class WriteOnce:
     def write(self, batch: DataFrame, batch_id: str, tries: int = 20) -> bool:
         """Write a batch; False if it was committed before. Of several rows for a new key the smallest by
         content is kept."""
-        rest = [c for c in self.schema.fieldNames() if c != self.key]
-        rows = None
-        for _ in range(tries):
-            commits = self.commits()
-            if any(c["batch"] == batch_id for c in commits):
-                return False
-            if rows is None:
-                rows = materialize(batch.select(self.key, F.struct(*rest).alias("_row"))
-                                   .withColumn("_bucket", F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")))
-            attempt = uuid.uuid4().hex
-            record = self._attempt(rows, rest, commits, attempt) | {"batch": batch_id, "attempt": attempt}
-            if self._commit(len(commits) and commits[-1]["number"] + 1, record):
-                return True
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        with short_shuffles(self.spark), short_shuffles(batch.sparkSession):
+            try:
+                rows = None
+                for _ in range(tries):
+                    commits = self.commits()
+                    if any(c["batch"] == batch_id for c in commits):
+                        return False
+                    if rows is None:
+                        rows = self._stage(batch, staged)
+                    attempt = uuid.uuid4().hex
+                    record = self._attempt(rows, commits, attempt) | {"batch": batch_id, "attempt": attempt}
+                    if self._commit(len(commits) and commits[-1]["number"] + 1, record):
+                        return True
+            finally:
+                remove(self.spark, staged)
         raise RuntimeError(f"{tries} other writers committed to {self.path} meanwhile")
 
-    def _attempt(self, rows: DataFrame, rest: list[str], commits: list[dict], attempt: str) -> dict:
-        key = self.key
+    def _stage(self, batch: DataFrame, staged: str) -> DataFrame:
+        """The batch, written once as it comes: it is counted and judged, again if another writer was first."""
+        rows = batch.select(*self.schema.fieldNames(), F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int").alias("_bucket"))
+        rows.write.parquet(staged)
+        return self.spark.read.schema(rows.schema).parquet(staged)
+
+    def _attempt(self, rows: DataFrame, commits: list[dict], attempt: str) -> dict:
+        key, rest = self.key, [c for c in self.schema.fieldNames() if c != self.key]
         sizes = dict(tuple(r) for r in rows.groupBy("_bucket").count().collect())       # at most BUCKETS numbers
         mine, parts = list(sizes), -(-max(sizes.values(), default=1) // FILE_ROWS)
-        old = self._read("data", commits).where(F.col("_bucket").isin(mine)).select("_bucket", key, F.struct(*rest).alias("_old"))
-        first = (rows.where(F.col(key).isNotNull()).groupBy("_bucket", key).agg(F.min("_row").alias("_kept"))
-                 .join(old, ["_bucket", key], "left"))
-        first = materialize(first)
-        held = first.select("_bucket", key, F.coalesce("_old", "_kept").alias("_held"))
-        bad = rows.join(held, ["_bucket", key], "left").where(F.col("_held").isNull() | ~F.col("_row").eqNullSafe(F.col("_held")))
-        wrote = {}
-        for kind, out in (("rejects", bad.select(key, "_row.*", "_bucket")),
-                          ("data", first.where("_old is null").select(key, "_kept.*", "_bucket"))):
-            target = f"{self.path}/{kind}/attempt={attempt}"
-            # a bucket's rows meet first: else each task writes a file for every bucket it holds, tasks x BUCKETS in all
-            dealt = out.repartition(BUCKETS * parts, "_bucket", F.pmod(F.hash(key), F.lit(parts)))
-            dealt.write.partitionBy("_bucket").parquet(target)
-            wrote[kind] = any(x.isDirectory() for x in self.fs.listStatus(self._path(target)))
+        old = self._read("data", commits).where(F.col("_bucket").isin(mine))
+        row, null = F.struct(*rest).alias("_row"), F.col(key).isNull()
+        both = (rows.select("_bucket", key, row, F.lit(False).alias("_old"))
+                .unionByName(old.select("_bucket", key, row, F.lit(True).alias("_old"))))
+        # a key's rows meet in the task that writes its bucket, or a part of it; rows without a key are dealt by content
+        spread = F.when(null, F.xxhash64("_row"))
+        at = F.col("_bucket") * parts + F.pmod(F.hash(key, spread), F.lit(parts))
+        dealt = both.withColumn("_at", at).drop("_bucket").repartition(BUCKETS * parts, "_at").withColumn("_spread", spread)
+        same = Window.partitionBy("_at", key, "_spread").orderBy(F.desc("_old"), "_row")    # the stored row, else the smallest
+        kind = F.when(null | ~F.col("_row").eqNullSafe(F.col("_held")), "rejects").when(F.col("_nth") == 1, "data")
+        judged = (dealt.withColumn("_held", F.first("_row").over(same)).withColumn("_nth", F.row_number().over(same))
+                  .where(~F.col("_old")).withColumn("_kind", kind).where("_kind is not null"))
+        wrote, made = {}, f"{self.path}/_attempts/{attempt}"
+        (judged.select(key, "_row.*", "_kind", F.expr(f"_at div {parts}").cast("int").alias("_bucket"))
+         .sortWithinPartitions("_kind", "_bucket", key).write.partitionBy("_kind", "_bucket").parquet(made))
+        for kind in ("rejects", "data"):
+            wrote[kind] = self.fs.exists(self._path(f"{made}/_kind={kind}"))
+            if wrote[kind]:
+                self.fs.mkdirs(self._path(f"{self.path}/{kind}"))
+                if not self.fs.rename(self._path(f"{made}/_kind={kind}"), self._path(f"{self.path}/{kind}/attempt={attempt}")):
+                    raise OSError(f"{made}/_kind={kind} was not moved")
+        remove(self.spark, made)
         return wrote
 
     def remove_uncommitted(self) -> int:
@@ -143,6 +162,8 @@ class WriteOnce:
                 name = x.getPath().getName()
                 if name.startswith("attempt=") and name.removeprefix("attempt=") not in named:
                     n += self.fs.delete(x.getPath(), True)
+        for scratch in ("_staged", "_attempts"):        # of writers that died
+            remove(self.spark, f"{self.path}/{scratch}")
         return n
 
 
