@@ -164,10 +164,10 @@ VERSION_ORDER = ["submitted_at", "l_linenumber", "l_partkey", "l_suppkey", "l_ex
 def assign_versions(versions: DataFrame, order: list | None = None, start: DataFrame | None = None,
                     dealt: bool = False) -> DataFrame:
     """First submission is version 1, each later one +1 (per document, in time order); with ``start``
-    (document_id, start) numbers go on from there. ``dealt``, without ``start``: rows are left in ranges of the
-    document, for ``version_history`` or for one who writes them, and may have the column ``_slice``."""
+    (document_id, start) numbers go on from there. ``dealt``, if there is no ``start``: rows are left in ranges
+    of the document, for ``version_history`` or for one who writes them, and may have the column ``_slice``."""
     order = order or VERSION_ORDER
-    if dealt:
+    if dealt and start is None:
         digests = [c for c in ("content_hash",) if c in versions.columns]
         return dealt_rank(versions, "document_id", order, minute_bucket(order[0]), "version_number", digests)
     # Minute buckets: the running count over buckets is linear, so fine buckets
